@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 from tessera.llm.fingerprint import edit_likeness
 from tessera.llm.language import fit, held_out, identify
 from tessera.llm.packing import pack
+from tessera.llm.pii import BASE, joined, with_spans
+
+
+def one_of(kind: str) -> Callable[[Column], Column]:
+    return lambda span: span["kind"] == kind
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), "spans")
+    base = F.filter("spans", lambda s: s["base"])
+    count = [F.size(F.filter(base, one_of(kind))).cast("long").alias(f"n_{kind}") for kind in BASE]
+    return found.select("doc_id", *count, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +40,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op4_language": op4_language,
     "op7_fingerprints": op7_fingerprints,
     "op8_packing": op8_packing,

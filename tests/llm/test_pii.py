@@ -1,0 +1,73 @@
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import pii
+from tessera.llm.queries import op1_pii
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(x if k % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for k, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def base(text):
+    out = []
+    for n, (kind, p) in enumerate(PLAIN.items()):
+        for m in re.finditer(p, text or ""):
+            d = re.sub("[^0-9]", "", m.group())
+            if {"email": lambda: True, "ip": lambda m=m: all(int(x) <= 255 for x in m.group().split(".")), "card": lambda d=d: 12 <= len(d) <= 19 and luhn(d), "phone": lambda d=d: 9 <= len(d) <= 15}[kind]():
+                out.append((m.start(), n, f"{kind}:{m.start()}:{m.end()}"))
+    return [x for *_, x in sorted(out)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(5)
+    bits = ["a.b@c.de", "x@y", "@", "1.2.3.4", "256.1.1.1", "00.010.1.255.7", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (555) 010-9999", "+49-30-1234567", "é", "😀", " ", "\n", "7", "..", "-", "+", "me@mail.example.com_x@y.org", "word", "٣"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(400)]
+    texts += [None, "", "a" * 20_000 + "@" + "b." * 9_000 + "c", "1 2 " * 9_000, "9" * 3_000, "x.y@z.org " * 500, "1.1.1.1." * 2_000]
+    return [(k, t, "spans?") for k, t in enumerate(texts)] + [(3, "a@b.cd", None), (3, "a@b.cd", None), (None, None, None)]
+
+
+def test_base_against_plain_patterns(spark, rows, tmp_path):
+    spark.createDataFrame(rows, "doc_id long, text string, spans_found string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted((str(i), hashlib.sha256(",".join(base(t)).encode()).hexdigest(), *(sum(x.startswith(k + ":") for x in base(t)) for k in pii.BASE)) for i, t, _ in rows)
+    got = op1_pii(spark, str(tmp_path))
+    assert [t for _, t in got.dtypes] == ["bigint"] * 5 + ["string"] * 2
+    got = got.collect()
+    assert sorted((str(r.doc_id), r.base_sha256, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in got) == want
+    for r in got:
+        if r.doc_id not in (None, 3):
+            have = r.spans.split(",") if r.spans else []
+            assert [x for x in have if x.split(":")[0] in pii.BASE] == base(rows[r.doc_id][1])
+
+
+def spans(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    return [[(s.kind, texts[r.k][s.start : s.end]) for s in r.s] for r in sorted(pii.with_spans(df, "s").collect(), key=lambda r: r.k)]
+
+
+def test_added_spans(spark):
+    got = spans(spark, ["please call (415) 555-0134 today", "phone: 415-555-0134.", "my SSN 123-45-6789 is", "IBAN DE89370400440532013000", "write to ann.lee [at] firm [dot] org", "order 1234567 of page 123-45-6789", "version 2.0 and 12345678 of it", "GB82 WEST 1234 5698 7654 32", "bank account no. 12345678901", "f(at)g.length"])
+    assert got[0] == [("phone_local", "(415) 555-0134")] and got[1] == [("phone_local", "415-555-0134")] and got[2] == [("ssn", "123-45-6789")]
+    assert got[3] == [("iban", "DE89370400440532013000")] and got[4] == [("mail_spelled", "ann.lee [at] firm [dot] org")]
+    assert got[5] == got[6] == [] and got[8] == [("account", "12345678901")]
+
+
+def test_redaction(spark):
+    text = "é mail a@b.cd or +1 555 010 9999 1, from 10.0.0.1!"
+    df = spark.createDataFrame([(1, text, 5), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: r for r in pii.redacted(df).collect()}
+    assert got[1].text == "é mail [EMAIL] or [PHONE], from [IP]!" and got[1].n_chars == len(got[1].text)
+    assert got[2].text is None and got[3].text == "clean"
+    assert pii.redacted(df.where(F.lit(False))).count() == 0
