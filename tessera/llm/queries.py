@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 from tessera.llm.fingerprint import edit_likeness
+from tessera.llm.jaccard import near_copies
 from tessera.llm.language import fit, held_out, identify
 from tessera.llm.packing import pack
 from tessera.llm.pii import BASE, joined, with_spans
@@ -25,6 +26,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs.select("doc_id", "text"), fit(docs))
@@ -41,6 +46,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_jaccard": op2_jaccard,
     "op4_language": op4_language,
     "op7_fingerprints": op7_fingerprints,
     "op8_packing": op8_packing,
