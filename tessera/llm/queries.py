@@ -13,6 +13,7 @@ from tessera.llm.jaccard import near_copies
 from tessera.llm.language import fit, held_out, identify
 from tessera.llm.packing import pack
 from tessera.llm.pii import BASE, joined, with_spans
+from tessera.llm.warc import captures
 
 
 def one_of(kind: str) -> Callable[[Column], Column]:
@@ -36,6 +37,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captures(table(spark, sf_dir, "pages"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(table(spark, sf_dir, "documents"))
 
@@ -48,8 +53,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_jaccard": op2_jaccard,
     "op4_language": op4_language,
+    "op5_warc": op5_warc,
     "op7_fingerprints": op7_fingerprints,
     "op8_packing": op8_packing,
 }
 
-ORACLE: dict[str, str] = {}
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {a}, 10))::BIGINT >> {s}) & 31)::INT, 1)"
+_BASE32 = " || ".join(_DIGIT.format(a=10 * g + 1, s=35 - 5 * k) for g in range(4) for k in range(8))
+
+ORACLE: dict[str, str] = {
+    "op5_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+w AS (SELECT html, max(page_id) AS top FROM p GROUP BY html)
+SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < top THEN top END AS refers_to
+FROM p JOIN w ON p.html = w.html""",
+}
