@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import table
+from tessera.llm.embedding import near_vectors
 from tessera.llm.fingerprint import edit_likeness
 from tessera.llm.jaccard import near_copies
 from tessera.llm.language import fit, held_out, identify
@@ -41,6 +42,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures(table(spark, sf_dir, "pages"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(table(spark, sf_dir, "documents"))
 
@@ -54,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard": op2_jaccard,
     "op4_language": op4_language,
     "op5_warc": op5_warc,
+    "op6_embeddings": op6_embeddings,
     "op7_fingerprints": op7_fingerprints,
     "op8_packing": op8_packing,
 }
@@ -69,4 +75,13 @@ SELECT page_id, strlen(p.html)::BIGINT AS payload_bytes, {_BASE32} AS payload_di
        CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id < top THEN top END AS refers_to
 FROM p JOIN w ON p.html = w.html""",
+    "op6_embeddings": """
+WITH RECURSIVE e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+n AS (SELECT vec_id, label, v, sqrt(list_inner_product(v, v)) AS s FROM e WHERE label IS NOT NULL AND v IS NOT NULL),
+l AS (SELECT a.vec_id AS u, b.vec_id AS w FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_inner_product(a.v, b.v) / (a.s * b.s) >= 0.93),
+r AS (SELECT vec_id AS u, vec_id AS w FROM e UNION SELECT r.u, l.w FROM r JOIN l ON r.w = l.u)
+SELECT c.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+FROM (SELECT u AS vec_id, min(w) AS component_id FROM r GROUP BY u) c
+LEFT JOIN (SELECT u, count(*) AS n FROM l GROUP BY u) k ON k.u = c.vec_id""",
 }
