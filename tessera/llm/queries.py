@@ -13,6 +13,7 @@ from tessera.llm.fingerprint import edit_likeness
 from tessera.llm.jaccard import near_copies
 from tessera.llm.language import fit, held_out, identify
 from tessera.llm.packing import pack
+from tessera.llm.pieces import encode
 from tessera.llm.pii import BASE, joined, with_spans
 from tessera.llm.warc import captures
 
@@ -32,6 +33,11 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = identify(docs.select("doc_id", "text"), fit(docs))
@@ -57,6 +63,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_jaccard": op2_jaccard,
+    "op3_pieces": op3_pieces,
     "op4_language": op4_language,
     "op5_warc": op5_warc,
     "op6_embeddings": op6_embeddings,
