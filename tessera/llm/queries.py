@@ -12,6 +12,7 @@ from tessera.llm.embedding import near_vectors
 from tessera.llm.fingerprint import edit_likeness
 from tessera.llm.jaccard import near_copies
 from tessera.llm.language import fit, held_out, identify
+from tessera.llm.license import UNKNOWN, scan
 from tessera.llm.packing import pack
 from tessera.llm.pieces import encode
 from tessera.llm.pii import BASE, joined, with_spans
@@ -60,6 +61,14 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sure = F.filter("paragraphs", lambda p: p["confirmed"] & (p["family"] != UNKNOWN))
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda p: p["family"]))), ",")
+    best = F.coalesce(F.array_max(F.transform(sure, lambda p: p["probability"])), F.lit(0.0))
+    return found.select("doc_id", names.alias("licenses"), F.size(sure).cast("long").alias("n_licensed"), F.size("paragraphs").cast("long").alias("n_paragraphs"), best.alias("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_jaccard": op2_jaccard,
@@ -69,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_embeddings": op6_embeddings,
     "op7_fingerprints": op7_fingerprints,
     "op8_packing": op8_packing,
+    "op9_licenses": op9_licenses,
 }
 
 _DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {a}, 10))::BIGINT >> {s}) & 31)::INT, 1)"
