@@ -13,6 +13,7 @@ from tessera.llm.fingerprint import edit_likeness
 from tessera.llm.jaccard import near_copies
 from tessera.llm.language import fit, held_out, identify
 from tessera.llm.license import UNKNOWN, scan
+from tessera.llm.lm import cross_entropy_difference
 from tessera.llm.packing import pack
 from tessera.llm.pieces import encode
 from tessera.llm.pii import BASE, joined, with_spans
@@ -69,6 +70,10 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", names.alias("licenses"), F.size(sure).cast("long").alias("n_licensed"), F.size("paragraphs").cast("long").alias("n_paragraphs"), best.alias("score"))
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_jaccard": op2_jaccard,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_fingerprints": op7_fingerprints,
     "op8_packing": op8_packing,
     "op9_licenses": op9_licenses,
+    "op10_lm": op10_lm,
 }
 
 _DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, {a}, 10))::BIGINT >> {s}) & 31)::INT, 1)"
