@@ -1,0 +1,122 @@
+"""Files and folders as documents or raw pages; the golden set; sinks."""
+
+from __future__ import annotations
+
+import logging
+import os
+from collections.abc import Callable
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.sources import html as html_source
+
+log = logging.getLogger(__name__)
+GOLDEN = T.StructType([T.StructField("question", T.StringType()), T.StructField("type", T.StringType()), T.StructField("expected_sections", T.ArrayType(T.StringType()))])
+TYPES = ("direct", "exact_token", "refusal")
+RAW = "source string, page_number int, text string"
+
+
+def pdf_pages(spark: SparkSession, path: str, reader: Callable[[bytes], list[str]]) -> DataFrame:
+    """(source, page_number, text) of the PDF files under path; reader gives the page texts of one file's bytes.
+
+    Pages without text are left out and numbers stay true. A file that reader fails on gives no rows.
+    """
+
+    def run(parts):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        for pdf in parts:
+            rows = []
+            for p, data in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    pages = reader(bytes(data))
+                except Exception as e:  # noqa: BLE001  a broken file must not fail the folder
+                    log.warning("%s was not read: %s", p, e)
+                    pages = []
+                rows += [(os.path.basename(p), k, t) for k, t in enumerate(pages, 1) if t and t.strip()]
+            yield pd.DataFrame(rows, columns=["source", "page_number", "text"])
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", True).load(path).select("path", "content").mapInPandas(run, RAW)
+
+
+def _named(df: DataFrame, document_type: str) -> DataFrame:
+    name = F.regexp_extract(F.url_decode(F.col("path")), "([^/]+)$", 1)
+    return df.select(F.col("path").alias("source"), name.alias("name"), F.lit(document_type).alias("document_type"), F.lit("").alias("date"), "value")
+
+
+def _whole(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True).select("value", F.input_file_name().alias("path"))
+
+
+def text_files(spark: SparkSession, path: str, document_type: str) -> DataFrame:
+    """(source, title, document_type, date, text) of text files that are not blank; the title is the file's name."""
+    own = _named(_whole(spark, path, "*.[tT][xX][tT]"), document_type)
+    return own.select("source", F.col("name").alias("title"), "document_type", "date", F.col("value").alias("text")).where("text rlike '\\\\S'")
+
+
+def html_files(spark: SparkSession, path: str, document_type: str) -> DataFrame:
+    """The same of HTML files; the title is the title element, or the file's name where there is none."""
+    own = _named(_whole(spark, path, "*.[hH][tT][mM]*"), document_type)
+    made = own.select("source", html_source.title(F.col("value"), F.col("name"), heading=False).alias("title"), "document_type", "date", html_source.body_text(F.col("value")).alias("text"))
+    return made.where("text <> ''")
+
+
+def walk(spark: SparkSession, path: str, document_type: str, reader: Callable[[bytes], list[str]] | None = None) -> DataFrame:
+    """All documents under a folder, by the lower-cased ends of their names; others are ignored."""
+    found = text_files(spark, path, document_type).unionByName(html_files(spark, path, document_type))
+    if reader:
+        pages = pdf_pages(spark, path, reader)
+        whole = pages.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("p"))
+        found = found.unionByName(whole.select("source", F.col("source").alias("title"), F.lit(document_type).alias("document_type"), F.lit("").alias("date"), F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("text")))
+    return found
+
+
+def route(path: str, document_type: str) -> str:
+    """Which loader a path takes: handbook, url, pdf or folder."""
+    if document_type == "handbook":
+        if not path.lower().endswith(".pdf"):
+            raise ValueError("a handbook must be a PDF file")
+        return "handbook"
+    return "url" if path.startswith(("http://", "https://")) else "pdf" if path.lower().endswith(".pdf") else "folder"
+
+
+def golden_set(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, question, type, expected_sections) of a JSON-lines set; query_id is the line's number.
+
+    Blank lines are skipped. The first bad line is an error that names it: unknown types, missing questions, sections on
+    a refusal, and questions of other types without non-blank sections.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line")).where("line rlike '\\\\S'")
+    own = raw.select((F.col("pos") + 1).alias("query_id"), F.from_json("line", GOLDEN).alias("r")).select("query_id", "r.*")
+    sections = F.filter(F.transform(F.coalesce("expected_sections", F.array().cast("array<string>")), F.trim), lambda s: s != "")
+    n = F.coalesce(F.size("expected_sections"), F.lit(0))
+    n = F.when(F.col("expected_sections").isNull(), 0).otherwise(n)
+    fine = (F.coalesce(F.trim("question"), F.lit("")) != "") & F.coalesce(F.col("type").isin(*TYPES), F.lit(False)) & F.when(F.col("type") == "refusal", n == 0).otherwise((n > 0) & (F.size(sections) == n))
+    bad = own.where(~fine).agg(F.min("query_id").alias("line")).first()["line"]
+    if bad is not None:
+        raise ValueError(f"{path}, line {bad}: not a valid golden question")
+    return own.withColumn("expected_sections", sections)
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """The SHA-256 of a file."""
+    return spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h")).first()["h"]
+
+
+def write_report(text: str, path: str) -> None:
+    """Write a report whole or not at all."""
+    to = Path(path)
+    to.parent.mkdir(parents=True, exist_ok=True)
+    part = to.with_name(to.name + ".part")
+    part.write_text(text, encoding="utf-8")
+    os.replace(part, to)
+
+
+def protected(path: str, guarded: str) -> None:
+    """Refuse to build a sample over a guarded store."""
+    a, b = Path(path).resolve(), Path(guarded).resolve()
+    if a == b or b in a.parents or a in b.parents:
+        raise ValueError(f"{path} is or holds the guarded store {guarded}")
