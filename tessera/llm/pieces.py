@@ -28,6 +28,8 @@ from tessera.llm.common import mix, slices
 #: The model of public pieces that the query uses; another path may be given.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: Words whose ids a process keeps from one slice of texts to the next; the store is emptied when it is full.
+KNOWN = 400_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -89,6 +91,8 @@ class Pieces:
             if len(np.unique(keys)) < len(keys):
                 raise ValueError("two pieces have one key")
             self.by_length[n] = keys[order], np.array(own, np.int32)[order], score[np.array(own)[order]]
+        self.pairs = np.zeros(1 << 21, np.int64)
+        self.known: dict[str, np.ndarray] = {}
         self.power = np.array([pow(int(_BASE), k, 2**64) for k in range(2 * max(self.by_length) + 1)], np.uint64)
         with open(path, "rb") as f:
             self.merges = is_merge_model(f.read())
@@ -134,6 +138,17 @@ class Pieces:
         return [t for t in text if t]
 
     def stable(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether pairs are stable; answers are kept in a table of fixed size, where a later pair takes the place."""
+        pair = (a.astype(np.int64) + 2 << 32) | (b.astype(np.int64) + 2)
+        at = (mix(pair.view(np.uint64)) & np.uint64(len(self.pairs) - 1)).astype(np.int64)
+        new = np.flatnonzero(self.pairs[at] >> 1 != pair)
+        out = (self.pairs[at] & 1).astype(bool)
+        if len(new):
+            out[new] = self.settled(a[new], b[new])
+            self.pairs[at[new]] = (pair[new] << 1) | out[new]
+        return out
+
+    def settled(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether merging leaves pieces a and b apart when they meet; negative ids stand for what never merges.
 
         Goes back in time: the later made of the two is taken apart, and the pair must not have been merged before that.
@@ -215,13 +230,11 @@ class Pieces:
             found[rows, size - 1 - k], where[rows, size - 1 - k] = piece[rows, at], at - 1
             pos[rows] = at - step[rows, at]
             rows, k = rows[pos[rows] > 0], k + 1
-        out = []
-        for r in range(n):
-            ids = found[r][found[r] != -2]
-            if (ids < 0).any():
-                place = where[r][found[r] != -2]
-                ids = np.concatenate([self.byte_ids[np.frombuffer(chr(codes[r, p]).encode("utf-8", "surrogatepass"), np.uint8)] if i < 0 else [i] for i, p in zip(ids.tolist(), place.tolist(), strict=True)])
-            out.append(ids.astype(np.int32))
+        used = found != -2
+        out = np.split(found[used], np.cumsum(used.sum(1))[:-1])
+        for r in np.flatnonzero((found == -1).any(1)):
+            place = where[r][used[r]]
+            out[r] = np.concatenate([self.byte_ids[np.frombuffer(chr(codes[r, p]).encode("utf-8", "surrogatepass"), np.uint8)] if i < 0 else [i] for i, p in zip(out[r].tolist(), place.tolist(), strict=True)]).astype(np.int32)
         return out
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
@@ -230,13 +243,17 @@ class Pieces:
             split = [_WORD.findall((SPACE + t).replace(" ", SPACE)) if t else [] for t in texts[a:b]]
             number, words = pd.factorize(np.array([w for s in split for w in s], object))
             size = np.array([-len(w) if w.startswith(SPACE * 2) else len(w) for w in words], np.int64)
-            ids: list = [None] * len(words)
-            for n in np.unique(size):
-                own = np.flatnonzero(size == n)
+            ids: list = [self.known.get(w) for w in words]
+            new = np.array([i is None for i in ids], bool)
+            for n in np.unique(size[new]):
+                own = np.flatnonzero((size == n) & new)
                 most = max(1, 2_000_000 // abs(int(n)))
                 for x in range(0, len(own), most):
                     for k, found in zip(own[x : x + most], self.viterbi([words[k] for k in own[x : x + most]]), strict=True):
                         ids[k] = found
+            if len(self.known) + len(words) > KNOWN:
+                self.known.clear()
+            self.known.update((w, i.copy()) for w, i, fresh in zip(words, ids, new, strict=True) if fresh and len(w) < 40)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             count = np.array([len(x) for x in ids], np.int64)
             begin = np.cumsum(count) - count

@@ -51,7 +51,7 @@ def random_texts():
 def test_unigram_against_plain_viterbi(model):
     own, score, names = model
     own = copy.copy(own)
-    own.merges = False
+    own.merges, own.known = False, {}
     texts = random_texts()
     for t, ids in zip(texts, own.encode(texts), strict=True):
         assert ids.tolist() == plain(own, score, names, t), t
