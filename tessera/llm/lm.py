@@ -11,6 +11,7 @@ the n-grams it holds, and the answers meet its documents in one exchange.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{spark.sql('select uuid() as u').first()['u']}"
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files that led here
     return spark.read.parquet(path)
 
 
@@ -102,9 +105,9 @@ _COUNTS = "chunk int, key long, first long, n long"
 _SCORE = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
 
 
-def losses(word: np.ndarray, pair: np.ndarray, table: tuple[np.ndarray, np.ndarray], unknown: tuple[float, float]) -> np.ndarray:
+def losses(word: np.ndarray, pair: np.ndarray, table: tuple[np.ndarray, np.ndarray], unknown: tuple[float, float], scale: tuple[float, float]) -> np.ndarray:
     """The loss in bits of each word under both models (columns). table: sorted keys, and per key, of a word its two
-    probabilities and context totals, of a pair its two counts."""
+    counts and context totals, of a pair its two counts; scale: what a word's count is divided by."""
     keys, values = table
 
     def look(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +120,7 @@ def losses(word: np.ndarray, pair: np.ndarray, table: tuple[np.ndarray, np.ndarr
     to, paired = look(pair)
     out = np.zeros((len(word), 2))
     for m in range(2):
-        p = np.where(known, values[at, m] if len(keys) else 0.0, unknown[m])
+        p = np.where(known, (values[at, m] + 1) / scale[m] if len(keys) else 0.0, unknown[m])
         context = np.where(known, values[at, 2 + m] if len(keys) else 0.0, 0.0)
         context = np.where(pair != 0, np.r_[0.0, context[:-1]], 0.0)
         both = np.where(paired, values[to, m] if len(keys) else 0.0, 0.0)
@@ -125,7 +128,7 @@ def losses(word: np.ndarray, pair: np.ndarray, table: tuple[np.ndarray, np.ndarr
     return out
 
 
-def _scored(parts: Iterator[pa.RecordBatch], unknown: tuple[float, float]) -> Iterator[tuple]:
+def _scored(parts: Iterator[pa.RecordBatch], unknown: tuple[float, float], scale: tuple[float, float]) -> Iterator[tuple]:
     """Scores of documents; rows come sorted by chunk, its answers before its documents."""
     chunk, keys, values, table = None, [], [], None
     for b in parts:
@@ -147,7 +150,7 @@ def _scored(parts: Iterator[pa.RecordBatch], unknown: tuple[float, float]) -> It
             texts, ids = [t or "" for t in s["text"].to_pylist()], s["doc_id"].to_pylist()
             for i, j in slices(texts):
                 word, pair, of = ngrams(texts[i:j])
-                loss = losses(word, pair, table, unknown)
+                loss = losses(word, pair, table, unknown, scale)
                 n = np.bincount(of, minlength=j - i)
                 mean = [np.bincount(of, loss[:, m], minlength=j - i) / np.maximum(n, 1) for m in range(2)]
                 yield from zip(ids[i:j], n.tolist(), mean[0].tolist(), mean[1].tolist(), (mean[0] - mean[1]).tolist(), strict=True)
@@ -170,7 +173,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     counted = target.mapInArrow(lambda p: _counted(p, None), _COUNTS).groupBy("key").agg(F.max("first").alias("first"), F.sum("n").alias("t"))
     inventory = kept(counted.where(f"key = {_TOTAL} or t >= {LEAST}").select("key", F.when(F.col("first") != 0, F.col("first")).alias("first"), "t"), "lm-inventory")
     size = inventory.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (4 * size).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * size).bit_length()))
     marks = inventory.groupBy(F.expr(f"cast(pmod(key, {bits}) div 64 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(key, 64) as int))")).alias("m")).toArrow()
     chart = np.zeros(bits // 64, np.int64)
     chart[marks["w"].to_numpy()] = marks["m"].to_numpy()
@@ -180,12 +183,12 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     sums = words.agg(F.count("*").alias("v"), F.sum("t").alias("t"), F.sum("b").alias("b")).first()
     total = both.where(f"key = {_TOTAL}").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).first()
     all_b = total["b"] or held.where(f"key = {_TOTAL}").agg(F.sum("n")).first()[0] or 0
-    scale = [float((x or 0) + sums["v"] + 1) for x in (total["t"], all_b)]
+    scale = tuple(float((x or 0) + sums["v"] + 1) for x in (total["t"], all_b))
     unknown = tuple(((x or 0) - (y or 0) + 1) / s for x, y, s in zip((total["t"], all_b), (sums["t"], sums["b"]), scale, strict=True))
     contexts = both.where("first is not null").groupBy(F.col("first").alias("key")).agg(F.sum("t").alias("ct"), F.sum("b").alias("cb"))
-    of_word = words.join(contexts, "key", "left").select("key", ((F.col("t") + 1) / scale[0]).alias("a"), ((F.col("b") + 1) / scale[1]).alias("b"), F.coalesce("ct", F.lit(0)).cast("double").alias("c"), F.coalesce("cb", F.lit(0)).cast("double").alias("d"))
-    of_pair = both.where("first is not null").select("key", F.col("t").cast("double").alias("a"), F.col("b").cast("double").alias("b"), F.lit(0.0).alias("c"), F.lit(0.0).alias("d"))
+    of_word = words.join(contexts, "key", "left").select("key", F.col("t").alias("a"), "b", F.coalesce("ct", F.lit(0)).alias("c"), F.coalesce("cb", F.lit(0)).alias("d"))
+    of_pair = both.where("first is not null").select("key", F.col("t").alias("a"), "b", F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("d"))
     answers = held.select("chunk", "key").join(of_word.unionByName(of_pair), "key").select("chunk", F.lit(False).alias("doc"), "key", "a", "b", "c", "d")
     rows = answers.unionByName(own.withColumn("doc", F.lit(True)), allowMissingColumns=True)
     dealt = rows.repartition(n, "chunk").sortWithinPartitions("chunk", "doc")
-    return dealt.mapInArrow(lambda p: batches(_scored(p, unknown), _SCORE), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return dealt.mapInArrow(lambda p: batches(_scored(p, unknown, scale), _SCORE), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
