@@ -91,7 +91,7 @@ def golden_set(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line")).where("line rlike '\\\\S'")
     own = raw.select((F.col("pos") + 1).alias("query_id"), F.from_json("line", GOLDEN).alias("r")).select("query_id", "r.*")
-    sections = F.filter(F.transform(F.coalesce("expected_sections", F.array().cast("array<string>")), F.trim), lambda s: s != "")
+    sections = F.filter(F.transform(F.coalesce("expected_sections", F.array().cast("array<string>")), lambda s: F.trim(s)), lambda s: s != "")
     n = F.coalesce(F.size("expected_sections"), F.lit(0))
     n = F.when(F.col("expected_sections").isNull(), 0).otherwise(n)
     fine = (F.coalesce(F.trim("question"), F.lit("")) != "") & F.coalesce(F.col("type").isin(*TYPES), F.lit(False)) & F.when(F.col("type") == "refusal", n == 0).otherwise((n > 0) & (F.size(sections) == n))
