@@ -31,6 +31,7 @@ SPACE = "▁"
 #: Words whose ids a process keeps from one slice of texts to the next; the store is emptied when it is full.
 KNOWN = 400_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_LOW = np.uint64((1 << 18) - 1)
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -91,6 +92,8 @@ class Pieces:
             if len(np.unique(keys)) < len(keys):
                 raise ValueError("two pieces have one key")
             self.by_length[n] = keys[order], np.array(own, np.int32)[order], score[np.array(own)[order]]
+        # A map of the low bits of the keys of each length: most substrings are no piece, and need no search.
+        self.may = {n: np.bincount((keys & _LOW).astype(np.int64), minlength=int(_LOW) + 1) > 0 for n, (keys, _, _) in self.by_length.items()}
         self.pairs = np.zeros(1 << 21, np.int64)
         self.known: dict[str, np.ndarray] = {}
         self.power = np.array([pow(int(_BASE), k, 2**64) for k in range(2 * max(self.by_length) + 1)], np.uint64)
@@ -163,6 +166,7 @@ class Pieces:
                 if k in self.by_length:
                     keys, ids, _ = self.by_length[k]
                     own = np.flatnonzero(n == k)
+                    own = own[self.may[k][h[own] & _LOW]]
                     x = np.minimum(np.searchsorted(keys, h[own]), len(keys) - 1)
                     hit = keys[x] == h[own]
                     both[own[hit]] = self.rank[ids[x[hit]]]
@@ -204,23 +208,29 @@ class Pieces:
                     continue
                 keys, ids, score = self.by_length[k]
                 h = hashes[:, e] - hashes[:, e - k] * self.power[k]
-                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                s = np.full(n, -np.inf)
-                hit = np.flatnonzero(keys[at] == h)
+                hit = np.flatnonzero(self.may[k][h & _LOW])
+                at = np.minimum(np.searchsorted(keys, h[hit]), len(keys) - 1)
+                same = keys[at] == h[hit]
+                hit, at = hit[same], at[same]
+                if k == 1:
+                    bare = np.ones(n, bool)
+                    bare[hit] = False
+                    bare = np.flatnonzero(bare)
                 if self.merges:
-                    hit = hit[(self.rank[ids[at[hit]]] >= 0) | (k == 1)]
-                    hit = hit[self.stable(piece[hit, e - k], ids[at[hit]])]
-                    s[hit] = 0.0
+                    ok = (top[hit] < 0) & ((self.rank[ids[at]] >= 0) | (k == 1))
+                    hit, at = hit[ok], at[ok]
+                    ok = self.stable(piece[hit, e - k], ids[at])
+                    hit, at = hit[ok], at[ok]
+                    s = np.zeros(len(hit))
                 else:
-                    s[hit] = best[hit, e - k] + score[at[hit]]
-                better = s > top
-                top = np.where(better, s, top)
-                step[better, e], piece[better, e] = k, ids[at[better]]
-                if k == 1:
-                    s = np.where(keys[at] == h, -np.inf, 0.0 if self.merges else best[:, e - 1] + self.unknown)
-                    better = s > top
-                    top = np.where(better, s, top)
-                    step[better, e], piece[better, e] = 1, -1
+                    s = best[hit, e - k] + score[at]
+                better = s > top[hit]
+                hit, at = hit[better], at[better]
+                top[hit], step[hit, e], piece[hit, e] = s[better], k, ids[at]
+                if k == 1 and len(bare):
+                    s = np.zeros(len(bare)) if self.merges else best[bare, e - 1] + self.unknown
+                    better = s > top[bare]
+                    top[bare[better]], step[bare[better], e], piece[bare[better], e] = s[better], 1, -1
             best[:, e] = top
         found = np.full((n, size), -2, np.int32)
         where = np.full((n, size), 0, np.int32)
@@ -231,7 +241,8 @@ class Pieces:
             pos[rows] = at - step[rows, at]
             rows, k = rows[pos[rows] > 0], k + 1
         used = found != -2
-        out = np.split(found[used], np.cumsum(used.sum(1))[:-1])
+        flat, ends = found[used], np.cumsum(used.sum(1)).tolist()
+        out = [flat[x:y] for x, y in zip([0, *ends], ends, strict=False)]
         for r in np.flatnonzero((found == -1).any(1)):
             place = where[r][used[r]]
             out[r] = np.concatenate([self.byte_ids[np.frombuffer(chr(codes[r, p]).encode("utf-8", "surrogatepass"), np.uint8)] if i < 0 else [i] for i, p in zip(out[r].tolist(), place.tolist(), strict=True)]).astype(np.int32)
