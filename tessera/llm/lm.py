@@ -105,6 +105,30 @@ _COUNTS = "chunk int, key long, first long, n long"
 _SCORE = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
 
 
+def _packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Answers as a row per chunk and some 500,000 of them: keys, and their counts column by column."""
+
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        chunk = t["chunk"].to_numpy()
+        order = np.argsort(chunk, kind="stable")
+        cols = [t[c].to_numpy()[order] for c in ("key", "a", "b", "c", "d")]
+        cuts = np.flatnonzero(np.r_[True, np.diff(chunk[order]) != 0, True])
+        spans = list(zip(cuts, cuts[1:], strict=False))
+        keys = [cols[0][x:y].tobytes() for x, y in spans]
+        counts = [b"".join(c[x:y].tobytes() for c in cols[1:]) for x, y in spans]
+        return pa.RecordBatch.from_pydict({"chunk": pa.array(chunk[order][cuts[:-1]], pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
+
+    held: list[pa.RecordBatch] = []
+    for b in parts:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= 500_000:
+            yield flush(held)
+            held = []
+    if sum(x.num_rows for x in held):
+        yield flush(held)
+
+
 def losses(word: np.ndarray, pair: np.ndarray, table: tuple[np.ndarray, np.ndarray], unknown: tuple[float, float], scale: tuple[float, float]) -> np.ndarray:
     """The loss in bits of each word under both models (columns). table: sorted keys, and per key, of a word its two
     counts and context totals, of a pair its two counts; scale: what a word's count is divided by."""
@@ -139,8 +163,8 @@ def _scored(parts: Iterator[pa.RecordBatch], unknown: tuple[float, float], scale
             if chunks[x] != chunk:
                 chunk, keys, values, table = chunks[x], [], [], None
             if not doc[x]:
-                keys.append(s["key"].to_numpy())
-                values.append(np.stack([s[c].to_numpy() for c in "abcd"], axis=1))
+                keys += [np.frombuffer(k, np.int64) for k in s["keys"].to_pylist()]
+                values += [np.frombuffer(v, np.int64).reshape(4, -1).T for v in s["counts"].to_pylist()]
                 continue
             if table is None:
                 k = np.concatenate(keys) if keys else np.zeros(0, np.int64)
@@ -188,7 +212,8 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     contexts = both.where("first is not null").groupBy(F.col("first").alias("key")).agg(F.sum("t").alias("ct"), F.sum("b").alias("cb"))
     of_word = words.join(contexts, "key", "left").select("key", F.col("t").alias("a"), "b", F.coalesce("ct", F.lit(0)).alias("c"), F.coalesce("cb", F.lit(0)).alias("d"))
     of_pair = both.where("first is not null").select("key", F.col("t").alias("a"), "b", F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("d"))
-    answers = held.select("chunk", "key").join(of_word.unionByName(of_pair), "key").select("chunk", F.lit(False).alias("doc"), "key", "a", "b", "c", "d")
-    rows = answers.unionByName(own.withColumn("doc", F.lit(True)), allowMissingColumns=True)
+    answers = held.select("chunk", "key").join(of_word.unionByName(of_pair), "key").select("chunk", "key", "a", "b", "c", "d")
+    packed = answers.mapInArrow(_packed, "chunk int, keys binary, counts binary").withColumn("doc", F.lit(False))
+    rows = packed.unionByName(own.withColumn("doc", F.lit(True)), allowMissingColumns=True)
     dealt = rows.repartition(n, "chunk").sortWithinPartitions("chunk", "doc")
     return dealt.mapInArrow(lambda p: batches(_scored(p, unknown, scale), _SCORE), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
