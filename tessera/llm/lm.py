@@ -5,14 +5,19 @@ documents. They share one vocabulary (words that occur twice in the target, othe
 inventory of pairs, and both interpolate pairs with words. A document's score is the mean over its words of the target
 loss minus the background loss, in bits: the lower, the more it is like the target.
 
-All counts cover all documents and are exact. No table of the models goes to every task: each scan partition asks for
-the n-grams it holds, and the answers meet its documents in one exchange.
+`whole_difference`, which the query uses, counts every pair that begins with a vocabulary word, in both models, the unknown
+word being one of its followers, so each word's followers add up to its context total. `cross_entropy_difference`, the
+older form, keeps the pairs that occur twice in the target only.
+
+All counts cover all documents and are exact. No table of counts goes to every task: each scan partition asks for
+the n-grams it holds, and the answers meet its documents in one exchange. `whole_difference` sends the vocabulary (8 bytes a
+word) to every task.
 """
 
 from __future__ import annotations
 
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +31,8 @@ LEAST, WEIGHT, FEW_IDS = 2, 5.0, 2_000_000
 #: Bits of the map that spares most n-grams outside the inventory the exact join.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 _TOTAL = 0
+#: Keys of the unknown word, and of any follower (of which a word's context total is the count).
+_UNKNOWN, _ANY = 2, 3
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -102,6 +109,8 @@ def _counted(parts: Iterator[pa.RecordBatch], chart: np.ndarray | None) -> Itera
 
 
 _COUNTS = "chunk int, key long, first long, n long"
+_HELD = "chunk int, key long, n long"
+_SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
 _SCORE = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
 
 
@@ -112,7 +121,7 @@ def _packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held)
         chunk = t["chunk"].to_numpy()
         order = np.argsort(chunk, kind="stable")
-        cols = [t[c].to_numpy()[order] for c in ("key", "a", "b", "c", "d")]
+        cols = [t[c].to_numpy()[order] for c in t.column_names if c != "chunk"]
         cuts = np.flatnonzero(np.r_[True, np.diff(chunk[order]) != 0, True])
         spans = list(zip(cuts, cuts[1:], strict=False))
         keys = [cols[0][x:y].tobytes() for x, y in spans]
@@ -152,8 +161,9 @@ def losses(word: np.ndarray, pair: np.ndarray, table: tuple[np.ndarray, np.ndarr
     return out
 
 
-def _scored(parts: Iterator[pa.RecordBatch], unknown: tuple[float, float], scale: tuple[float, float]) -> Iterator[tuple]:
-    """Scores of documents; rows come sorted by chunk, its answers before its documents."""
+def _scored(parts: Iterator[pa.RecordBatch], of_texts: Callable, columns: int) -> Iterator[tuple]:
+    """Scores of documents; rows come sorted by chunk, its answers before its documents. of_texts: losses of each word of
+    texts, and the text it is of, from a table of so many columns."""
     chunk, keys, values, table = None, [], [], None
     for b in parts:
         chunks, doc = b["chunk"].to_numpy(), b["doc"].to_numpy(zero_copy_only=False)
@@ -164,7 +174,7 @@ def _scored(parts: Iterator[pa.RecordBatch], unknown: tuple[float, float], scale
                 chunk, keys, values, table = chunks[x], [], [], None
             if not doc[x]:
                 keys += [np.frombuffer(k, np.int64) for k in s["keys"].to_pylist()]
-                values += [np.frombuffer(v, np.int64).reshape(4, -1).T for v in s["counts"].to_pylist()]
+                values += [np.frombuffer(v, np.int64).reshape(columns, -1).T for v in s["counts"].to_pylist()]
                 continue
             if table is None:
                 k = np.concatenate(keys) if keys else np.zeros(0, np.int64)
@@ -173,8 +183,7 @@ def _scored(parts: Iterator[pa.RecordBatch], unknown: tuple[float, float], scale
                 keys, values = [], []
             texts, ids = [t or "" for t in s["text"].to_pylist()], s["doc_id"].to_pylist()
             for i, j in slices(texts):
-                word, pair, of = ngrams(texts[i:j])
-                loss = losses(word, pair, table, unknown, scale)
+                loss, of = of_texts(texts[i:j], table)
                 n = np.bincount(of, minlength=j - i)
                 mean = [np.bincount(of, loss[:, m], minlength=j - i) / np.maximum(n, 1) for m in range(2)]
                 yield from zip(ids[i:j], n.tolist(), mean[0].tolist(), mean[1].tolist(), (mean[0] - mean[1]).tolist(), strict=True)
@@ -216,4 +225,96 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     packed = answers.mapInArrow(_packed, "chunk int, keys binary, counts binary").withColumn("doc", F.lit(False))
     rows = packed.unionByName(own.withColumn("doc", F.lit(True)), allowMissingColumns=True)
     dealt = rows.repartition(n, "chunk").sortWithinPartitions("chunk", "doc")
-    return dealt.mapInArrow(lambda p: batches(_scored(p, unknown, scale), _SCORE), "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+
+    def of_texts(texts: list[str], table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        word, pair, of = ngrams(texts)
+        return losses(word, pair, table, unknown, scale), of
+
+    return dealt.mapInArrow(lambda p: batches(_scored(p, of_texts, 4), _SCORE), _SCORES)
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    both = mix(a.view(np.uint64) * np.uint64(3) + mix(b.view(np.uint64) + np.uint64(11))).view(np.int64)
+    return np.where(a == 0, np.int64(0), np.where(both == 0, np.int64(1), both))
+
+
+def known_ngrams(texts: list[str], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ngrams, with words outside the (sorted) vocabulary as one; also the keys of the contexts. Pairs and contexts
+    are 0 at first words of texts and after unknown words."""
+    word, of = word_hashes([t.lower() for t in texts])
+    word = np.where(word == 0, np.uint64(1), word).view(np.int64)
+    if len(vocabulary):
+        known = vocabulary[np.minimum(np.searchsorted(vocabulary, word), len(vocabulary) - 1)] == word
+    else:
+        known = np.zeros(len(word), bool)
+    before = np.zeros_like(word)
+    before[1:] = np.where((of[1:] == of[:-1]) & known[:-1], word[:-1], 0)
+    word = np.where(known, word, _UNKNOWN)
+    return word, _joined(before, word), _joined(before, np.full_like(word, _ANY)), of
+
+
+def _held(parts: Iterator[pa.RecordBatch], vocabulary: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Per scan partition (key, count) of words, pairs and contexts, and all words; without a vocabulary of words alone."""
+    own: dict[int, tuple[Counter, list[int]]] = {}
+    for b in parts:
+        if not b.num_rows:
+            continue
+        counter, total = own.setdefault(b["chunk"][0].as_py(), (Counter(), [0]))
+        texts = [t or "" for t in b["text"].to_pylist()]
+        for x, y in slices(texts):
+            found = ngrams(texts[x:y])[:1] if vocabulary is None else known_ngrams(texts[x:y], vocabulary)[:3]
+            total[0] += len(found[0])
+            for key in found:
+                key = key[key != 0]
+                counter.add(key, np.zeros(len(key), np.int8))
+    for chunk, (counter, total) in own.items():
+        key, _, n = counter.merge()
+        key, n = np.r_[np.int64(_TOTAL), key], np.r_[np.int64(total[0]), n]
+        for x in range(0, len(key), 200_000):
+            s = slice(x, x + 200_000)
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(key[s]), chunk, np.int32)), "key": pa.array(key[s]), "n": pa.array(n[s])})
+
+
+def whole_losses(word: np.ndarray, pair: np.ndarray, context: np.ndarray, table: tuple[np.ndarray, np.ndarray], scale: tuple[float, float]) -> np.ndarray:
+    """The loss in bits of each word under both models (columns). table: sorted keys, and two counts of each."""
+    keys, values = table
+
+    def look(k: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+        return np.where(((keys[at] == k) & (k != 0))[:, None], values[at], 0.0)
+
+    if not len(word):
+        return np.zeros((0, 2))
+    p = (look(word) + 1) / np.array(scale)
+    return -np.log2((look(pair) + WEIGHT * p) / (look(context) + WEIGHT))
+
+
+def whole_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+    """As cross_entropy_difference, but the models count every pair that begins with a vocabulary word (its follower may
+    be the unknown word), each model over all its documents, and a word's context total is that of all pairs it begins.
+    After an unknown word, and at first, a word has its own probability alone."""
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # All passes plan the same scan from the same files, so a row has one partition number in each.
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("chunk"))
+    ids = target_ids.select(F.col("doc_id").alias("target_")).where("target_ is not null").distinct()
+    few = ids.count() <= FEW_IDS
+    target = own.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("target_"), "left_semi").withColumn("chunk", F.spark_partition_id())
+    seen = target.mapInArrow(lambda p: _held(p, None), _HELD).groupBy("key").agg(F.sum("n").alias("t"))
+    vocabulary = np.sort(seen.where(f"key <> {_TOTAL} and t >= {LEAST}").select("key").toArrow()["key"].to_numpy())
+    counted = target.mapInArrow(lambda p: _held(p, vocabulary), _HELD).groupBy("key").agg(F.sum("n").alias("a"))
+    held = kept(own.mapInArrow(lambda p: _held(p, vocabulary), _HELD), "lm-counts")
+    both = held.groupBy("key").agg(F.sum("n").alias("b")).join(counted, "key", "left")
+    both = kept(both.select("key", F.coalesce("a", F.lit(0)).alias("a"), "b"), "lm-models")
+    total = both.where(f"key = {_TOTAL}").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
+    scale = tuple(float((x or 0) + len(vocabulary) + 1) for x in (total["a"], total["b"]))
+    answers = held.where(f"key <> {_TOTAL}").select("chunk", "key").join(both, "key").select("chunk", "key", "a", "b")
+    packed = answers.mapInArrow(_packed, "chunk int, keys binary, counts binary").withColumn("doc", F.lit(False))
+    rows = packed.unionByName(own.withColumn("doc", F.lit(True)), allowMissingColumns=True)
+    dealt = rows.repartition(n, "chunk").sortWithinPartitions("chunk", "doc")
+
+    def of_texts(texts: list[str], table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        word, pair, context, of = known_ngrams(texts, vocabulary)
+        return whole_losses(word, pair, context, table, scale), of
+
+    return dealt.mapInArrow(lambda p: batches(_scored(p, of_texts, 2), _SCORE), _SCORES)

@@ -13,7 +13,7 @@ from tessera.llm.fingerprint import edit_likeness
 from tessera.llm.jaccard import near_copies
 from tessera.llm.language import fit, held_out, identify
 from tessera.llm.license import UNKNOWN, scan
-from tessera.llm.lm import cross_entropy_difference
+from tessera.llm.lm import whole_difference
 from tessera.llm.packing import pack
 from tessera.llm.pieces import encode
 from tessera.llm.pii import BASE, joined, with_spans
@@ -71,7 +71,7 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+    return whole_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
