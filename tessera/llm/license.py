@@ -1,6 +1,7 @@
 """Licence scans: a trained paragraph classifier, in DataFrame expressions only.
 
-Lines that hold any licence cue are the paragraphs. A logistic regression over their word n-grams (one and two words)
+Lines that hold any licence cue are the paragraphs, and beside them, as notices wrap, windows of neighbouring lines up to a
+blank one, long enough for every template however it is wrapped. A logistic regression over their word n-grams (one and two words)
 names a licence family or the unknown class, which also takes what is less probable than a calibrated threshold. A
 prediction is confirmed when the paragraph holds enough n-grams of one of the family's templates.
 """
@@ -42,6 +43,9 @@ OTHERS = [
 ]
 UNKNOWN = "unknown"
 CUES = r"licen[cs]|copyright|permission|warrant|redistribut|public domain|unencumbered|spdx|creative commons|\bcc[ -]?by|\bcc0|gnu |\bl?gpl|\bmit\b|apache|mozilla|\bbsd\b|free software foundation|rights reserved|contributors"
+#: The same where a line may end within a cue, and what a line that is not blank (or only a comment mark) holds.
+WIDE_CUES = CUES.replace("[ -]?", "[^a-z0-9]*").replace(" ", "[^a-z0-9]+")
+FILLED = r"[\p{L}\p{N}]"
 WORD = r"[^a-z0-9.+-]+"
 PRECISION, CONTAINED, ROUNDS, DECAY = 0.98, 0.5, 800, 1e-4
 
@@ -133,21 +137,34 @@ def model() -> Model:
     return _MODELS[0]
 
 
+def _distinctive() -> dict[str, list[str]]:
+    """Of each family, the n-grams that no other family's templates hold."""
+    held = {f: {g for t in lines for g in grams(t)} for f, lines in TEMPLATES.items()}
+    return {f: sorted(g for g in own if not any(g in held[o] for o in held if o != f)) for f, own in held.items()}
+
+
 def scan(docs: DataFrame, text: str = "text", column: str = "paragraphs") -> DataFrame:
-    """docs with the array `column` of struct(line, family, probability, confirmed) for each line that holds a cue.
+    """docs with the array `column` of struct(line, family, probability, confirmed) for each line that holds a cue, and
+    each notice that is wrapped over lines.
 
-    line counts from 0. Null, empty and other texts without cues have an empty array; every line of a text is looked
-    at, whatever its length; repeated lines count each. A column of that name is replaced.
+    line counts from 0, and is a wrapped notice's first. Null, empty and other texts without cues have an empty array; every
+    line of a text is looked at, whatever its length; repeated lines count each. Of confirmed lines and windows that overlap,
+    the one stays confirmed that holds most of its template, then the one of fewest lines; one that holds nothing
+    particular to its family also yields to a window around it that holds more of another's. A column of that name is replaced.
     """
     m = model()
     vocabulary = F.from_json(F.lit(json.dumps(list(m.weights))), "array<string>")
     weights = F.from_json(F.lit(json.dumps(m.weights)), "map<string,array<double>>")
     templates = F.from_json(F.lit(json.dumps([{"family": f, "grams": grams(t)} for f, lines in TEMPLATES.items() for t in lines])), "array<struct<family:string,grams:array<string>>>")
+    distinctive = F.from_json(F.lit(json.dumps(_distinctive())), "map<string,array<string>>")
     classes = F.array(*map(F.lit, m.classes))
-    cue = f"(?i){CUES}"
+    most = max(len(t.split()) for lines in TEMPLATES.values() for t in lines)
+    cue, wide = f"(?i){CUES}", f"(?i){WIDE_CUES}"
     let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
 
-    def judged(line: Column) -> Column:
+    def judged(c: Column) -> Column:
+        """(line, last, family, probability, held, own) of (line, last, text)."""
+
         def by_grams(c: Column) -> Column:
             known = F.array_intersect(c["grams"], vocabulary)
             z = F.aggregate(known, F.array(*map(F.lit, m.bias)), lambda acc, g: F.zip_with(acc, F.element_at(weights, g), lambda a, b: a + b))
@@ -156,18 +173,57 @@ def scan(docs: DataFrame, text: str = "text", column: str = "paragraphs") -> Dat
                 top = F.array_max(s)
                 p = 1 / F.aggregate(s, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
                 family = F.when(p >= m.least, F.element_at(classes, F.array_position(s, top).cast("int"))).otherwise(UNKNOWN)
-                return F.struct(c["line"].alias("line"), c["grams"].alias("grams"), family.alias("family"), p.alias("probability"))
+                return F.struct(c["line"].alias("line"), c["last"].alias("last"), c["grams"].alias("grams"), family.alias("family"), p.alias("probability"))
 
             return let(z, by_score)
 
         def confirmed(c: Column) -> Column:
-            own = F.filter(templates, lambda t: t["family"] == c["family"])
-            held = F.exists(own, lambda t: F.size(F.array_intersect(t["grams"], c["grams"])) >= F.size(t["grams"]) * F.lit(CONTAINED))
-            return F.struct(c["line"].alias("line"), c["family"].alias("family"), c["probability"].alias("probability"), held.alias("confirmed"))
+            templates_of = F.filter(templates, lambda t: t["family"] == c["family"])
+            held = F.array_max(F.transform(templates_of, lambda t: F.size(F.array_intersect(t["grams"], c["grams"])) / F.size(t["grams"])))
+            own = F.coalesce(F.arrays_overlap(F.element_at(distinctive, c["family"]), c["grams"]), F.lit(False))
+            return F.struct(c["line"].alias("line"), c["last"].alias("last"), c["family"].alias("family"), c["probability"].alias("probability"), F.coalesce(held, F.lit(0.0)).alias("held"), own.alias("own"))
+
+        return let(let(F.struct(c["line"].alias("line"), c["last"].alias("last"), grams_of(c["text"]).alias("grams")), by_grams), confirmed)
+
+    def windows(lines: Column) -> Column:
+        """(line, last, text) of each line with the next, the next two and so on, until these have as many words as a template."""
+        begin = lambda t: F.struct(t.alias("text"), F.lit(0).alias("n"), t.rlike(FILLED).alias("open"), F.array().cast("array<string>").alias("made"))
+
+        def step(acc: Column, x: Column) -> Column:
+            both, n = F.concat(acc["text"], F.lit(" "), x), acc["n"] + F.size(F.split(x, r"\s+"))
+            more = F.struct(both.alias("text"), n.alias("n"), (n < most + 2).alias("open"), F.concat(acc["made"], F.array(both)).alias("made"))
+            end = F.struct(acc["text"].alias("text"), acc["n"].alias("n"), F.lit(False).alias("open"), acc["made"].alias("made"))
+            return F.when(acc["open"] & x.rlike(FILLED), more).otherwise(end)
+
+        def of(t: Column, k: Column) -> Column:
+            made = F.aggregate(F.slice(lines, k + 2, F.lit(most + 2)), begin(t), step, lambda acc: acc["made"])
+            return F.filter(F.transform(made, lambda w, j: F.struct(k.alias("line"), (k + j + 1).alias("last"), w.alias("text"))), lambda w: w["text"].rlike(wide))
+
+        return F.flatten(F.transform(lines, of))
+
+    overlap = lambda a, b: (a["line"] <= b["last"]) & (b["line"] <= a["last"])
+    sure = lambda c: (c["family"] != UNKNOWN) & (c["held"] >= CONTAINED)
+    told = lambda c, yes: F.struct(c["line"].alias("line"), c["family"].alias("family"), c["probability"].alias("probability"), yes.alias("confirmed"))
+
+    def chosen(both: Column) -> Column:
+        """The lines, and the windows that stay, of (lines, wins): judged lines and confirmed windows."""
+        ranks = F.array_sort(F.transform(F.concat(F.filter(both["lines"], sure), both["wins"]), lambda c: F.struct((-c["held"]).alias("rank"), (c["last"] - c["line"]).alias("more"), c["line"].alias("at"), c.alias("c"))))
+        first = F.filter(both["lines"], lambda c: F.lit(False))
+        best = F.aggregate(ranks, first, lambda acc, r: F.when(F.exists(acc, lambda a: overlap(a, r["c"])), acc).otherwise(F.concat(acc, F.array(r["c"]))))
+        stay = F.filter(best, lambda c: c["own"] | ~F.exists(both["wins"], lambda w: overlap(w, c) & (w["held"] > c["held"]) & (w["family"] != c["family"])))
+
+        def out(stay: Column) -> Column:
+            lines = F.transform(both["lines"], lambda c: told(c, F.exists(stay, lambda s: (s["line"] == c["line"]) & (s["last"] == c["line"]))))
+            wins = F.transform(F.filter(stay, lambda s: s["last"] > s["line"]), lambda s: told(s, F.lit(True)))
+            return F.array_sort(F.concat(lines, wins))
+
+        return let(stay, out)
 
-        return let(let(F.struct(line["line"].alias("line"), grams_of(line["text"]).alias("grams")), by_grams), confirmed)
+    def paragraphs(lines: Column) -> Column:
+        alone = F.filter(F.transform(lines, lambda t, k: F.struct(k.alias("line"), k.alias("last"), t.alias("text"))), lambda c: c["text"].rlike(cue))
+        wins = F.filter(F.transform(windows(lines), judged), sure)
+        return let(F.struct(F.transform(alone, judged).alias("lines"), wins.alias("wins")), chosen)
 
-    lines = F.filter(F.transform(F.split(F.col(text), "\n"), lambda t, k: F.struct(k.alias("line"), t.alias("text"))), lambda c: c["text"].rlike(cue))
-    found = F.when(F.col(text).rlike(cue), F.transform(lines, judged))
+    found = F.when(F.col(text).rlike(wide), let(F.split(F.col(text), "\n"), paragraphs))
     none = F.array().cast("array<struct<line:int,family:string,probability:double,confirmed:boolean>>")
     return docs.withColumn(column, F.coalesce(found, none))

@@ -32,3 +32,32 @@ def test_query_finds_planted_lines(spark):
         want = {f for t, f in list(PHRASES.items())[:4] if t in texts[r.doc_id].split("\n")}
         assert want <= set(r.licenses.split(",")) if want else True, r
         assert r.licenses == "" or re.search("licen", texts[r.doc_id], re.I)
+
+
+def gpl(version, mark=""):
+    lines = ["This program is free software; you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", f"the Free Software Foundation; either version {version} of the License, or", "(at your option) any later version."]
+    return "\n".join(mark + x for x in lines)
+
+
+WRAPPED = {
+    "Released under the\nMIT License.": "mit",
+    "# Licensed under a Creative Commons\n# Attribution-NonCommercial 4.0 International License.": "cc-by-nc",
+    "This work is available under Creative\nCommons Attribution": "cc-by",
+    " * Licensed under the Apache\n * License, Version 2.0": "apache-2.0",
+    "This work is licensed under the GNU General\nPublic License, version 3.": "gpl-3.0",
+    "\n".join("Released under the MIT License.".split()): "mit",
+    "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software": "mit",
+    gpl(2): "gpl-2.0",
+    gpl(3, " * "): "gpl-3.0",
+    "a title\n\n" + gpl(2, "// ") + "\n\nReleased under the\nMIT License.": "gpl-2.0,mit",
+    "Released under the MIT License.\nLicensed under CC BY 4.0.": "cc-by,mit",
+    "under the terms of the GNU Lesser General Public License\nReleased under the MIT License.": "lgpl,mit",
+    "Released under the\n\nMIT License.": "",
+    "He lost his driving\nlicence in May at MIT\nand Apache": "",
+}
+
+
+def test_wrapped_notices(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(WRAPPED)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.licenses for r in op9_licenses(spark, str(tmp_path)).collect()}
+    assert [got[k] for k in range(len(WRAPPED))] == list(WRAPPED.values())
