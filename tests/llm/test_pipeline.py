@@ -42,3 +42,11 @@ def test_stages_on_odd_rows(spark):
     empty = spark.createDataFrame([], schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_different_texts_of_one_id_stay(spark):
+    base = [" ".join(f"{c}{k}" for k in range(40)) for c in "abcd"]
+    rows = [(5, base[0]), (5, base[1]), (5, base[1]), (3, base[1] + " x"), (5, None), (5, base[2]), (7, base[2] + " y"), (8, ""), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == sorted([(5, base[0]), (3, base[1] + " x"), (5, ""), (5, base[2]), (8, ""), (9, "")])
