@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, shared_dir
+from tessera.llm.common import shared_dir
 from tessera.llm.jaccard import near_copies
 from tessera.llm.language import fit, identify
 from tessera.llm.packing import pack
@@ -21,26 +21,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of least id, once if it is repeated. Rows are told apart by id and
-    text, so different texts of one id are different documents. Those without id stay unless they are near copies of
-    one with an id. Blank texts are near copies of nothing; of each, one stays for each id."""
+    """One document of each group of near copies: that of least id, once if it is repeated, or of least text digest if none
+    has an id. Rows are told apart by id and text, so different texts of one id are different documents. Blank texts are
+    near copies of nothing; of each, one stays for each id, and one without."""
     own = [F.col(f"`{c}`") for c in docs.columns]
     digest = F.md5(F.coalesce("text", F.lit("")))
     tagged = docs.withColumn("near_text_", digest).withColumn("near_key_", F.concat_ws(":", digest, F.col("doc_id").cast("string")))
     full = F.coalesce("text", F.lit("")).rlike(r"[^\t-\r ]")
     once = Window.partitionBy("near_key_").orderBy("text")
     only = lambda df: df.withColumn("near_rank_", F.row_number().over(once)).where("near_rank_ = 1").select(own)
-    # Each text has an id of its own here (below those that near_copies gives to documents without).
-    as_id = F.shiftright(F.xxhash64("near_text_"), 1)
-    classes = near_copies(tagged.where(full).select(as_id.alias("doc_id"), "text")).groupBy("doc_id").agg(F.min("class_id").alias("near_class_"))
+    # Each id and text have an id of their own here (below those that near_copies gives to documents without); a text is
+    # asked for by that of its least row, and one of its copies, not all, brings it to the comparisons.
+    as_id = lambda key: F.shiftright(F.xxhash64(key), 1)
+    classes = near_copies(tagged.where(full).select(as_id("near_key_").alias("doc_id"), "text")).groupBy("doc_id").agg(F.min("class_id").alias("near_class_"))
     texts = tagged.where(full).groupBy("near_text_").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "near_text_", "near_key_")).alias("least"))
-    texts = texts.join(classes.withColumnRenamed("doc_id", "near_id_"), as_id == F.col("near_id_"))
-    texts = cut(texts.select("near_text_", "near_class_", "least"))
-    best = texts.groupBy("near_class_").agg(F.min("least").alias("best")).where("not best.bare")
-    named = tagged.where(F.col("doc_id").isNotNull())
-    kept = only(named.where(full).join(best.select(F.col("best.near_key_").alias("near_key_")), "near_key_", "left_semi"))
-    bare = tagged.where(F.col("doc_id").isNull()).join(texts.join(best, "near_class_", "left_semi").select("near_text_"), "near_text_", "left_anti").select(own)
-    return kept.unionByName(only(named.where(~full))).unionByName(bare)
+    texts = texts.join(classes.withColumnRenamed("doc_id", "near_id_"), as_id("least.near_key_") == F.col("near_id_"))
+    best = texts.groupBy("near_class_").agg(F.min("least").alias("best")).select(F.col("best.near_key_").alias("near_key_"))
+    return only(tagged.where(full).join(best, "near_key_", "left_semi")).unionByName(only(tagged.where(~full)))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

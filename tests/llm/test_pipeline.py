@@ -50,3 +50,11 @@ def test_different_texts_of_one_id_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
     assert sorted((r.doc_id, r.text or "") for r in got) == sorted([(5, base[0]), (3, base[1] + " x"), (5, ""), (5, base[2]), (8, ""), (9, "")])
+
+
+def test_copies_that_all_lack_an_id(spark):
+    base = [" ".join(f"{c}{k}" for k in range(40)) for c in "abc"]
+    rows = [(None, base[0]), (None, base[0]), (None, base[0] + " x"), (None, base[1]), (None, base[2]), (None, base[2] + " y"), (4, base[2] + " z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text[:2]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == [(4, "c0"), (None, "a0"), (None, "b0")]
