@@ -9,6 +9,7 @@ vector is passed by only if the triangle inequality rules it out. What is left i
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -133,36 +134,23 @@ def _search(parts: Iterator[pa.RecordBatch], index: Index, least: float) -> Iter
                 yield int(ids[k]), int(n[k]), None, None
 
 
-def near_vectors(vectors: DataFrame, least: float = NEAR, block: int = BLOCK, lists: int | None = None) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id (least vec_id that links lead to), kept (it is that vector).
-
-    Vectors of equal labels (compared as text) with a cosine of at least `least`, in double precision, are linked. A null
-    label, and a vector that is null, empty, zero or has a null or non-finite component, links with nothing; so does one of
-    another length than most of the sample. Rows of an equal id are one vector; rows of a null id are returned
-    and link with nothing. An empty table gives no rows.
-    """
-    spark = vectors.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    usable = base.where("vec_id is not null and label is not null and embedding is not null")
-    total = usable.count()
+def _linked(usable: DataFrame, total: int, least: float, block: int, lists: int | None) -> DataFrame | None:
+    """Links (id, links added) and forest links (u, v) among so many vectors of one length; None if the sample has no usable one."""
+    n = int(usable.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     part = min(1.0, SAMPLE / max(1, total))
     chosen = usable.where(F.pmod(F.xxhash64("vec_id", F.lit("fit")), F.lit(1_000_003)) < part * 1_000_003)
     rows = chosen.select("vec_id", "embedding").collect() or usable.select("vec_id", "embedding").limit(SAMPLE).collect()  # bounded by SAMPLE
     rows.sort(key=lambda r: r["vec_id"])
-    sizes = [len(r["embedding"]) for r in rows if r["embedding"]]
-    width = max(set(sizes), key=lambda s: (sizes.count(s), s)) if sizes else 1
-    sample, _ = _units([r["embedding"] for r in rows if len(r["embedding"]) == width])
-    none = F.lit(0).cast("long")
+    sample, _ = _units([r["embedding"] for r in rows])
     if not len(sample):
-        return base.select("vec_id", none.alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+        return None
     index = Index(sample, lists or int(min(1024, max(1, round(np.sqrt(total) / 4)))))
     radius = float(np.sqrt(max(0.0, 2 - 2 * least)))
     schema = pa.schema([("id", pa.int64()), ("label", pa.string()), ("own", pa.int32()), ("probes", pa.list_(pa.int32())), ("v", pa.binary())])
 
     def coded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            unit, at = _units([v if v is not None and len(v) == width else None for v in b["embedding"].to_pylist()])
+            unit, at = _units(b["embedding"].to_pylist())
             ids, labels = b["vec_id"].to_pylist(), b["label"].to_pylist()
             for x in range(0, len(at), 2048):
                 v = unit[x : x + 2048]
@@ -181,7 +169,26 @@ def near_vectors(vectors: DataFrame, least: float = NEAR, block: int = BLOCK, li
     d = points.withColumnRenamed("own", "cell").join(sizes, ["label", "cell"]).select("label", "cell", every("nq").alias("qblock"), of("nd", 2).alias("dblock"), F.lit(False).alias("query"), "id", F.col("cell").alias("own"), "v")
     task = ("label", "cell", "qblock", "dblock")
     dealt = q.unionByName(d).repartition(n, *task).sortWithinPartitions(*task, "query", "id")
-    found = cut(dealt.mapInArrow(lambda p: batches(_search(p, index, least), _FOUND), "id long, links long, u long, v long"))
+    return cut(dealt.mapInArrow(lambda p: batches(_search(p, index, least), _FOUND), "id long, links long, u long, v long"))
+
+
+def near_vectors(vectors: DataFrame, least: float = NEAR, block: int = BLOCK, lists: int | None = None) -> DataFrame:
+    """One row per vector: vec_id, n_links, component_id (least vec_id that links lead to), kept (it is that vector).
+
+    Vectors of equal labels (compared as text) with a cosine of at least `least`, in double precision, are linked. A null
+    label, and a vector that is null, empty, zero or has a null or non-finite component, links with nothing. Vectors of
+    each length have an index of their own, and link among themselves. Rows of an equal id are one vector; rows of a null id are returned
+    and link with nothing. An empty table gives no rows.
+    """
+    base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    usable = base.where("vec_id is not null and label is not null and embedding is not null")
+    width = F.size("embedding")
+    totals = usable.where(width > 0).groupBy(width.alias("w")).count().orderBy("w").collect()
+    parts = [x for w, total in totals if (x := _linked(usable.where(width == w), total, least, block, lists)) is not None]
+    none = F.lit(0).cast("long")
+    if not parts:
+        return base.select("vec_id", none.alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    found = reduce(DataFrame.unionByName, parts)
     links = found.where("id is not null").groupBy("id").agg(F.sum("links").alias("n")).withColumnRenamed("id", "vec_id")
     lead = components(found.where("u is not null").select("u", "v")).withColumnRenamed("id", "vec_id")
     out = base.select("vec_id").join(links, "vec_id", "left").join(lead, "vec_id", "left")

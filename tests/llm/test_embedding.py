@@ -50,3 +50,11 @@ def test_distances_and_errors():
     d = index.distances(v[:50], 2, codes)
     true = np.linalg.norm(v[:50, None] - v[None], axis=2)
     assert (np.abs(d - true) <= error[None] + 1e-9).all()
+
+
+def test_vectors_of_other_lengths(spark):
+    rows = [(k, 0, [float(k % 7 + 1), float(k)] + [1.0] * 14) for k in range(0, 60)]
+    rows += [(100, 1, [1.0, 2.0, 3.0]), (101, 1, [1.0, 2.0, 3.0]), (102, 1, [3.0, -2.0, 1.0]), (103, 1, [1.0] * 5), (104, 2, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(df).where("vec_id >= 100").collect()}
+    assert got == {100: (1, 100, True), 101: (1, 100, False), 102: (0, 102, True), 103: (0, 103, True), 104: (0, 104, True)}
