@@ -1,320 +1,266 @@
 """Cross-entropy difference of two matched n-gram models (Moore and Lewis).
 
 The target model counts the words and word pairs of the documents given as target, the background model those of all
-documents. They share one vocabulary (words that occur twice in the target, others being one unknown word) and one
-inventory of pairs, and both interpolate pairs with words. A document's score is the mean over its words of the target
-loss minus the background loss, in bits: the lower, the more it is like the target.
-
-`whole_difference`, which the query uses, counts every pair that begins with a vocabulary word, in both models, the unknown
-word being one of its followers, so each word's followers add up to its context total. `cross_entropy_difference`, the
-older form, keeps the pairs that occur twice in the target only.
-
-All counts cover all documents and are exact. No table of counts goes to every task: each scan partition asks for
-the n-grams it holds, and the answers meet its documents in one exchange. `whole_difference` sends the vocabulary (8 bytes a
-word) to every task.
+documents. They share one vocabulary (words that occur twice in the target, others being one unknown word) and every pair
+that begins with a word of it (its follower may be the unknown word), so each word's followers add up to its context
+total; both interpolate pairs with words. A document's score is the mean over its words of the target loss minus the
+background loss, in bits: the lower, the more it is like the target.
+
+All counts cover all documents and are exact, and no table of counts or words goes to every task or to the driver.
+Documents are written once in chunks of bounded volume, bucketed by chunk, and stay where they are. A chunk asks for its
+distinct n-grams by packed messages to hash ranges; a range adds up what all chunks sent and answers each in the order
+of its request with what the others hold, so an answer needs no key. Its checksum must be that of the keys it answers.
 """
 
 from __future__ import annotations
 
-import gc
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batches, mix, shared_dir, slices, word_hashes
+from tessera.llm.common import mix, shared_dir, slices, word_hashes
 
 #: Least count in the target; weight of the words in a pair's probability; up to so many target ids are broadcast.
 LEAST, WEIGHT, FEW_IDS = 2, 5.0, 2_000_000
-#: Bits of the map that spares most n-grams outside the inventory the exact join.
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
-_TOTAL = 0
+#: Characters of a chunk (a longer text is one alone), and characters that a hash range answers for, about.
+CHUNK, RANGE = 16_000_000, 64_000_000
+#: Spark's bound on buckets.
+MOST_BUCKETS = 100_000
 #: Keys of the unknown word, and of any follower (of which a word's context total is the count).
-_UNKNOWN, _ANY = 2, 3
+_UNKNOWN, _ANY = np.uint64(2), np.uint64(3)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder as Parquet and read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{spark.sql('select uuid() as u').first()['u']}"
+    path = f"{shared_dir(df.sparkSession)}/{name}-{_unique(df)}"
     df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files that led here
-    return spark.read.parquet(path)
-
-
-def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the words of all texts in order, of the pair each ends (0 if it is the first), and the text each is of."""
-    word, of = word_hashes([t.lower() for t in texts])
-    word = np.where(word == 0, np.uint64(1), word)
-    pair = np.zeros_like(word)
-    if len(word) > 1:
-        both = mix(word[:-1] * np.uint64(3) + mix(word[1:] + np.uint64(11)))
-        pair[1:] = np.where(of[1:] == of[:-1], np.where(both == 0, np.uint64(1), both), np.uint64(0))
-    return word.view(np.int64), pair.view(np.int64), of
-
-
-class Counter:
-    """Counts of keys, each with a second key, merged by sorting."""
-
-    def __init__(self) -> None:
-        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.held = 0
-
-    def add(self, key: np.ndarray, other: np.ndarray, n: np.ndarray | None = None) -> None:
-        self.new.append((key, other, np.ones(len(key), np.int64) if n is None else n))
-        self.held += len(key)
-        if self.held > 4_000_000:
-            self.merge()
-            self.held = len(self.new[0][0]) // 2
-
-    def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if not self.new:
-            return (np.zeros(0, np.int64),) * 3
-        key, other, n = (np.concatenate(x) for x in zip(*self.new, strict=True))
-        order = np.argsort(key, kind="stable")
-        key, other, n = key[order], other[order], n[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-        self.new = [(key[first], other[first], np.add.reduceat(n, first) if len(key) else n)]
-        return self.new[0]
-
-
-def _counted(parts: Iterator[pa.RecordBatch], chart: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Per scan partition (key, first word of a pair, count) of n-grams (if a chart is given, of those it has), and all words."""
-    bits = 0 if chart is None else len(chart) * 64 - 1
-    own: dict[int, tuple[Counter, list[int]]] = {}
+    return df.sparkSession.read.parquet(path)
+
+
+def _unique(df: DataFrame) -> str:
+    return df.sparkSession.sql("select uuid() as u").first()["u"].replace("-", "")
+
+
+def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    """df, written to the shared folder in buckets of its chunks and read again; the catalog forgets it at once."""
+    spark, name = df.sparkSession, f"lm_chunks_{_unique(df)}"
+    df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, "chunk").sortBy("chunk").saveAsTable(name)
+    read = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # of an external table the files stay
+    return read
+
+
+def _chunked(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows with the number of their chunk: that of the task, and a running one."""
+    from pyspark import TaskContext
+
+    chunk, held = TaskContext.get().partitionId() << 32, 0
     for b in parts:
-        if not b.num_rows:
-            continue
-        counter, total = own.setdefault(b["chunk"][0].as_py(), (Counter(), [0]))
-        texts = [t or "" for t in b["text"].to_pylist()]
-        for x, y in slices(texts):
-            word, pair, _ = ngrams(texts[x:y])
-            total[0] += len(word)
-            before = np.r_[np.int64(0), word[:-1]] if len(word) else word
-            for key, other in ((word, np.zeros_like(word)), (pair, before)):
-                ok = key != 0
-                if chart is not None:
-                    at = key & bits
-                    ok &= (chart[at >> 6] >> (at & 63)) & 1 == 1
-                counter.add(key[ok], other[ok])
-    for chunk, (counter, total) in own.items():
-        key, other, n = counter.merge()
-        key, other, n = np.r_[np.int64(_TOTAL), key], np.r_[np.int64(0), other], np.r_[np.int64(total[0]), n]
-        for x in range(0, len(key), 200_000):
-            s = slice(x, x + 200_000)
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(key[s]), chunk, np.int32)), "key": pa.array(key[s]), "first": pa.array(other[s]), "n": pa.array(n[s])})
-
-
-_COUNTS = "chunk int, key long, first long, n long"
-_HELD = "chunk int, key long, n long"
+        size = np.cumsum(b["n"].to_numpy(zero_copy_only=False)) + held
+        step = size // most
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunk + step, pa.int64()), "doc_id": b["doc_id"], "text": b["text"], "target": b["target"]})
+        held = int(size[-1]) if len(size) else held
+
+
+class Words:
+    """The words of a chunk's documents: keys, the document of each, whether it is of the target, and the distinct keys."""
+
+    def __init__(self, texts: list[str], target: np.ndarray) -> None:
+        found = [(h, of + x) for x, y in slices(texts) for h, of in [word_hashes([t.lower() for t in texts[x:y]])]]
+        key = np.concatenate([h for h, _ in found]) if found else np.zeros(0, np.uint64)
+        self.key = np.maximum(key, np.uint64(4))
+        self.of = np.concatenate([of for _, of in found]) if found else np.zeros(0, np.int64)
+        self.mine = target[self.of]
+        self.asked = Asked(self.key, self.mine)
+
+    def pairs(self, known: np.ndarray) -> tuple[Asked, np.ndarray, np.ndarray]:
+        """What is asked of pairs and contexts, and the positions of the words after a known one and of their contexts
+        among the distinct keys. known: whether each distinct key is in the vocabulary."""
+        sure = known[self.asked.place]
+        word = np.where(sure, self.key, _UNKNOWN)
+        at = np.flatnonzero((self.of[1:] == self.of[:-1]) & sure[:-1]) + 1
+        before = mix(self.key[at - 1] * np.uint64(3) + np.uint64(29))
+        asked = Asked(np.r_[mix(before + word[at]), mix(before + _ANY)], np.r_[self.mine[at], self.mine[at]])
+        return asked, at, asked.place
+
+
+class Asked:
+    """Distinct keys in order, the count of each in all documents and in the target, and the place of each given key."""
+
+    def __init__(self, key: np.ndarray, mine: np.ndarray) -> None:
+        order = np.argsort(key)
+        key = key[order]
+        first = np.r_[True, key[1:] != key[:-1]][: len(key)]
+        at = np.flatnonzero(first)
+        self.place = np.empty(len(key), np.int64)
+        self.place[order] = np.cumsum(first) - 1
+        self.keys = key[at]
+        self.n = np.diff(np.r_[at, len(key)])
+        self.m = np.add.reduceat(mine[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+
+    def messages(self, chunk: int, ranges: int) -> Iterator[tuple]:
+        """(part, chunk, n, body) for each hash range that some keys are in; ranges follow the order of keys."""
+        part = ((self.keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True][: len(part) + 1]) if len(part) else []
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            keys = self.keys[x:y]
+            yield int(part[x]), chunk, int(y - x), _packed(np.r_[keys[:1], np.diff(keys)], self.n[x:y], self.m[x:y])
+
+    def answered(self, answers: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of the keys over all chunks, in all documents and in the target."""
+        own = sorted((r for r in answers.select(["kind", "part", "n", "check", "body"]).to_pylist() if r["kind"] == kind), key=lambda r: r["part"])
+        if sum(r["n"] for r in own) != len(self.keys) or np.bitwise_xor.reduce(np.array([r["check"] for r in own], np.int64), initial=0) != _check(self.keys):
+            raise RuntimeError("the answers are not those to the questions of this chunk")
+        got = [_unpacked(r["body"], r["n"], 2) for r in own]
+        return tuple(mine + (np.concatenate([g[k] for g in got]).view(np.int64) if got else 0) for k, mine in enumerate((self.n, self.m)))
+
+
+def _check(keys: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(mix(keys), initial=np.uint64(0)).view(np.int64))
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of 64 bits, byte by byte of all values, compressed."""
+    flat = np.concatenate([c.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.ravel() for c in columns])
+    return pa.compress(flat.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(body: bytes, n: int, columns: int) -> list[np.ndarray]:
+    flat = np.frombuffer(pa.decompress(body, 8 * n * columns, "zstd", asbytes=True), np.uint8).reshape(columns, 8, n)
+    return [np.ascontiguousarray(c.T).view(np.uint64).ravel() for c in flat]
+
+
+_MESSAGE = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
+_MESSAGES = "part int, chunk long, n long, body binary"
+_ANSWER = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("check", pa.int64()), ("body", pa.binary()), *((c, pa.int64()) for c in ("size", "all_b", "all_a", "known_b", "known_a"))])
+_ANSWERS = "kind int, chunk long, part int, n long, check long, body binary, size long, all_b long, all_a long, known_b long, known_a long"
 _SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
-_SCORE = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())])
+_WORDS, _PAIRS = 0, 1
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
-def _packed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Answers as a row per chunk and some 500,000 of them: keys, and their counts column by column."""
+def _texts(t: pa.Table | pa.RecordBatch) -> Words:
+    return Words([x or "" for x in t.column("text").to_pylist()], t.column("target").to_numpy(zero_copy_only=False).astype(bool))
 
-    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held)
-        chunk = t["chunk"].to_numpy()
-        order = np.argsort(chunk, kind="stable")
-        cols = [t[c].to_numpy()[order] for c in t.column_names if c != "chunk"]
-        cuts = np.flatnonzero(np.r_[True, np.diff(chunk[order]) != 0, True])
-        spans = list(zip(cuts, cuts[1:], strict=False))
-        keys = [cols[0][x:y].tobytes() for x, y in spans]
-        counts = [b"".join(c[x:y].tobytes() for c in cols[1:]) for x, y in spans]
-        return pa.RecordBatch.from_pydict({"chunk": pa.array(chunk[order][cuts[:-1]], pa.int32()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(counts, pa.binary())})
 
+def _word_messages(parts: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
+    """What the chunks of a partition ask of words; rows of a chunk follow each other."""
     held: list[pa.RecordBatch] = []
+
+    def flush() -> pa.RecordBatch:
+        return _rows(list(_texts(pa.Table.from_batches(held)).asked.messages(held[0]["chunk"][0].as_py(), ranges)), _MESSAGE)
+
     for b in parts:
-        held.append(b)
-        if sum(x.num_rows for x in held) >= 500_000:
-            yield flush(held)
-            held = []
-    if sum(x.num_rows for x in held):
-        yield flush(held)
-
-
-def losses(word: np.ndarray, pair: np.ndarray, table: tuple[np.ndarray, np.ndarray], unknown: tuple[float, float], scale: tuple[float, float]) -> np.ndarray:
-    """The loss in bits of each word under both models (columns). table: sorted keys, and per key, of a word its two
-    counts and context totals, of a pair its two counts; scale: what a word's count is divided by."""
-    keys, values = table
-
-    def look(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(k), np.int64), np.zeros(len(k), bool)
-        at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-        return at, (keys[at] == k) & (k != 0)
-
-    at, known = look(word)
-    to, paired = look(pair)
-    out = np.zeros((len(word), 2))
-    for m in range(2):
-        p = np.where(known, (values[at, m] + 1) / scale[m] if len(keys) else 0.0, unknown[m])
-        context = np.where(known, values[at, 2 + m] if len(keys) else 0.0, 0.0)
-        context = np.where(pair != 0, np.r_[0.0, context[:-1]], 0.0)
-        both = np.where(paired, values[to, m] if len(keys) else 0.0, 0.0)
-        out[:, m] = -np.log2((both + WEIGHT * p) / (context + WEIGHT))
-    return out
-
-
-def _scored(parts: Iterator[pa.RecordBatch], of_texts: Callable, columns: int) -> Iterator[tuple]:
-    """Scores of documents; rows come sorted by chunk, its answers before its documents. of_texts: losses of each word of
-    texts, and the text it is of, from a table of so many columns."""
-    chunk, keys, values, table = None, [], [], None
-    for b in parts:
-        chunks, doc = b["chunk"].to_numpy(), b["doc"].to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero((chunks[1:] != chunks[:-1]) | (doc[1:] != doc[:-1])) + 1).tolist(), b.num_rows] if b.num_rows else [0]
+        chunk = b["chunk"].to_numpy()
+        cuts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1], True]).tolist() if len(chunk) else []
         for x, y in zip(cuts, cuts[1:], strict=False):
-            s = b.slice(x, y - x)
-            if chunks[x] != chunk:
-                chunk, keys, values, table = chunks[x], [], [], None
-            if not doc[x]:
-                keys += [np.frombuffer(k, np.int64) for k in s["keys"].to_pylist()]
-                values += [np.frombuffer(v, np.int64).reshape(columns, -1).T for v in s["counts"].to_pylist()]
-                continue
-            if table is None:
-                k = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-                order = np.argsort(k)
-                table = k[order], (np.concatenate(values)[order] if keys else np.zeros((0, 4)))
-                keys, values = [], []
-            texts, ids = [t or "" for t in s["text"].to_pylist()], s["doc_id"].to_pylist()
-            for i, j in slices(texts):
-                loss, of = of_texts(texts[i:j], table)
-                n = np.bincount(of, minlength=j - i)
-                mean = [np.bincount(of, loss[:, m], minlength=j - i) / np.maximum(n, 1) for m in range(2)]
-                yield from zip(ids[i:j], n.tolist(), mean[0].tolist(), mean[1].tolist(), (mean[0] - mean[1]).tolist(), strict=True)
-
-
-def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
+            if held and held[0]["chunk"][0].as_py() != chunk[x]:
+                yield flush()
+                held = []
+            held.append(b.slice(x, y - x))
+    if held:
+        yield flush()
+
+
+def _answers(parts: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.RecordBatch]:
+    """The answers of each hash range to its messages, which come sorted by range and chunk; of words also the size of
+    the vocabulary and the number of all words and of known ones."""
+    rows = (r for b in parts for r in zip(*(b[c].to_pylist() for c in ("part", "chunk", "n", "body")), strict=True))
+    for part, own in groupby(rows, lambda r: r[0]):
+        sent = []
+        for chunk, same in groupby(own, lambda r: r[1]):
+            cols = [_unpacked(r[3], r[2], 3) for r in same]
+            keys, n, m = (np.concatenate(c) for c in zip(*((np.cumsum(k), n, m) for k, n, m in cols), strict=True))
+            if len(cols) > 1:  # a chunk that was read in two tasks
+                order = np.argsort(keys, kind="stable")
+                keys, n, m = keys[order], n[order], m[order]
+                at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                keys, n, m = keys[at], np.add.reduceat(n, at), np.add.reduceat(m, at)
+            sent.append((chunk, keys, n, m))
+        keys, n, m = (np.concatenate([s[k] for s in sent]) for k in (1, 2, 3))
+        order = np.argsort(keys, kind="stable")
+        at = np.flatnonzero(np.r_[True, keys[order[1:]] != keys[order[:-1]]])
+        all_n, all_m = np.add.reduceat(n[order], at), np.add.reduceat(m[order], at)
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.repeat(np.arange(len(at)), np.diff(np.r_[at, len(keys)]))
+        rest_n, rest_m = all_n[place] - n, all_m[place] - m
+        known = all_m >= LEAST
+        if kind == _WORDS:
+            rest_n[~known[place]] = 0  # of unknown words only their sum matters
+            sums = (int(known.sum()), int(all_n.sum()), int(all_m.sum()), int(all_n[known].sum()), int(all_m[known].sum()))
+            yield _rows([(kind, None, part, 0, 0, b"", *sums)], _ANSWER)
+        begin = 0
+        for chunk, own_keys, *_ in sent:
+            end = begin + len(own_keys)
+            yield _rows([(kind, chunk, part, end - begin, _check(own_keys), _packed(rest_n[begin:end], rest_m[begin:end]), *[None] * 5)], _ANSWER)
+            begin = end
+
+
+def _known(words: Words, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    b, a = words.asked.answered(answers, _WORDS)
+    return a >= LEAST, b, a
+
+
+def _pair_messages(docs: pa.Table, answers: pa.Table, ranges: int) -> pa.Table:
+    """What a chunk asks of pairs and contexts."""
+    if not docs.num_rows:
+        return pa.Table.from_batches([], _MESSAGE)
+    words = _texts(docs)
+    asked = words.pairs(_known(words, answers)[0])[0]
+    return pa.Table.from_batches([_rows(list(asked.messages(docs["chunk"][0].as_py(), ranges)), _MESSAGE)])
+
+
+def _scored(docs: pa.Table, answers: pa.Table, unknown: tuple[float, float], scale: tuple[float, float]) -> pa.Table:
+    """Scores of a chunk's documents. unknown: the number of unknown words in target and background; scale: what the count
+    of a word is divided by."""
+    words = _texts(docs)
+    known, word_b, word_a = _known(words, answers)
+    asked, at, place = words.pairs(known)
+    counts = asked.answered(answers, _PAIRS)
+    n = np.bincount(words.of, minlength=docs.num_rows)
+    mean = []
+    for word, pair, others, total in ((word_a, counts[1], unknown[0], scale[0]), (word_b, counts[0], unknown[1], scale[1])):
+        p = ((np.where(known, word, others) + 1) / total)[words.asked.place]
+        both, context = pair[place[: len(at)]], pair[place[len(at) :]]
+        p[at] = (both + WEIGHT * p[at]) / (context + WEIGHT)
+        mean.append(np.bincount(words.of, -np.log2(p), docs.num_rows) / np.maximum(n, 1))
+    return pa.table({"doc_id": docs["doc_id"], "n_tokens": n, "target_loss": mean[0], "background_loss": mean[1], "score": mean[0] - mean[1]})
+
+
+def whole_difference(docs: DataFrame, target_ids: DataFrame, chunk: int = CHUNK, span: int = RANGE) -> DataFrame:
     """One row per document: doc_id, n_tokens, mean loss of both models and their difference (score).
 
     target_ids holds the doc_ids of the target; null and unknown ids there mean nothing. Words are lower-case runs
-    without ASCII white space. A null, empty or blank text has no tokens, losses 0 and score 0. Repeated rows are counted
-    and scored each. Without target documents every word is unknown to both models.
+    without ASCII white space. After an unknown word, and at first, a word has its own probability alone. A null, empty
+    or blank text has no tokens, losses 0 and score 0. Repeated rows are counted and scored each; other columns play no
+    part. Without target documents every word is unknown to both models. An empty table gives no rows.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Both passes plan the same scan from the same files, so a row has one partition number in both.
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("chunk"))
-    ids = target_ids.select(F.col("doc_id").alias("target_")).where("target_ is not null").distinct()
-    few = ids.count() <= FEW_IDS
-    target = own.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("target_"), "left_semi").withColumn("chunk", F.spark_partition_id())
-    counted = target.mapInArrow(lambda p: _counted(p, None), _COUNTS).groupBy("key").agg(F.max("first").alias("first"), F.sum("n").alias("t"))
-    inventory = kept(counted.where(f"key = {_TOTAL} or t >= {LEAST}").select("key", F.when(F.col("first") != 0, F.col("first")).alias("first"), "t"), "lm-inventory")
-    size = inventory.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * size).bit_length()))
-    marks = inventory.groupBy(F.expr(f"cast(pmod(key, {bits}) div 64 as int)").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(key, 64) as int))")).alias("m")).toArrow()
-    chart = np.zeros(bits // 64, np.int64)
-    chart[marks["w"].to_numpy()] = marks["m"].to_numpy()
-    held = kept(own.mapInArrow(lambda p: _counted(p, chart), _COUNTS).select("chunk", "key", "n"), "lm-counts")
-    both = kept(inventory.join(held.groupBy("key").agg(F.sum("n").alias("b")), "key", "left").select("key", "first", "t", F.coalesce("b", "t").alias("b")), "lm-models")
-    words = both.where(f"key <> {_TOTAL} and first is null")
-    sums = words.agg(F.count("*").alias("v"), F.sum("t").alias("t"), F.sum("b").alias("b")).first()
-    total = both.where(f"key = {_TOTAL}").agg(F.sum("t").alias("t"), F.sum("b").alias("b")).first()
-    all_b = total["b"] or held.where(f"key = {_TOTAL}").agg(F.sum("n")).first()[0] or 0
-    scale = tuple(float((x or 0) + sums["v"] + 1) for x in (total["t"], all_b))
-    unknown = tuple(((x or 0) - (y or 0) + 1) / s for x, y, s in zip((total["t"], all_b), (sums["t"], sums["b"]), scale, strict=True))
-    contexts = both.where("first is not null").groupBy(F.col("first").alias("key")).agg(F.sum("t").alias("ct"), F.sum("b").alias("cb"))
-    of_word = words.join(contexts, "key", "left").select("key", F.col("t").alias("a"), "b", F.coalesce("ct", F.lit(0)).alias("c"), F.coalesce("cb", F.lit(0)).alias("d"))
-    of_pair = both.where("first is not null").select("key", F.col("t").alias("a"), "b", F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("d"))
-    answers = held.select("chunk", "key").join(of_word.unionByName(of_pair), "key").select("chunk", "key", "a", "b", "c", "d")
-    packed = answers.mapInArrow(_packed, "chunk int, keys binary, counts binary").withColumn("doc", F.lit(False))
-    rows = packed.unionByName(own.withColumn("doc", F.lit(True)), allowMissingColumns=True)
-    dealt = rows.repartition(n, "chunk").sortWithinPartitions("chunk", "doc")
-
-    def of_texts(texts: list[str], table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        word, pair, of = ngrams(texts)
-        return losses(word, pair, table, unknown, scale), of
-
-    return dealt.mapInArrow(lambda p: batches(_scored(p, of_texts, 4), _SCORE), _SCORES)
-
-
-def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    both = mix(a.view(np.uint64) * np.uint64(3) + mix(b.view(np.uint64) + np.uint64(11))).view(np.int64)
-    return np.where(a == 0, np.int64(0), np.where(both == 0, np.int64(1), both))
-
-
-def known_ngrams(texts: list[str], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As ngrams, with words outside the (sorted) vocabulary as one; also the keys of the contexts. Pairs and contexts
-    are 0 at first words of texts and after unknown words."""
-    word, of = word_hashes([t.lower() for t in texts])
-    word = np.where(word == 0, np.uint64(1), word).view(np.int64)
-    if len(vocabulary):
-        known = vocabulary[np.minimum(np.searchsorted(vocabulary, word), len(vocabulary) - 1)] == word
-    else:
-        known = np.zeros(len(word), bool)
-    before = np.zeros_like(word)
-    before[1:] = np.where((of[1:] == of[:-1]) & known[:-1], word[:-1], 0)
-    word = np.where(known, word, _UNKNOWN)
-    return word, _joined(before, word), _joined(before, np.full_like(word, _ANY)), of
-
-
-def _held(parts: Iterator[pa.RecordBatch], vocabulary: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    """Per scan partition (key, count) of words, pairs and contexts, and all words; without a vocabulary of words alone."""
-    own: dict[int, tuple[Counter, list[int]]] = {}
-    for b in parts:
-        if not b.num_rows:
-            continue
-        counter, total = own.setdefault(b["chunk"][0].as_py(), (Counter(), [0]))
-        texts = [t or "" for t in b["text"].to_pylist()]
-        for x, y in slices(texts):
-            found = ngrams(texts[x:y])[:1] if vocabulary is None else known_ngrams(texts[x:y], vocabulary)[:3]
-            total[0] += len(found[0])
-            for key in found:
-                key = key[key != 0]
-                counter.add(key, np.zeros(len(key), np.int8))
-    for chunk, (counter, total) in own.items():
-        key, _, n = counter.merge()
-        key, n = np.r_[np.int64(_TOTAL), key], np.r_[np.int64(total[0]), n]
-        for x in range(0, len(key), 200_000):
-            s = slice(x, x + 200_000)
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(key[s]), chunk, np.int32)), "key": pa.array(key[s]), "n": pa.array(n[s])})
-
-
-def whole_losses(word: np.ndarray, pair: np.ndarray, context: np.ndarray, table: tuple[np.ndarray, np.ndarray], scale: tuple[float, float]) -> np.ndarray:
-    """The loss in bits of each word under both models (columns). table: sorted keys, and two counts of each."""
-    keys, values = table
-
-    def look(k: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-        return np.where(((keys[at] == k) & (k != 0))[:, None], values[at], 0.0)
-
-    if not len(word):
-        return np.zeros((0, 2))
-    p = (look(word) + 1) / np.array(scale)
-    return -np.log2((look(pair) + WEIGHT * p) / (look(context) + WEIGHT))
-
-
-def whole_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
-    """As cross_entropy_difference, but the models count every pair that begins with a vocabulary word (its follower may
-    be the unknown word), each model over all its documents, and a word's context total is that of all pairs it begins.
-    After an unknown word, and at first, a word has its own probability alone."""
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # All passes plan the same scan from the same files, so a row has one partition number in each.
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("chunk"))
-    ids = target_ids.select(F.col("doc_id").alias("target_")).where("target_ is not null").distinct()
+    ids = target_ids.select(F.col("doc_id").alias("target_")).where("target_ is not null").distinct().withColumn("target", F.lit(True))
     few = ids.count() <= FEW_IDS
-    target = own.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("target_"), "left_semi").withColumn("chunk", F.spark_partition_id())
-    seen = target.mapInArrow(lambda p: _held(p, None), _HELD).groupBy("key").agg(F.sum("n").alias("t"))
-    vocabulary = np.sort(seen.where(f"key <> {_TOTAL} and t >= {LEAST}").select("key").toArrow()["key"].to_numpy())
-    counted = target.mapInArrow(lambda p: _held(p, vocabulary), _HELD).groupBy("key").agg(F.sum("n").alias("a"))
-    held = kept(own.mapInArrow(lambda p: _held(p, vocabulary), _HELD), "lm-counts")
-    both = held.groupBy("key").agg(F.sum("n").alias("b")).join(counted, "key", "left")
-    both = kept(both.select("key", F.coalesce("a", F.lit(0)).alias("a"), "b"), "lm-models")
-    total = both.where(f"key = {_TOTAL}").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).first()
-    scale = tuple(float((x or 0) + len(vocabulary) + 1) for x in (total["a"], total["b"]))
-    answers = held.where(f"key <> {_TOTAL}").select("chunk", "key").join(both, "key").select("chunk", "key", "a", "b")
-    packed = answers.mapInArrow(_packed, "chunk int, keys binary, counts binary").withColumn("doc", F.lit(False))
-    rows = packed.unionByName(own.withColumn("doc", F.lit(True)), allowMissingColumns=True)
-    dealt = rows.repartition(n, "chunk").sortWithinPartitions("chunk", "doc")
-
-    def of_texts(texts: list[str], table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        word, pair, context, of = known_ngrams(texts, vocabulary)
-        return whole_losses(word, pair, context, table, scale), of
-
-    return dealt.mapInArrow(lambda p: batches(_scored(p, of_texts, 2), _SCORE), _SCORES)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    volume = own.agg(F.sum("n")).first()[0] or 0
+    ranges = max(n, -(-volume // span))
+    flagged = own.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("target_"), "left").select("doc_id", "text", "n", F.coalesce("target", F.lit(False)).alias("target"))
+    rows = flagged.mapInArrow(lambda p: _chunked(p, chunk), "chunk long, doc_id long, text string, target boolean")
+    held = _bucketed(rows, min(MOST_BUCKETS, max(n, -(-volume // chunk))))
+
+    def answers(messages: DataFrame, kind: int) -> DataFrame:
+        return messages.repartition(ranges, "part").sortWithinPartitions("part", "chunk").mapInArrow(lambda p: _answers(p, kind), _ANSWERS)
+
+    words = kept(answers(held.mapInArrow(lambda p: _word_messages(p, ranges), _MESSAGES), _WORDS), "lm-words")
+    sums = words.agg(*(F.sum(c).alias(c) for c in ("size", "all_a", "all_b", "known_a", "known_b"))).first()
+    size, all_a, all_b, known_a, known_b = (x or 0 for x in sums)
+    unknown, scale = (float(all_a - known_a), float(all_b - known_b)), (float(all_a + size + 1), float(all_b + size + 1))
+    told = words.where("chunk is not null")
+    by_chunk = held.groupBy("chunk")
+    pairs = answers(by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(lambda d, a: _pair_messages(d, a, ranges), _MESSAGES), _PAIRS)
+    return by_chunk.cogroup(told.unionByName(pairs).groupBy("chunk")).applyInArrow(lambda d, a: _scored(d, a, unknown, scale), _SCORES)

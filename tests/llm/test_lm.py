@@ -2,71 +2,14 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from tessera.llm import lm
 
 
-def plain(rows, target):
-    """The same models by dictionaries of words and pairs."""
-    def split(t):
-        return [w for w in (t or "").lower().replace("\n", " ").replace("\t", " ").split(" ") if w]
-
-    both = []
-    for use in (lambda i: i in target, lambda i: True):
-        uni, bi = Counter(), Counter()
-        for i, t in rows:
-            if use(i):
-                w = split(t)
-                uni.update(w)
-                bi.update(zip(w, w[1:]))
-        both.append((uni, bi))
-    words = {w for w, n in both[0][0].items() if n >= lm.LEAST}
-    pairs = {p for p, n in both[0][1].items() if n >= lm.LEAST}
-    models = []
-    for uni, bi in both:
-        total, known = sum(uni.values()), sum(uni[w] for w in words)
-        scale = total + len(words) + 1
-        context = Counter()
-        for p in pairs:
-            context[p[0]] += bi[p]
-        models.append((lambda w, uni=uni, scale=scale, total=total, known=known: (uni[w] + 1) / scale if w in words else (total - known + 1) / scale, bi, context))
-    out = []
-    for i, t in rows:
-        w = split(t)
-        loss = [0.0, 0.0]
-        for m, (p, bi, context) in enumerate(models):
-            for k, x in enumerate(w):
-                v = w[k - 1] if k else None
-                both_n = bi[v, x] if (v, x) in pairs else 0
-                loss[m] -= math.log2((both_n + lm.WEIGHT * p(x)) / ((context[v] if v in words else 0) + lm.WEIGHT))
-        out.append((i, len(w), *(round(x / max(1, len(w)), 6) for x in loss)))
-    return sorted(out, key=str)
-
-
-@pytest.mark.parametrize("few", [10, 2_000_000])
-def test_against_plain_models(spark, tmp_path, monkeypatch, few):
-    monkeypatch.setattr(lm, "FEW_IDS", few)
-    rng = random.Random(8)
-    words = ["The", "the", "a", "of", "cat", "dog", "é", "x1", *(f"w{k}" for k in range(60))]
-    rows = [(k, rng.choice([" ", "\n"]).join(rng.choices(words, weights=range(len(words), 0, -1), k=rng.randint(0, 40)))) for k in range(200)]
-    rows += [(None, "the cat"), (None, None), (300, None), (301, " "), (302, "the cat of a dog " * 3000), (5, rows[5][1])]
-    target = {k for k in range(0, 200, 3)}
-    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as chunk", "2 as score").repartition(5).write.parquet(f"{tmp_path}/d")
-    docs = spark.read.parquet(f"{tmp_path}/d")
-    ids = spark.createDataFrame([(k,) for k in [*target, None, 999, 0]], "doc_id long")
-    got = lm.cross_entropy_difference(docs, ids).collect()
-    assert sorted(((r.doc_id, r.n_tokens, round(r.target_loss, 6), round(r.background_loss, 6)) for r in got), key=str) == plain(rows, target)
-    assert all(abs(r.score - (r.target_loss - r.background_loss)) < 1e-12 for r in got)
-
-
-def test_empty(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "a b a b")], "doc_id long, text string")
-    none = docs.limit(0)
-    assert lm.cross_entropy_difference(none, none).count() == 0
-    assert [(r.n_tokens, r.score) for r in lm.cross_entropy_difference(docs, none).collect()][0][0] == 4
-
-
 def plain_whole(rows, target):
     """Both models over all their pairs, by dictionaries; the unknown word is None."""
     split = lambda t: (t or "").lower().replace("\n", " ").split()
@@ -123,3 +66,26 @@ def test_whole_empty(spark):
     none = docs.limit(0)
     assert lm.whole_difference(none, none).count() == 0
     assert [(r.n_tokens, r.score) for r in lm.whole_difference(docs, none).collect()] == [(4, 0.0)]
+
+
+def test_many_chunks_and_ranges(spark, tmp_path):
+    """Chunks of a few documents, one longer than a chunk, and many hash ranges give the same scores."""
+    rng = random.Random(10)
+    rows = [(k, " ".join(rng.choices([f"w{x}" for x in range(30)], k=rng.randint(0, 30)))) for k in range(120)] + [(500, "w1 w2 zz " * 900), (None, "w3 w4")]
+    target = set(range(0, 120, 4))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/d")
+    ids = spark.createDataFrame([(k,) for k in target], "doc_id long")
+    got = lm.whole_difference(spark.read.parquet(f"{tmp_path}/d"), ids, chunk=300, span=500)
+    assert "Exchange hashpartitioning(part" in got._jdf.queryExecution().toString()
+    assert sorted(((r.doc_id, r.n_tokens, round(r.target_loss, 6), round(r.background_loss, 6)) for r in got.collect()), key=str) == plain_whole(rows, target)
+
+
+def test_answers_of_another_chunk_are_refused():
+    words = [lm.Words([t], np.array([True])) for t in ("a b c", "a b d")]
+    sent = [m for k, w in enumerate(words) for m in w.asked.messages(k, 1)]
+    told = pa.Table.from_batches(list(lm._answers(iter([lm._rows(sent, lm._MESSAGE)]), lm._WORDS))).filter(pc.is_valid(pc.field("chunk")))
+    for k, w in enumerate(words):
+        own = told.filter(pc.field("chunk") == k)
+        assert sorted(lm._known(w, own)[2].tolist()) == [1, 2, 2]
+        with pytest.raises(RuntimeError):
+            lm._known(words[1 - k], own)
