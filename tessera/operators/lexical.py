@@ -1,17 +1,32 @@
-"""BM25 over a chunk table: statistics of the whole corpus, scores of a batch of questions."""
+"""BM25 over a chunk table: a stored index in blocks of chunks, and scores of a batch of questions from it.
+
+A block is one row: its chunks' keys and lengths, and for each of its terms the chunks that hold it. A batch of questions
+is dealt in blocks too; a task scores one pair of blocks as a product of two matrices and keeps that pair's best. So no
+posting travels, whatever the terms' frequencies: a stop word costs no more than its entries in the blocks.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
+from tessera.sources.shared import shared_dir
 
 #: Saturation, length weight, and the share of the mean idf that a negative idf becomes (fixed values).
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Chunks and tokens of a block at most (a longer chunk is one alone); terms of a block of questions, about.
+CHUNKS, TOKENS, TERMS = 2048, 1_000_000, 4096
+#: Up to so many (question, term) rows are broadcast; blocks of questions a task keeps at hand.
+SMALL, HELD = 200_000, 8
 
 
-def corpus_stats(chunks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def corpus_stats(chunks: DataFrame, text: str = "text") -> DataFrame:
     """One row: n chunks and their mean number of tokens."""
     return chunks.select(F.size(tokens(F.col(text))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
@@ -21,37 +36,165 @@ def document_frequencies(chunks: DataFrame, text: str = "text") -> DataFrame:
     return chunks.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def term_stats(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """(term, df, idf): a negative idf becomes a share of the mean over all terms; one of exactly 0 stays."""
-    df = document_frequencies(chunks, text)
-    n = corpus_stats(chunks, text=text).select("n")
-    raw = df.join(F.broadcast(n)).withColumn("idf0", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # n is one row
+def weighed(df: DataFrame, n: DataFrame) -> DataFrame:
+    """(term, df, idf) of (term, df) and one row (n): a negative idf becomes a share of the mean over all terms; 0 stays."""
+    raw = df.join(F.broadcast(n.select("n"))).withColumn("idf0", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # n is one row
     mean = raw.agg((F.lit(EPSILON) * F.avg("idf0")).alias("floor"))
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("idf0") < 0, F.col("floor")).otherwise(F.col("idf0")).alias("idf"))
 
 
-def postings(chunks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, term, tf, dl)."""
-    own = chunks.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return own.groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
+def term_stats(chunks: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df, idf) of a chunk table."""
+    return weighed(document_frequencies(chunks, text), corpus_stats(chunks, text))
+
+
+_BLOCK = "id long, n long, total long, dl binary, terms array<string>, df array<int>, chunks binary, tf binary"
+
+
+def _blocks(parts: Iterator[pa.RecordBatch], most: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of chunks (what is kept of them, terms) as rows of blocks; each partition fills blocks of its own."""
+    from pyspark import TaskContext
+
+    first, made = TaskContext.get().partitionId() << 32, 0
+
+    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        nonlocal made
+        t = pa.Table.from_batches(held)
+        terms = t["terms"].combine_chunks()
+        dl = pc.list_value_length(terms).to_numpy()
+        code = pc.dictionary_encode(terms.flatten())
+        order = pc.sort_indices(code.dictionary)
+        place = np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        pairs, tf = np.unique(place[code.indices.to_numpy()] * len(dl) + np.repeat(np.arange(len(dl)), dl), return_counts=True)
+        pack = lambda x: [x.astype("<i4").tobytes()]
+        row = {f.name: [t[f.name].to_pylist()] for f in schema if f.name.startswith("of_")}
+        row |= {"id": [first + made], "n": [len(dl)], "total": [int(dl.sum())], "dl": pack(dl), "terms": [code.dictionary.take(order).to_pylist()]}
+        row |= {"df": [np.bincount(pairs // len(dl), minlength=len(order)).tolist()], "chunks": pack(pairs % len(dl)), "tf": pack(tf)}
+        made += 1
+        return pa.RecordBatch.from_arrays([pa.array(row[f.name], f.type) for f in schema], schema=schema)
+
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+    for b in parts:
+        begin = 0
+        for k, n in enumerate(pc.list_value_length(b["terms"]).to_pylist()):
+            if rows and (rows == most or size + n > TOKENS):
+                yield block([*held, b.slice(begin, k - begin)])
+                held, begin, rows, size = [], k, 0, 0
+            rows, size = rows + 1, size + n
+        held.append(b.slice(begin))
+    if rows:
+        yield block(held)
+
+
+class _Questions:
+    """A block of questions: its distinct questions and terms, and the weight of each term in each question."""
+
+    def __init__(self, questions: pa.Array, terms: pa.Array, weights: np.ndarray) -> None:
+        q, t = pc.dictionary_encode(questions), pc.dictionary_encode(terms)
+        self.questions, self.terms = q.dictionary, t.dictionary
+        self.weights = np.zeros((len(self.questions), len(self.terms)))
+        np.add.at(self.weights, (q.indices.to_numpy(), t.indices.to_numpy()), weights)
+
+
+def _scores(block: dict, asked: _Questions, avgdl: float) -> np.ndarray:
+    """Scores of the chunks of a block (columns) for the questions of a block (rows), to six places."""
+    unpack = lambda c: np.frombuffer(block[c].as_py(), "<i4")
+    dl = unpack("dl")
+    at = pc.index_in(block["terms"].values, value_set=asked.terms)
+    hit = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+    ends = np.cumsum(block["df"].values.to_numpy())
+    begin, n = ends[hit] - block["df"].values.to_numpy()[hit], block["df"].values.to_numpy()[hit]
+    row = np.repeat(np.arange(len(hit)), n)
+    entry = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+    chunk, tf = unpack("chunks")[entry], unpack("tf")[entry]
+    part = np.zeros((len(hit), len(dl)))
+    part[row, chunk] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[chunk] / (avgdl or 1.0)))
+    return np.round(asked.weights[:, at.take(pa.array(hit)).to_numpy(zero_copy_only=False).astype(int)] @ part, 6)
+
+
+def _best(parts: Iterator[pa.RecordBatch], avgdl: float, top_k: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The top_k of each question in each block of chunks, of rows that pair blocks with blocks of questions."""
+    built: dict[int, _Questions] = {}
+    for b in parts:
+        for k in range(b.num_rows):
+            row = {c: b[c][k] for c in b.schema.names}
+            qb = row["qb"].as_py()
+            if qb not in built:
+                if len(built) == HELD:
+                    built.clear()
+                built[qb] = _Questions(row["of_query"].values, row["of_term"].values, row["weights"].values.to_numpy())
+            asked = built[qb]
+            s = _scores(row, asked, avgdl)
+            if "allowed" in row:
+                s = np.where(row["allowed"].values.to_numpy(zero_copy_only=False).astype(bool), s, 0.0)
+            keys = row["of_key"].values
+            least = np.partition(s, s.shape[1] - top_k, axis=1)[:, s.shape[1] - top_k] if s.shape[1] > top_k else np.zeros(len(s))
+            out: tuple[list, list, list] = ([], [], [])
+            for q in np.flatnonzero((s > 0).any(axis=1)).tolist():
+                may = np.flatnonzero((s[q] > 0) & (s[q] >= least[q]))
+                for score, key in sorted(zip((-s[q][may]).tolist(), keys.take(pa.array(may)).to_pylist(), strict=True))[:top_k]:
+                    out[0].append(q)
+                    out[1].append(key)
+                    out[2].append(-score)
+            yield pa.RecordBatch.from_arrays([asked.questions.take(pa.array(out[0], pa.int64())), pa.array(out[1], schema.field(1).type), pa.array(out[2], pa.float64())], schema=schema)
+
+
+class LexicalIndex:
+    """A stored index under a path: blocks, terms (term, df, idf) and stats (n, avgdl). It is whole once it has its stats."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        """Open an index; a missing or unfinished one is an AnalysisException."""
+        self.spark, self.path = spark, path
+        self.blocks, self.terms = spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/terms")
+        self.n, self.avgdl = spark.read.parquet(f"{path}/stats").select("n", "avgdl").first()
+
+    @classmethod
+    def build(cls, chunks: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), most: int = CHUNKS) -> LexicalIndex:
+        """Index chunks by their key; what an unfinished build left under the path is written anew. `keep` names columns that a search may filter by. Null texts count, without tokens."""
+        spark = chunks.sparkSession
+        own = chunks.select(F.col(key).alias("of_key"), *[F.col(c).alias(f"of_{c}") for c in keep], tokens(F.col(text)).alias("terms"))
+        head = ", ".join(f"{f.name} array<{f.dataType.simpleString()}>" for f in own.schema if f.name.startswith("of_"))
+        layout = f"{head}, {_BLOCK}"
+        schema = spark.createDataFrame([], layout).toArrow().schema
+        own.mapInArrow(lambda p: _blocks(p, most, schema), layout).write.mode("overwrite").parquet(f"{path}/blocks")
+        blocks = spark.read.parquet(f"{path}/blocks")
+        total = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("total") / F.sum("n")).alias("avgdl"))
+        counted = blocks.select(F.explode(F.arrays_zip("terms", "df")).alias("t")).groupBy("t.terms").agg(F.sum("t.df").alias("df")).withColumnRenamed("terms", "term")
+        weighed(counted, total).write.mode("overwrite").parquet(f"{path}/terms")
+        total.write.mode("overwrite").parquet(f"{path}/stats")
+        return cls(spark, path)
+
+    def search(self, questions: DataFrame, top_k: int, where: Callable[[Column], Column] | None = None, key: str = "doc_id", question_key: str = "query_id", question: str = "question") -> DataFrame:
+        """(question_key, key, score, rank) of the top_k positive scores of each question; ties go by key.
+
+        `where` tells by a kept chunk's columns whether it is a candidate: statistics stay those of all chunks. A question's
+        repeated tokens count each. The questions' terms are counted when the plan is made, to deal them in blocks.
+        """
+        asked = questions.select(question_key, F.explode(tokens(F.col(question))).alias("term")).groupBy(question_key, "term").agg(F.count("*").alias("qtf"))
+        size = asked.count()
+        n = max(1, -(-size // TERMS))
+        of_term = self.terms.select("term", "idf").join(F.broadcast(asked) if size <= SMALL else asked, "term")
+        own = of_term.select(F.pmod(F.xxhash64(question_key), F.lit(n)).cast("int").alias("qb"), F.struct(F.col(question_key).alias("q"), F.col("term").alias("t"), (F.col("qtf") * F.col("idf")).alias("w")).alias("a"))
+        dealt = own.groupBy("qb").agg(F.collect_list("a").alias("a")).select("qb", F.col("a.q").alias("of_query"), F.col("a.t").alias("of_term"), F.col("a.w").alias("weights"))
+        kept = [c for c in self.blocks.columns if c.startswith("of_") and c != "of_key"]
+        allowed = [] if where is None else [F.transform(F.arrays_zip(*[F.col(c).alias(c[3:]) for c in kept]), lambda c: F.coalesce(where(c), F.lit(False))).alias("allowed")]
+        every = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("qb")
+        blocks = self.blocks.select("of_key", "dl", "terms", "df", "chunks", "tf", *allowed, every)
+        kinds = (questions.schema[question_key].dataType, self.blocks.schema["of_key"].dataType.elementType)
+        layout = f"{question_key} {kinds[0].simpleString()}, {key} {kinds[1].simpleString()}, score double"
+        schema = self.spark.createDataFrame([], layout).toArrow().schema
+        avgdl = self.avgdl
+        found = blocks.join(F.broadcast(dealt) if size <= SMALL else dealt, "qb").mapInArrow(lambda p: _best(p, avgdl, top_k, schema), layout)
+        rank = F.row_number().over(Window.partitionBy(question_key).orderBy(F.desc("score"), key))
+        return found.withColumn("rank", rank).where(F.col("rank") <= top_k)
 
 
 def bm25(chunks: DataFrame, questions: DataFrame, top_k: int, where: Column | None = None, key: str = "doc_id", text: str = "text", question_key: str = "query_id", question: str = "question") -> DataFrame:
-    """(question_key, key, score, rank) of the top_k positive scores of each question; ties go by key.
-
-    `where` restricts candidates only: statistics are those of all chunks. A question's repeated tokens count each.
-    Only postings of the questions' terms are built. An empty corpus gives no rows.
-    """
-    asked = questions.select(question_key, F.explode(tokens(F.col(question))).alias("term")).groupBy(question_key, "term").agg(F.count("*").alias("qtf"))
-    stats = term_stats(chunks, text).join(asked.select("term").distinct(), "term", "left_semi")
-    weighed = asked.join(stats.select("term", "idf"), "term")
-    pool = chunks if where is None else chunks.where(where)
-    wanted = asked.select("term").distinct()
-    own = pool.select(key, tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
-    hits = own.join(wanted, "term", "left_semi").groupBy(key, "term", "dl").agg(F.count("*").alias("tf"))
-    mean = corpus_stats(chunks, text=text).select("avgdl")
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
-    scored = hits.join(weighed, "term").join(F.broadcast(mean)).groupBy(question_key, key).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    rank = F.row_number().over(Window.partitionBy(question_key).orderBy(F.desc("score"), key))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= top_k)
+    """LexicalIndex.search over an index made for this call in the shared folder; `where` is a condition on chunks."""
+    spark = chunks.sparkSession
+    path = f"{shared_dir(spark)}/bm25-{spark.sql('select uuid() as u').first()['u']}"
+    own = chunks if where is None else chunks.withColumn("candidate_", F.coalesce(where, F.lit(False)))
+    index = LexicalIndex.build(own, path, key, text, () if where is None else ("candidate_",))
+    return index.search(questions, top_k, None if where is None else lambda c: c["candidate_"], key, question_key, question)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from tessera.functions.text import tokens
 from tessera.operators import evaluation, fusion, lexical, vector
 from tessera.plans import sql
+from tessera.sources.shared import shared_dir
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +20,18 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
+def index(spark: SparkSession, sf_dir: str) -> lexical.LexicalIndex:
+    """The index of documents: made once for these files, kept in the shared folder, opened by later queries."""
+    docs = read(spark, sf_dir, "documents")
+    files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = files.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time")).alias("h")).first()
+    path = f"{shared_dir(spark)}/documents-{spark.sparkContext.applicationId}-{state['n']}-{state['h']}"
+    try:
+        return lexical.LexicalIndex(spark, path)
+    except AnalysisException:
+        return lexical.LexicalIndex.build(docs, path, keep=("lang",))
+
+
 EN = "lang = 'en'"
 QUESTIONS = "q AS (SELECT item_id AS query_id, text AS question FROM benchmark)"
 
@@ -28,15 +42,15 @@ def tokenize_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.term_stats(read(spark, sf_dir, "documents")).select("term", "df", F.round("idf", 6).alias("idf"))
+    return index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25(read(spark, sf_dir, "documents"), questions(spark, sf_dir), fusion.TOP_K)
+    return index(spark, sf_dir).search(questions(spark, sf_dir), fusion.TOP_K)
 
 
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25(read(spark, sf_dir, "documents"), questions(spark, sf_dir), fusion.TOP_K, where=F.col("lang") == "en")
+    return index(spark, sf_dir).search(questions(spark, sf_dir), fusion.TOP_K, where=lambda c: c["lang"] == "en")
 
 
 def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +70,8 @@ def vector_arm(spark: SparkSession, sf_dir: str):  # noqa: ANN201
 
 
 def bm25_arm(spark: SparkSession, sf_dir: str):  # noqa: ANN201
-    docs = read(spark, sf_dir, "documents")
-    return lambda subs, depth: lexical.bm25(docs, subs.select("sub_id", "text"), depth, question_key="sub_id", question="text")
+    own = index(spark, sf_dir)
+    return lambda subs, depth: own.search(subs.select("sub_id", "text"), depth, question_key="sub_id", question="text")
 
 
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,14 +129,14 @@ def weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def known_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A golden set: each passage's best document is what a shorter question should find."""
-    best = lexical.bm25(read(spark, sf_dir, "documents"), questions(spark, sf_dir), 1)
+    best = index(spark, sf_dir).search(questions(spark, sf_dir), 1)
     kind = F.when(F.col("query_id") % 2 == 0, "direct").otherwise("exact_token")
     return best.select("query_id", kind.alias("type"), F.array(F.col("doc_id").cast("string")).alias("expected_sections"))
 
 
 def short_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = questions(spark, sf_dir).withColumn("question", F.array_join(F.slice(tokens(F.col("question")), 3, 4), " "))
-    found = lexical.bm25(read(spark, sf_dir, "documents"), q, 6)
+    found = index(spark, sf_dir).search(q, 6)
     return found.select("query_id", "rank", F.col("doc_id").cast("string").alias("section_number"))
 
 

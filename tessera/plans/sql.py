@@ -12,12 +12,13 @@ def tokens(c: str) -> str:
 def corpus() -> str:
     """CTEs t (tokens of each document), post (postings), st (corpus) and terms (idf)."""
     return f"""
-t AS (SELECT doc_id, lang, {tokens('text')} AS ts FROM documents),
-post AS (SELECT doc_id, lang, len(ts) AS dl, term, count(*) AS tf FROM (SELECT doc_id, lang, ts, unnest(ts) AS term FROM t) GROUP BY doc_id, lang, ts, term),
-st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM t),
+t AS MATERIALIZED (SELECT doc_id, lang, {tokens('text')} AS ts FROM documents),
+post AS MATERIALIZED (SELECT doc_id, lang, dl, term, count(*) AS tf FROM (SELECT doc_id, lang, len(ts) AS dl, unnest(ts) AS term FROM t) GROUP BY doc_id, lang, dl, term),
+st AS MATERIALIZED (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM t),
 df AS (SELECT term, count(DISTINCT doc_id) AS df FROM post GROUP BY term),
-idf0 AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS i FROM df, st),
-terms AS (SELECT term, df, CASE WHEN i < 0 THEN (SELECT 0.25 * avg(i) FROM idf0) ELSE i END AS idf FROM idf0)"""
+idf0 AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS i FROM df, st),
+mean AS MATERIALIZED (SELECT 0.25 * avg(i) AS m FROM idf0),
+terms AS MATERIALIZED (SELECT term, df, CASE WHEN i < 0 THEN m ELSE i END AS idf FROM idf0, mean)"""
 
 
 def bm25(name: str, questions: str, k: int, where: str = "true", key: str = "query_id") -> str:
