@@ -22,7 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import mix, shared_dir, slices, word_hashes
+from tessera.llm.common import mix, slices, word_hashes
+from tessera.sources.shared import shared_dir
 
 #: Least count in the target; weight of the words in a pair's probability; up to so many target ids are broadcast.
 LEAST, WEIGHT, FEW_IDS = 2, 5.0, 2_000_000

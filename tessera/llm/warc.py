@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, shared_dir
+from tessera.llm.common import cut
+from tessera.sources.shared import shared_dir
 
 #: Captures of an archive; up to this many groups of equal payloads are broadcast; least bytes of a revisited payload.
 PER_ARCHIVE, FEW_GROUPS, LEAST_BYTES = 4000, 10_000, 0
