@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import logging
+import os
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 log = logging.getLogger(__name__)
+DEFAULT_PATH = "logs/audit"
 
 
 def events(answered: DataFrame, raw: bool = False, at: Column | None = None) -> DataFrame:
@@ -37,6 +39,16 @@ def events(answered: DataFrame, raw: bool = False, at: Column | None = None) ->
     return answered.select(*[c.alias(n) for n, c in cols.items()])
 
 
+def path(given: str | None = None) -> str:
+    """Where events go: the given path, else AUDIT_LOG_PATH, else the default."""
+    return given or os.environ.get("AUDIT_LOG_PATH") or DEFAULT_PATH
+
+
+def keeps_texts() -> bool:
+    """Whether questions are logged as texts too (AUDIT_LOG_RAW_QUERIES=1)."""
+    return os.environ.get("AUDIT_LOG_RAW_QUERIES") == "1"
+
+
 def append(told: DataFrame, path: str) -> bool:
     """Append events as JSON lines; a failure is a warning only."""
     try:

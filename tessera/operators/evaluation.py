@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,7 +109,7 @@ _JUDGED = "struct<claims:array<struct<claim:string,verdict:string>>>"
 
 
 def judge_record(raw: Column) -> Column:
-    """A judge's answer as struct(ok, error_type, n_claims, supported, unsupported, unclear, faithfulness).
+    """A judge's answer as struct(ok, error_type, n_claims, supported, unsupported, unclear, faithfulness, claims).
 
     Null is a failed call (api); what holds no JSON object with a list of claims that all have a text is a parse error.
     Verdicts other than supported and unsupported are unclear; without claims there is no faithfulness.
@@ -124,6 +123,7 @@ def judge_record(raw: Column) -> Column:
     return F.struct(
         good.alias("ok"), F.when(raw.isNull(), "api").when(~good, "parse").alias("error_type"), zero(n).alias("n_claims"), zero(yes).alias("supported"),
         zero(no).alias("unsupported"), zero(n - yes - no).alias("unclear"), F.when(good & (n > 0), yes / n).alias("faithfulness"),
+        F.when(good, claims).alias("claims"),
     )
 
 
@@ -171,13 +171,14 @@ def is_canonical(run: dict) -> bool:
     """Whether a run may stand as the published one: all its parts done, nothing failed, default depth.
 
     run has: answerable (by set), modes, distinct_files, refusals_scored, completeness_scored, top_k, generation_errors,
-    expansion_attempts, expansion_fallbacks, lexical_loaded, judge (attempted and errors by set).
+    expansion_attempts, expansion_fallbacks, lexical_loaded, lexical_needed (whether a retrieval of ours was in play), judge
+    (attempted and errors by set).
     """
     sets = run["answerable"]
     judged = run["judge"]
     return all((
         sets.get("heldout", 0) > 0, sets.get("realistic", 0) > 0, set(run["modes"]) == set(MODES), run["distinct_files"], run["refusals_scored"], run["completeness_scored"],
-        run["top_k"] == 6, run["generation_errors"] == 0, run["expansion_attempts"] > 0, run["expansion_fallbacks"] == 0, run["lexical_loaded"],
+        run["top_k"] == 6, run["generation_errors"] == 0, run["expansion_attempts"] > 0, run["expansion_fallbacks"] == 0, run["lexical_loaded"] or not run["lexical_needed"],
         bool(judged) and all(j["attempted"] > 0 and j["errors"] == 0 for j in judged.values()),
     ))
 
@@ -190,6 +191,3 @@ def wilson_value(hits: int, n: int) -> tuple[float, float]:
     c, h = (p + Z * Z / (2 * n)) / d, Z / d * math.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))
     return max(0.0, c - h), min(1.0, c + h)
 
-
-def all_of(conditions: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)

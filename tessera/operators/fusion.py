@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import fold, strip
 
+log = logging.getLogger(__name__)
 #: Rank constant, least candidates of a list, default results, rewrite budget, intent weight and its bound (fixed values).
 RRF_K, POOL, TOP_K, REWRITE_WEIGHT, INTENT_WEIGHT, MOST_INTENT = 60, 12, 6, 0.5, 0.25, 0.5
 MODES = ("hybrid", "vector", "bm25")
@@ -71,7 +73,10 @@ def retrieve(subs: DataFrame, arms: dict[str, Callable[[DataFrame, int], DataFra
     lists = []
     for place, name in enumerate(("vector", "bm25")):
         if mode in ("hybrid", name) and name in arms:
-            found = arms[name](subs, depth).select("sub_id", key, "rank")
+            found = arms[name](subs, depth)
+            if found is None:
+                continue
+            found = found.select("sub_id", key, "rank")
             lists.append(found.join(subs.select("sub_id", "query_id", "ord", "weight"), "sub_id").select("query_id", (F.lit(place * 1000) + F.col("ord")).alias("list_ord"), "weight", key, "rank"))
     if not lists:
         return subs.limit(0).select("query_id", F.lit(None).cast("long").alias(key), F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
@@ -81,6 +86,21 @@ def retrieve(subs: DataFrame, arms: dict[str, Callable[[DataFrame, int], DataFra
     return rrf(both, key, top_k)
 
 
+def tolerant(arm: Callable[[DataFrame, int], DataFrame], name: str) -> Callable[[DataFrame, int], DataFrame]:
+    """The arm, run at once; where it fails it gives no rows, and a warning."""
+
+    def run(subs: DataFrame, depth: int) -> DataFrame | None:
+        try:
+            found = arm(subs, depth).cache()
+            found.count()
+        except Exception as e:  # noqa: BLE001  one arm must not fail the others
+            log.warning("the %s arm failed: %s", name, e)
+            return None
+        return found
+
+    return run
+
+
 def page_text(start: Column, end: Column) -> Column:
     """'' without pages, p.N for one, pp.lo–hi for a range."""
     lo, hi = F.least(start, end), F.greatest(start, end)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tessera.functions.text import chunk_id
+from tessera.operators.lexical import LexicalIndex
+
+log = logging.getLogger(__name__)
 
 METADATA = ("title", "document_type", "chapter_number", "chapter_title", "section_number", "parent_section", "heading", "page_start", "page_end")
 
@@ -66,37 +72,63 @@ def merged(desired: DataFrame, stored: DataFrame, changes: DataFrame) -> DataFra
     return rest.unionByName(kept).unionByName(new, allowMissingColumns=True)
 
 
+#: Columns that a chunk table has, with nulls where its sources have none.
+COLUMNS = {"title": "string", "document_type": "string", "chapter_number": "int", "chapter_title": "string", "section_number": "string", "parent_section": "string", "heading": "string", "page_start": "int", "page_end": "int"}
+
+
 class Store:
-    """Versions of a chunk table under one path. A version is whole once the pointer names it, so a crash loses nothing."""
+    """Versions of a chunk table under one path, each with its word index. A version is whole once the pointer names it, so
+    a crash loses nothing."""
 
     def __init__(self, spark: SparkSession, path: str, model: str | None = None) -> None:
         self.spark, self.path, self.model = spark, path, model
 
-    def _latest(self) -> str | None:
+    def _latest(self, column: str = "name") -> str | None:
         try:
-            return self.spark.read.json(f"{self.path}/versions").agg(F.max_by("name", "at").alias("n")).first()["n"]
+            return self.spark.read.schema("name string, at long, model string").json(f"{self.path}/versions").agg(F.max_by(column, "at").alias("n")).first()["n"]
         except AnalysisException:
             return None
 
-    def read(self) -> DataFrame | None:
-        """The chunks, or None if there is no whole version."""
+    def read(self, ids: DataFrame | None = None, source: str | None = None, columns: Sequence[str] | None = None) -> DataFrame | None:
+        """The chunks, or None if there is no whole version; of some ids (chunk_id), of one source, or some columns only.
+
+        Rows have a number (pos) in the order of source and chunk_ord. Metadata columns that no source has are null.
+        """
         name = self._latest()
-        return None if name is None else self.spark.read.parquet(f"{self.path}/{name}")
+        if name is None:
+            return None
+        own = self.spark.read.parquet(f"{self.path}/{name}")
+        own = own.withColumns({c: F.lit(None).cast(t) for c, t in COLUMNS.items() if c not in own.columns})
+        own = own if source is None else own.where(F.col("source") == source)
+        own = own if ids is None else own.join(ids.select("chunk_id"), "chunk_id", "left_semi")
+        return own if columns is None else own.select(*columns)
+
+    def lexical(self) -> LexicalIndex | None:
+        """The word index of the latest version; None, with a warning, if it has none that can be read."""
+        name = self._latest()
+        try:
+            return None if name is None else LexicalIndex(self.spark, f"{self.path}/{name}-words")
+        except Exception as e:  # noqa: BLE001  a missing or broken index leaves the other arm
+            log.warning("the word index of %s cannot be read: %s", name, e)
+            return None
 
     def check_model(self, model: str) -> bool:
-        """Whether the store was made with this embedding model; one that does not say passes (False)."""
-        try:
-            made = self.spark.read.json(f"{self.path}/versions").agg(F.max_by("model", "at").alias("m")).first()["m"]
-        except AnalysisException:
-            return False
+        """Whether the store was made with this embedding model; one that does not say passes, with a warning (False)."""
+        made = self._latest("model")
         if made is not None and made != model:
             raise ValueError(f"the store was made with {made}, not {model}")
+        if made is None:
+            log.warning("the store does not say which model made it")
         return made is not None
 
     def write(self, chunks: DataFrame) -> str:
+        """A new version: chunks in their order, then their word index, then the pointer."""
         stamp = self.spark.sql("select unix_micros(current_timestamp()) as at, uuid() as u").first()
         name = f"v{stamp['at']}-{stamp['u'][:8]}"
-        chunks.write.parquet(f"{self.path}/{name}")
+        chunks.drop("pos").orderBy("source", "chunk_ord", "chunk_id").withColumn("pos", F.monotonically_increasing_id()).write.parquet(f"{self.path}/{name}")
+        stored = self.spark.read.parquet(f"{self.path}/{name}")
+        kind = F.col("document_type") if "document_type" in stored.columns else F.lit(None).cast("string")
+        LexicalIndex.build(stored.withColumn("document_type", kind), f"{self.path}/{name}-words", "pos", keep=("document_type",))
         self.spark.range(1).select(F.lit(name).alias("name"), F.lit(stamp["at"]).alias("at"), F.lit(self.model).alias("model")).write.mode("append").json(f"{self.path}/versions")
         return name
 
@@ -104,7 +136,7 @@ class Store:
         """Merge chunks of some sources; returns the counts. Without changes nothing is written."""
         desired = with_ids(desired)
         stored = self.read()
-        stored = desired.limit(0) if stored is None else stored
+        stored = desired.limit(0) if stored is None else stored.drop("pos")
         changes = diff(desired, stored)
         told = counts(changes).cache()
         if told.where("added + updated + deleted > 0").limit(1).count():
@@ -112,6 +144,6 @@ class Store:
         return told
 
     def clear(self) -> None:
-        """Forget all versions."""
+        """Forget all versions; there may be none."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -2,17 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+import logging
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import audit, chunking, evaluation, expansion, fusion, grounding, lexical, pages, vector
+from tessera.operators import audit, chunking, expansion, fusion, grounding, pages, vector
+from tessera.operators.lexical import LexicalIndex
 from tessera.operators.store import Store
+from tessera.sources import files
 
+log = logging.getLogger(__name__)
 Embedder = Callable[[], Callable[[list[str]], list[list[float]]]]
 
+#: What a language model is told: its part, and how a refusal and a caveat must read.
+PROMPT = f"""Answer the question from the context below and from nothing else. After each statement give the bracketed locator of
+its source exactly as the source's header shows it. If the context answers only a part, say what it leaves out. If it holds
+only guidance close to the question, begin with: "{grounding.CAVEAT_PREFIX}" If it holds nothing that bears on it, answer
+"{grounding.REFUSAL_PHRASE.capitalize()}." and nothing more.
+
+Context:
+"""
+#: What is shown in place of a draft.
+NO_RESULTS = "No relevant documents found. Please index some documents first."
+WITHHELD = "The draft was withheld: its citations could not be matched to the retrieved sources."
+
+
+@dataclass
+class Context:
+    """A store opened once: its chunks and its word index (None if it has none)."""
+
+    chunks: DataFrame
+    words: LexicalIndex | None
+
 
 @dataclass
 class Engine:
@@ -24,78 +49,134 @@ class Engine:
     model: str = "stand-in"
     llm: Callable[[str], str] | None = None
     rewriter: Callable[[str], str] | None = None
+    reader: files.Reader | None = None
+    fetcher: Callable[[str], str] = files.get
+    opened: Context | None = field(default=None, repr=False)
 
     @property
     def store(self) -> Store:
         return Store(self.spark, self.path, self.model)
 
-    def index_handbook(self, raw_pages: DataFrame, title: str) -> DataFrame:
-        """Clean, chunk and merge paged sources; returns the counts. Without chunks the store is left alone."""
+    def index(self, path: str, document_type: str, reset: bool = False) -> DataFrame:
+        """Load a file, folder or URL by its route, chunk it and merge it; returns the counts (source, added, updated, deleted).
+
+        Chunks are made before a reset clears the store, and without chunks the store is left as it is.
+        """
+        kind = files.route(path, document_type)
+        docs = files.load(self.spark, path, document_type, self.reader, self.fetcher)
+        return self._sync(chunking.chunk_handbook(docs) if kind == "handbook" else chunking.chunk_legislation(docs), reset)
+
+    def index_handbook(self, raw_pages: DataFrame, title: str, reset: bool = False) -> DataFrame:
+        """Clean, chunk and merge paged sources (source, page_number, text)."""
         docs = pages.extract(raw_pages).withColumns({"title": F.lit(title), "document_type": F.lit("handbook")})
-        return self._sync(chunking.chunk_handbook(docs))
+        return self._sync(chunking.chunk_handbook(docs), reset)
 
-    def index_documents(self, documents: DataFrame) -> DataFrame:
+    def index_documents(self, documents: DataFrame, reset: bool = False) -> DataFrame:
         """Chunk and merge flat documents (source, title, document_type, text)."""
-        return self._sync(chunking.chunk_legislation(documents))
-
-    def _sync(self, chunks: DataFrame) -> DataFrame:
-        if not chunks.limit(1).count():
-            raise ValueError("no chunks: the store is left as it is")
-        return self.store.sync(vector.embed(chunks, model=self.embedder))
-
-    def retrieve(self, questions: DataFrame, mode: str = "hybrid", top_k: int = fusion.TOP_K, intent_weight: float = fusion.INTENT_WEIGHT, document_type: str | None = None) -> DataFrame:
-        """(query_id, rank, score, chunk columns) of questions (query_id, question, rewrites, intent)."""
-        fusion.check(mode, top_k, intent_weight)
-        self.store.check_model(self.model)
-        chunks = self.store.read()
-        if chunks is None:
-            raise ValueError(f"no store at {self.path}")
-        where = None if document_type is None else F.col("document_type") == document_type
-        pool = chunks if where is None else chunks.where(where)
-        # Ranks need numbers for ties: corpus order is that of source and chunk_ord, carried in a sortable key.
-        key = F.concat_ws("\x01", "source", F.lpad(F.col("chunk_ord").cast("string"), 9, "0"))
-        keyed, pool = chunks.withColumn("key", key), pool.withColumn("key", key)
-        number = pool.select("key", F.xxhash64("key").alias("doc"), "embedding")
+        return self._sync(chunking.chunk_legislation(documents), reset)
+
+    def _sync(self, chunks: DataFrame, reset: bool) -> DataFrame:
+        made = chunks.cache()
+        if not made.limit(1).count():
+            log.warning("no chunks: the store is left as it is")
+            return self.spark.createDataFrame([], "source string, added long, updated long, deleted long")
+        ready = vector.embed(made, model=self.embedder)
+        if reset:
+            self.store.clear()
+        self.opened = None
+        return self.store.sync(ready)
+
+    def open(self) -> Context:
+        """The store's chunks and word index, opened at the first call and kept until the next merge."""
+        if self.opened is None:
+            chunks = self.store.read()
+            if chunks is None:
+                raise ValueError(f"no store at {self.path}")
+            self.store.check_model(self.model)
+            self.opened = Context(chunks, self.store.lexical())
+        return self.opened
+
+    def retrieve(self, questions: DataFrame, mode: str = "hybrid", top_k: int = fusion.TOP_K, intent_weight: float = fusion.INTENT_WEIGHT, document_type: str | None = None, strict: bool = False) -> DataFrame:
+        """(query_id, rank, score, chunk columns) of questions (query_id, question, rewrites, intent).
+
+        Bad parameters are errors before anything is read; the intent's weight matters only where there is an intent. An arm
+        that fails gives nothing, with a warning, unless strict. Ties go by the order of the store.
+        """
+        fusion.check(mode, top_k)
+        if not 0 <= intent_weight <= fusion.MOST_INTENT and questions.where("trim(intent) <> ''").limit(1).count():
+            fusion.check(mode, top_k, intent_weight)
+        store = self.open()
+        pool = store.chunks if document_type is None else store.chunks.where(F.col("document_type") == document_type)
 
         def by_vector(subs: DataFrame, depth: int) -> DataFrame:
             asked = vector.embed(subs.select("sub_id", "text"), model=self.embedder).select(F.xxhash64("sub_id").alias("query_id"), "sub_id", "embedding")
-            found = vector.knn(number.select("doc", "embedding"), asked.select("query_id", "embedding"), depth, key="doc")
-            return found.join(asked.select("query_id", "sub_id"), "query_id").join(number.select("doc", "key"), "doc").select("sub_id", "key", "rank")
+            found = vector.knn(pool.select("pos", "embedding"), asked.select("query_id", "embedding"), depth, key="pos")
+            return found.join(asked.select("query_id", "sub_id"), "query_id")
 
         def by_words(subs: DataFrame, depth: int) -> DataFrame:
-            return lexical.bm25(keyed, subs.select("sub_id", "text"), depth, where=where, key="key", question_key="sub_id", question="text")
-
-        found = fusion.retrieve(fusion.sub_queries(questions, intent_weight), {"vector": by_vector, "bm25": by_words}, mode, top_k, key="key")
-        return found.join(keyed.drop("embedding"), "key").drop("key")
-
-    def answer(self, questions: DataFrame, top_k: int = fusion.TOP_K, override: bool = False, log_to: str | None = None) -> DataFrame:
-        """(query_id, action, shown, citations): expansion, retrieval, generation, verification and display of a batch."""
+            where = None if document_type is None else lambda c: c["document_type"] == document_type
+            return store.words.search(subs.select("sub_id", "text"), depth, where, "pos", "sub_id", "text")
+
+        arms = {"vector": by_vector} | ({"bm25": by_words} if store.words else {})
+        if mode in ("hybrid", "bm25") and not store.words:
+            log.warning("the store has no word index: %s", "vectors only" if mode == "hybrid" else "no results")
+        subs = fusion.sub_queries(questions, intent_weight)
+        found = fusion.retrieve(subs, arms if strict else {n: fusion.tolerant(a, n) for n, a in arms.items()}, mode, top_k, key="pos")
+        return found.join(store.chunks.drop("embedding"), "pos").drop("pos")
+
+    def generate(self, asked: DataFrame, found: DataFrame, attempts: int = 1, every: bool = False) -> DataFrame:
+        """(query_id, question, context, answer, error, citations, grounded, ungrounded, gate_outcome) of questions with results.
+
+        The language model is asked once for a question, and again after a failure up to the attempts; what still fails has a
+        null answer and the last failure in error. Questions without results have no row, or with `every` an empty context.
+        """
         if self.llm is None:
             raise ValueError("no language model was given")
-        asked = expansion.expand(questions, self.rewriter).cache()
-        found = self.retrieve(asked, top_k=top_k).cache()
-        header = F.when(F.col("document_type") == "handbook", fusion.handbook_header(F.col("section_number"), F.col("page_start"), F.col("page_end"))).otherwise(fusion.generic_header(F.col("rank"), F.col("title"), F.col("section_number"), F.col("source")))
-        told = fusion.context(found.select("query_id", "rank", header.alias("header"), "text"), asked)
         llm = self.llm
-        prompt = F.concat("context", F.lit("\n\nQuestion: "), "question")
-        drafts = asked.join(told, "query_id").select("query_id", "question", F.pandas_udf(lambda s: s.map(llm), "string")(prompt).alias("answer"))
-        gated = grounding.gate(grounding.verify(drafts.select("query_id", "answer"), found.select("query_id", "section_number", "page_start", "page_end"))).cache()
-        has = gated.join(found.select("query_id").distinct().withColumn("has", F.lit(True)), "query_id", "left").withColumn("has", F.coalesce("has", F.lit(False)))
-        out = grounding.display(has, F.col("has"), override)
-        if log_to:
-            rows = gated.join(out.select("query_id", "action"), "query_id").join(asked.select("query_id", "question", "rewrites", F.col("status").alias("rewrite_status"), "intent"), "query_id")
-            got = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "section_number", "page_start", "page_end", "score"))).alias("retrieved"))
-            rows = rows.join(got, "query_id", "left").withColumns({"top_k": F.lit(top_k), "document_type": F.lit(None).cast("string"), "n_grounded": F.size("grounded"), "n_ungrounded": F.size("ungrounded")})
-            audit.append(audit.events(rows), log_to)
+        header = F.when(F.col("document_type") == "handbook", fusion.handbook_header(F.col("section_number"), F.col("page_start"), F.col("page_end"))).otherwise(fusion.generic_header(F.col("rank"), F.col("title"), F.col("section_number"), F.col("source")))
+        told = fusion.context(found.select("query_id", "rank", header.alias("header"), "text"), asked if every else found.select("query_id").distinct())
+        prompt = F.concat(F.lit(PROMPT), "context", F.lit("\n\nQuestion: "), "question")
+
+        def call(text: str) -> tuple[str | None, str | None]:
+            for _ in range(attempts):
+                try:
+                    return llm(text), None
+                except Exception as e:  # noqa: BLE001  any failure of the provider is a row, not a failure of the batch
+                    error = f"{type(e).__name__}: {e}"
+            return None, error
+
+        def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for s in parts:
+                yield pd.DataFrame([call(t) for t in s], columns=["answer", "error"])
+
+        drafts = asked.select("query_id", "question").join(told, "query_id").withColumn("d", F.pandas_udf(run, "answer string, error string")(prompt)).select("query_id", "question", "context", "d.*").cache()
+        checked = grounding.gate(grounding.verify(drafts.where("error is null").select("query_id", "answer"), found.select("query_id", "section_number", "page_start", "page_end")))
+        return drafts.join(checked.drop("answer"), "query_id", "left")
+
+    def answer(self, questions: DataFrame, top_k: int = fusion.TOP_K, override: bool = False, log_to: str | None = None, document_type: str | None = None, intent_weight: float = fusion.INTENT_WEIGHT, rewrite: bool = True) -> DataFrame:
+        """(query_id, action, shown, citations, gate_outcome, answer_chars) of questions (query_id, question).
+
+        Expansion, retrieval, generation, verification and display. A draft that is not shown is in no column: a notice
+        stands for it, as for a question without results, which is not generated for. A failing language model fails the batch.
+        """
+        fusion.check("hybrid", top_k)
+        asked = expansion.expand(questions, self.rewriter, enabled=rewrite).cache()
+        found = self.retrieve(asked, top_k=top_k, document_type=document_type, intent_weight=intent_weight).cache()
+        drafts = self.generate(asked, found)
+        failed = drafts.where("error is not null").select("error").first()
+        if failed:
+            raise RuntimeError(failed["error"])
+        own = asked.select("query_id", F.col("question").alias("asked_")).join(drafts, "query_id", "left").withColumn("has_", F.col("context").isNotNull())
+        shown = grounding.display(own, F.col("has_"), override)
+        notice = F.when(F.col("action") == "no_results", NO_RESULTS).when(F.col("action") == "blocked_unverified", WITHHELD)
+        sizes = own.select("query_id", "gate_outcome", F.coalesce(F.length("answer"), F.lit(0)).alias("answer_chars"))
+        out = shown.join(sizes, "query_id").withColumn("shown", F.coalesce("shown", notice)).withColumn("citations", F.coalesce("citations", F.array().cast(shown.schema["citations"].dataType)))
+        if log_to is not None:
+            got = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "section_number", "page_start", "page_end", "score"))).alias("ranked")).select("query_id", F.transform("ranked", lambda r: r.dropFields("rank").withField("id", r["chunk_id"]).dropFields("chunk_id")).alias("retrieved"))
+            rows = own.drop("question").join(out.select("query_id", "action"), "query_id").join(asked.select("query_id", "question", "rewrites", F.col("status").alias("rewrite_status"), "intent"), "query_id").join(got, "query_id", "left")
+            full = lambda c: F.coalesce(c, F.array().cast(rows.schema[c].dataType))
+            rows = rows.withColumns({c: full(c) for c in ("retrieved", "citations", "grounded", "ungrounded")}).withColumn("answer", F.coalesce("answer", F.lit("")))
+            rows = rows.withColumns({"top_k": F.lit(top_k), "document_type": F.lit(document_type).cast("string"), "n_grounded": F.size("grounded"), "n_ungrounded": F.size("ungrounded")})
+            audit.append(audit.events(rows, raw=audit.keeps_texts()), audit.path(log_to))
         return out
 
-    def evaluate(self, golden: DataFrame, modes: tuple[str, ...] = evaluation.MODES, top_k: int = fusion.TOP_K) -> DataFrame:
-        """Metrics of each (set, mode, type) and overall, of golden (set, query_id, question, type, expected_sections)."""
-        asked = expansion.expand(golden, self.rewriter).cache()
-        own, ranks = asked.where("type <> 'refusal'"), None
-        for mode in modes:
-            use = own if mode == "hybrid+rewrite" else own.withColumns({"rewrites": F.array().cast("array<string>"), "intent": F.lit(None).cast("string")})
-            found = self.retrieve(use, mode.split("+")[0], top_k).select("query_id", "rank", "section_number")
-            one = evaluation.first_match(own.select("set", "query_id", "type", "expected_sections"), found, top_k).withColumn("mode", F.lit(mode))
-            ranks = one if ranks is None else ranks.unionByName(one)
-        return evaluation.hit_metrics(ranks, ["set", "mode", "type"], top_k, also_total="type")
