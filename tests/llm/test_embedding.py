@@ -58,3 +58,42 @@ def test_vectors_of_other_lengths(spark):
     df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(df).where("vec_id >= 100").collect()}
     assert got == {100: (1, 100, True), 101: (1, 100, False), 102: (0, 102, True), 103: (0, 103, True), 104: (0, 104, True)}
+
+
+def exact(rows, least=0.93):
+    """(row's id, links, component) with each (id, label, vector) a vector of its own, by all pairs."""
+    nodes = sorted({(i, b, tuple(v)) for i, b, v in rows})
+    unit = [np.array(v) / np.linalg.norm(v) for *_, v in nodes]
+    near = np.stack(unit) @ np.stack(unit).T >= least
+    near &= np.array([n[1] for n in nodes])[:, None] == np.array([n[1] for n in nodes])[None]
+    np.fill_diagonal(near, False)
+    sets = Forest(len(nodes))
+    for a, b in zip(*np.nonzero(near)):
+        sets.join(int(a), int(b))
+    low = {}
+    for k, n in enumerate(nodes):
+        low[sets.root(k)] = min(low.get(sets.root(k), n[0]), n[0])
+    of = {n: (int(near[k].sum()), low[sets.root(k)]) for k, n in enumerate(nodes)}
+    return sorted((i, *of[i, b, tuple(v)]) for i, b, v in rows)
+
+
+def test_all_links_in_64_dimensions(spark):
+    """Groups of near copies around random centres, one of 400, and exact copies: probing half the radius misses nothing."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(250):
+        c = rng.normal(size=64)
+        for _ in range(400 if k == 0 else rng.integers(1, 8)):
+            rows.append((len(rows), k % 3, (c + rng.normal(size=64) * rng.choice([0.0, 0.1, 0.25, 0.35])).tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(4)
+    want = exact(rows)
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(df, block=64, lists=20).collect()) == want
+    assert sum(w[1] for w in want) > 10_000
+
+
+def test_repeated_ids(spark):
+    v, w, far = [1.0, 2.0, 3.0], [1.0, 2.0, 3.1], [3.0, -2.0, 0.0]
+    rows = [(5, 0, v), (5, 0, v), (7, 0, v), (7, 0, w), (8, 0, far), (3, 0, far), (3, 1, v), (9, 1, w)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(df).collect()) == exact(rows)
+    assert [r[1] for r in exact(rows) if r[0] == 7] == [2, 2] and exact(rows)[0][0] == 3
