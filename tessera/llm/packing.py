@@ -2,7 +2,7 @@
 
 Within a shard, pieces are placed by falling size. Open bins are kept in order of what they have left; the search
 starts at the first bin that is large enough and steps to the next ones until a bin has no conflict, which is thus
-the tightest compatible one. Bins hold bitmaps: of the duplicate clusters in them (no two documents of a cluster
+the tightest compatible one; blocks of bins that all conflict are stepped over at once. Bins hold bitmaps: of the duplicate clusters in them (no two documents of a cluster
 share a bin) and, in `per_source` levels, of their sources (no more than that many of a source share one).
 """
 
@@ -19,8 +19,66 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import batches, cut
 
-#: Code points of a bin; documents of a source that may share one; code points and rows of a shard.
-CAPACITY, PER_SOURCE, SHARD_CHARS, SHARD_ROWS = 8192, 4, 4_000_000, 8_192
+#: Code points of a bin; documents of a source that may share one; code points and rows of a shard; bins of a block.
+CAPACITY, PER_SOURCE, SHARD_CHARS, SHARD_ROWS, BLOCK = 8192, 4, 4_000_000, 8_192, 48
+
+
+class OpenBins:
+    """Bins by what they have left, in blocks; a block knows which clusters and full sources all of its bins share, so that
+    the search passes by whole blocks of conflicting bins."""
+
+    def __init__(self, clusters: list[int], full: list[int]) -> None:
+        self.clusters, self.full = clusters, full
+        self.blocks: list[list[tuple[int, int]]] = []
+        self.tops: list[tuple[int, int]] = []
+        self.shared: list[tuple[int, int]] = []
+
+    def take(self, size: int, cluster: int, source: int) -> tuple[int, int] | None:
+        """Remove and return (left, bin) of the tightest bin with room for size and neither bit set."""
+        clusters, full = self.clusters, self.full
+        low = (size, -1)
+        for k in range(bisect_left(self.tops, low), len(self.blocks)):
+            every, filled = self.shared[k]
+            if every & cluster or filled & source:
+                continue
+            block = self.blocks[k]
+            for at in range(bisect_left(block, low), len(block)):
+                number = block[at][1]
+                if not clusters[number] & cluster and not full[number] & source:
+                    found = block.pop(at)
+                    self._renew(k)
+                    return found
+        return None
+
+    def add(self, left: int, number: int) -> None:
+        k = min(bisect_left(self.tops, (left, number)), len(self.blocks) - 1)
+        if k < 0:
+            self.blocks, self.tops, self.shared, k = [[]], [(0, 0)], [(0, 0)], 0
+        block = self.blocks[k]
+        insort(block, (left, number))
+        if len(block) > 2 * BLOCK:
+            self.blocks.insert(k + 1, block[BLOCK:])
+            self.tops.insert(k + 1, (0, 0))
+            self.shared.insert(k + 1, (0, 0))
+            del block[BLOCK:]
+            self._renew(k + 1)
+            self._renew(k)
+        elif len(block) == 1:
+            self._renew(k)
+        else:
+            every, filled = self.shared[k]
+            self.tops[k], self.shared[k] = block[-1], (every & self.clusters[number], filled & self.full[number])
+
+    def _renew(self, k: int) -> None:
+        block = self.blocks[k]
+        if not block:
+            del self.blocks[k], self.tops[k], self.shared[k]
+            return
+        every, filled = -1, -1
+        for _, number in block:
+            every &= self.clusters[number]
+            filled &= self.full[number]
+        self.tops[k], self.shared[k] = block[-1], (every, filled)
 
 
 def best_fit(items: Iterable[tuple[int, int, int]], capacity: int, per_source: int) -> list[tuple[int, int]]:
@@ -28,31 +86,29 @@ def best_fit(items: Iterable[tuple[int, int, int]], capacity: int, per_source: i
 
     A cluster below 0 is that of a document without copies. Items are placed in the order given.
     """
-    open_bins: list[tuple[int, int]] = []
     clusters: list[int] = []
+    full: list[int] = []  # the sources that have their most documents in a bin
     sources: list[list[int]] = []
+    bins = OpenBins(clusters, full)
     placed = []
     for size, source, cluster in items:
         source_bit = 1 << source
         cluster_bit = 1 << cluster if cluster >= 0 else 0
-        at = bisect_left(open_bins, (size, -1))
-        while at < len(open_bins):
-            number = open_bins[at][1]
-            if not clusters[number] & cluster_bit and not sources[number][-1] & source_bit:
-                left = open_bins.pop(at)[0]
-                break
-            at += 1
-        else:
-            number, left = len(clusters), capacity
+        found = bins.take(size, cluster_bit, source_bit)
+        if found is None:
+            found = capacity, len(clusters)
             clusters.append(0)
+            full.append(0)
             sources.append([0] * per_source)
+        left, number = found
         clusters[number] |= cluster_bit
         levels = sources[number]
         level = next(k for k in range(per_source) if not levels[k] & source_bit)
         levels[level] |= source_bit
+        full[number] = levels[-1]
         placed.append((number, capacity - left))
         if left > size:
-            insort(open_bins, (left - size, number))
+            bins.add(left - size, number)
     return placed
 
 
@@ -98,12 +154,14 @@ def pack(docs: DataFrame, cluster: Column | None = None, capacity: int = CAPACIT
     Sizes are code points. A longer document than a bin is cut: whole bins by themselves, its rest packed. cluster names
     what must not share a bin; by default copies up to case and white space. Null sources count as one source; null,
     empty and no texts give one row with length 0 and null bin; repeated rows are packed each (as copies, apart); ties
-    of size go by doc_id. Shards by hash hold a bounded volume, whatever the key, and each is packed by itself.
+    of size go by doc_id. Other columns play no part; an empty table gives no rows. Shards are dealt by a hash of the row and
+    its place, so that they hold a bounded volume even of one row repeated (but for a longer text than a shard, which is as
+    one). Each is packed by itself: a bin is the tightest of its shard.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     same = F.xxhash64(normal(text)) if cluster is None else cluster
-    base = docs.select("doc_id", F.length(text).cast("long").alias("size"), F.col("source").cast("string").alias("source"), same.alias("cluster"), F.xxhash64("doc_id", text).alias("h"), *([text.alias("text")] if with_text else []))
+    base = docs.select("doc_id", F.length(text).cast("long").alias("size"), F.col("source").cast("string").alias("source"), same.alias("cluster"), F.xxhash64("doc_id", text, F.monotonically_increasing_id()).alias("h"), *([text.alias("text")] if with_text else []))
     if not with_text:
         base = cut(base)
     total = base.agg(F.sum("size").alias("size"), F.count("*").alias("n")).first()

@@ -26,6 +26,28 @@ def test_best_fit_against_plain():
         assert best_fit(items, 100, per_source) == plain(items, 100, per_source)
 
 
+def test_best_fit_under_many_conflicts():
+    """One cluster, or one source, holds most items: whole blocks of bins conflict."""
+    rng = random.Random(5)
+    for items in ([(10, k % 7, 0) for k in range(600)], [(rng.randint(1, 9), 0, -1) for _ in range(900)], [(rng.randint(1, 40), rng.choice([0, 0, 0, 1]), rng.choice([-1, 0, 0, 1])) for _ in range(1500)]):
+        items = sorted(items, reverse=True)
+        assert best_fit(items, 100, 2) == plain(items, 100, 2)
+
+
+def test_repeated_rows_and_long_text(spark):
+    """Thirty thousand rows of one text and no id spread over the shards; a text of many bins is cut."""
+    import time
+
+    many = spark.range(30_000).selectExpr("cast(null as long) as doc_id", "'the same short text' as text", "'s' as source")
+    begin = time.time()
+    got = pack(many.unionByName(spark.createDataFrame([(1, "y" * 9_000_000, "t")], "doc_id long, text string, source string")))
+    rows = got.groupBy("doc_id").agg({"*": "count", "end": "sum", "start": "sum"}).collect()
+    counts = {r.doc_id: (r["count(1)"], r["sum(end)"] - r["sum(start)"]) for r in rows}
+    assert counts == {None: (30_000, 30_000 * 19), 1: (1099, 9_000_000)}
+    assert got.where("doc_id is null").select("bin_id").distinct().count() == 30_000  # copies never share a bin
+    assert time.time() - begin < 60
+
+
 def test_pack(spark):
     rng = random.Random(4)
     rows = [(k, "x" * rng.choice([1, 5, 30, 99, 100, 101, 350]) + str(k % 17), f"s{k % 5 * (k % 3 > 0)}") for k in range(500)]
