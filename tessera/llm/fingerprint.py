@@ -7,14 +7,15 @@ sketch found in another estimates containment however unequal the documents are.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batches, shingle_hashes, slices
+from tessera.llm.common import batches, cut, shingle_hashes, slices
 
 #: One shingle hash in so many is kept.
 SCALE = 8
@@ -92,9 +93,14 @@ def edited(text: str, other: str) -> str:
 
 
 _LOWEST = -(2**63)
+#: Code points of a text that its place among texts of one id goes by, before a hash of it; rows of a bucket at least.
+HEAD, LEAST_ROWS = 32, 64
 _PAIR = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
 
+_PAIRS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
 def _pairs(parts: Iterator[pa.RecordBatch], scale: int) -> Iterator[tuple]:
     """Rows of the result for each own row and the row after it; rows come sorted by bucket, guests last."""
     last: tuple | None = None  # bucket, doc_id, text, sketch
@@ -111,26 +117,61 @@ def _pairs(parts: Iterator[pa.RecordBatch], scale: int) -> Iterator[tuple]:
             yield x[1], len(x[2]), hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest(), to_text(x[3]), to_text(s), containment(x[3], s), containment(x[3], y[3])
 
 
+def _even(spark: SparkSession, n: int) -> list[int]:
+    """Numbers that hash partitioning deals to n partitions evenly, one each, in order of the partitions."""
+    found: dict[int, int] = {}
+    at = 0
+    while len(found) < n:
+        for r in spark.range(at, at + 16 * n).select("id", F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p")).collect():
+            found.setdefault(r["p"], r["id"])
+        at += 16 * n
+    return [found[k] for k in range(n)]
+
+
 def edit_likeness(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     """Fingerprints of each text and of its edit with the next document's text, and how like they are.
 
     The next document is the one after it by descending doc_id; after the last comes the first. Null texts count as
-    empty, a null doc_id as below all others; rows of equal doc_id follow each other by descending text; a single
-    document is its own next. An empty table gives no rows; other columns are ignored. Likeness is the containment of
-    the document's sketch in the other. Texts are moved once: to ranges of doc_id, each with the head of the range below.
+    empty, a null doc_id as below all others; rows of equal doc_id follow each other by the first code points of their
+    texts, descending, and then by a hash; a single document is its own next. An empty table gives no rows; other columns are
+    ignored. Likeness is the containment of the document's sketch in the other. Texts are moved once: to ranges of that
+    order of even size, each with the head of the next. A row that is repeated so often that it fills several ranges is dealt
+    over them by its place in the input: of equal rows it does not matter which is the last.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id"), F.lit(_LOWEST)).alias("key"))
+    text = F.coalesce("text", F.lit(""))
+    place = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("key"), F.left(text, F.lit(HEAD)).alias("head"), F.xxhash64(text).alias("hash"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = docs.agg(F.percentile_approx("key", [k / n for k in range(1, n)] or [0.5], 100 * n).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<long>"), lambda c: c < F.col("key")))
-    dealt = docs.withColumn("bucket", bucket)
-    heads = sorted((r["bucket"], r["head"]) for r in dealt.groupBy("bucket").agg(F.max("key").alias("head")).collect())  # a row a bucket
-    asked = [{"head": head, "by": heads[(k + 1) % len(heads)][0]} for k, (_, head) in enumerate(heads)]
-    by = F.create_map(*[F.lit(x) for a in asked for x in (a["head"], a["by"])]) if asked else F.create_map().cast("map<bigint,int>")
-    guest = F.try_element_at(by, F.col("key"))
-    to = F.array_compact(F.array(F.struct(F.col("bucket"), F.lit(False).alias("guest")), F.when(guest.isNotNull(), F.struct(guest.alias("bucket"), F.lit(True).alias("guest")))))
-    rows = dealt.withColumn("to", F.explode(to)).select("to.bucket", "to.guest", "key", "doc_id", "text")
-    rows = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", F.desc("key"), F.desc("text"))
-    return rows.mapInArrow(lambda parts: batches(_pairs(parts, scale), _PAIR, 1000), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    counted = cut(docs.select(place.alias("place")).groupBy("place").count())
+    share = max(LEAST_ROWS, -(-(counted.agg(F.sum("count")).first()[0] or 0) // n))
+    # Ranges by their heads, from top to bottom: even ones, and one of its own for each row that fills a range; a row each.
+    hot = {tuple(r["place"]): r["count"] for r in counted.where(F.col("count") > share).collect()}
+    rest = counted.where(F.col("count") <= share)
+    tops = {tuple(r["top"]) for r in rest.repartitionByRange(n, F.desc("place")).groupBy(F.spark_partition_id()).agg(F.max("place").alias("top")).collect()}
+    of = lambda p: F.struct(F.lit(p[0]).alias("key"), F.lit(p[1]).alias("head"), F.lit(p[2]).alias("hash"))
+    if hot:
+        after = counted.agg(*[F.max(F.when(F.col("place") < of(h), F.col("place"))) for h in hot]).first()
+        tops |= {tuple(x) for x in after if x is not None} | set(hot)
+    if not tops:
+        return spark.createDataFrame([], _PAIRS)
+    ranges, first = [], 0
+    for top in sorted(tops, key=lambda p: (p[0], p[1].encode("utf-8", "surrogatepass"), p[2]), reverse=True):
+        ranges.append({"top": dict(zip(("key", "head", "hash"), top, strict=True)), "first": first, "n": -(-hot.get(top, 0) // share) or 1})
+        first += ranges[-1]["n"]
+    labels = _even(spark, max(n, first))
+    table = F.from_json(F.lit(json.dumps(ranges)), "array<struct<top:struct<key:bigint,head:string,hash:bigint>,first:int,n:int>>")
+    label = lambda b: F.element_at(F.from_json(F.lit(json.dumps(labels)), "array<int>"), b + 1)
+    rows = docs.select(place.alias("place"), "doc_id", text.alias("text"), F.monotonically_increasing_id().alias("at"))
+    own = F.element_at(F.filter(table, lambda r: r["top"] >= F.col("place")), F.lit(-1)).alias("own")
+    sent = rows.select(own, "place", "doc_id", "text", "at").select(label(F.col("own.first") + F.pmod("at", "own.n").cast("int")).alias("bucket"), F.lit(False).alias("guest"), "place", "doc_id", "text")
+    # The head of a range is also, once, a guest of the bucket before it; a repeated row of all buckets of its own but the last.
+    keys = sorted({r["top"]["key"] for r in ranges} - {_LOWEST})
+    heads = docs.where(F.col("doc_id").isNull() | F.col("doc_id").isin(keys)).select(place.alias("place"), "doc_id", text.alias("text"))
+    heads = heads.withColumn("own", F.try_element_at(F.filter(table, lambda r: r["top"] == F.col("place")), F.lit(1))).where("own is not null")
+    heads = heads.groupBy("place", "own").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("text").alias("text"))
+    more = F.when(F.col("own.n") > 1, F.sequence(F.col("own.first"), F.col("own.first") + F.col("own.n") - 2)).otherwise(F.array().cast("array<int>"))
+    to = F.concat(F.array(F.pmod(F.col("own.first") - 1, F.lit(first)).cast("int")), more)
+    guests = heads.select(F.explode(to).alias("to"), "place", "doc_id", "text").select(label(F.col("to")).alias("bucket"), F.lit(True).alias("guest"), "place", "doc_id", "text")
+    dealt = sent.unionByName(guests).repartition(len(labels), "bucket").sortWithinPartitions("bucket", "guest", F.desc("place"))
+    return dealt.mapInArrow(lambda parts: batches(_pairs(parts, scale), _PAIR, 1000), _PAIRS)
+

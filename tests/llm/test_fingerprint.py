@@ -38,6 +38,30 @@ def test_nulls_ties_and_small_tables(spark):
     check(spark, [])
 
 
+def test_repeated_rows_and_one_id(spark):
+    """A row that is repeated, and an id that many texts have, fill many ranges; none holds most of the rows."""
+    rows = [(7, "the same text of some words in a row")] * 1500 + [(9, f"text {k:04} of one id " * 3) for k in range(1200)] + [(k, f"own text {k}") for k in range(400)] + [(None, "no id")] * 300
+    check(spark, rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = fp.edit_likeness(df).selectExpr("spark_partition_id() as p").groupBy("p").count().collect()
+    assert max(r["count"] for r in got) < 0.3 * len(rows)
+
+
+def test_columns_against_the_texts(spark):
+    """Fingerprints of rows are those of their texts and edits, whoever made them."""
+    rows = [(k, " ".join(f"w{(k * x) % 97}" for x in range(60))) for k in range(30)]
+    got = {r.doc_id: r for r in fp.edit_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in rows:
+        e = fp.edited(t, rows[k - 1][1])
+        h = sorted({int(x) for x in shingle_hashes([t])[0]})
+        low = [x for x in h if x < 2**64 // fp.SCALE] or h[:1]
+        assert got[k].fingerprint == "".join(f"{x:016x}" for x in low)
+        other = {int(x) for x in shingle_hashes([e])[0]}
+        other = {x for x in other if x < 2**64 // fp.SCALE} or {min(other)}
+        assert got[k].edited_fingerprint == "".join(f"{x:016x}" for x in sorted(other))
+        assert got[k].near_edited == len(other & set(low)) / len(low)
+
+
 def test_sketches():
     texts = [" ".join(f"t{k}" for k in range(a, b)) for a, b in ((0, 5000), (4000, 5000), (9000, 9003))] + ["", " \n"]
     a, b, short, empty, blank = fp.sketches(texts)
