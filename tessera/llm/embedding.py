@@ -29,6 +29,8 @@ NEAR, SAMPLE_OF_LIST, SAMPLE, LISTS, SUBSPACES, CODES = 0.93, 8, 8192, 8192, 16,
 #: Lists are probed whose boundary is within this share of the search radius, the proven bound. Vectors of a block of a
 #: list, and codes of a block of what probes it.
 PROBE, BLOCK, PROBING = 0.5, 1024, 16_384
+#: More than the error of a squared distance of unit vectors in single precision.
+ROUNDING = 2e-5
 
 
 def _kmeans(v: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -77,12 +79,21 @@ class Index:
         out[np.arange(len(v)), own] = True
         return out
 
-    def distances(self, v: np.ndarray, own: int, codes: np.ndarray) -> np.ndarray:
-        """Distances of vectors (rows) to what codes of one list stand for (columns), added up from tables."""
-        total = np.zeros((len(v), len(codes)))
-        for m, (p, b) in enumerate(zip(self.parts(v - self.coarse[own]), self.books, strict=True)):
-            total += np.take(_square(p, b), codes[:, m], axis=1)
-        return np.sqrt(total)
+    def norms(self, own: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The squares of the lengths of what codes stand for."""
+        return sum(((c[own] + b[codes[:, m]]) ** 2).sum(1) for m, (c, b) in enumerate(zip(self.parts(self.coarse), self.books, strict=True)))
+
+    def distances(self, v: np.ndarray, own: int | np.ndarray, codes: np.ndarray, kind: type = np.float64) -> np.ndarray:
+        """Distances of vectors (rows) to what codes of lists stand for (columns): each vector's products with the centroids
+        and with the codes of each subspace are tables, which the codes look up."""
+        own = np.broadcast_to(own, len(codes))
+        total = (v @ self.coarse.T).T.astype(kind)[own]
+        for m, (p, b) in enumerate(zip(self.parts(v), self.books, strict=True)):
+            total += (b @ p.T).astype(kind)[codes[:, m]]
+        total *= -2
+        total += self.norms(own, codes).astype(kind)[:, None]
+        total += (v**2).sum(1).astype(kind)
+        return np.sqrt(np.maximum(total, 0, out=total), out=total).T
 
 
 def _units(vectors: list) -> tuple[np.ndarray, list[int]]:
@@ -123,19 +134,16 @@ def _screened(parts: Iterator[pa.RecordBatch], index: Index, radius: float) -> I
     """What comes to a block of a list as a code and may link with a vector of it: (label, cell, dblock, id)."""
     for (label, cell, dblock, _), here, come in _tasks(parts, ("comes", "label", "cell", "dblock", "qblock", "own", "id", "code", "error", "v"), 4):
         v = np.stack([np.frombuffer(r[4], np.float64) for r in here])
-        come.sort(key=lambda r: r[0])
         own = np.array([r[0] for r in come])
         codes = np.frombuffer(b"".join(r[2] for r in come), np.uint8).reshape(len(come), -1)
-        ids, bound = np.array([r[1] for r in come]), np.array([r[3] for r in come]) * (1 + 1e-6) + (radius + 1e-6)
-        cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
-        for x, y in zip(cuts, cuts[1:], strict=False):
-            for z in range(x, y, 4096):
-                e = min(y, z + 4096)
-                near = index.distances(v, int(own[z]), codes[z:e]) <= bound[None, z:e]
-                if own[z] == cell:  # a vector of this list is near itself
-                    near &= np.array([r[1] for r in here])[:, None] != ids[None, z:e]
-                for k in np.flatnonzero(near.any(axis=0)):
-                    yield label, cell, dblock, int(ids[z + k])
+        ids, bound = np.array([r[1] for r in come]), np.sqrt((np.array([r[3] for r in come]) + radius) ** 2 + ROUNDING)
+        here_ids = np.array([r[1] for r in here])
+        for x in range(0, len(come), 2048):
+            near = index.distances(v, own[x : x + 2048], codes[x : x + 2048], np.float32) <= bound[None, x : x + 2048]
+            for k in np.flatnonzero(own[x : x + 2048] == cell):  # a vector of this list is near itself
+                near[:, k] &= here_ids != ids[x + k]
+            for k in np.flatnonzero(near.any(axis=0)):
+                yield label, cell, dblock, int(ids[x + k])
 
 
 def _linked_in(parts: Iterator[pa.RecordBatch], index: Index, least: float) -> Iterator[tuple]:
