@@ -25,24 +25,30 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "mail_spelled": r"(?:(?<![A-Za-z0-9._-])|\G)[A-Za-z0-9._-]++ ?[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(] ?(?:dot|DOT) ?[\])]) ?[A-Za-z]{2,20}+)",
+    "mail_spelled": r"(?:(?<![A-Za-z0-9._-])|\G)[A-Za-z0-9._-]++ ?(?:[\[(] ?(?:at|AT) ?[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(] ?(?:dot|DOT) ?[\])]) ?[A-Za-z]{2,20}+)| at [A-Za-z0-9-]++(?: dot [A-Za-z]{2,20}+)++)",
     "phone_local": r"(?<![0-9])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[-. /])[0-9]{3,4}[-. ][0-9]{3,4}(?![0-9])",
     "ssn": r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "account": r"(?<![0-9.])[0-9]{7,20}(?![0-9])",
+    "birth_date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\1(?:[0-9]{4}|[0-9]{2}))(?![0-9/-]|\.[0-9])",
+    "secret": r"(?:(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=.-]{16,}+|(?<=(?:assword|asswd|asswort|pwd|ecret|oken|pi_key|pi-key|pikey|lave)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?)[^\s\"',;]{6,}+)",
 }
 #: What a text must hold for a kind's pattern to match, as a cheaper test.
-NEEDS = {"email": "@", "phone": "+", "mail_spelled": "[(]", "phone_local": "0-9", "ssn": "-", "iban": "0-9", "account": "0-9", "ip": "0-9", "card": "0-9"}
+NEEDS = {"email": "@", "phone": "+", "mail_spelled": " at |[(\\[] ?(?:at|AT)", "birth_date": "[0-9]", "secret": "[0-9:=]", "phone_local": "[0-9]", "ssn": "-", "iban": "[0-9]", "account": "[0-9]", "ip": "[0-9]", "card": "[0-9]"}
 AROUND = 40
 CUES = {
     "phone": r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|whatsapp|telefon|mobil|t[eé]l[eé]fono|t[eé]l[eé]phone|llame|appelez)\b",
     "mail": r"(?i)\b(?:mail|e-mail|email|contact|write|kontakt|correo|courriel)\b",
     "tax": r"(?i)\b(?:ssn|social security|tax id|sozialversicherung|seguridad social|s[eé]curit[eé] sociale)\b",
-    "bank": r"(?i)\b(?:iban|bank|account|acct|konto|cuenta|compte|passport|licen[cs]e no|patient|member id)\b",
+    "bank": r"(?i)\b(?:iban|bank|account|acct|konto|cuenta|compte|passport|licen[cs]e no|patient|member id|customer|client|kunden(?:nummer|nr)?|cliente)\b",
+    "birth": r"(?i)\b(?:born|birth|birthday|dob|geboren|geburtsdatum|n[eé]e?|naissance|nacid[oa]|nacimiento)\b",
+    "secret": r"(?i)(?:token|secret|passw|pwd|api[ _-]?key|credential|bearer|authorization|private[ _-]?key|access[ _-]?key|clave|schl[uü]ssel|mot de passe)",
     "other": r"(?i)\b(?:order|invoice|version|isbn|ref|page|part|tracking|sku|ticket|build|id|score|total|copyright|serial|figure|lot)\b",
 }
 TREES, RATE, MIN_PRECISION = 24, 0.3, 0.98
-FEATURES = ("kind", "digits", "length", "marks", "phone", "mail", "tax", "bank", "other", "joined", "valid")
+FEATURES = ("kind", "digits", "length", "marks", "phone", "mail", "tax", "bank", "birth", "secret", "other", "behind", "joined", "valid", "assigned", "mixed", "prefix")
+#: How known kinds of keys begin (fixed value).
+PREFIX = r"^(?:AKIA|ASIA|gh[opsu]_|github_pat_|glpat-|sk-|xox[abps]-|eyJ[A-Za-z0-9]|AIza|SG\.)"
 
 
 def _digits(m: Column) -> Column:
@@ -111,47 +117,74 @@ def _features(c: Column) -> Column:
         F.when(c["kind"] == kinds.index("iban"), mod97(m) == 1)
         .when(c["kind"] == kinds.index("ssn"), ~area.isin("000", "666") & (area < "900") & (F.substring(m, 5, 2) != "00"))
         .when(c["kind"] == kinds.index("phone_local"), F.length(_digits(m)).between(9, 11))
+        .when(c["kind"] == kinds.index("birth_date"), m.rlike(r"^(?:(?:19|20)[0-9]{2}-(?:0?[1-9]|1[0-2])-(?:0?[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])[./-](?:0?[1-9]|[12][0-9]|3[01])[./-](?:(?:19|20)[0-9]{2}|[0-9]{2}))$"))
+        .when(c["kind"] == kinds.index("secret"), m.rlike(r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$"))
         .otherwise(False)
     )
-    flags = [F.when(around.rlike(CUES[k]), 1).otherwise(0).alias(k) for k in ("phone", "mail", "tax", "bank", "other")]
+    flags = [F.when(c["before"].rlike(CUES[k]), 1).otherwise(0).alias(k) for k in ("phone", "mail", "tax", "bank", "birth", "secret")]
+    flags += [F.when(around.rlike(CUES["other"]), 1).otherwise(0).alias("other"), F.when(reduce(lambda a, k: a | c["after"].rlike(CUES[k]), ("tax", "bank", "birth", "secret"), c["after"].rlike(CUES["phone"])), 1).otherwise(0).alias("behind")]
     joined = F.when(c["before"].rlike(r"[A-Za-z0-9#$/=.-]$") | c["after"].rlike(r"^(?:[A-Za-z0-9/=-]|\.[0-9])"), 1).otherwise(0)
     return F.struct(
         c["kind"].cast("int").alias("kind"), F.length(_digits(m)).alias("digits"), F.length(m).alias("length"),
         F.length(F.regexp_replace(m, "[A-Za-z0-9]", "")).alias("marks"), *flags, joined.alias("joined"), F.when(valid, 1).otherwise(0).alias("valid"),
+        F.when(c["before"].rlike(r"[:=] {0,2}[\"']?$"), 1).otherwise(0).alias("assigned"), F.when(m.rlike("[0-9]") & m.rlike("[A-Za-z]") & ~m.rlike(r"[./].*[./]|^[a-z]+[0-9]{1,4}$"), 1).otherwise(0).alias("mixed"), F.when(m.rlike(PREFIX), 1).otherwise(0).alias("prefix"),
     )
 
 
-def _examples() -> list[dict]:
-    """Labelled candidates of the kinds that are not base, made up by a fixed seed."""
-    rng = random.Random(11)
+#: What stands before a candidate that is one, and before one that is not: a half for the fit, the rest for calibration.
+CONTEXTS = {
+    "phone_local": ["phone: ", "call me at ", "Tel. ", "mobile ", "fax ", "reach us by telephone on ", "my cell is ", "Telefon ", "Mobil: ", "tel: "],
+    "ssn": ["SSN ", "social security number ", "ssn: ", "her tax id is ", "Social Security: "],
+    "iban": ["IBAN ", "bank account ", "pay to ", "Konto ", "transfer it to ", "cuenta "],
+    "mail_spelled": ["mail ", "contact ", "", "write to ", "reach me at ", "send it to "],
+    "account": ["account ", "bank account no. ", "passport ", "acct: ", "patient ", "customer no ", "client number ", "Kundennummer ", "member id "],
+    "birth_date": ["born ", "born on ", "date of birth: ", "DOB ", "geboren am ", "née le ", "her birthday is ", "nacido el "],
+    "secret": ["token = \"", "api_key: ", "secret=", "password: ", "Authorization: Bearer ", "access key ", "API key '", "credentials: ", "clave: "],
+}
+OFF = ["order ", "invoice ", "version ", "ISBN ", "ref ", "page ", "tracking ", "sku ", "build ", "total ", "the population reached ", "of ", "", "and then ", "on ", "updated ", "commit ", "see ", "file ", "checksum ", "published ", "a sum of ", "line ", "until ", "at "]
+
+
+def _examples(seed: int = 11, part: int = 0) -> list[dict]:
+    """Labelled candidates of the kinds that are not base, made up by a fixed seed; part 0 and 1 take other contexts."""
+    rng = random.Random(seed)
     digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    letters = lambda n, of="abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789": "".join(rng.choice(of) for _ in range(n))
+    word = lambda: letters(rng.randint(3, 9), "abcdefghijklmnopqrstuvwxyz")
 
     def iban(right: bool) -> str:
         body, land = digits(18), rng.choice(["DE", "FR", "ES", "GB"])
         number = int(body + "".join(str(ord(x) - 55) for x in land) + "00")
         return f"{land}{(98 - number % 97 + (0 if right else rng.randint(1, 50))) % 97 + (0 if right else 1):02d}{body}"
 
+    def secret(ok: bool) -> str:
+        if ok:
+            return rng.choice([letters(40, "0123456789abcdef"), "AKIA" + letters(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), "ghp_" + letters(36), "sk-" + letters(32), "eyJ" + letters(30) + "." + letters(40), letters(rng.randint(18, 40)), letters(32, "0123456789abcdef"), word() + digits(2) + "!"])
+        return rng.choice([f"{word()}-{word()}-{word()}", f"example.org/{word()}/{word()}", word() + word() + word(), f"{word()}_{word()}_{word()}.py", "=" * 20, "." * 18, "-" * 24, f"{word()}/{word()}/{word()}{digits(2)}", letters(40, "0123456789abcdef")])
+
+    date = lambda: rng.choice([f"{rng.randint(1930, 2015)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(1930, 2015)}", f"{rng.randint(1, 12):02d}/{rng.randint(1, 28):02d}/{rng.randint(1930, 2015)}"])
     phone = lambda: rng.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"0{digits(2)} {digits(4)} {digits(4)}"])
-    cue = {"phone_local": ["phone: ", "call me at ", "Tel. ", "mobile ", "fax "], "ssn": ["SSN ", "social security number ", "ssn: "], "iban": ["IBAN ", "bank account ", "pay to "], "mail_spelled": ["mail ", "contact ", "", "write to "], "account": ["account ", "bank account no. ", "passport ", "acct: ", "patient "]}
-    off = ["order ", "invoice ", "version ", "ISBN ", "ref ", "page ", "tracking ", "sku ", "build ", "total ", "the ", "of ", "", "and then "]
-    make = {"phone_local": lambda _: phone(), "ssn": lambda ok: f"{rng.randint(1, 665) if ok else rng.choice([0, 666, 950]):03d}-{rng.randint(1, 99):02d}-{digits(4)}", "iban": iban, "mail_spelled": lambda _: f"{rng.choice(['jo', 'ann.lee', 'k_ruiz'])} [at] {rng.choice(['mail', 'firm'])} [dot] {rng.choice(['com', 'org'])}", "account": lambda _: digits(rng.randint(7, 20))}
+    spelled = lambda ok: (rng.choice([f"{word()} [at] {word()} [dot] com", f"{word()}.{word()} (at) {word()} (dot) org", f"{word()} at {word()} dot com"]) if ok else rng.choice(["x[at]y.size", f"f(at){word()}.length", f"a (at) {word()}.value", f"{word()}[at]{word()}.index"]))
+    make = {"phone_local": lambda _: phone(), "ssn": lambda ok: f"{rng.randint(1, 665) if ok else rng.choice([0, 666, 950]):03d}-{rng.randint(1, 99):02d}-{digits(4)}", "iban": iban, "mail_spelled": spelled, "account": lambda _: digits(rng.randint(7, 20)), "birth_date": lambda _: date(), "secret": secret}
     kinds, out = list(PATTERNS), []
     for kind, f in make.items():
-        for k in range(240):
+        for k in range(200):
             good = k % 2 == 0
-            right = good or kind not in ("ssn", "iban") or rng.random() < 0.2
-            if good:
-                before = rng.choice(cue[kind]) if kind in ("phone_local", "account", "ssn") else rng.choice(cue[kind] + off[-4:])
-            elif kind == "mail_spelled":
-                before = rng.choice(["f", "call ", "array "])
-            else:
-                before = rng.choice(off)
-            m = f(right) if kind != "mail_spelled" or good else rng.choice(["x[at]y.size", "f(at)g.length", "a (at) b.c"[:9] + "value"])
-            if not good and kind == "iban" and right:
+            right = good or kind not in ("ssn", "iban", "mail_spelled", "secret") or kind == "iban" and rng.random() < 0.1
+            before = rng.choice(CONTEXTS[kind][part::2] if good else OFF[part::2])
+            m = f(right)
+            if kind == "secret" and good and m.endswith("!"):
+                before = rng.choice(["password: ", "secret=", "token = \""][part::2] or ["pwd="])
+            if kind == "secret" and good and m[:3] in ("AKI", "ghp", "sk-", "eyJ") and rng.random() < 0.5:
+                before = rng.choice(["the key is ", "my ", "use ", "", "it was "])
+            if kind == "secret" and not good and "/" in m and rng.random() < 0.5:
+                before, m = before + rng.choice(["https:", "http:"]), "//" + m
+            if kind == "iban" and right and not good:
                 m = iban(False)
-            joined = rng.random() < (0.02 if good else 0.35)
-            label = good or kind == "ssn" and right and not joined and before in cue["ssn"]
-            out.append({"kind": kinds.index(kind), "m": m, "before": "lorem ipsum " + before + ("#" if joined else ""), "after": rng.choice([" and more", ".", ", thanks", ""]), "label": int(label)})
+            if kind == "secret" and not good and len(m) == 40 and rng.random() < 0.5:
+                before = rng.choice(["commit ", "checksum "])
+            joined = rng.random() < (0.02 if good else 0.3)
+            around = " ".join(word() for _ in range(3))
+            out.append({"kind": kinds.index(kind), "m": m, "before": f"{around} {before}" + ("#" if joined else ""), "after": rng.choice([" and more", ".", ", thanks", "", '" ' + word(), " " + word(), *([f" {word()} and {x}" for x in ("bank account totals", "the phone", "passwords")] if not good or rng.random() < 0.3 else [])]), "label": int(good)})
     rng.shuffle(out)
     return out
 
@@ -185,31 +218,35 @@ def _value(tree: tuple | float, row: tuple) -> float:
     return tree
 
 
+def scored_examples(spark: SparkSession, examples: list[dict]) -> list[tuple[tuple, int]]:
+    """(features, label) of examples, by the same expressions as in use."""
+    made = F.from_json(F.lit(json.dumps(examples)), "array<struct<kind:int,m:string,before:string,after:string,label:int>>")
+    table = spark.range(1).select(F.posexplode(made).alias("k", "c")).select("k", "c.label", _features(F.col("c")).alias("f"))
+    return [(tuple(r["f"]), r["label"]) for r in sorted(table.collect(), key=lambda r: r["k"])]  # the examples, a fixed number
+
+
 _MODELS: dict[str, tuple[list, dict[int, float]]] = {}
 
 
 def model(spark: SparkSession) -> tuple[list, dict[int, float]]:
-    """The trees, and the threshold of each kind: the least margin from which half of the examples, which the trees
-    were not fitted on, have at least the wanted precision. Features come from the same expressions as in use."""
+    """The trees, and the threshold of each kind: about the least margin from which other examples, in contexts that the trees
+    were not fitted on, have at least the wanted precision, and not below even odds. Features come from the same expressions as in use."""
     if (key := spark.sparkContext.applicationId) not in _MODELS:
-        made = F.from_json(F.lit(json.dumps(_examples())), "array<struct<kind:int,m:string,before:string,after:string,label:int>>")
-        table = spark.range(1).select(F.posexplode(made).alias("k", "c")).select("k", "c.label", _features(F.col("c")).alias("f"))
-        got = [(tuple(r["f"]), r["label"]) for r in sorted(table.collect(), key=lambda r: r["k"])]  # the examples, a fixed number
-        rows, y = [r for r, _ in got], [t for _, t in got]
-        half = [k for k in range(len(rows)) if k % 2]
+        fit, held = (scored_examples(spark, _examples(11 + part, part)) for part in (0, 1))
+        rows, y = [r for r, _ in fit], [t for _, t in fit]
         margin, trees = [0.0] * len(rows), []
         for _ in range(TREES):
             p = [1 / (1 + math.exp(-x)) for x in margin]
-            trees.append(_tree(rows, [t - q for t, q in zip(y, p, strict=True)], [q * (1 - q) for q in p], half, 3))
+            trees.append(_tree(rows, [t - q for t, q in zip(y, p, strict=True)], [q * (1 - q) for q in p], list(range(len(rows))), 4))
             margin = [x + _value(trees[-1], r) for x, r in zip(margin, rows, strict=True)]
         least = {}
-        for kind in {r[0] for r in rows}:
-            own = sorted(((margin[k], y[k]) for k in range(len(rows)) if not k % 2 and rows[k][0] == kind), reverse=True)
+        for kind in {r[0] for r, _ in held}:
+            own = sorted(((sum(_value(t, r) for t in trees), y) for r, y in held if r[0] == kind), reverse=True)
             right, least[kind] = 0, 1e9
             for n, (x, t) in enumerate(own, 1):
                 right += t
-                if right / n >= MIN_PRECISION and x > 0:
-                    least[kind] = x
+                if right / n >= MIN_PRECISION and (n == len(own) or own[n][0] < x):  # half way to the next, and likelier than not
+                    least[kind] = max(0.0, (x + own[min(n, len(own) - 1)][0]) / 2)
         _MODELS[key] = trees, least
     return _MODELS[key]
 
@@ -226,18 +263,27 @@ def _margin(trees: list, f: Column) -> Column:
 def _candidates(text: Column, number: int, kind: str) -> tuple[Column, Column]:
     """All matches of a kind, and the stretches of text between them."""
     need = NEEDS[kind]
-    may = F.contains(text, F.lit(need)) if len(need) == 1 else text.rlike(f"[{need}]") if need != "[(]" else F.contains(text, F.lit("[")) | F.contains(text, F.lit("("))
+    may = F.contains(text, F.lit(need)) if len(need) == 1 else text.rlike(need)
     found = F.when(may, F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))).otherwise(F.array().cast("array<string>"))
     return found, F.lit(PATTERNS[kind])
 
 
+def fresh(docs: DataFrame, column: str, *wanted: str) -> list[str]:
+    """Column names that docs does not have."""
+    mark = column
+    while any(c.lower().startswith(f"{mark}_".lower()) for c in docs.columns):
+        mark += "_"
+    return [f"{mark}_{x}" for x in wanted]
+
+
 def with_spans(docs: DataFrame, column: str, text: str = "text") -> DataFrame:
     """docs with the array `column` of struct(start, end, kind, base), by start, then kind in the order of PATTERNS.
 
     Offsets are code points, end exclusive; null texts count as empty. Base spans that pass their check are all kept, also
-    where kinds overlap; added spans overlap nothing. Texts of any length are scanned whole, in one pass a kind.
+    where kinds overlap; added spans overlap nothing. Texts of any length are scanned whole, in one pass a kind. Repeated rows
+    have the same spans each; an empty table gives no rows. A column of that name is replaced, all others stay.
     """
-    names = [f"{column}_{x}" for x in ("found", "cands", "spans")]
+    names = fresh(docs, column, "found", "cands", "spans")
     found, cands, raw = names
     trees, least = model(docs.sparkSession)
     kinds = list(PATTERNS)
@@ -284,9 +330,10 @@ def joined(spans: Column) -> Column:
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each span of text replaced by its kind in brackets; overlapping spans become one of the first's kind.
 
-    A null text stays null. Columns other than text (and n_chars, the code points of text, where there is one) stay.
+    A null text stays null, an empty one empty; repeated rows are treated each, an empty table gives no rows. Columns other than
+    text (and n_chars, the code points of text, where there is one) stay.
     """
-    own = "redacted_spans_"
+    own = fresh(docs, "redacted", "spans")[0]
     df = with_spans(docs, own, text)
     none = F.array().cast("array<struct<start:int,end:int,kind:string>>")
 
