@@ -19,7 +19,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +27,10 @@ from tessera.llm.common import mix, slices
 #: The model of public pieces that the query uses; another path may be given.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words whose ids a process keeps from one slice of texts to the next; the store is emptied when it is full.
-KNOWN = 400_000
+#: Words, and ids of words, that a process keeps from one slice of texts to the next; the store is emptied when it is full.
+KNOWN, KEPT = 400_000, 4_000_000
+#: Longer words are cut where no piece crosses; words of this length that have few like them go one by one.
+LONG, ALONE, FEW = 64, 256, 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _LOW = np.uint64((1 << 18) - 1)
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -68,6 +69,8 @@ class Pieces:
     """The pieces of a model: sorted keys, ids and scores by length; byte pieces; the bytes of each piece."""
 
     def __init__(self, path: str = MODEL) -> None:
+        import sentencepiece
+
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         names = [model.id_to_piece(k) for k in range(model.get_piece_size())]
         special = [model.is_byte(k) or model.is_control(k) or model.is_unknown(k) or model.is_unused(k) for k in range(len(names))]
@@ -95,7 +98,11 @@ class Pieces:
         # A map of the low bits of the keys of each length: most substrings are no piece, and need no search.
         self.may = {n: np.bincount((keys & _LOW).astype(np.int64), minlength=int(_LOW) + 1) > 0 for n, (keys, _, _) in self.by_length.items()}
         self.pairs = np.zeros(1 << 21, np.int64)
-        self.known: dict[str, np.ndarray] = {}
+        self.clear()
+        both = {n[k : k + 2] for k2 in normal for n in [names[k2]] for k in range(len(n) - 1)}
+        self.crossed = np.sort(np.array([ord(x[0]) << 21 | ord(x[1]) for x in both], np.int64))
+        self.names = {names[k]: k for k in normal}
+        self.scores = score.tolist()
         self.power = np.array([pow(int(_BASE), k, 2**64) for k in range(2 * max(self.by_length) + 1)], np.uint64)
         with open(path, "rb") as f:
             self.merges = is_merge_model(f.read())
@@ -189,13 +196,70 @@ class Pieces:
             out[:, k + 1] = out[:, k] * _BASE + v[:, k]
         return out
 
-    def viterbi(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each of some words of one length; of equal scores, longer last pieces win.
-
-        Runs of blanks in merge models have pieces of tied scores, which the order of merges alone tells apart.
-        """
-        if self.merges and SPACE * 2 in words[0][:2]:
-            return [np.concatenate([[self.score[m][1]] if m in self.score else self.byte_ids[np.frombuffer(m.encode("utf-8", "surrogatepass"), np.uint8)] for m in self.merged(w)]).astype(np.int32) for w in words]
+    def clear(self) -> None:
+        """Empty the store of known words: their number, and the begin and count of its ids in the pool."""
+        self.known: dict[str, int] = {}
+        self.pool = np.zeros(0, np.int32)
+        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def cut(self, word: str) -> list[str]:
+        """Parts of a long word: it is cut between characters that are neighbours in no piece, which nothing crosses."""
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pair = codes[:-1] << 21 | codes[1:]
+        at = np.minimum(np.searchsorted(self.crossed, pair), len(self.crossed) - 1)
+        ends = [0, *(np.flatnonzero(self.crossed[at] != pair) + 1).tolist(), len(word)]
+        return [word[x:y] for x, y in zip(ends, ends[1:], strict=False)]
+
+    def spelled(self, c: str) -> np.ndarray:
+        return self.byte_ids[np.frombuffer(c.encode("utf-8", "surrogatepass"), np.uint8)]
+
+    def alone(self, word: str) -> list[int]:
+        """The ids of one long word: the same search, position by position; which pairs are stable is found out at once
+        for all pieces that meet somewhere in it."""
+        names, longest = self.names, max(self.by_length)
+        ends: list[list[tuple[int, int]]] = [[] for _ in range(len(word) + 1)]  # of each position the pieces that end there, longest first
+        for e in range(1, len(word) + 1):
+            for k in range(min(longest, e), 0, -1):
+                i = names.get(word[e - k : e])
+                if i is not None and (not self.merges or k == 1 or self.rank[i] >= 0):
+                    ends[e].append((k, i))
+        if self.merges:
+            meet = {(i, j) for e in range(1, len(word) + 1) for k, j in ends[e] for _, i in ends[e - k]}
+            a, b = (np.array(x, np.int64) for x in (zip(*meet, strict=True) if meet else ((), ())))
+            apart = {p for p, ok in zip(zip(a.tolist(), b.tolist(), strict=True), self.settled(a, b).tolist(), strict=True) if ok} if meet else set()
+        best, last = [0.0] * (len(word) + 1), [(1, -1)] * (len(word) + 1)
+        for e in range(1, len(word) + 1):
+            top = -np.inf
+            for k, i in ends[e]:
+                if self.merges:
+                    before = last[e - k][1]
+                    if before < 0 or (before, i) in apart:
+                        last[e], top = (k, i), 0.0
+                        break
+                elif (x := best[e - k] + self.scores[i]) > top:
+                    last[e], top = (k, i), x
+            if not ends[e] or ends[e][-1][0] > 1:
+                x = 0.0 if self.merges else best[e - 1] + self.unknown
+                if x > top:
+                    last[e], top = (1, -1), x
+            best[e] = 0.0 if self.merges else top
+        out, e = [], len(word)
+        while e:
+            k, i = last[e]
+            out.append([i] if i >= 0 else self.spelled(word[e - 1]).tolist())
+            e -= k
+        return [i for ids in reversed(out) for i in ids]
+
+    def one_by_one(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of words that are better off so: runs of blanks of merge models, whose pieces have tied scores that the
+        order of merges alone tells apart, and long words without others of their length."""
+        ids = [np.concatenate([[self.score[m][1]] if m in self.score else self.spelled(m) for m in self.merged(w)]).astype(np.int32) if self.merges and w.startswith(SPACE * 2) else np.array(self.alone(w), np.int32) for w in words]
+        return np.concatenate(ids), np.array([len(i) for i in ids], np.int64)
+
+    def viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some words of one length, one after the other, and their counts; of equal scores, longer last pieces win."""
+        if self.merges and SPACE * 2 in words[0][:2] or len(words[0]) >= ALONE and len(words) < FEW:
+            return self.one_by_one(words)
         codes = _codes(words)
         n, size = codes.shape
         hashes = self.prefixes(codes)
@@ -241,39 +305,74 @@ class Pieces:
             pos[rows] = at - step[rows, at]
             rows, k = rows[pos[rows] > 0], k + 1
         used = found != -2
-        flat, ends = found[used], np.cumsum(used.sum(1)).tolist()
-        out = [flat[x:y] for x, y in zip([0, *ends], ends, strict=False)]
-        for r in np.flatnonzero((found == -1).any(1)):
-            place = where[r][used[r]]
-            out[r] = np.concatenate([self.byte_ids[np.frombuffer(chr(codes[r, p]).encode("utf-8", "surrogatepass"), np.uint8)] if i < 0 else [i] for i, p in zip(out[r].tolist(), place.tolist(), strict=True)]).astype(np.int32)
-        return out
+        flat, count = found[used], used.sum(1)
+        if (flat < 0).any():
+            r, p = np.nonzero(used)
+            bare = np.flatnonzero(flat < 0)
+            places = where[r[bare], p[bare]]
+            spelled = [self.spelled(chr(c)) for c in codes[r[bare], places].tolist()]
+            size = np.ones(len(flat), np.int64)
+            size[bare] = [len(x) for x in spelled]
+            out = np.repeat(flat, size)
+            out[np.repeat(flat < 0, size)] = np.concatenate(spelled)
+            flat, count = out, np.add.reduceat(size, np.cumsum(count) - count)
+        return flat.astype(np.int32), count
+
+    def numbers(self, words: np.ndarray) -> np.ndarray:
+        """The numbers of distinct words in the store, to which new ones are added."""
+        got = np.array([self.known.get(w, -1) for w in words], np.int64)
+        if len(self.known) + int((got < 0).sum()) > KNOWN or len(self.pool) > KEPT:
+            self.clear()
+            got[:] = -1
+        new = np.flatnonzero(got < 0)
+        size = np.array([-len(w) if w.startswith(SPACE * 2) else len(w) for w in words[new]], np.int64)
+        order = new[np.argsort(size, kind="stable")]
+        size = np.sort(size)
+        flat, counts = [self.pool], [self.count]
+        for n in np.unique(size):
+            own = order[np.searchsorted(size, n) : np.searchsorted(size, n, "right")]
+            most = max(1, 2_000_000 // abs(int(n)))
+            for x in range(0, len(own), most):
+                ids, count = self.viterbi(words[own[x : x + most]].tolist())
+                flat.append(ids)
+                counts.append(count)
+        got[order] = len(self.count) + np.arange(len(order))
+        self.known.update(zip(words[order].tolist(), got[order].tolist(), strict=True))
+        self.pool, self.count = np.concatenate(flat), np.concatenate(counts)
+        self.begin = np.cumsum(self.count) - self.count
+        return got
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text; an empty text has none."""
         for a, b in slices(texts, 4_000_000):
             split = [_WORD.findall((SPACE + t).replace(" ", SPACE)) if t else [] for t in texts[a:b]]
+            split = [[p for w in s for p in (self.cut(w) if len(w) > LONG else (w,))] if max(map(len, s), default=0) > LONG else s for s in split]
             number, words = pd.factorize(np.array([w for s in split for w in s], object))
-            size = np.array([-len(w) if w.startswith(SPACE * 2) else len(w) for w in words], np.int64)
-            ids: list = [self.known.get(w) for w in words]
-            new = np.array([i is None for i in ids], bool)
-            for n in np.unique(size[new]):
-                own = np.flatnonzero((size == n) & new)
-                most = max(1, 2_000_000 // abs(int(n)))
-                for x in range(0, len(own), most):
-                    for k, found in zip(own[x : x + most], self.viterbi([words[k] for k in own[x : x + most]]), strict=True):
-                        ids[k] = found
-            if len(self.known) + len(words) > KNOWN:
-                self.known.clear()
-            self.known.update((w, i.copy()) for w, i, fresh in zip(words, ids, new, strict=True) if fresh and len(w) < 40)
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            count = np.array([len(x) for x in ids], np.int64)
-            begin = np.cumsum(count) - count
-            at = 0
-            for s in split:
-                own = number[at : at + len(s)]
-                at += len(s)
-                c = count[own]
-                yield flat[np.repeat(begin[own] - (np.cumsum(c) - c), c) + np.arange(c.sum())]
+            own = self.numbers(words)[number]
+            begin, count = self.begin[own], self.count[own]
+            flat = self.pool[np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+            ends = np.r_[0, np.cumsum(count)][np.cumsum([0, *map(len, split)])].tolist()
+            for x, y in zip(ends, ends[1:], strict=False):
+                yield flat[x:y]
+
+    def texts_of(self, ids: list[np.ndarray]) -> pa.Array:
+        """The texts of arrays of ids, as decode has them, in one gather of the pieces' bytes."""
+        size = np.array([len(b) for b in self.bytes], np.int64)
+        begin, data = np.cumsum(size) - size, np.frombuffer(b"".join(self.bytes), np.uint8)
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        n = size[flat]
+        out = data[np.repeat(begin[flat] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        ends = np.r_[0, np.cumsum(n)][np.cumsum([0, *map(len, ids)])]
+        first = np.minimum(ends[:-1], max(len(out) - 1, 0))
+        blank = (ends[1:] > ends[:-1]) & (out[first] == 32) if len(out) else np.zeros(len(ids), bool)
+        keep = np.ones(len(out), bool)
+        keep[ends[:-1][blank]] = False  # the dummy prefix
+        ends = ends - np.r_[0, np.cumsum(blank)]
+        raw = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(out[keep].tobytes())])
+        try:
+            return raw.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no UTF-8
+            return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of ids: pieces joined, byte pieces as UTF-8, without the dummy prefix."""
@@ -294,7 +393,8 @@ def load(path: str) -> Pieces:
 def encode(docs: DataFrame, text: str = "text", path: str = MODEL) -> DataFrame:
     """docs with ids (array<int>) and decoded (what they decode to), replaced where docs has such columns.
 
-    A null text counts as empty and has no ids. Every text is encoded whole. Decoding gives the text back, but for the
+    A null text counts as empty and has no ids; repeated rows have theirs each; an empty table gives no rows. Every text is
+    encoded whole; text without blanks is cut where no piece crosses, and takes about the time of other text. Decoding gives the text back, but for the
     blank symbol U+2581 itself, which becomes a blank, and for lone surrogates. path must be readable on all executors.
     """
 
@@ -304,7 +404,7 @@ def encode(docs: DataFrame, text: str = "text", path: str = MODEL) -> DataFrame:
             texts = [t or "" for t in b[text].to_pylist()]
             for x, y in slices(texts, 4_000_000):
                 ids = list(own.encode(texts[x:y]))
-                new = [pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(i.tolist()) for i in ids], pa.string())]
+                new = [pa.array(ids, pa.list_(pa.int32())), own.texts_of(ids)]
                 yield pa.RecordBatch.from_arrays([*b.slice(x, y - x).columns, *new], names=[*b.schema.names, "ids", "decoded"])
 
     docs = docs.drop("ids", "decoded")

@@ -51,7 +51,8 @@ def random_texts():
 def test_unigram_against_plain_viterbi(model):
     own, score, names = model
     own = copy.copy(own)
-    own.merges, own.known = False, {}
+    own.merges = False
+    own.clear()
     texts = random_texts()
     for t, ids in zip(texts, own.encode(texts), strict=True):
         assert ids.tolist() == plain(own, score, names, t), t
@@ -70,6 +71,39 @@ def test_merge_model_against_library(model):
         assert model[0].decode(ids) == t
 
 
+def unspaced():
+    rng = np.random.default_rng(9)
+    base64 = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 20_000))
+    chinese = "".join(rng.choice(list("的一是不了人我在有他这中大来上国日本語テスト"), 20_000))
+    return [base64, chinese, "unbelievableinternationalisation" * 600, "x" * 20_000, "日本" * 300 + "word" * 200]
+
+
+def test_text_without_blanks(model):
+    """Long words against the library, and by the other search; twenty thousand letters take no seconds."""
+    import time
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    begin = time.time()
+    got = [x.tolist() for x in model[0].encode(unspaced())]
+    assert time.time() - begin < 8
+    for t, ids, want in zip(unspaced(), got, lib.encode(unspaced()), strict=True):
+        assert ids == want
+    own = copy.copy(model[0])
+    own.merges = False
+    own.clear()
+    for t in unspaced():
+        t = t[:3000]
+        assert next(own.encode([t])).tolist() == plain(own, *model[1:], t)
+
+
+def test_gathered_texts(model):
+    own = model[0]
+    texts = [*random_texts(), *unspaced()]
+    ids = list(own.encode(texts)) + [np.array([200, 201], np.int32), np.zeros(0, np.int32), np.array([0, 5], np.int32)]
+    assert own.texts_of(ids).to_pylist() == [own.decode(i.tolist()) for i in ids]
+    assert own.texts_of([]).to_pylist() == []
+
+
 def test_query_round_trip(spark, tmp_path):
     got = op3_pieces(spark, SF)
     assert got.where("not round_trip").count() == 0 and got.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
