@@ -31,10 +31,11 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "account": r"(?<![0-9.])[0-9]{7,20}(?![0-9])",
     "birth_date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}([./-])[0-9]{1,2}\1(?:[0-9]{4}|[0-9]{2}))(?![0-9/-]|\.[0-9])",
-    "secret": r"(?:(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=.-]{16,}+|(?<=(?:assword|asswd|asswort|pwd|ecret|oken|pi_key|pi-key|pikey|lave)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?)[^\s\"',;]{6,}+)",
+    "secret": r"(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=.-]{16,}+",
+    "password": r"(?<=(?:assword|asswd|asswort|pwd|ecret|oken|pi_key|pi-key|pikey|lave)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?)[^\s\"',;:=]{6,}+",
 }
 #: What a text must hold for a kind's pattern to match, as a cheaper test.
-NEEDS = {"email": "@", "phone": "+", "mail_spelled": " at |[(\\[] ?(?:at|AT)", "birth_date": "[0-9]", "secret": "[0-9:=]", "phone_local": "[0-9]", "ssn": "-", "iban": "[0-9]", "account": "[0-9]", "ip": "[0-9]", "card": "[0-9]"}
+NEEDS = {"email": "@", "phone": "+", "mail_spelled": "[(\\[] ?(?:at|AT) ?[\\])]| at [A-Za-z0-9-]++ dot ", "birth_date": "[0-9][./-][0-9]{1,2}[./-][0-9]", "secret": "[A-Za-z0-9_+/=.-]{16}", "password": "(?:assw|pwd|ecret|oken|pi.?key|lave)[a-z]*+[\"']? {0,2}[:=]", "phone_local": "[0-9]", "ssn": "-", "iban": "[0-9]", "account": "[0-9]", "ip": "[0-9]", "card": "[0-9]"}
 AROUND = 40
 CUES = {
     "phone": r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|whatsapp|telefon|mobil|t[eé]l[eé]fono|t[eé]l[eé]phone|llame|appelez)\b",
@@ -118,6 +119,8 @@ def _features(c: Column) -> Column:
         .when(c["kind"] == kinds.index("ssn"), ~area.isin("000", "666") & (area < "900") & (F.substring(m, 5, 2) != "00"))
         .when(c["kind"] == kinds.index("phone_local"), F.length(_digits(m)).between(9, 11))
         .when(c["kind"] == kinds.index("birth_date"), m.rlike(r"^(?:(?:19|20)[0-9]{2}-(?:0?[1-9]|1[0-2])-(?:0?[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])[./-](?:0?[1-9]|[12][0-9]|3[01])[./-](?:(?:19|20)[0-9]{2}|[0-9]{2}))$"))
+        .when(c["kind"] == kinds.index("password"), m.rlike("[0-9]") & m.rlike("[A-Za-z]"))
+        .when(c["kind"] == kinds.index("mail_spelled"), m.rlike(r"(?i)(?:dot[\])]? ?[a-z]+|\.(?:com|org|net|edu|info|de|fr|es|it|uk|io))$"))
         .when(c["kind"] == kinds.index("secret"), m.rlike(r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$"))
         .otherwise(False)
     )
@@ -134,12 +137,13 @@ def _features(c: Column) -> Column:
 #: What stands before a candidate that is one, and before one that is not: a half for the fit, the rest for calibration.
 CONTEXTS = {
     "phone_local": ["phone: ", "call me at ", "Tel. ", "mobile ", "fax ", "reach us by telephone on ", "my cell is ", "Telefon ", "Mobil: ", "tel: "],
-    "ssn": ["SSN ", "social security number ", "ssn: ", "her tax id is ", "Social Security: "],
+    "ssn": ["SSN ", "social security number ", "ssn: ", "her tax id is ", "Social Security: ", "tax id no. ", "my tax id "],
     "iban": ["IBAN ", "bank account ", "pay to ", "Konto ", "transfer it to ", "cuenta "],
     "mail_spelled": ["mail ", "contact ", "", "write to ", "reach me at ", "send it to "],
     "account": ["account ", "bank account no. ", "passport ", "acct: ", "patient ", "customer no ", "client number ", "Kundennummer ", "member id "],
     "birth_date": ["born ", "born on ", "date of birth: ", "DOB ", "geboren am ", "née le ", "her birthday is ", "nacido el "],
     "secret": ["token = \"", "api_key: ", "secret=", "password: ", "Authorization: Bearer ", "access key ", "API key '", "credentials: ", "clave: "],
+    "password": ["password: ", "pwd=", "secret=\"", "token = ", "Passwort: ", "api_key='"],
 }
 OFF = ["order ", "invoice ", "version ", "ISBN ", "ref ", "page ", "tracking ", "sku ", "build ", "total ", "the population reached ", "of ", "", "and then ", "on ", "updated ", "commit ", "see ", "file ", "checksum ", "published ", "a sum of ", "line ", "until ", "at "]
 
@@ -158,22 +162,22 @@ def _examples(seed: int = 11, part: int = 0) -> list[dict]:
 
     def secret(ok: bool) -> str:
         if ok:
-            return rng.choice([letters(40, "0123456789abcdef"), "AKIA" + letters(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), "ghp_" + letters(36), "sk-" + letters(32), "eyJ" + letters(30) + "." + letters(40), letters(rng.randint(18, 40)), letters(32, "0123456789abcdef"), word() + digits(2) + "!"])
+            return rng.choice([letters(40, "0123456789abcdef"), "AKIA" + letters(16, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), "ghp_" + letters(36), "sk-" + letters(32), "eyJ" + letters(30) + "." + letters(40), letters(rng.randint(18, 40)), letters(32, "0123456789abcdef")])
         return rng.choice([f"{word()}-{word()}-{word()}", f"example.org/{word()}/{word()}", word() + word() + word(), f"{word()}_{word()}_{word()}.py", "=" * 20, "." * 18, "-" * 24, f"{word()}/{word()}/{word()}{digits(2)}", letters(40, "0123456789abcdef")])
 
     date = lambda: rng.choice([f"{rng.randint(1930, 2015)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.{rng.randint(1930, 2015)}", f"{rng.randint(1, 12):02d}/{rng.randint(1, 28):02d}/{rng.randint(1930, 2015)}"])
     phone = lambda: rng.choice([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"0{digits(2)} {digits(4)} {digits(4)}"])
     spelled = lambda ok: (rng.choice([f"{word()} [at] {word()} [dot] com", f"{word()}.{word()} (at) {word()} (dot) org", f"{word()} at {word()} dot com"]) if ok else rng.choice(["x[at]y.size", f"f(at){word()}.length", f"a (at) {word()}.value", f"{word()}[at]{word()}.index"]))
-    make = {"phone_local": lambda _: phone(), "ssn": lambda ok: f"{rng.randint(1, 665) if ok else rng.choice([0, 666, 950]):03d}-{rng.randint(1, 99):02d}-{digits(4)}", "iban": iban, "mail_spelled": spelled, "account": lambda _: digits(rng.randint(7, 20)), "birth_date": lambda _: date(), "secret": secret}
+    make = {"phone_local": lambda _: phone(), "ssn": lambda ok: f"{rng.randint(1, 665) if ok else rng.choice([0, 666, 950]):03d}-{rng.randint(1, 99):02d}-{digits(4)}", "iban": iban, "mail_spelled": spelled, "account": lambda _: digits(rng.randint(7, 20)), "birth_date": lambda _: date(), "secret": secret, "password": lambda ok: rng.choice([word() + digits(2) + "!", word() + digits(2), letters(10)]) if ok else rng.choice([word() + word(), "required", word() + "ing", "(optional)"])}
     kinds, out = list(PATTERNS), []
     for kind, f in make.items():
         for k in range(200):
             good = k % 2 == 0
-            right = good or kind not in ("ssn", "iban", "mail_spelled", "secret") or kind == "iban" and rng.random() < 0.1
+            right = good or kind not in ("ssn", "iban", "mail_spelled", "secret", "password") or kind == "iban" and rng.random() < 0.1
             before = rng.choice(CONTEXTS[kind][part::2] if good else OFF[part::2])
             m = f(right)
-            if kind == "secret" and good and m.endswith("!"):
-                before = rng.choice(["password: ", "secret=", "token = \""][part::2] or ["pwd="])
+            if kind == "password" and not good:
+                before = rng.choice(CONTEXTS[kind][part::2])
             if kind == "secret" and good and m[:3] in ("AKI", "ghp", "sk-", "eyJ") and rng.random() < 0.5:
                 before = rng.choice(["the key is ", "my ", "use ", "", "it was "])
             if kind == "secret" and not good and "/" in m and rng.random() < 0.5:
