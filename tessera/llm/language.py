@@ -22,6 +22,8 @@ from tessera.llm.common import slices
 BUCKETS, CENTROIDS, SAMPLE = 4096, 4, 300
 #: A text is rejected below this share of the cosine that 99 % of the sample reach, less for few letters.
 SLACK, FEW_LETTERS = 0.5, 60
+#: Most labels that a fit takes.
+LABELS = 5000
 _MUL = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393, 2869860233], np.uint32)
 
 
@@ -100,13 +102,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
-    """Learn from text and lang of the rows that are not held out; at most about `sample` rows of each language."""
+    """Learn from text and lang of the rows that are not held out; at most about `sample` rows of each language, by a hash of
+    id and text, a repeated row once. Without labelled rows the model knows no language. More labels than LABELS are an error:
+    such a column does not hold languages."""
     own = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}  # a row a language
+    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().limit(LABELS + 1).collect()}  # a row a language
+    if len(sizes) > LABELS:
+        raise ValueError(f"more than {LABELS} labels")
     if not sizes:
         return Model(np.ones(BUCKETS), np.zeros((0, BUCKETS), np.float32), [], 0.0)
     rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))])
-    chosen = own.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_003)) < rate[F.col("lang")] * 1_000_003)
+    digest = F.xxhash64("doc_id", "text", F.lit("sample"))
+    chosen = own.where(F.pmod(digest, F.lit(1_000_003)) < rate[F.col("lang")] * 1_000_003)
+    chosen = chosen.groupBy("lang", digest.alias("digest")).agg(F.any_value("text").alias("text"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:

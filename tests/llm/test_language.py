@@ -60,3 +60,36 @@ def test_edges(spark):
     none = spark.createDataFrame([], df.schema)
     assert lid.identify(none, lid.fit(none)).count() == 0
     assert {r.rejected for r in lid.identify(df.limit(3), lid.fit(none)).collect()} == {False}
+
+
+def test_predictions_against_loops(spark):
+    """The nearest centroid and the rejection, text by text, from the counts of plain loops."""
+    rng = np.random.default_rng(3)
+    words = {"en": "the cat and of house with these words in".split(), "fr": "le chat et de la maison avec ces mots".split(), "de": "der hund und das haus mit diesen worten".split()}
+    rows = [(k, " ".join(rng.choice(words[lang], rng.integers(3, 40))), lang) for k, lang in enumerate(list(words) * 40)]
+    model = lid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = [t for _, t, _ in rows[:40]] + ["", "12", "a", "zzz qqq xxx " * 30, "The House und die Maison"]
+    for t, (lang, score, rejected) in zip(texts, model.predict(texts), strict=True):
+        letters = sum(c.isalpha() for c in t)
+        v = np.log1p(plain_counts(t)) * model.idf
+        cosines = [float(v @ c) / max(np.linalg.norm(v), 1e-9) for c in model.centroids]
+        best = max(cosines)
+        if not letters:
+            assert (lang, score, rejected) == ("und", 0.0, True)
+            continue
+        assert abs(score - best) < 1e-5 and cosines[model.langs.index(lang) :][: lid.CENTROIDS * 3]
+        assert max(c for c, x in zip(cosines, model.langs, strict=True) if x == lang) > best - 1e-5
+        assert rejected == (best < model.least * letters / (letters + lid.FEW_LETTERS)) or abs(best - model.least * letters / (letters + lid.FEW_LETTERS)) < 1e-4
+    found = np.stack([plain_counts(t) for _, t, _ in rows])
+    taken = [k for k in range(len(rows)) if __import__("zlib").crc32(str(k).encode()) % 5]
+    assert np.allclose(model.idf, np.log((1 + len(taken)) / (1 + (found[taken] > 0).sum(0))) + 0.1)
+
+
+def test_one_id_for_all_rows(spark):
+    """A repeated row is learned from once, and different texts of one id are sampled each."""
+    same = spark.range(50_000).selectExpr("7L as doc_id", "'the same text of one id' as text", "'en' as lang")
+    model = lid.fit(same.unionByName(spark.range(2000).selectExpr("7L as doc_id", "concat('der hund ', id) as text", "'de' as lang")), sample=100)
+    assert model.langs.count("en") == 1 or model.langs.count("en") == 0
+    assert "de" in model.langs
+    with pytest.raises(ValueError, match="labels"):
+        lid.fit(spark.range(8001).selectExpr("id as doc_id", "'x' as text", "cast(id as string) as lang"))
