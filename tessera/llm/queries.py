@@ -71,7 +71,8 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return whole_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+    found = whole_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+    return found.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -107,4 +108,30 @@ r AS (SELECT vec_id AS u, vec_id AS w FROM e UNION SELECT r.u, l.w FROM r JOIN l
 SELECT c.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, c.component_id, c.vec_id = c.component_id AS kept
 FROM (SELECT u AS vec_id, min(w) AS component_id FROM r GROUP BY u) c
 LEFT JOIN (SELECT u, count(*) AS n FROM l GROUP BY u) k ON k.u = c.vec_id""",
+    "op2_jaccard": r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\t\n\v\f\r ]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT text, any_value(w) AS w, min(doc_id) AS id, count(*) AS copies FROM d WHERE len(w) > 0 GROUP BY text),
+s AS MATERIALIZED (SELECT DISTINCT id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END) AS g FROM t),
+n AS MATERIALIZED (SELECT id, count(*) AS n FROM s GROUP BY id),
+c AS (SELECT a.id AS u, b.id AS v, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.id <> b.id GROUP BY a.id, b.id),
+l AS MATERIALIZED (SELECT u, v FROM c JOIN n x ON x.id = u JOIN n y ON y.id = v WHERE m >= 0.8 * (x.n + y.n - m) - 1e-9),
+r AS (SELECT id AS u, id AS v FROM t UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+k AS (SELECT u, min(v) AS class_id FROM r GROUP BY u),
+o AS (SELECT u, sum(copies)::BIGINT AS n FROM l JOIN t ON t.id = l.v GROUP BY u)
+SELECT d.doc_id, coalesce(class_id, d.doc_id) AS class_id, (coalesce(o.n, 0) + coalesce(t.copies - 1, 0))::BIGINT AS n_links, d.doc_id = coalesce(class_id, d.doc_id) AS kept
+FROM d LEFT JOIN t ON t.text = d.text LEFT JOIN k ON k.u = t.id LEFT JOIN o ON o.u = t.id""",
+    "op10_lm": r"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\t\n\v\f\r ]+') AS w, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS t FROM documents),
+p AS MATERIALIZED (SELECT doc_id, t, generate_subscripts(w, 1) AS k, unnest(w) AS w FROM d),
+v AS MATERIALIZED (SELECT w FROM p WHERE t GROUP BY w HAVING count(*) >= 2),
+q AS MATERIALIZED (SELECT doc_id, t, k, v.w AS w FROM p LEFT JOIN v ON v.w = p.w),
+b AS MATERIALIZED (SELECT doc_id, t, k, w, lag(w) OVER (PARTITION BY doc_id ORDER BY k) AS v FROM q),
+one AS MATERIALIZED (SELECT w, count(*) AS nb, count(*) FILTER (t) AS na FROM q GROUP BY w),
+two AS MATERIALIZED (SELECT v, w, count(*) AS nb, count(*) FILTER (t) AS na FROM b WHERE v IS NOT NULL GROUP BY v, w),
+ctx AS MATERIALIZED (SELECT v, sum(nb) AS nb, sum(na) AS na FROM two GROUP BY v),
+s AS (SELECT (SELECT count(*) FROM v) + 1 + count(*) AS sb, (SELECT count(*) FROM v) + 1 + count(*) FILTER (t) AS sa FROM q),
+l AS (SELECT b.doc_id, -log2((coalesce(two.na, 0) + 5.0::DOUBLE * (one.na + 1) / sa) / (coalesce(ctx.na, 0) + 5.0)) AS a, -log2((coalesce(two.nb, 0) + 5.0::DOUBLE * (one.nb + 1) / sb) / (coalesce(ctx.nb, 0) + 5.0)) AS b
+  FROM b JOIN one ON one.w IS NOT DISTINCT FROM b.w LEFT JOIN two ON two.v = b.v AND two.w IS NOT DISTINCT FROM b.w LEFT JOIN ctx ON ctx.v = b.v, s),
+m AS (SELECT doc_id, count(*) AS n, avg(a) AS a, avg(b) AS b FROM l GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_tokens, round(coalesce(a, 0), 6) AS target_loss, round(coalesce(b, 0), 6) AS background_loss, round(coalesce(a - b, 0), 6) AS score FROM d LEFT JOIN m USING (doc_id)""",
 }
