@@ -12,14 +12,15 @@ import io
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
 from tessera.sources.shared import shared_dir
 
-#: Captures of an archive; up to this many groups of equal payloads are broadcast; least bytes of a revisited payload.
-PER_ARCHIVE, FEW_GROUPS, LEAST_BYTES = 4000, 10_000, 0
+#: Captures of an archive of small pages; up to this many groups of equal payloads are broadcast; least bytes of a revisited
+#: payload. Bytes of a small page; each further class holds pages up to 16 times as large, and 16 times fewer an archive.
+PER_ARCHIVE, FEW_GROUPS, LEAST_BYTES, SMALL, CLASSES = 4096, 10_000, 0, 65_536, 3
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -65,10 +66,14 @@ def write(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
     response = _record([("WARC-Type", text("response")), id_field("response"), ("WARC-Date", date), target, ("WARC-Payload-Digest", digest), http_type], F.concat(http, F.col("html")))
     again = _record([("WARC-Type", text("revisit")), id_field("response"), ("WARC-Date", date), target, ("WARC-Payload-Digest", digest), ("WARC-Profile", text("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), ("WARC-Refers-To", _urn("response", F.col("first_id"), F.col("digest"))), ("WARC-Refers-To-Target-URI", F.col("first_url")), ("WARC-Refers-To-Date", date), http_type], http)
     request = _record([("WARC-Type", text("request")), id_field("request"), ("WARC-Date", date), target, ("WARC-Concurrent-To", this), ("Content-Type", text("application/http;msgtype=request"))], F.concat(F.lit("GET "), F.coalesce("url", F.lit("/")), F.lit(" HTTP/1.1\r\n\r\n")))
-    about = F.concat(F.coalesce(F.concat(F.lit("sourceId: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit("")), F.when(revisit, F.concat(F.lit("revisitOf: "), F.col("first_id").cast("string"), F.lit("\r\n"))).otherwise(""))
+    about = F.coalesce(F.concat(F.lit("sourceId: "), F.col("page_id").cast("string"), F.lit("\r\n")), F.lit(""))
     metadata = _record([("WARC-Type", text("metadata")), id_field("metadata"), ("WARC-Date", date), target, ("WARC-Concurrent-To", this), ("Content-Type", text("application/warc-fields"))], about)
     value = F.concat_ws("\r\n\r\n", request, F.when(revisit, again).otherwise(response), metadata)
-    row.select(value.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", PER_ARCHIVE).text(path)
+    # Pages of each class of size are written apart, the larger the fewer to an archive.
+    size_class = F.least(F.lit(CLASSES), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("size"), F.lit(1)) / SMALL) / 4))).cast("int")
+    for k in sorted(r["k"] for r in own.select(size_class.alias("k")).distinct().collect()):  # a few numbers
+        out = row.where(size_class == k).select(value.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
+        out.option("maxRecordsPerFile", max(1, PER_ARCHIVE >> 4 * k)).text(f"{path}/{k}")
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -115,35 +120,45 @@ def read(archives: DataFrame) -> DataFrame:
 def assemble(records: DataFrame) -> DataFrame:
     """One row per capture: response (struct of all its columns) and the request and metadata of its transaction, if any.
 
-    Records meet by the response's id and their WARC-Concurrent-To, in one exchange. Response records of one id (a page
-    that was written twice) are a capture each and share one request and metadata record.
+    Records meet by the response's id and their WARC-Concurrent-To. Response records of one id (a page that was written
+    twice) are a capture each and share one request and metadata record, so however many there are, they may be dealt over
+    tasks.
     """
     answer = F.col("type").isin("response", "revisit")
     whole = F.struct(*records.columns)
-    key = F.when(answer, F.col("record_id")).otherwise(F.col("concurrent_to"))
-    met = records.groupBy(key.alias("transaction")).agg(
-        F.collect_list(F.when(answer, whole)).alias("responses"),
+    others = records.where(~answer & F.col("concurrent_to").isNotNull()).groupBy(F.col("concurrent_to").alias("transaction")).agg(
         F.any_value(F.when(F.col("type") == "request", whole), True).alias("request"),
         F.any_value(F.when(F.col("type") == "metadata", whole), True).alias("metadata"),
     )
-    return met.select(F.explode("responses").alias("response"), "request", "metadata")
+    met = records.where(answer).select(whole.alias("response")).join(others, F.col("response.record_id") == F.col("transaction"), "left")
+    return met.select("response", "request", "metadata")
 
 
 def captures(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write pages to archives, read them and return each capture: page_id, bytes and digest of the full payload,
-    record_type and, for revisits, refers_to. Digest and bytes of a response are those of what was read; a revisit's,
-    which has no payload, are in its record. An empty table gives no rows."""
+    record_type and, for revisits, refers_to: the page of the record that WARC-Refers-To names. Digest and bytes of a response
+    are those of what was read; a revisit's, which has no payload, are in its record. An empty table gives no rows, and
+    repeated rows each one. A page must fit a task's memory, as a row of any table must; archives are bounded by bytes."""
     spark = pages.sparkSession
     path = path or f"{shared_dir(spark)}/warc-{spark.sql('select uuid() as u').first()['u']}"
     write(pages, path)
-    records = read(spark.read.format("binaryFile").load(path))
+    records = read(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)) if _written(spark, path) else read(spark.createDataFrame([], "content binary"))
     told = F.regexp_extract("http", r"(?i)content-length: ([0-9]+)", 1)
     plain = records.select(
-        "type", "record_id", "concurrent_to",
+        "type", "record_id", "concurrent_to", "refers_to",
         F.when(F.col("type") == "response", F.octet_length("payload")).when(F.col("type") == "revisit", told.try_cast("long")).cast("long").alias("payload_bytes"),
         F.when(F.col("type") == "response", base32_sha1(F.col("payload"))).otherwise(F.substring_index("digest", ":", -1)).alias("payload_digest"),
         F.when(F.col("type") == "metadata", F.col("payload").cast("string")).alias("about"),
     )
-    found = assemble(plain)
-    field = lambda name: F.regexp_extract(F.col("metadata.about"), rf"(?m)^{name}: (-?[0-9]+)", 1).try_cast("long")
-    return found.select(field("sourceId").alias("page_id"), "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), field("revisitOf").alias("refers_to"))
+    page = F.regexp_extract(F.col("metadata.about"), r"(?m)^sourceId: (-?[0-9]+)", 1).try_cast("long")
+    found = cut(assemble(cut(plain)).select(page.alias("page_id"), "response.payload_bytes", "response.payload_digest", F.col("response.type").alias("record_type"), F.col("response.record_id").alias("id"), F.col("response.refers_to").alias("to")))
+    asked = found.where("to is not null").select(F.col("to").alias("asked")).distinct()
+    targets = cut(found.join(asked, F.col("id") == F.col("asked"), "left_semi").groupBy(F.col("id").alias("asked")).agg(F.max("page_id").alias("refers_to")))
+    few = targets.count() <= FEW_GROUPS
+    out = found.join(F.broadcast(targets) if few else targets, F.col("to") == F.col("asked"), "left")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)

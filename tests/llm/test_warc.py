@@ -25,7 +25,7 @@ def test_round_trip(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(warc, "FEW_GROUPS", few)
         got = sorted((tuple(r) for r in warc.captures(df, f"{tmp_path}/w{few}").collect()), key=str)
         assert got == plain(rows)
-    records = warc.read(spark.read.format("binaryFile").load(f"{tmp_path}/w0"))
+    records = warc.read(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{tmp_path}/w0"))
     assert {r["type"]: r["count"] for r in records.groupBy("type").count().collect()}["request"] == len(rows)
     whole = warc.assemble(records).where("response.type = 'response'").collect()
     assert all(r.request.concurrent_to == r.metadata.concurrent_to == r.response.record_id for r in whole)
@@ -33,6 +33,19 @@ def test_round_trip(spark, tmp_path, monkeypatch):
     assert warc.captures(df.limit(0), f"{tmp_path}/none").count() == 0
 
 
+def test_large_pages_and_a_repeated_page(spark, tmp_path):
+    """Large pages go to archives of few; a page that is written often is a capture each time, and one that copies it refers
+    to it by its record's id."""
+    rows = [(7, "u", "the same page")] * 3000 + [(k, "v", f"{k} " + "x" * 1_200_000) for k in range(20, 24)] + [(6, "w", "the same page"), (30, "z", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((tuple(r) for r in warc.captures(df, f"{tmp_path}/w").collect()), key=str)
+    assert got == plain(rows)
+    assert {p.name for p in (tmp_path / "w").iterdir() if p.is_dir()} == {"0", "2"}
+    records = warc.read(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{tmp_path}/w"))
+    again = records.where("type = 'revisit'").first()
+    assert records.where("type = 'response'").where(records.record_id == again.refers_to).count() == 3000
+
+
 def test_parse():
     raw = b"".join(b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in (b"", b"a\r\n\r\nb", b"\x00\xff"))
     members = b"".join(gzip.compress(x + b"\r\n\r\n") for x in raw.split(b"\r\n\r\nWARC")[:1])
