@@ -35,7 +35,9 @@ PATTERNS = {
     "password": r"(?<=(?:assword|asswd|asswort|pwd|ecret|oken|pi_key|pi-key|pikey|lave)[\"']?[ ]{0,2}[:=][ ]{0,2}[\"']?)[^\s\"',;:=]{6,}+",
 }
 #: What a text must hold for a kind's pattern to match, as a cheaper test.
-NEEDS = {"email": "@", "phone": "+", "mail_spelled": "[(\\[] ?(?:at|AT) ?[\\])]| at [A-Za-z0-9-]++ dot ", "birth_date": "[0-9][./-][0-9]{1,2}[./-][0-9]", "secret": "[A-Za-z0-9_+/=.-]{16}", "password": "(?:assw|pwd|ecret|oken|pi.?key|lave)[a-z]*+[\"']? {0,2}[:=]", "phone_local": "[0-9]", "ssn": "-", "iban": "[0-9]", "account": "[0-9]", "ip": "[0-9]", "card": "[0-9]"}
+NEEDS = {"email": "@", "phone": "+", "mail_spelled": "[(\\[] ?(?:at|AT) ?[\\])]| at [A-Za-z0-9-]++ dot ", "birth_date": "[0-9][./-][0-9]{1,2}[./-][0-9]", "secret": "(?<![A-Za-z0-9_+/=.-])[A-Za-z0-9_+/=.-]{16}", "password": "(?:assw|pwd|ecret|oken|pi.?key|lave)[a-z]*+[\"']? {0,2}[:=]", "phone_local": "[0-9]", "ssn": "-", "iban": "[0-9]", "account": "[0-9]", "ip": "[0-9]", "card": "[0-9]"}
+#: Of these strings a text must hold one before that is looked for.
+EITHER = {"mail_spelled": (" dot ", "[", "("), "password": ("=", ":")}
 AROUND = 40
 CUES = {
     "phone": r"(?i)\b(?:phone|tel|telephone|call|mobile|cell|fax|whatsapp|telefon|mobil|t[eé]l[eé]fono|t[eé]l[eé]phone|llame|appelez)\b",
@@ -268,6 +270,10 @@ def _candidates(text: Column, number: int, kind: str) -> tuple[Column, Column]:
     """All matches of a kind, and the stretches of text between them."""
     need = NEEDS[kind]
     may = F.contains(text, F.lit(need)) if len(need) == 1 else text.rlike(need)
+    if kind in EITHER:
+        may = reduce(lambda a, x: a | F.contains(text, F.lit(x)), EITHER[kind][1:], F.contains(text, F.lit(EITHER[kind][0]))) & may
+    if kind == "secret":  # a run without any digit is hardly a key
+        may = text.rlike("[0-9]") & may
     found = F.when(may, F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))).otherwise(F.array().cast("array<string>"))
     return found, F.lit(PATTERNS[kind])
 
