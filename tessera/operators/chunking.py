@@ -62,6 +62,16 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, separators:
     return out
 
 
+def split_column(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """split_text of a column, as an array; none of null."""
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield pd.Series([split_text(t or "", size, overlap) for t in s], dtype=object)
+
+    return F.pandas_udf(run, "array<string>")(text)
+
+
 def legislation(text: str) -> list[tuple[str, str, str]]:
     """(section_number, parent_section, content) of parts and their sections; the whole text if it has none."""
     found = []
@@ -178,7 +188,8 @@ def reconciled(found: list[Segment]) -> list[Segment]:
         out.append(s)
         if k + 1 == len(ahead) or ahead[k + 1].chapter != s.chapter:
             while len(out) > 1 and out[-1].size < RUNT and out[-2].chapter == out[-1].chapter:
-                out[-2].end = out.pop().end
+                last = out.pop()
+                out[-1].end = last.end
     return out
 
 

@@ -232,8 +232,133 @@ def legislation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_legislation(docs)
 
 
-QUERIES = {f.__name__: f for f in (page_map, page_asof, page_invariants, line_census, repeated_lines, char_census, page_coverage, header_census, hyphen_attest, extract_pages, html_text, sentence_split, citations_extract, sections_related, grounding_gate, completeness, rewrite_parse, judge_agg, audit_events, chunk_ids, dedup_first, sync_diff, legislation_split)}
+def intent_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tagged line of each user turn's made-up answer: the first of two, or none."""
+    c = F.col("turn") % 3
+    answer = F.concat(F.lit("1. one\n"), F.when(c > 0, F.concat(F.lit("- INTENT:  "), F.left(F.regexp_replace("text", r"\s+", " "), F.lit(190)))).otherwise("intent: none"), F.when(c > 1, "\nINTENT: second").otherwise(""))
+    return read(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", expansion.intent(answer).alias("intent"))
+
+
+def recursive_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text of numbered words as long as each document, in pieces: blanks are its only separators."""
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.col("n_chars") / 8).cast("int"))), lambda k: F.lpad(k.cast("string"), 7, "0")), " ")
+    own = read(spark, sf_dir, "documents").select("doc_id", words.alias("text"))
+    cut = own.select("doc_id", F.posexplode(chunking.split_column(F.col("text"))).alias("pos", "piece"))
+    return cut.select("doc_id", F.col("pos").cast("long").alias("pos"), F.length("piece").cast("long").alias("n_chars"), F.md5("piece").alias("md5"))
+
+
+def legislation_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An act for each document: two parts of sections, by its number."""
+    d = F.col("doc_id")
+    section = lambda k: F.concat(F.lit("\nSection "), F.lit(k).cast("string"), F.lit(". "), F.lit("It is so enacted by "), d.cast("string"))
+    more = F.when(d % 2 == 0, section(3)).otherwise("")
+    text = F.concat(F.lit("An act of "), d.cast("string"), F.lit("\nPART I"), section(1), section(2), F.lit("\nPART II"), more, F.lit("\n7.\u2014 Last of "), d.cast("string"))
+    docs = read(spark, sf_dir, "documents").select(d.cast("string").alias("source"), F.concat(F.lit("Act "), d.cast("string")).alias("title"), F.col("lang").alias("document_type"), text.alias("text"))
+    return chunking.chunk_legislation(docs).select("source", "document_type", "section_number", "parent_section", F.col("chunk_ord").cast("long").alias("chunk_ord"), "text")
+
+
+def handbook_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A handbook for each document, by its number: two chapters of two or three sections, an appendix, a runt, an index."""
+    d = F.col("doc_id")
+    body = lambda k: F.concat(F.lit("\nbody "), F.repeat(F.lit("x"), F.lit(620) + (d + k) % 90))
+    one = F.concat(F.lit("CHAPTER 1\nON FIRST THINGS\n1.1 Head One"), body(1), F.lit("\n1.2 Head Two"), body(2), F.when(d % 2 == 0, F.concat(F.lit("\n1.3 Runt\nshort"))).otherwise(F.concat(F.lit("\n1.3 Head Three"), body(3))))
+    two = F.concat(F.lit("\nCHAPTER 2\nMORE\n2.1 Again"), body(4), F.lit("\nAPPENDIX 2.1 FORM"), body(5), F.lit("\nINDEX\nthings 1.1"))
+    front = F.lit("A title page\n")
+    text, first = F.concat(front, one, two), F.length(front) + F.length(one)
+    span = lambda n, a, b: F.struct(F.lit(n).alias("page_number"), (F.lit(n) + F.col("doc_id").cast("int") % 5).alias("printed_page"), a.cast("int").alias("char_start"), b.cast("int").alias("char_end"))
+    spans = F.array(span(1, F.lit(0), first), span(2, first + 1, F.length(text)))
+    docs = read(spark, sf_dir, "documents").select(d.cast("string").alias("source"), F.lit("my_book.pdf").alias("title"), F.lit("handbook").alias("document_type"), text.alias("clean_text"), spans.alias("page_map"))
+    own = chunking.chunk_handbook(docs)
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return own.select("source", long("chunk_ord"), long("chapter_number"), "chapter_title", "section_number", "heading", long("page_start"), long("page_end"), F.md5("text").alias("md5"))
+
+
+def refusal_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _gated(spark, sf_dir).join(_answers(spark, sf_dir).select("query_id", "lang"), "query_id")
+    return evaluation.refusal_accuracy(own, ["lang"])
+
+
+def null_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of which each third has no title and each fourth no section."""
+    d = F.col("doc_id")
+    own = read(spark, sf_dir, "documents").select(F.when(d % 3 > 0, F.col("lang")).alias("title"), F.when(d % 4 > 0, d.cast("string")).alias("section_number"))
+    return store.dropped_keys(own).select(F.col("dropped").cast("long").alias("dropped"), F.col("affected").cast("long").alias("affected"))
+
+
+def insert_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an insert adds to a store of every second chunk."""
+    own = _snapshot(spark, sf_dir)
+    return store.new_chunks(own, store.first_of_each(own).where("doc_id % 2 = 0")).select("chunk_id", "doc_id")
+
+
+def chapter_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages under a chapter line each."""
+    own = read(spark, sf_dir, "documents").select(F.col("lang").alias("source"), F.col("doc_id").alias("page_number"), F.concat(F.lit("CHAPTER "), (F.col("doc_id") % 7).cast("string"), F.when(F.col("doc_id") % 2 == 0, "a").otherwise(""), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+    return pages.chapter_census(own)
+
+
+def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as handbooks of pages under running headers: the numbers read and inferred, and what the headers leave."""
+    d, k = F.col("doc_id"), F.col("k")
+    shift = (d % 3).cast("int")
+    head = F.when(k % 4 == 0, F.concat((k - shift).cast("string"), F.lit(" A RUNNING TITLE"))).when(k % 4 == 1, F.concat(F.lit("THE CHAPTER'S TITLE "), (k - shift).cast("string"))).when(k % 4 == 2, "plain first line").otherwise(F.concat(F.lit("OTHER "), (k + 40).cast("string")))
+    text = F.concat(head, F.lit("\nbody of "), d.cast("string"), F.lit("\n"), k.cast("string"))
+    raw = read(spark, sf_dir, "documents").select(d.alias("source"), F.explode(F.sequence(F.lit(4), F.lit(12))).alias("k"), d).select("source", F.col("k").alias("page_number"), text.alias("text"))
+    own = pages.clean(raw)
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return own.select("source", long("page_number"), long("printed_page"), F.md5("text").alias("md5"))
+
+
+QUERIES = {f.__name__: f for f in (intent_extract, recursive_split, legislation_sections, handbook_chunk, refusal_accuracy, null_metadata, insert_new, chapter_census, page_numbers, page_map, page_asof, page_invariants, line_census, repeated_lines, char_census, page_coverage, header_census, hyphen_attest, extract_pages, html_text, sentence_split, citations_extract, sections_related, grounding_gate, completeness, rewrite_parse, judge_agg, audit_events, chunk_ids, dedup_first, sync_diff, legislation_split)}
+_UNQUOTE = "CASE WHEN length(x) >= 2 AND " + " THEN x[2:-2] WHEN length(x) >= 2 AND ".join(f"x[1] = '{a}' AND x[-1] = '{b}'" for a, b in (('"', '"'), ("\'\'", "\'\'"), ("“", "”"), ("‘", "’"))) + " THEN x[2:-2] ELSE x END"
+_STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+_BODY = "chr(10) || 'body ' || repeat('x', 620 + (doc_id + {k}) % 90)"
 ORACLE = {
+    "intent_extract": rf"""WITH u AS (SELECT conv_id, turn, left(regexp_replace(text, '\s+', ' ', 'g'), 190) AS t FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, CASE WHEN turn % 3 > 0 THEN nullif({_STRIP.format(x='t')}, '') END AS intent FROM u""",
+    "recursive_split": """WITH d AS (SELECT doc_id, greatest(1, n_chars // 8) AS n FROM documents),
+p AS (SELECT doc_id, n, unnest(range(CASE WHEN n <= 300 THEN 1 ELSE 1 + CAST(ceil((n - 300) / 240.0) AS BIGINT) END)) AS pos FROM d),
+t AS (SELECT doc_id, pos, array_to_string(list_transform(range(pos * 240 + 1, least(n, pos * 240 + 300) + 1), lambda k: lpad(k::VARCHAR, 7, '0')), ' ') AS piece FROM p)
+SELECT doc_id, pos, length(piece)::BIGINT AS n_chars, md5(piece) AS md5 FROM t""",
+    "legislation_sections": """WITH s AS (SELECT doc_id, lang, unnest([
+  {'n': '', 'p': '', 'b': 'An act of ' || doc_id}, {'n': '', 'p': 'PART I', 'b': 'PART I'}, {'n': '1', 'p': 'PART I', 'b': 'Section 1. It is so enacted by ' || doc_id}, {'n': '2', 'p': 'PART I', 'b': 'Section 2. It is so enacted by ' || doc_id},
+  {'n': '', 'p': 'PART II', 'b': 'PART II'}, {'n': CASE WHEN doc_id % 2 = 0 THEN '3' END, 'p': 'PART II', 'b': 'Section 3. It is so enacted by ' || doc_id}, {'n': '7', 'p': 'PART II', 'b': '7.— Last of ' || doc_id}]) AS s FROM documents),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE s.b WHEN 'PART I' THEN 2 WHEN 'PART II' THEN 5 ELSE CASE s.n WHEN '' THEN 1 WHEN '1' THEN 3 WHEN '2' THEN 4 WHEN '3' THEN 6 ELSE 7 END END) - 1 AS k FROM s WHERE s.n IS NOT NULL)
+SELECT doc_id::VARCHAR AS source, lang AS document_type, s.n AS section_number, s.p AS parent_section, k AS chunk_ord,
+  '[From: Act ' || doc_id || CASE WHEN s.p <> '' THEN ', ' || s.p ELSE '' END || CASE WHEN s.n <> '' THEN ', Section ' || s.n ELSE '' END || '] ' || s.b AS text FROM f""",
+    "handbook_chunk": f"""WITH d AS (SELECT doc_id, 1 + doc_id % 5 AS p, 2 + doc_id % 5 AS r, {_BODY.format(k=1)} AS a, {_BODY.format(k=2)} AS b, {_BODY.format(k=3)} AS c, {_BODY.format(k=4)} AS e, {_BODY.format(k=5)} AS f FROM documents),
+s AS (SELECT doc_id, unnest([
+  {{'k': 0, 'c': 1, 't': 'On First Things', 's': '1.1', 'h': 'Head One', 'p': p, 'b': 'CHAPTER 1' || chr(10) || 'ON FIRST THINGS' || chr(10) || '1.1 Head One' || a}},
+  {{'k': 1, 'c': 1, 't': 'On First Things', 's': '1.2', 'h': 'Head Two', 'p': p, 'b': '1.2 Head Two' || b || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '1.3 Runt' || chr(10) || 'short' ELSE '' END}},
+  {{'k': 2, 'c': 1, 't': 'On First Things', 's': CASE WHEN doc_id % 2 = 1 THEN '1.3' END, 'h': 'Head Three', 'p': p, 'b': '1.3 Head Three' || c}},
+  {{'k': 3 - CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END, 'c': 2, 't': 'More', 's': '2.1', 'h': 'Again', 'p': r, 'b': 'CHAPTER 2' || chr(10) || 'MORE' || chr(10) || '2.1 Again' || e}},
+  {{'k': 4 - CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END, 'c': 2, 't': 'More', 's': 'APPENDIX 2.1', 'h': 'FORM', 'p': r, 'b': 'APPENDIX 2.1 FORM' || f}}]) AS z FROM d)
+SELECT doc_id::VARCHAR AS source, z.k::BIGINT AS chunk_ord, z.c::BIGINT AS chapter_number, z.t AS chapter_title, z.s AS section_number, z.h AS heading, z.p::BIGINT AS page_start, z.p::BIGINT AS page_end,
+  md5('[my book, Ch.' || z.c || ' ' || z.t || ', ' || CASE WHEN z.s LIKE 'APP%' THEN z.s ELSE 'para ' || z.s END || ', p.' || z.p || '] ' || z.b) AS md5 FROM s WHERE z.s IS NOT NULL""",
+    "refusal_accuracy": f"WITH {ANSWERS} SELECT lang, count(*) AS n, sum((gate_outcome = 'REFUSAL')::INT)::BIGINT AS refused, round(sum((gate_outcome = 'REFUSAL')::INT)::DOUBLE / count(*), 6) AS accuracy FROM o GROUP BY lang",
+    "null_metadata": "SELECT (count(*) FILTER (doc_id % 3 = 0 OR lang IS NULL) + count(*) FILTER (doc_id % 4 = 0))::BIGINT AS dropped, count(*) FILTER (doc_id % 3 = 0 OR lang IS NULL OR doc_id % 4 = 0) AS affected FROM documents",
+    "insert_new": "WITH f AS (SELECT left(sha256(source || chr(0) || text), 16) AS chunk_id, min(doc_id) AS doc_id FROM documents GROUP BY 1) SELECT chunk_id, doc_id FROM f WHERE doc_id % 2 = 1",
+    "chapter_census": "SELECT lang AS source, doc_id AS page_number, 'CHAPTER ' || (doc_id % 7) AS line FROM documents WHERE doc_id % 2 = 1",
+    "page_numbers": """WITH p AS (SELECT doc_id, unnest(range(4, 13)) AS k FROM documents)
+SELECT doc_id AS source, k AS page_number, (k - doc_id % 3)::BIGINT AS printed_page,
+  md5(CASE k % 4 WHEN 2 THEN 'plain first line' || chr(10) WHEN 3 THEN 'OTHER ' || (k + 40) || chr(10) ELSE '' END || 'body of ' || doc_id) AS md5 FROM p""",
+    "header_census": r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ls FROM documents),
+e AS (SELECT 'first' AS place, ls[1] AS line FROM l WHERE len(ls) > 0 UNION ALL SELECT 'last', ls[-1] FROM l WHERE len(ls) > 0)
+SELECT place, CASE WHEN regexp_matches(line, '^CHAPTER [0-9]+$') THEN 'chapter' WHEN regexp_matches(line, '^[A-Z][A-Z0-9&''(),.\- ]*[A-Z.)]\s+[0-9]{1,3}$') OR regexp_matches(line, '^[0-9]{1,3}\s+[A-Z][A-Z0-9&''(),.\- ]*[A-Z.)]$') THEN 'header'
+  WHEN regexp_matches(line, '^[0-9]{1,3}$') THEN 'number' ELSE 'other' END AS shape, count(*) AS n FROM e GROUP BY ALL""",
+    "extract_pages": r"""WITH h AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+(?:-[a-z]+)+')) AS words FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
+p AS (SELECT doc_id, k, regexp_replace(raw, '\s+$', '') AS text FROM l WHERE NOT regexp_matches(raw, '^\s*$') AND NOT regexp_matches(raw, '^\s*[0-9]{1,3}\s*$')),
+n AS (SELECT *, lead(text) OVER (PARTITION BY doc_id ORDER BY k) AS nxt FROM p),
+s AS (SELECT n.*, words, regexp_matches(text, '[a-z]-$') AND coalesce(regexp_matches(nxt, '^\p{Ll}'), false) AS seam FROM n JOIN h USING (doc_id))
+SELECT doc_id AS source, sum(length(text) - CASE WHEN seam AND NOT list_contains(words, regexp_extract(text, '([a-z]+)-$', 1) || '-' || regexp_extract(nxt, '^([a-z]+)', 1)) THEN 1 ELSE 0 END + CASE WHEN nxt IS NULL OR seam THEN 0 ELSE 1 END)::BIGINT AS n_chars, count(*) AS n_pages FROM s GROUP BY doc_id""",
+    "rewrite_parse": rf"""WITH u AS (SELECT conv_id, turn, '1. "' || left(text, 40) || '"' || chr(10) || '2) ' || replace(text, '. ', chr(10) || '- ') || chr(10) || '* INTENT: ' || left(text, 60) || chr(10) || '3. 12' || chr(10) AS a FROM conversations WHERE role = 'user'),
+l AS (SELECT conv_id, turn, list_transform(string_split(a, chr(10)), lambda x: [x, regexp_replace(x, '^\s*(?:[0-9]+[.)]|[-*•])\s*', '')]) AS ls FROM u),
+i AS (SELECT conv_id, turn, list_filter(ls, lambda x: starts_with(x[2], 'INTENT:'))[1][2] AS tagged, list_filter(ls, lambda x: NOT starts_with(x[2], 'INTENT:') AND regexp_matches(x[1], '^\s*(?:[0-9]+[.)]|[-*•])\s*(.+)$')) AS own FROM l),
+s AS (SELECT conv_id, turn, {_STRIP.format(x="substr(tagged, 8)")} AS said, list_transform(own, lambda y: {_STRIP.format(x="regexp_extract(y[1], '^" + chr(92) + "s*(?:[0-9]+[.)]|[-*•])" + chr(92) + "s*(.+)$', 1)")}) AS f FROM i),
+c AS (SELECT conv_id, turn, said, list_filter(list_transform(f, lambda x: {_STRIP.format(x=_UNQUOTE)}), lambda x: x <> '' AND length(x) <= 200 AND regexp_matches(x, '\p{{L}}')) AS f FROM s),
+r AS (SELECT conv_id, turn, said, list_slice(list_filter(f, lambda x, k: list_position(list_transform(f, lambda y: lower(y)), lower(x)) = k), 1, 3) AS f FROM c)
+SELECT conv_id, turn, CASE WHEN length(said) BETWEEN 1 AND 200 THEN said END AS intent, len(f)::BIGINT AS n, array_to_string(f, '|') AS rewrites FROM r""",
     "page_map": f"WITH {_PAGES} SELECT source, page_number, char_start, char_start + length(text) AS char_end, md5(text) AS md5, separator FROM o",
     "page_asof": f"""WITH {_PAGES}, n AS (SELECT source, sum(length(text) + length(separator))::BIGINT AS n FROM o GROUP BY source)
 SELECT source, n AS n_chars, max(CASE WHEN char_start <= n // 2 THEN page_number END) AS page_middle, max(CASE WHEN char_start <= greatest(n // 2, n - 1) THEN page_number END) AS page_end FROM o JOIN n USING (source) GROUP BY source, n""",

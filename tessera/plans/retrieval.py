@@ -86,17 +86,17 @@ def expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions(spark, sf_dir).withColumns({"rewrites": F.array(part(1, 6), F.concat(F.lit(" "), part(5, 6)), F.concat(part(1, 6), F.lit("\t")), F.lit(" ")), "intent": part(9, 5)})
 
 
-def sub_query_sql(weight: str = "0.25") -> str:
+def sub_query_sql(weight: str = "0.25", name: str = "sub", short: bool = False) -> str:
+    """A CTE of that name, of questions q; `short` asks for a part of each question instead of the whole."""
     t = sql.tokens("question")
     part = lambda a, n: f"array_to_string(list_slice({t}, {a}, {a + n - 1}), ' ')"
     return f"""
-{QUESTIONS},
-raw AS (SELECT query_id, 0 AS pos, 0 AS kind, question AS text FROM q
+{name}_raw AS (SELECT query_id, 0 AS pos, 0 AS kind, {part(9, 4) if short else "question"} AS text FROM q
   UNION ALL SELECT query_id, 1, 1, {part(1, 6)} FROM q UNION ALL SELECT query_id, 2, 1, {part(5, 6)} FROM q
-  UNION ALL SELECT query_id, 5, 2, {part(9, 5)} FROM q),
-one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lower(trim(text)) ORDER BY pos) AS n FROM raw WHERE kind = 0 OR text <> '') WHERE n = 1),
-sub AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1 AS ord, text, kind,
-  CASE kind WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 / sum(CASE WHEN kind = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) ELSE {weight} END::DOUBLE AS weight FROM one)"""
+  UNION ALL SELECT query_id, 5, 2, {part(9, 5)} FROM q WHERE {weight} > 0),
+{name}_one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, lower(trim(text)) ORDER BY pos) AS n FROM {name}_raw WHERE kind = 0 OR text <> '') WHERE n = 1),
+{name} AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1 AS ord, text, kind,
+  CASE kind WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 / sum(CASE WHEN kind = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) ELSE {weight} END::DOUBLE AS weight FROM {name}_one)"""
 
 
 def sub_query_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ def rrf_weighted_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.retrieve(fusion.sub_queries(expanded(spark, sf_dir)), {"bm25": bm25_arm(spark, sf_dir)})
 
 
-WEIGHTED = f"""WITH {sub_query_sql()},
+WEIGHTED = f"""WITH {QUESTIONS}, {sub_query_sql()},
 s AS (SELECT query_id::VARCHAR || ':' || ord::VARCHAR AS sub_id, text AS question, query_id, ord, weight FROM sub),
 {sql.corpus()}, {sql.bm25('b', 's', 12, key='sub_id')},
 lists AS (SELECT s.query_id, ord AS list_ord, weight, doc_id, rank FROM b JOIN s USING (sub_id)), {sql.rrf('r', 'lists', 6)}
@@ -127,11 +127,27 @@ def weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.sweep(ranks)
 
 
+def _sweep_sql() -> str:
+    parts = [f"WITH {QUESTIONS}, {sql.corpus()}, {sql.bm25('g', 'q', 1)}"]
+    hits = []
+    for k, w in enumerate(("0.0", "0.25", "0.5")):
+        parts.append(sub_query_sql(w, f"s{k}", short=True))
+        parts.append(f"a{k} AS (SELECT query_id::VARCHAR || ':' || ord::VARCHAR AS sub_id, text AS question, query_id, ord, weight FROM s{k})")
+        parts.append(sql.bm25(f"b{k}", f"a{k}", 12, key="sub_id"))
+        parts.append(f"l{k} AS (SELECT a{k}.query_id, ord AS list_ord, weight, doc_id, rank FROM b{k} JOIN a{k} USING (sub_id))")
+        parts.append(sql.rrf(f"r{k}", f"l{k}", 6))
+        hits.append(f"SELECT {w}::DOUBLE AS weight, g.query_id, count(r{k}.rank) > 0 AS hit FROM g LEFT JOIN r{k} ON r{k}.query_id = g.query_id AND g.query_id % 2 = 0 AND r{k}.doc_id = g.doc_id GROUP BY g.query_id")
+    return ", ".join(parts) + f""", h AS ({" UNION ALL ".join(hits)}), z AS (SELECT query_id, hit AS was FROM h WHERE weight = 0)
+SELECT weight, count(*) AS n, sum(hit::INT)::BIGINT AS hits, sum((was AND NOT hit)::INT)::BIGINT AS flips, sum((hit AND NOT was)::INT)::BIGINT AS gains FROM h JOIN z USING (query_id) GROUP BY weight"""
+
+
 def known_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A golden set: each passage's best document is what a shorter question should find."""
+    """A golden set: each passage's best document, or for odd questions a section that nests in it, is what a shorter question
+    should find: so the odd ones are only ever met by related sections."""
     best = index(spark, sf_dir).search(questions(spark, sf_dir), 1)
     kind = F.when(F.col("query_id") % 2 == 0, "direct").otherwise("exact_token")
-    return best.select("query_id", kind.alias("type"), F.array(F.col("doc_id").cast("string")).alias("expected_sections"))
+    section = F.concat(F.col("doc_id").cast("string"), F.when(F.col("query_id") % 2 == 0, "").otherwise(".1"))
+    return best.select("query_id", kind.alias("type"), F.array(section).alias("expected_sections"))
 
 
 def short_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +171,23 @@ RANKS = f"""WITH {QUESTIONS}, s AS (SELECT item_id AS query_id, {_SHORT} AS ques
 {sql.corpus()}, {sql.bm25('g', 'q', 1)}, {sql.bm25('b', 's', 6)},
 r AS (SELECT g.query_id, CASE WHEN g.query_id % 2 = 0 THEN 'direct' ELSE 'exact_token' END AS type, min(b.rank) AS k
   FROM g LEFT JOIN b ON b.query_id = g.query_id AND b.doc_id = g.doc_id GROUP BY g.query_id)"""
-_HITS = ", ".join(f"sum(CASE WHEN k <= {k} THEN 1 ELSE 0 END)::BIGINT AS {m}_hits_{k}, round(sum(CASE WHEN k <= {k} THEN 1 ELSE 0 END)::DOUBLE / count(*), 6) AS {m}_rate_{k}" for m in ("strict", "related") for k in (1, 3, 6))
+
+
+def _hits(cuts: tuple[int, ...]) -> str:
+    """Hits, rates and reciprocal ranks of r: the strict ones are those of even questions."""
+    rank = {"strict": "CASE WHEN query_id % 2 = 0 THEN k END", "related": "k"}
+    one = lambda m, c: f"sum(CASE WHEN {rank[m]} <= {c} THEN 1 ELSE 0 END)"
+    return ", ".join([f"{one(m, c)}::BIGINT AS {m}_hits_{c}, round({one(m, c)}::DOUBLE / count(*), 6) AS {m}_rate_{c}" for m in rank for c in cuts] + [f"round(avg(coalesce(1.0 / CASE WHEN k <= {cuts[-1]} THEN {rank[m]} END, 0)), 6) AS {m}_mrr" for m in rank])
+
+
+
+
+def by_type_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of each type and of all, by the language of the document that is looked for, too."""
+    ranks = evaluation.first_match(known_items(spark, sf_dir), short_results(spark, sf_dir), 3)
+    best = F.regexp_extract(F.element_at("expected_sections", 1), "^[0-9]+", 0).cast("long")
+    own = ranks.withColumn("doc_id", best).join(read(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return evaluation.hit_metrics(own.select("lang", "type", "strict_rank", "related_rank"), ["lang", "type"], 3, also_total="type")
 
 
 def wilson_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +224,7 @@ KNN = """SELECT * FROM (SELECT a.vec_id AS query_id, e.vec_id, round(list_inner_
   row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(a.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank
   FROM embeddings a, embeddings e WHERE a.vec_id % 20 = 0) WHERE rank <= 12"""
 
-QUERIES = {f.__name__: f for f in (tokenize_stats, term_idf, bm25_topk, bm25_filtered, knn_exact, rrf_fuse, sub_query_weights, rrf_weighted_rewrites, weight_sweep, first_match_rank, hit_at_k_mrr, wilson_ci, context_format)}
+QUERIES = {f.__name__: f for f in (tokenize_stats, term_idf, bm25_topk, bm25_filtered, knn_exact, rrf_fuse, sub_query_weights, rrf_weighted_rewrites, weight_sweep, first_match_rank, hit_at_k_mrr, by_type_rollup, wilson_ci, context_format)}
 ORACLE = {
     "tokenize_stats": f"SELECT doc_id, len({sql.tokens('text')})::BIGINT AS n_tokens, len(list_distinct({sql.tokens('text')}))::BIGINT AS n_terms FROM documents",
     "term_idf": f"WITH {sql.corpus()} SELECT term, df, round(idf, 6) AS idf FROM terms",
@@ -200,10 +232,12 @@ ORACLE = {
     "bm25_filtered": f"WITH {QUESTIONS}, {sql.corpus()}, {sql.bm25('b', 'q', 6, where=EN)} SELECT * FROM b",
     "knn_exact": KNN,
     "rrf_fuse": FUSED,
-    "sub_query_weights": f"WITH {sub_query_sql()} SELECT query_id, ord, CASE kind WHEN 0 THEN 'original' WHEN 1 THEN 'rewrite' ELSE 'intent' END AS kind, text, round(weight, 6) AS weight FROM sub",
+    "sub_query_weights": f"WITH {QUESTIONS}, {sub_query_sql()} SELECT query_id, ord, CASE kind WHEN 0 THEN 'original' WHEN 1 THEN 'rewrite' ELSE 'intent' END AS kind, text, round(weight, 6) AS weight FROM sub",
     "rrf_weighted_rewrites": WEIGHTED,
-    "first_match_rank": f"{RANKS} SELECT query_id, type, k AS strict_rank, k AS related_rank FROM r",
-    "hit_at_k_mrr": f"{RANKS} SELECT 'benchmark' AS set, coalesce(type, 'overall') AS type, count(*) AS n, {_HITS}, round(avg(coalesce(1.0 / k, 0)), 6) AS strict_mrr, round(avg(coalesce(1.0 / k, 0)), 6) AS related_mrr FROM r GROUP BY GROUPING SETS ((type), ())",
+    "first_match_rank": f"{RANKS} SELECT query_id, type, CASE WHEN query_id % 2 = 0 THEN k END AS strict_rank, k AS related_rank FROM r",
+    "weight_sweep": _sweep_sql(),
+    "by_type_rollup": f"{RANKS}, o AS (SELECT r.*, lang FROM r JOIN g USING (query_id) JOIN documents d ON d.doc_id = g.doc_id) SELECT lang, coalesce(type, 'overall') AS type, count(*) AS n, {_hits((1, 3))} FROM o GROUP BY GROUPING SETS ((lang, type), (lang))",
+    "hit_at_k_mrr": f"{RANKS} SELECT 'benchmark' AS set, coalesce(type, 'overall') AS type, count(*) AS n, {_hits((1, 3, 6))} FROM r GROUP BY GROUPING SETS ((type), ())",
     "wilson_ci": """WITH w AS (SELECT lang, count(*) AS n, sum(quality)::BIGINT AS hits FROM labels JOIN documents USING (doc_id) GROUP BY lang),
 c AS (SELECT *, hits::DOUBLE / n AS p, 1 + 1.96 * 1.96 / n AS d FROM w),
 e AS (SELECT *, (p + 1.96 * 1.96 / (2 * n)) / d AS m, (1.96 / d) * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4 * n * n)) AS h FROM c)
