@@ -153,8 +153,10 @@ def numbering_census(pages: DataFrame, most: int = 8) -> DataFrame:
     """(depth, n, examples) of lines that open with a dotted number; the first distinct examples by order."""
     n = F.regexp_extract(F.col("line"), r"^([0-9]{1,2}(?:\.[0-9]{1,3})+)\b", 1)
     own = pages.select(F.explode(filled(F.col("text"))).alias("line")).select(n.alias("number")).where("number <> ''")
-    depth = F.size(F.split("number", r"\."))
-    return own.groupBy(depth.alias("depth")).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("number")), 1, most).alias("examples"))
+    counted = own.groupBy(F.size(F.split("number", r"\.")).alias("depth"), "number").agg(F.count("*").alias("n"))
+    first = counted.withColumn("place", F.row_number().over(Window.partitionBy("depth").orderBy("number"))).where(F.col("place") <= most)
+    shown = first.groupBy("depth").agg(F.array_sort(F.collect_list("number")).alias("examples"))  # at most so many a depth
+    return counted.groupBy("depth").agg(F.sum("n").alias("n")).join(shown, "depth")
 
 
 def repeated_lines(pages: DataFrame, share: float = REPEATED) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +36,9 @@ def embed(chunks: DataFrame, text: str = "text", model: Callable[[], Callable[[l
 def knn(vectors: DataFrame, questions: DataFrame, top_k: int, key: str = "vec_id", question_key: str = "query_id") -> DataFrame:
     """(question_key, key, score, rank): the top_k inner products of each question's embedding; ties go by key.
 
-    Both sides are dealt in blocks; each pair of blocks gives its own top_k, and those are merged. Null embeddings
-    are left out. With unit vectors the score is the cosine.
+    Both sides are dealt in blocks, for which their rows are counted when the plan is made; each pair of blocks gives its own
+    top_k, and those are merged. Null embeddings are left out; those of several lengths are an error. With unit vectors the
+    score is the cosine.
     """
     n = max(1, -(-vectors.count() // VECTOR_BLOCK))
     m = max(1, -(-questions.count() // QUERY_BLOCK))
@@ -46,11 +48,15 @@ def knn(vectors: DataFrame, questions: DataFrame, top_k: int, key: str = "vec_id
 
     def block(t: pa.Table) -> pa.Table:
         side = t["q"].to_numpy()
-        ids, e = t["id"].to_numpy(), t["e"].to_pylist()
+        ids, e = t["id"].to_numpy(), t["e"].combine_chunks()
+        width = pc.list_value_length(e).to_numpy()
+        if len(width) and (width != width[0]).any():
+            raise ValueError("embeddings of several lengths cannot be compared")
+        flat = e.flatten().to_numpy().reshape(len(e), -1)
         a, b = np.flatnonzero(side), np.flatnonzero(~side)
         out: tuple[list, list, list] = ([], [], [])
         if len(a) and len(b):
-            qm, vm, vid = np.array([e[k] for k in a]), np.array([e[k] for k in b]), ids[b]
+            qm, vm, vid = flat[a], flat[b], ids[b]
             for x in range(0, len(a), 64):
                 s = np.round(qm[x : x + 64] @ vm.T, 6)
                 for r in range(len(s)):
