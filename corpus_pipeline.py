@@ -15,7 +15,8 @@ from tessera.sources.shared import shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the language identifier, learned from their own labels, does not reject."""
+    """Documents that the language identifier, learned from their own labels, does not reject. Null and letterless texts are
+    rejected; repeated rows stay or go together; no column of docs is changed or lost, whatever its name."""
     own = "language_stage_"
     return identify(docs, fit(docs), own).where(~F.col(own + "rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
@@ -41,12 +42,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind; null and empty texts stay, repeated rows are treated each."""
     return redacted(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, with their texts and places in training sequences."""
+    """The pieces of all documents, with their texts and places in training sequences. Null and empty texts give one row
+    without a bin; repeated rows are packed each; columns beside doc_id, text and source play no part."""
     return pack(docs, with_text=True)
 
 
