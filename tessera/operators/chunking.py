@@ -6,6 +6,7 @@ state, no shuffle. What depends on columns only (prefixes, pages, labels) is exp
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 from tessera.operators.fusion import locator, page_text
 from tessera.operators.pages import page_range
 
-#: Characters of a piece and of its overlap, separators, thresholds of segments, forms of structure lines.
+log = logging.getLogger(__name__)
+#: Characters of a piece and of its overlap, separators, thresholds of segments, forms of structure lines. Digits
+#: are those of ASCII, as in all patterns here that also run in Java and SQL, which agree on these only.
 SIZE, OVERLAP, SEPARATORS = 2400, 480, ("\n\n", "\n", ". ", " ")
 RUNT, OVERSIZE, STUB = 600, 4000, 50
 PART_LINE, SECTION_LINE = r"\n(?=PART\s+[IVXLCDM]+)", r"\n(?=(?:Section\s+[0-9]+\.?|[0-9]+\.[—–\-]))"
@@ -134,6 +137,9 @@ def segments(text: str) -> list[Segment]:
     marks = list(CHAPTER.finditer(text))
     if not marks:
         raise ValueError("no chapter lines")
+    numbers = [int(m[1]) for m in marks]
+    if any(b <= a for a, b in zip(numbers, numbers[1:], strict=False)):
+        log.warning("chapters are not in ascending order: %s", numbers)
     tail = INDEX.search(text, marks[-1].end())
     limit = tail.start() if tail else len(text)
     out: list[Segment] = []

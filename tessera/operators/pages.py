@@ -50,10 +50,51 @@ def calibration(pages: DataFrame) -> DataFrame:
     return spans.select("source", "mode", F.least("first", "chapter").alias("lower"), (F.col("last") + 1).alias("upper"))
 
 
-def attested(pages: DataFrame) -> DataFrame:
-    """(source, words): the lower-cased hyphenated words of each source, as an array."""
+def attested_words(pages: DataFrame) -> DataFrame:
+    """(source, word): the lower-cased hyphenated words of each source."""
     found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[a-z]+(?:-[a-z]+)+"), F.lit(0))
-    return pages.select("source", F.explode(found).alias("w")).groupBy("source").agg(F.array_sort(F.collect_set("w")).alias("words"))
+    return pages.select("source", F.explode(F.array_distinct(found)).alias("word")).distinct()
+
+
+def attested(pages: DataFrame) -> DataFrame:
+    """(source, words): the same as an array."""
+    return attested_words(pages).groupBy("source").agg(F.array_sort(F.collect_list("word")).alias("words"))
+
+
+def _end(line: Column) -> Column:
+    return F.regexp_extract(line, r"([a-z]+)-$", 1)
+
+
+def _start(line: Column) -> Column:
+    return F.regexp_extract(line, r"^([a-z]+)", 1)
+
+
+def broken(text_lines: Column) -> Column:
+    """struct(words, tails): the hyphenated words that lines may be broken in, whatever was decided before, and the parts of
+    words that the last line may end in."""
+    none = F.array().cast("array<string>")
+
+    def step(acc: Column, line: Column) -> Column:
+        joined = F.when(line.rlike(r"^\p{Ll}"), F.transform(acc["tails"], lambda t: F.concat(t, F.lit("-"), _start(line)))).otherwise(none)
+        longer = F.when(line.rlike("^[a-z]+-$"), F.transform(acc["tails"], lambda t: F.concat(t, _end(line)))).otherwise(none)
+        tails = F.when(_end(line) == "", none).otherwise(F.concat(F.array(_end(line)), longer))
+        return F.struct(F.concat(acc["words"], joined).alias("words"), tails.alias("tails"))
+
+    return F.aggregate(text_lines, F.struct(none.alias("words"), none.alias("tails")), step)
+
+
+def needed_words(pages: DataFrame) -> DataFrame:
+    """(source, words): of the attested words of a source those that a line or a page may be broken in. Any of the last two
+    lines of a page may be its last once a foot is gone, any of the first two its first once a header is."""
+    ls = F.transform(lines(F.col("text")), lambda x: F.regexp_replace(x, r"\s+$", ""))
+    full = filled(F.col("text"))
+    heads = F.transform(F.slice(full, 1, 2), _start)
+    ends = F.filter(F.transform(F.slice(full, F.greatest(F.lit(1), F.size(full) - 1), F.lit(2)), _end), lambda x: x != "")
+    own = pages.select("source", "page_number", broken(ls).alias("b"), heads.alias("heads"), ends.alias("ends"))
+    after = F.lead("heads").over(Window.partitionBy("source").orderBy("page_number"))
+    seams = F.flatten(F.transform(F.concat("b.tails", "ends"), lambda t: F.transform(F.coalesce("after", F.array().cast("array<string>")), lambda h: F.concat(t, F.lit("-"), h))))
+    may = own.withColumn("after", after).select("source", F.explode(F.array_distinct(F.concat("b.words", seams))).alias("word")).distinct()
+    return may.join(attested_words(pages), ["source", "word"], "left_semi").groupBy("source").agg(F.collect_list("word").alias("words"))
 
 
 def joined_word(a: Column, b: Column, words: Column) -> Column:
@@ -82,7 +123,7 @@ def clean(pages: DataFrame) -> DataFrame:
     A valid running header, or else a bare number, is taken off the top, a bare number off the foot; broken words are
     joined, trailing blanks and more than one blank line dropped; numbers are read or inferred.
     """
-    own = pages.join(calibration(pages), "source", "left").join(attested(pages), "source", "left")
+    own = pages.join(calibration(pages), "source", "left").join(needed_words(pages), "source", "left")
     none = F.array().cast("array<string>")
     own = own.withColumns({"words": F.coalesce("words", none), "ls": F.transform(lines(F.col("text")), lambda x: F.regexp_replace(x, r"\s+$", ""))})
     own = own.withColumn("head", first_line(F.col("text")))

@@ -93,6 +93,24 @@ def test_pages(spark):
     assert pages.invariants(pages.page_map(pages.clean(df))).count() == 0
 
 
+def test_needed_words_are_enough(spark):
+    """Cleaning with the words that lines may be broken in gives what all attested words would give."""
+    import random
+
+    rng = random.Random(4)
+    parts = ["self-", "made", "re-", "gis-", "tration", "self-made", "up", "Up", "well-", "known", "well-known", "re-gis", "regis-tration", "a b-", "ünd", "x", "", " ", "17", "made-up-", "made-up"]
+    rows = [(f"s{k % 3}", k, "\n".join(rng.choice(parts) for _ in range(rng.randint(1, 9)))) for k in range(300)]
+    df = spark.createDataFrame(rows, "source string, page_number int, text string").where("text <> ''")
+    got = sorted(tuple(r)[:3] for r in pages.documents(pages.page_map(pages.clean(df))).collect())
+    real = pages.needed_words
+    pages.needed_words = pages.attested
+    try:
+        want = sorted(tuple(r)[:3] for r in pages.documents(pages.page_map(pages.clean(df))).collect())
+    finally:
+        pages.needed_words = real
+    assert got == want and any("well-known" in r[1] for r in got)
+
+
 def test_chunking(spark):
     assert [x[:2] for x in chunking.legislation("intro\nPART I\nSection 1. A\nSection 2 B\npart II\n3.— C")] == [("", ""), ("", "PART I"), ("1", "PART I"), ("2", "PART I"), ("", "part II"), ("3", "part II")]
     pieces = chunking.split_text("aaaa. bbbb. cccc. dddd", 12, 6)
@@ -107,6 +125,14 @@ def test_chunking(spark):
     assert rows[0].text.startswith("[my book, Ch.1 Big Title, para 1.1, p.7] CHAPTER 1") and rows[0].page_end == 7
 
 
+def test_chapters_out_of_order(caplog):
+    body = "x" * 700
+    found = chunking.segments(f"CHAPTER 2\nTITLE\n2.1 First\n{body}\nCHAPTER 1\nOTHER\n1.1 Late\n{body}")
+    assert [s.chapter for s in found] == [2, 2, 1, 1] and "ascending" in caplog.text
+    with pytest.raises(ValueError, match="chapter"):
+        chunking.segments("no chapters at all")
+
+
 def test_last_runts_join_what_is_before_them():
     body = "x" * 700
     text = f"CHAPTER 1\nTITLE\n1.1 First\n{body}\n1.2 Second\n{body}\n1.3 Third\n{body}\n1.4 Runt\nshort\n1.5 Runt\nshorter"
