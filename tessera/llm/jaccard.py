@@ -5,8 +5,8 @@ inside a group, signatures are compared a few values at a time, and a pair is dr
 probability (uniform prior, binomial matches) that its similarity reaches the threshold falls below the tolerance.
 The pairs left are verified exactly on their shingle sets.
 
-Copies are one class throughout. Groups are dealt out in blocks, so that no task holds more than two blocks of one,
-and a task returns counts and a spanning forest, not pairs.
+Copies are one class throughout. Groups are dealt out in blocks of bounded numbers and volume, so that no task holds more
+than two blocks of one, and a task returns counts and a spanning forest, not pairs.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import NEAR, Forest, batches, components, cut, mix, shingle_hashes, slices
 
 #: Signature values; bands and their rows (a pair at 0.8 shares no band with probability 3e-8); values compared at a
-#: time; tolerance of the posterior; members of a block.
-VALUES, BANDS, ROWS, STEP, TOLERANCE, BLOCK = 128, 24, 3, 32, 1e-9, 256
+#: time; tolerance of the posterior; members of a block, and shingles, about.
+VALUES, BANDS, ROWS, STEP, TOLERANCE, BLOCK, VOLUME = 128, 24, 3, 32, 1e-9, 1024, 500_000
 #: Classes of documents without id are numbered from here on.
 _UNNAMED = 1 << 62
 _SEEDS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -80,7 +80,8 @@ def _sketched(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = [m[1] for m in made if m is not None]
         found = iter(bands(np.stack(some)) if some else [])
         flat = [None if m is None else next(found) for m in made]
-        yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "same": b["same"], "bands": pa.array(flat, pa.list_(pa.int64()))})
+        size = [None if m is None else len(m[0]) for m in made]
+        yield pa.RecordBatch.from_pydict({"doc_id": b["doc_id"], "same": b["same"], "bands": pa.array(flat, pa.list_(pa.int64())), "size": pa.array(size, pa.int64())})
 
 
 def _verified(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
@@ -173,17 +174,17 @@ def near_copies(docs: DataFrame, threshold: float = NEAR, block: int = BLOCK) ->
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.md5(F.coalesce("text", F.lit(""))).alias("same"))
-    seen = cut(keyed.mapInArrow(_sketched, "doc_id long, same string, bands array<long>"))
+    seen = cut(keyed.mapInArrow(_sketched, "doc_id long, same string, bands array<long>, size long"))
     # A class is a distinct text, numbered by its least document, or above all of them by a hash where that has no id.
     unnamed = F.lit(_UNNAMED) + F.pmod(F.xxhash64("same"), F.lit(1 << 60))
-    classes = seen.where("bands is not null").groupBy("same").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
-    classes = cut(classes.select("same", F.coalesce("id", unnamed).alias("id"), F.xxhash64("same").alias("h"), "copies", "bands"))
-    member = classes.select("id", "h", "copies", F.posexplode("bands").alias("band", "bucket"))
-    groups = member.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.bit_xor("h").alias("a"), F.bit_xor(F.xxhash64("h", "id")).alias("b")).where("n > 1")
+    classes = seen.where("bands is not null").groupBy("same").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"), F.max("size").alias("size"))
+    classes = cut(classes.select("same", F.coalesce("id", unnamed).alias("id"), F.xxhash64("same").alias("h"), "copies", "bands", "size"))
+    member = classes.select("id", "h", "copies", "size", F.posexplode("bands").alias("band", "bucket"))
+    groups = member.groupBy("band", "bucket").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor("h").alias("a"), F.bit_xor(F.xxhash64("h", "id")).alias("b")).where("n > 1")
     # Bands with the same members are one group, kept under the first: that is where its pairs first meet.
-    groups = cut(groups.groupBy("n", "a", "b").agg(F.min(F.struct("band", "bucket")).alias("g")).select("g.band", "g.bucket", "n"))
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    inside = member.join(groups, ["band", "bucket"]).select("band", "bucket", "id", "h", "copies", blocks.alias("blocks"), F.pmod(F.xxhash64("h", F.lit(2)), blocks).cast("int").alias("block"))
+    groups = cut(groups.groupBy("n", "a", "b").agg(F.min(F.struct("band", "bucket")).alias("g"), F.max("size").alias("size")).select("g.band", "g.bucket", "n", "size"))
+    blocks = F.least("n", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("size") / VOLUME))).cast("int")
+    inside = member.drop("size").join(groups, ["band", "bucket"]).select("band", "bucket", "id", "h", "copies", blocks.alias("blocks"), F.pmod(F.xxhash64("h", F.lit(2)), blocks).cast("int").alias("block"))
     inside = cut(inside)
     # A bitmap of bounded size spares most texts that are in no group the way to the join below, which is exact.
     bits = 1 << min(27, max(20, 4 + inside.count().bit_length()))
