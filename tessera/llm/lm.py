@@ -26,7 +26,7 @@ from tessera.llm.common import mix, slices, word_hashes
 from tessera.sources.shared import shared_dir
 
 #: Least count in the target; weight of the words in a pair's probability; up to so many target ids are broadcast.
-LEAST, WEIGHT, FEW_IDS = 2, 5.0, 2_000_000
+LEAST, WEIGHT, FEW_IDS = 2, 5.0, 500_000
 #: Characters of a chunk (a longer text is one alone), and characters that a hash range answers for, about.
 CHUNK, RANGE = 16_000_000, 64_000_000
 #: Spark's bound on buckets.
