@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import fold, strip, unquote
@@ -76,3 +76,18 @@ def expand(questions: DataFrame, call: Callable[[str], str] | None, enabled: boo
     out = answered.withColumn("rewrites", F.coalesce(found, none))
     out = out.withColumn("intent", F.when(fresh, said))
     return out.withColumn("status", F.when(F.col("answer_").isNull(), "api_error").when(F.size("rewrites") == 0, "parse_error").otherwise("live")).drop("answer_")
+
+
+CACHED = "map<string,struct<rewrites:array<string>,status:string,intent:string>>"
+
+
+def read_cached(spark: SparkSession, path: str) -> DataFrame:
+    """(question, rewrites, status, intent) of a JSON file that maps each question to its expansion."""
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", CACHED).alias("m"))
+    return whole.select(F.explode("m").alias("question", "e")).select("question", F.coalesce("e.rewrites", F.array().cast("array<string>")).alias("rewrites"), "e.status", "e.intent")
+
+
+def replayed(questions: DataFrame, cached: DataFrame) -> DataFrame:
+    """questions with the rewrites, intent and status that were cached for their texts; a question without has a parse error."""
+    out = questions.join(cached.dropDuplicates(["question"]), "question", "left")
+    return out.withColumns({"rewrites": F.coalesce("rewrites", F.array().cast("array<string>")), "status": F.coalesce("status", F.lit("parse_error"))})

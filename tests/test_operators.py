@@ -53,6 +53,22 @@ def test_expansion(spark):
     assert {r.status for r in expansion.expand(q, None).collect()} == {"no_key"}
 
 
+def test_cached_expansions(spark, tmp_path):
+    (tmp_path / "c.json").write_text('{"one":{"rewrites":["a","b"],"status":"live","intent":"i"},"two":{"rewrites":[],"status":"api_error","intent":null}}')
+    cached = expansion.read_cached(spark, f"{tmp_path}/c.json")
+    q = spark.createDataFrame([(1, "one"), (2, "two"), (3, "new")], "query_id long, question string")
+    got = {r.query_id: (r.rewrites, r.status, r.intent) for r in expansion.replayed(q, cached).collect()}
+    assert got == {1: (["a", "b"], "live", "i"), 2: ([], "api_error", None), 3: ([], "parse_error", None)}
+    assert fusion.sub_queries(expansion.replayed(q, cached)).count() == 6
+
+
+def test_page_invariants(spark):
+    rows = [("s", 1, "ab", 0, 2), ("s", 2, "", 2, 2), ("s", 3, "cd\n", 2, 5), ("s", 4, "xyz", 4, 9), ("t", 1, "a", -1, 0)]
+    mapped = spark.createDataFrame(rows, "source string, page_number int, text string, char_start int, char_end int")
+    got = sorted((r.source, r.page_number, r.problem) for r in pages.invariants(mapped).collect())
+    assert got == [("s", 2, "empty"), ("s", 3, "overlap"), ("s", 3, "untrimmed"), ("s", 4, "length"), ("t", 1, "negative")]
+
+
 def test_grounding(spark):
     answers = [(1, "So [Handbook, para 3.2, p.5]."), (2, "So [H, para 3.2, p.5] and [H, Appendix 3.2, pp. 5-6]."), (3, " “Not covered in the source material.” "), (4, "Nothing."), (5, "[H, para 14.12, p.5]"), (6, "not covered in the source material [H, para 3, p.5]")]
     results = [(k, "3", 4, 6) for k in (1, 2, 3, 4)] + [(5, "14.1", 4, 6), (6, "3", None, None)]
