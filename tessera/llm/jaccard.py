@@ -189,10 +189,9 @@ def near_copies(docs: DataFrame, threshold: float = NEAR, block: int = BLOCK) ->
     # A bitmap of bounded size spares most texts that are in no group the way to the join below, which is exact.
     bits = 1 << min(27, max(20, 4 + inside.count().bit_length()))
     word = F.pmod("h", F.lit(bits))
-    marks = inside.groupBy((word / 64).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {bits}) % 64 as int))")).alias("m")).collect()
+    marks = inside.groupBy((word / 64).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(h, {bits}) % 64 as int))")).alias("m")).toArrow()  # bounded by the bits
     chart = np.zeros(bits // 64, np.int64)
-    for r in marks:
-        chart[r["w"]] = r["m"]
+    chart[marks["w"].to_numpy()] = marks["m"].to_numpy()
     kinds = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("sig", pa.binary()), ("set", pa.binary())])
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
