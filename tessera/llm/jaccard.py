@@ -25,7 +25,7 @@ from tessera.llm.common import NEAR, Forest, batches, components, cut, mix, shin
 
 #: Signature values; bands and their rows (a pair at 0.8 shares no band with probability 3e-8); values compared at a
 #: time; tolerance of the posterior; members of a block, and shingles, about.
-VALUES, BANDS, ROWS, STEP, TOLERANCE, BLOCK, VOLUME = 128, 24, 3, 32, 1e-9, 1024, 500_000
+VALUES, BANDS, ROWS, STEP, TOLERANCE, BLOCK, VOLUME = 128, 24, 3, 32, 1e-9, 512, 250_000
 #: Classes of documents without id are numbered from here on.
 _UNNAMED = 1 << 62
 _SEEDS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -95,7 +95,7 @@ def _verified(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.nda
         order = np.argsort(col, kind="stable")
         col, row = col[order], row[order]
         total = np.zeros((len(a), len(b)), np.float32)
-        width = 4096
+        width = 2048
         for c in range(0, int(col[-1]) + 1, width):
             lo, hi = np.searchsorted(col, [c, c + width])
             m = np.zeros((len(a) + len(b), width), np.float32)
