@@ -43,11 +43,19 @@ def page_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.invariants(pages.page_map(raw_pages(spark, sf_dir).withColumn("printed_page", F.col("page_number")))).groupBy("problem").agg(F.count("*").alias("n"))
+    """Page maps of which each seventh source has a second page that begins a character early, or is moved onto the first."""
+    own = pages.page_map(raw_pages(spark, sf_dir).withColumn("printed_page", F.col("page_number")))
+    wrong = (F.col("source") % 7 == 0) & (F.col("page_number") == 2)
+    start = F.col("char_start") - F.when(wrong, F.when(F.col("source") % 2 == 0, 1).otherwise(F.col("char_start") + 1)).otherwise(0)
+    return pages.invariants(own.withColumn("char_start", start)).groupBy("problem").agg(F.count("*").alias("n"))
 
 
 def line_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.numbering_census(as_pages(spark, sf_dir)).select(F.col("depth").cast("long").alias("depth"), "n", F.array_join("examples", " ").alias("examples"))
+    """Documents as pages, each under a numbered heading."""
+    d = F.col("doc_id")
+    head = F.concat((d % 12).cast("string"), F.lit("."), (F.col("n_chars") % 40).cast("string"), F.when(d % 3 == 0, F.concat(F.lit("."), (d % 5).cast("string"))).otherwise(""), F.lit(" Heading\n"))
+    own = read(spark, sf_dir, "documents").select(d.alias("source"), d.alias("page_number"), F.concat(head, F.coalesce("text", F.lit(""))).alias("text"))
+    return pages.numbering_census(own).select(F.col("depth").cast("long").alias("depth"), "n", F.array_join("examples", " ").alias("examples"))
 
 
 def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,8 +370,13 @@ SELECT conv_id, turn, CASE WHEN length(said) BETWEEN 1 AND 200 THEN said END AS
     "page_map": f"WITH {_PAGES} SELECT source, page_number, char_start, char_start + length(text) AS char_end, md5(text) AS md5, separator FROM o",
     "page_asof": f"""WITH {_PAGES}, n AS (SELECT source, sum(length(text) + length(separator))::BIGINT AS n FROM o GROUP BY source)
 SELECT source, n AS n_chars, max(CASE WHEN char_start <= n // 2 THEN page_number END) AS page_middle, max(CASE WHEN char_start <= greatest(n // 2, n - 1) THEN page_number END) AS page_end FROM o JOIN n USING (source) GROUP BY source, n""",
-    "page_invariants": f"WITH {_PAGES} SELECT 'empty' AS problem, count(*) AS n FROM o WHERE text = '' HAVING count(*) > 0",
-    "line_census": rf"""WITH {_LINES}, n AS (SELECT regexp_extract(line, '^([0-9]{{1,2}}(?:\.[0-9]{{1,3}})+)\b', 1) AS n FROM l)
+    "page_invariants": f"""WITH {_PAGES},
+w AS (SELECT *, char_start - CASE WHEN source % 7 = 0 AND page_number = 2 THEN CASE WHEN source % 2 = 0 THEN 1 ELSE char_start + 1 END ELSE 0 END AS a, char_start + length(text) AS b FROM o),
+x AS (SELECT *, lead(a) OVER (PARTITION BY source ORDER BY page_number) AS nxt_a FROM w),
+y AS (SELECT unnest([CASE WHEN b <= a THEN 'empty' END, CASE WHEN nxt_a < b THEN 'overlap' END, CASE WHEN length(text) <> b - a THEN 'length' END, CASE WHEN regexp_matches(text, '^\\n|\\n$') THEN 'untrimmed' END, CASE WHEN a < 0 THEN 'negative' END]) AS problem FROM x)
+SELECT problem, count(*) AS n FROM y WHERE problem IS NOT NULL GROUP BY problem""",
+    "line_census": rf"""WITH h AS (SELECT doc_id, (doc_id % 12) || '.' || (n_chars % 40) || CASE WHEN doc_id % 3 = 0 THEN '.' || (doc_id % 5) ELSE '' END || ' Heading' || chr(10) || coalesce(text, '') AS text FROM documents),
+l AS (SELECT regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS line FROM h), n AS (SELECT regexp_extract(line, '^([0-9]{{1,2}}(?:\.[0-9]{{1,3}})+)\b', 1) AS n FROM l)
 SELECT len(string_split(n, '.')) AS depth, count(*) AS n, array_to_string(list_slice(list_sort(list_distinct(list(n))), 1, 8), ' ') AS examples FROM n WHERE n <> '' GROUP BY 1""",
     "repeated_lines": f"WITH {_LINES}, d AS (SELECT DISTINCT doc_id, line FROM l WHERE line <> '') SELECT line, count(*) AS pages FROM d GROUP BY line HAVING count(*) > 0.005 * (SELECT count(*) FROM documents)",
     "char_census": r"SELECT character, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[^\x00-\x7F–—‘’“”•§£€…]')) AS character FROM documents) GROUP BY character",
