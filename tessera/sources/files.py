@@ -75,9 +75,9 @@ def text_files(spark: SparkSession, path: str, document_type: str) -> DataFrame:
 
 def html_files(spark: SparkSession, path: str, document_type: str) -> DataFrame:
     """The same of HTML files; the title is the title element, or the file's name where there is none."""
-    own = _named(_whole(spark, path, "*.[hH][tT][mM]*"), document_type).where(F.lower("name").rlike(r"\.html?$"))
-    made = own.select("source", html_source.title(F.col("value"), F.col("name"), heading=False).alias("title"), "document_type", "date", html_source.body_text(F.col("value")).alias("text"))
-    return made.where("text <> ''")
+    own = _whole(spark, path, "*.[hH][tT][mM]*").select(F.col("path").alias("source"), F.col("value").alias("html")).where(F.lower("source").rlike(r"\.html?$"))
+    name = lambda source: F.regexp_extract(F.url_decode(source), "([^/]+)$", 1)
+    return html_source.documents(own, document_type, lambda p, source: F.coalesce(p["title"], name(source)))
 
 
 def pdf_documents(spark: SparkSession, path: str, document_type: str, reader: Reader) -> DataFrame:
