@@ -8,6 +8,7 @@ posting travels, whatever the terms' frequencies: a stop word costs no more than
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import tokens
-from tessera.sources.shared import shared_dir
+from tessera.sources.shared import held, shared_dir
 
 #: Saturation, length weight, and the share of the mean idf that a negative idf becomes (fixed values).
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Chunks and tokens of a block at most (a longer chunk is one alone); terms of a block of questions, about.
 CHUNKS, TOKENS, TERMS = 2048, 1_000_000, 4096
-#: Up to so many (question, term) rows are broadcast; blocks of questions a task keeps at hand.
+#: So many (question, term) rows, about, are broadcast at a time; blocks of questions a task keeps at hand.
 SMALL, HELD = 200_000, 8
 
 
@@ -52,7 +53,8 @@ _BLOCK = "id long, n long, total long, dl binary, terms array<string>, df array<
 
 
 def _blocks(parts: Iterator[pa.RecordBatch], most: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows of chunks (what is kept of them, terms) as rows of blocks; each partition fills blocks of its own."""
+    """Rows of chunks (what is kept of them, terms) as rows of blocks; each partition fills blocks of its own. Where rows have a
+    group, which must come in order, a block holds rows of one group."""
     from pyspark import TaskContext
 
     first, made = TaskContext.get().partitionId() << 32, 0
@@ -70,22 +72,25 @@ def _blocks(parts: Iterator[pa.RecordBatch], most: int, schema: pa.Schema) -> It
         pack = lambda x: [x.astype("<i4").tobytes()]
         row = {f.name: [t[f.name].to_pylist()] for f in schema if f.name.startswith("of_")}
         row |= {"id": [first + made], "n": [len(dl)], "total": [int(dl.sum())], "dl": pack(dl), "terms": [code.dictionary.take(order).to_pylist()]}
+        row |= {"group": [t["group"][0].as_py()]} if "group" in t.column_names else {}
         row |= {"df": [np.bincount(pairs // len(dl), minlength=len(order)).tolist()], "chunks": pack(pairs % len(dl)), "tf": pack(tf)}
         made += 1
         return pa.RecordBatch.from_arrays([pa.array(row[f.name], f.type) for f in schema], schema=schema)
 
-    held: list[pa.RecordBatch] = []
+    waiting: list[pa.RecordBatch] = []
     rows = size = 0
+    group = None
     for b in parts:
         begin = 0
-        for k, n in enumerate(pc.list_value_length(b["terms"]).to_pylist()):
-            if rows and (rows == most or size + n > TOKENS):
-                yield block([*held, b.slice(begin, k - begin)])
-                held, begin, rows, size = [], k, 0, 0
-            rows, size = rows + 1, size + n
-        held.append(b.slice(begin))
+        groups = b["group"].to_pylist() if "group" in b.schema.names else [None] * b.num_rows
+        for k, (n, g) in enumerate(zip(pc.list_value_length(b["terms"]).to_pylist(), groups, strict=True)):
+            if rows and (rows == most or size + n > TOKENS or g != group):
+                yield block([*waiting, b.slice(begin, k - begin)])
+                waiting, begin, rows, size = [], k, 0, 0
+            rows, size, group = rows + 1, size + n, g
+        waiting.append(b.slice(begin))
     if rows:
-        yield block(held)
+        yield block(waiting)
 
 
 class _Questions:
@@ -141,6 +146,15 @@ def _best(parts: Iterator[pa.RecordBatch], avgdl: float, top_k: int, schema: pa.
             yield pa.RecordBatch.from_arrays([asked.questions.take(pa.array(out[0], pa.int64())), pa.array(out[1], schema.field(1).type), pa.array(out[2], pa.float64())], schema=schema)
 
 
+def write_blocks(chunks: DataFrame, path: str, key: str, text: str = "text", keep: tuple[str, ...] = (), most: int = CHUNKS, group: Column | None = None) -> None:
+    """Chunks in their order as blocks under a path; see _blocks."""
+    own = chunks.select(F.col(key).alias("of_key"), *[F.col(c).alias(f"of_{c}") for c in keep], tokens(F.col(text)).alias("terms"), *([] if group is None else [group.alias("group")]))
+    head = ", ".join(f"{f.name} array<{f.dataType.simpleString()}>" for f in own.schema if f.name.startswith("of_"))
+    layout = f"{head}, {_BLOCK}" + ("" if group is None else ", group long")
+    schema = chunks.sparkSession.createDataFrame([], layout).toArrow().schema
+    own.mapInArrow(lambda p: _blocks(p, most, schema), layout).write.mode("overwrite").parquet(path)
+
+
 class LexicalIndex:
     """A stored index under a path: blocks, terms (term, df, idf) and stats (n, avgdl). It is whole once it has its stats."""
 
@@ -154,11 +168,7 @@ class LexicalIndex:
     def build(cls, chunks: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), most: int = CHUNKS) -> LexicalIndex:
         """Index chunks by their key; what an unfinished build left under the path is written anew. `keep` names columns that a search may filter by. Null texts count, without tokens."""
         spark = chunks.sparkSession
-        own = chunks.select(F.col(key).alias("of_key"), *[F.col(c).alias(f"of_{c}") for c in keep], tokens(F.col(text)).alias("terms"))
-        head = ", ".join(f"{f.name} array<{f.dataType.simpleString()}>" for f in own.schema if f.name.startswith("of_"))
-        layout = f"{head}, {_BLOCK}"
-        schema = spark.createDataFrame([], layout).toArrow().schema
-        own.mapInArrow(lambda p: _blocks(p, most, schema), layout).write.mode("overwrite").parquet(f"{path}/blocks")
+        write_blocks(chunks, f"{path}/blocks", key, text, keep, most)
         blocks = spark.read.parquet(f"{path}/blocks")
         total = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("total") / F.sum("n")).alias("avgdl"))
         counted = blocks.select(F.explode(F.arrays_zip("terms", "df")).alias("t")).groupBy("t.terms").agg(F.sum("t.df").alias("df")).withColumnRenamed("terms", "term")
@@ -166,6 +176,10 @@ class LexicalIndex:
         total.write.mode("overwrite").parquet(f"{path}/stats")
         return cls(spark, path)
 
+    def weights(self, asked: DataFrame, few: bool) -> DataFrame:
+        """asked (term and other columns) with the idf of the terms that the index has; few: asked may be broadcast."""
+        return self.terms.select("term", "idf").join(F.broadcast(asked) if few else asked, "term")
+
     def search(self, questions: DataFrame, top_k: int, where: Callable[[Column], Column] | None = None, key: str = "doc_id", question_key: str = "query_id", question: str = "question") -> DataFrame:
         """(question_key, key, score, rank) of the top_k positive scores of each question; ties go by key.
 
@@ -175,18 +189,24 @@ class LexicalIndex:
         asked = questions.select(question_key, F.explode(tokens(F.col(question))).alias("term")).groupBy(question_key, "term").agg(F.count("*").alias("qtf"))
         size = asked.count()
         n = max(1, -(-size // TERMS))
-        of_term = self.terms.select("term", "idf").join(F.broadcast(asked) if size <= SMALL else asked, "term")
+        of_term = self.weights(asked, size <= SMALL)
         own = of_term.select(F.pmod(F.xxhash64(question_key), F.lit(n)).cast("int").alias("qb"), F.struct(F.col(question_key).alias("q"), F.col("term").alias("t"), (F.col("qtf") * F.col("idf")).alias("w")).alias("a"))
         dealt = own.groupBy("qb").agg(F.collect_list("a").alias("a")).select("qb", F.col("a.q").alias("of_query"), F.col("a.t").alias("of_term"), F.col("a.w").alias("weights"))
         kept = [c for c in self.blocks.columns if c.startswith("of_") and c != "of_key"]
-        allowed = [] if where is None else [F.transform(F.arrays_zip(*[F.col(c).alias(c[3:]) for c in kept]), lambda c: F.coalesce(where(c), F.lit(False))).alias("allowed")]
-        every = F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("qb")
-        blocks = self.blocks.select("of_key", "dl", "terms", "df", "chunks", "tf", *allowed, every)
+        gone = None if "gone" not in self.blocks.columns else F.transform("of_key", lambda k: F.coalesce(~F.array_contains("gone", k), F.lit(True)))
+        chosen = None if where is None else F.transform(F.arrays_zip(*[F.col(c).alias(c[3:]) for c in kept]), lambda c: F.coalesce(where(c), F.lit(False)))
+        allowed = [c for c in (gone, chosen) if c is not None]
+        allowed = [(F.zip_with(*allowed, lambda a, b: a & b) if len(allowed) > 1 else allowed[0]).alias("allowed")] if allowed else []
+        blocks = self.blocks.select("of_key", "dl", "terms", "df", "chunks", "tf", *allowed)
         kinds = (questions.schema[question_key].dataType, self.blocks.schema["of_key"].dataType.elementType)
         layout = f"{question_key} {kinds[0].simpleString()}, {key} {kinds[1].simpleString()}, score double"
         schema = self.spark.createDataFrame([], layout).toArrow().schema
         avgdl = self.avgdl
-        found = blocks.join(F.broadcast(dealt) if size <= SMALL else dealt, "qb").mapInArrow(lambda p: _best(p, avgdl, top_k, schema), layout)
+        # The index stays where it is: questions go to it, in as many broadcasts of bounded size as they need.
+        rounds = max(1, -(-size // SMALL))
+        dealt = dealt if rounds == 1 else held(dealt)
+        pairs = [blocks.crossJoin(F.broadcast(dealt if rounds == 1 else dealt.where(F.col("qb") % rounds == r))) for r in range(rounds)]
+        found = reduce(DataFrame.unionByName, [p.mapInArrow(lambda p: _best(p, avgdl, top_k, schema), layout) for p in pairs])
         rank = F.row_number().over(Window.partitionBy(question_key).orderBy(F.desc("score"), key))
         return found.withColumn("rank", rank).where(F.col("rank") <= top_k)
 

@@ -14,6 +14,7 @@ from tessera.operators import audit, chunking, expansion, fusion, grounding, pag
 from tessera.operators.lexical import LexicalIndex
 from tessera.operators.store import Store
 from tessera.sources import files
+from tessera.sources.shared import held
 
 log = logging.getLogger(__name__)
 Embedder = Callable[[], Callable[[list[str]], list[list[float]]]]
@@ -76,15 +77,14 @@ class Engine:
         return self._sync(chunking.chunk_legislation(documents), reset)
 
     def _sync(self, chunks: DataFrame, reset: bool) -> DataFrame:
-        made = chunks.cache()
+        made = held(chunks)
         if not made.limit(1).count():
             log.warning("no chunks: the store is left as it is")
             return self.spark.createDataFrame([], "source string, added long, updated long, deleted long")
-        ready = vector.embed(made, model=self.embedder)
         if reset:
             self.store.clear()
         self.opened = None
-        return self.store.sync(ready)
+        return self.store.sync(made, lambda new: vector.embed(new, model=self.embedder))
 
     def open(self) -> Context:
         """The store's chunks and word index, opened at the first call and kept until the next merge."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -16,3 +16,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(set_dir or tempfile.mkdtemp(prefix="tessera-"))
     return sc.getCheckpointDir()
+
+
+def held(df: DataFrame) -> DataFrame:
+    """The rows of df, written to the shared folder: a lost executor does not make them anew."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

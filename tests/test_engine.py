@@ -140,7 +140,7 @@ def test_missing_index_and_failing_arm(spark, tmp_path, caplog):
     e.index_handbook(sample.handbook(spark), sample.TITLE)
     import shutil
 
-    shutil.rmtree(f"{tmp_path}/s/{e.store._latest()}-words")
+    shutil.rmtree(f"{tmp_path}/s/words/{e.store._latest()}")
     q = ask(spark, "fog signals").selectExpr("*", "cast(null as array<string>) as rewrites", "cast(null as string) as intent")
     with caplog.at_level(logging.WARNING):
         assert e.retrieve(q, "hybrid", 3).count() == 3 and e.retrieve(q, "bm25", 3).count() == 0
@@ -165,7 +165,7 @@ def test_crash_between_table_and_pointer(spark, tmp_path, monkeypatch):
     e.index_documents(docs("first"))
     from tessera.operators import store as module
 
-    monkeypatch.setattr(module.LexicalIndex, "build", classmethod(lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost"))))
+    monkeypatch.setattr(module, "write_segment", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
     with pytest.raises(RuntimeError):
         e.index_documents(docs("second"))
     assert [r.text for r in e.store.read().collect()] == ["[From: T] first"]
