@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import fold, strip, unquote
+from tessera.operators.answers import Answers
 
 #: List markers, the tag of the intent line, most rewrites, most characters of one (fixed values).
 MARKER, INTENT_TAG, MOST, LONGEST = r"^\s*(?:[0-9]+[.)]|[-*•])\s*", "INTENT:", 3, 200
@@ -48,27 +48,18 @@ def rewrites(answer: Column) -> Column:
     return F.slice(once, F.lit(1), F.lit(MOST))
 
 
-def expand(questions: DataFrame, call: Callable[[str], str] | None, enabled: bool = True, has_key: bool = True) -> DataFrame:
+def expand(questions: DataFrame, call: Callable[[str], str] | None, enabled: bool = True, has_key: bool = True, answers: Answers | None = None, kind: str = "expansion") -> DataFrame:
     """questions with rewrites, intent and status (live, no_key, api_error, parse_error, disabled).
 
-    `call` asks a language model for one question. It never fails a query: an error gives api_error, an answer without
+    `call` asks a language model for one question, once for each text that `answers` does not hold (see Answers). It never fails a query: an error gives api_error, an answer without
     usable rewrites parse_error (its intent is kept). Rewrites and intents that repeat the question are dropped.
     """
     none = F.array().cast("array<string>")
     if not enabled or not has_key or call is None:
         return questions.withColumns({"rewrites": none, "intent": F.lit(None).cast("string"), "status": F.lit("no_key" if enabled else "disabled")})
 
-    def ask(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(q: str) -> str | None:
-            try:
-                return call(q)
-            except Exception:  # noqa: BLE001  any failure of the provider is a status, not a failure of the query
-                return None
-
-        for s in parts:
-            yield s.map(one)
-
-    answered = questions.withColumn("answer_", F.pandas_udf(ask, "string")("question"))
+    table = answers or Answers(questions.sparkSession)
+    answered = table.ask(questions.drop("answer", "error"), "question", call, kind).withColumnRenamed("answer", "answer_").drop("error")
     asked = fold(strip(F.col("question")))
     found = F.filter(rewrites(without_intent(F.col("answer_"))), lambda x: fold(x) != asked)
     said = intent(F.col("answer_"))

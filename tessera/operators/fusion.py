@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import fold, strip
+from tessera.sources.shared import held
 
 log = logging.getLogger(__name__)
 #: Rank constant, least candidates of a list, default results, rewrite budget, intent weight and its bound (fixed values).
 RRF_K, POOL, TOP_K, REWRITE_WEIGHT, INTENT_WEIGHT, MOST_INTENT = 60, 12, 6, 0.5, 0.25, 0.5
-MODES = ("hybrid", "vector", "bm25")
+ARMS = ("vector", "bm25")
+MODES = ("hybrid", *ARMS)
 NO_CONTEXT = "No relevant documents found."
 
 
@@ -50,40 +54,62 @@ def sub_queries(questions: DataFrame, intent_weight: float = INTENT_WEIGHT) -> D
     return rows.select("query_id", order, kind.alias("kind"), "text", weight.alias("weight"))
 
 
-def rrf(lists: DataFrame, key: str = "doc_id", top_k: int | None = None) -> DataFrame:
-    """(query_id, key, score, rank) of ranked lists (query_id, list_ord, weight, key, rank).
+def rrf(lists: DataFrame, key: str = "doc_id", top_k: int | None = None, by: Sequence[str] = ("query_id",)) -> DataFrame:
+    """(by, key, score, rank) of ranked lists (by, list_ord, weight, key, rank).
 
     Scores are sums of weight / (60 + rank); ties go to what comes first in the lists, in their order.
     """
-    fused = lists.groupBy("query_id", key).agg(F.round(F.sum(F.col("weight") / (RRF_K + F.col("rank"))), 9).alias("score"), F.min(F.struct("list_ord", "rank")).alias("first"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "first", key))
-    out = fused.select("query_id", key, "score", rank.alias("rank"))
+    fused = lists.groupBy(*by, key).agg(F.round(F.sum(F.col("weight") / (RRF_K + F.col("rank"))), 9).alias("score"), F.min(F.struct("list_ord", "rank")).alias("first"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "first", key))
+    out = fused.select(*by, key, "score", rank.alias("rank"))
     return out if top_k is None else out.where(F.col("rank") <= top_k)
 
 
-def retrieve(subs: DataFrame, arms: dict[str, Callable[[DataFrame, int], DataFrame]], mode: str = "hybrid", top_k: int = TOP_K, key: str = "doc_id") -> DataFrame:
-    """Fused results of sub-queries over the arms a mode needs, vector lists before lexical ones.
+def ranked_lists(subs: DataFrame, arms: dict[str, Callable[[DataFrame, int], DataFrame | None]], depth: int, key: str = "doc_id") -> DataFrame | None:
+    """(query_id, arm, kind, list_ord, weight, key, rank): what each arm finds for each sub-query, vector lists before lexical ones.
 
     An arm takes (sub_id, query_id, text) rows and a depth and gives (sub_id, key, rank). An absent arm (no index) leaves
-    the others; with none left there are no rows.
+    the others; with none left there is nothing.
     """
-    check(mode, top_k)
-    depth = max(POOL, top_k)
     subs = subs.withColumn("sub_id", F.concat_ws(":", "query_id", "ord"))
     lists = []
-    for place, name in enumerate(("vector", "bm25")):
-        if mode in ("hybrid", name) and name in arms:
-            found = arms[name](subs, depth)
-            if found is None:
-                continue
-            found = found.select("sub_id", key, "rank")
-            lists.append(found.join(subs.select("sub_id", "query_id", "ord", "weight"), "sub_id").select("query_id", (F.lit(place * 1000) + F.col("ord")).alias("list_ord"), "weight", key, "rank"))
-    if not lists:
+    for place, name in enumerate(ARMS):
+        found = arms[name](subs, depth) if name in arms else None
+        if found is not None:
+            own = found.select("sub_id", key, "rank").join(subs.select("sub_id", "query_id", "ord", "kind", "weight"), "sub_id")
+            lists.append(own.select("query_id", F.lit(name).alias("arm"), "kind", (F.lit(place * 1000) + F.col("ord")).alias("list_ord"), "weight", key, "rank"))
+    return reduce(DataFrame.unionByName, lists) if lists else None
+
+
+@dataclass(frozen=True)
+class Plan:
+    """A way to fuse the same lists: a mode, with rewrites and intent or without, and the intent's weight."""
+
+    name: str
+    mode: str = "hybrid"
+    rewrites: bool = True
+    intent_weight: float = INTENT_WEIGHT
+
+    def arms(self) -> tuple[str, ...]:
+        return ARMS if self.mode == "hybrid" else (self.mode,)
+
+
+def fused(lists: DataFrame, plans: Sequence[Plan], top_k: int = TOP_K, key: str = "doc_id") -> DataFrame:
+    """(plan, query_id, key, score, rank): the lists, which are made once, fused by each of a few plans."""
+    rows = [(p.name, list(p.arms()), ["original", "rewrite", "intent"] if p.rewrites else ["original"], float(p.intent_weight)) for p in plans]
+    table = lists.sparkSession.createDataFrame(rows, "plan string, arms array<string>, kinds array<string>, intent_weight double")
+    every = lists.join(F.broadcast(table), F.array_contains("arms", F.col("arm")) & F.array_contains("kinds", F.col("kind")))  # a row for each plan
+    own = every.withColumn("weight", F.when(F.col("kind") == "intent", F.col("intent_weight")).otherwise(F.col("weight"))).where("weight > 0")
+    return rrf(own, key, top_k, ("plan", "query_id"))
+
+
+def retrieve(subs: DataFrame, arms: dict[str, Callable[[DataFrame, int], DataFrame | None]], mode: str = "hybrid", top_k: int = TOP_K, key: str = "doc_id") -> DataFrame:
+    """Fused results of sub-queries over the arms that a mode needs; see ranked_lists."""
+    check(mode, top_k)
+    lists = ranked_lists(subs, {n: a for n, a in arms.items() if mode in ("hybrid", n)}, max(POOL, top_k), key)
+    if lists is None:
         return subs.limit(0).select("query_id", F.lit(None).cast("long").alias(key), F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
-    both = lists[0]
-    for one in lists[1:]:
-        both = both.unionByName(one)
-    return rrf(both, key, top_k)
+    return rrf(lists, key, top_k)
 
 
 def tolerant(arm: Callable[[DataFrame, int], DataFrame], name: str) -> Callable[[DataFrame, int], DataFrame]:
@@ -91,8 +117,7 @@ def tolerant(arm: Callable[[DataFrame, int], DataFrame], name: str) -> Callable[
 
     def run(subs: DataFrame, depth: int) -> DataFrame | None:
         try:
-            found = arm(subs, depth).cache()
-            found.count()
+            found = held(arm(subs, depth))
         except Exception as e:  # noqa: BLE001  one arm must not fail the others
             log.warning("the %s arm failed: %s", name, e)
             return None

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import held
+
 #: Rows of a block of questions and of a block of vectors.
-QUERY_BLOCK, VECTOR_BLOCK, WIDTH = 1024, 65_536, 384
+QUERY_BLOCK, VECTOR_BLOCK, WIDTH = 1024, 8192, 384
+#: Bytes of questions that are broadcast at a time.
+ROUND_BYTES = 64 << 20
 
 
 def stand_in(text: str, width: int = WIDTH) -> list[float]:
@@ -33,43 +38,57 @@ def embed(chunks: DataFrame, text: str = "text", model: Callable[[], Callable[[l
     return chunks.withColumn("embedding", F.pandas_udf(run, "array<float>")(F.col(text)))
 
 
+def blocks(vectors: DataFrame, key: str, rows: int, name: str) -> DataFrame:
+    """Rows (n, width, <name>_ids binary, <name>_flat binary) of about `rows` vectors each, made where they lie; null embeddings are left out."""
+
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for x in range(0, b.num_rows, rows):
+                part = b.slice(x, rows)
+                width = pc.list_value_length(part["e"])
+                for n in pc.unique(width).to_pylist():
+                    own = part.filter(pc.equal(width, n))
+                    flat = own["e"].flatten().to_numpy(zero_copy_only=False).astype("<f8")
+                    yield pa.RecordBatch.from_pydict({"width": pa.array([n], pa.int32()), f"{name}_ids": pa.array([own["id"].to_numpy().astype("<i8").tobytes()], pa.binary()), f"{name}_flat": pa.array([flat.tobytes()], pa.binary())})
+
+    own = vectors.where("embedding is not null").select(F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
+    return own.mapInArrow(pack, f"width int, {name}_ids binary, {name}_flat binary")
+
+
 def knn(vectors: DataFrame, questions: DataFrame, top_k: int, key: str = "vec_id", question_key: str = "query_id") -> DataFrame:
     """(question_key, key, score, rank): the top_k inner products of each question's embedding; ties go by key.
 
-    Both sides are dealt in blocks, for which their rows are counted when the plan is made; each pair of blocks gives its own
-    top_k, and those are merged. Null embeddings are left out; those of several lengths are an error. With unit vectors the
-    score is the cosine.
+    Vectors are packed in blocks where they lie and never move: blocks of questions are broadcast to them, as many rounds of a
+    bounded number of bytes as the questions need, and each pair of blocks gives its own top_k. Null embeddings are left out;
+    those of several lengths are an error. With unit vectors the score is the cosine. Questions are counted when the plan is made.
     """
-    n = max(1, -(-vectors.count() // VECTOR_BLOCK))
-    m = max(1, -(-questions.count() // QUERY_BLOCK))
-    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
-    v = vectors.where("embedding is not null").select(F.lit(False).alias("q"), F.col(key).alias("id"), F.col("embedding").cast("array<double>").alias("e"), F.pmod(F.xxhash64(key), F.lit(n)).alias("vb"), every(m).alias("qb"))
-    q = questions.where("embedding is not null").select(F.lit(True).alias("q"), F.col(question_key).alias("id"), F.col("embedding").cast("array<double>").alias("e"), every(n).alias("vb"), F.pmod(F.xxhash64(question_key), F.lit(m)).alias("qb"))
-
-    def block(t: pa.Table) -> pa.Table:
-        side = t["q"].to_numpy()
-        ids, e = t["id"].to_numpy(), t["e"].combine_chunks()
-        width = pc.list_value_length(e).to_numpy()
-        if len(width) and (width != width[0]).any():
-            raise ValueError("embeddings of several lengths cannot be compared")
-        flat = e.flatten().to_numpy().reshape(len(e), -1)
-        a, b = np.flatnonzero(side), np.flatnonzero(~side)
-        out: tuple[list, list, list] = ([], [], [])
-        if len(a) and len(b):
-            qm, vm, vid = flat[a], flat[b], ids[b]
-            for x in range(0, len(a), 64):
-                s = np.round(qm[x : x + 64] @ vm.T, 6)
-                for r in range(len(s)):
-                    best = np.lexsort((vid, -s[r]))[:top_k] if len(vid) <= 4 * top_k else None
-                    if best is None:
-                        least = np.partition(s[r], len(vid) - top_k)[len(vid) - top_k]
-                        may = np.flatnonzero(s[r] >= least)
-                        best = may[np.lexsort((vid[may], -s[r][may]))[:top_k]]
-                    out[0].extend([int(ids[a[x + r]])] * len(best))
-                    out[1].extend(vid[best].tolist())
-                    out[2].extend(s[r][best].tolist())
-        return pa.table({question_key: pa.array(out[0], pa.int64()), key: pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    found = q.unionByName(v).groupBy("qb", "vb").applyInArrow(block, f"{question_key} long, {key} long, score double")
+    asked = questions.where("embedding is not null")
+    m, width = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    rounds = max(1, -(-m * (width or 1) * 8 // ROUND_BYTES))
+    q = asked.withColumn("round_", F.pmod(F.xxhash64(question_key), F.lit(rounds)))
+    q = held(q) if rounds > 1 else q
+
+    def best(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            for k in range(b.num_rows):
+                row = {c: b[c][k].as_py() for c in b.schema.names}
+                if row["q_width"] != row["width"]:
+                    raise ValueError("embeddings of several lengths cannot be compared")
+                ids, vid = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["v_ids"], "<i8")
+                qm, vm = (np.frombuffer(row[c], "<f8").reshape(len(n), -1) for c, n in (("q_flat", ids), ("v_flat", vid)))
+                out: tuple[list, list, list] = ([], [], [])
+                for x in range(0, len(ids), 64):
+                    s = np.round(qm[x : x + 64] @ vm.T, 6)
+                    for r in range(len(s)):
+                        may = np.arange(len(vid)) if len(vid) <= 4 * top_k else np.flatnonzero(s[r] >= np.partition(s[r], len(vid) - top_k)[len(vid) - top_k])
+                        own = may[np.lexsort((vid[may], -s[r][may]))[:top_k]]
+                        out[0].extend([int(ids[x + r])] * len(own))
+                        out[1].extend(vid[own].tolist())
+                        out[2].extend(s[r][own].tolist())
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=[question_key, key, "score"])
+
+    packed = blocks(vectors, key, VECTOR_BLOCK, "v")
+    pairs = [packed.crossJoin(F.broadcast(blocks(q.where(F.col("round_") == r), question_key, QUERY_BLOCK, "q").withColumnRenamed("width", "q_width"))) for r in range(rounds)]
+    found = reduce(DataFrame.unionByName, [p.mapInArrow(best, f"{question_key} long, {key} long, score double") for p in pairs])
     rank = F.row_number().over(Window.partitionBy(question_key).orderBy(F.desc("score"), key))
-    return found.withColumn("score", F.round("score", 6)).withColumn("rank", rank).where(F.col("rank") <= top_k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= top_k)

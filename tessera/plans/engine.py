@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import audit, chunking, expansion, fusion, grounding, pages, vector
+from tessera.operators.answers import Answers
 from tessera.operators.lexical import LexicalIndex
 from tessera.operators.store import Store
 from tessera.sources import files
@@ -52,12 +52,21 @@ class Engine:
     rewriter: Callable[[str], str] | None = None
     reader: files.Reader | None = None
     fetcher: Callable[[str], str] = files.get
+    #: Where answers are kept from run to run; None: each run has a table of its own.
+    answers: str | None = None
     opened: Context | None = field(default=None, repr=False)
+    said: Answers | None = field(default=None, repr=False)
 
     @property
     def store(self) -> Store:
         return Store(self.spark, self.path, self.model)
 
+    def table(self) -> Answers:
+        """The answers of this run: each prompt is asked once in it."""
+        if self.said is None:
+            self.said = Answers(self.spark, self.answers)
+        return self.said
+
     def index(self, path: str, document_type: str, reset: bool = False) -> DataFrame:
         """Load a file, folder or URL by its route, chunk it and merge it; returns the counts (source, added, updated, deleted).
 
@@ -106,10 +115,33 @@ class Engine:
         if not 0 <= intent_weight <= fusion.MOST_INTENT and questions.where("trim(intent) <> ''").limit(1).count():
             fusion.check(mode, top_k, intent_weight)
         store = self.open()
+        arms = self._arms(document_type)
+        if mode in ("hybrid", "bm25") and not store.words:
+            log.warning("the store has no word index: %s", "vectors only" if mode == "hybrid" else "no results")
+        subs = fusion.sub_queries(questions, intent_weight)
+        found = fusion.retrieve(subs, arms if strict else {n: fusion.tolerant(a, n) for n, a in arms.items()}, mode, top_k, key="pos")
+        return found.join(store.chunks.drop("embedding"), "pos").drop("pos")
+
+    def retrieve_by(self, questions: DataFrame, plans: Sequence[fusion.Plan], top_k: int = fusion.TOP_K) -> DataFrame:
+        """(plan, query_id, rank, score, chunk columns): each arm searches once, and each plan fuses what it found. Failures are errors."""
+        for p in plans:
+            fusion.check(p.mode, top_k, p.intent_weight)
+        subs = held(fusion.sub_queries(questions, fusion.MOST_INTENT))
+        needed = {n for p in plans for n in p.arms()}
+        store = self.open()
+        if "bm25" in needed and not store.words:
+            log.warning("the store has no word index")
+        lists = fusion.ranked_lists(subs, {n: a for n, a in self._arms().items() if n in needed}, max(fusion.POOL, top_k), "pos")
+        if lists is None:
+            return store.chunks.drop("embedding", "pos").limit(0).selectExpr("'' as plan", "cast(null as string) as query_id", "1 as rank", "0D as score", "*")
+        return fusion.fused(lists, plans, top_k, "pos").join(store.chunks.drop("embedding"), "pos").drop("pos")
+
+    def _arms(self, document_type: str | None = None) -> dict[str, Callable[[DataFrame, int], DataFrame]]:
+        store = self.open()
         pool = store.chunks if document_type is None else store.chunks.where(F.col("document_type") == document_type)
 
         def by_vector(subs: DataFrame, depth: int) -> DataFrame:
-            asked = vector.embed(subs.select("sub_id", "text"), model=self.embedder).select(F.xxhash64("sub_id").alias("query_id"), "sub_id", "embedding")
+            asked = held(vector.embed(subs.select("sub_id", "text"), model=self.embedder).select(F.xxhash64("sub_id").alias("query_id"), "sub_id", "embedding"))
             found = vector.knn(pool.select("pos", "embedding"), asked.select("query_id", "embedding"), depth, key="pos")
             return found.join(asked.select("query_id", "sub_id"), "query_id")
 
@@ -117,39 +149,22 @@ class Engine:
             where = None if document_type is None else lambda c: c["document_type"] == document_type
             return store.words.search(subs.select("sub_id", "text"), depth, where, "pos", "sub_id", "text")
 
-        arms = {"vector": by_vector} | ({"bm25": by_words} if store.words else {})
-        if mode in ("hybrid", "bm25") and not store.words:
-            log.warning("the store has no word index: %s", "vectors only" if mode == "hybrid" else "no results")
-        subs = fusion.sub_queries(questions, intent_weight)
-        found = fusion.retrieve(subs, arms if strict else {n: fusion.tolerant(a, n) for n, a in arms.items()}, mode, top_k, key="pos")
-        return found.join(store.chunks.drop("embedding"), "pos").drop("pos")
+        return {"vector": by_vector} | ({"bm25": by_words} if store.words else {})
 
     def generate(self, asked: DataFrame, found: DataFrame, attempts: int = 1, every: bool = False) -> DataFrame:
         """(query_id, question, context, answer, error, citations, grounded, ungrounded, gate_outcome) of questions with results.
 
-        The language model is asked once for a question, and again after a failure up to the attempts; what still fails has a
-        null answer and the last failure in error. Questions without results have no row, or with `every` an empty context.
+        The language model is asked once for a prompt in a run (or in all that share `answers`), and again after a failure up to
+        the attempts; what still fails has a null answer and the last failure in error. Questions without results have no row, or with `every` an empty context.
         """
         if self.llm is None:
             raise ValueError("no language model was given")
-        llm = self.llm
         header = F.when(F.col("document_type") == "handbook", fusion.handbook_header(F.col("section_number"), F.col("page_start"), F.col("page_end"))).otherwise(fusion.generic_header(F.col("rank"), F.col("title"), F.col("section_number"), F.col("source")))
         told = fusion.context(found.select("query_id", "rank", header.alias("header"), "text"), asked if every else found.select("query_id").distinct())
         prompt = F.concat(F.lit(PROMPT), "context", F.lit("\n\nQuestion: "), "question")
 
-        def call(text: str) -> tuple[str | None, str | None]:
-            for _ in range(attempts):
-                try:
-                    return llm(text), None
-                except Exception as e:  # noqa: BLE001  any failure of the provider is a row, not a failure of the batch
-                    error = f"{type(e).__name__}: {e}"
-            return None, error
-
-        def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            for s in parts:
-                yield pd.DataFrame([call(t) for t in s], columns=["answer", "error"])
-
-        drafts = asked.select("query_id", "question").join(told, "query_id").withColumn("d", F.pandas_udf(run, "answer string, error string")(prompt)).select("query_id", "question", "context", "d.*").cache()
+        asking = asked.select("query_id", "question").join(told, "query_id").withColumn("prompt_", prompt)
+        drafts = self.table().ask(asking, "prompt_", self.llm, "generation", attempts).select("query_id", "question", "context", "answer", "error")
         checked = grounding.gate(grounding.verify(drafts.where("error is null").select("query_id", "answer"), found.select("query_id", "section_number", "page_start", "page_end")))
         return drafts.join(checked.drop("answer"), "query_id", "left")
 
@@ -160,8 +175,8 @@ class Engine:
         stands for it, as for a question without results, which is not generated for. A failing language model fails the batch.
         """
         fusion.check("hybrid", top_k)
-        asked = expansion.expand(questions, self.rewriter, enabled=rewrite).cache()
-        found = self.retrieve(asked, top_k=top_k, document_type=document_type, intent_weight=intent_weight).cache()
+        asked = held(expansion.expand(questions, self.rewriter, enabled=rewrite, answers=self.table()))
+        found = held(self.retrieve(asked, top_k=top_k, document_type=document_type, intent_weight=intent_weight))
         drafts = self.generate(asked, found)
         failed = drafts.where("error is not null").select("error").first()
         if failed:

@@ -10,7 +10,6 @@ from datetime import UTC, datetime
 from functools import reduce
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from tessera.operators import evaluation, expansion, fusion
 from tessera.operators.grounding import REFUSAL, is_caveat
 from tessera.plans.engine import Engine
 from tessera.sources import files
+from tessera.sources.shared import held
 
 #: Tries of a generation, and what cannot be told.
 ATTEMPTS, UNKNOWN = 3, "unavailable"
@@ -33,20 +33,18 @@ def golden_sets(engine: Engine, sets: Sequence[tuple[str, str]]) -> DataFrame:
 
 def expanded(golden: DataFrame, engine: Engine, enabled: bool = True) -> DataFrame:
     """golden with rewrites, intent and status; each distinct question is expanded once."""
-    once = expansion.expand(golden.select("question").distinct(), engine.rewriter, enabled=enabled).cache()
+    once = expansion.expand(golden.select("question").distinct(), engine.rewriter, enabled=enabled, answers=engine.table())
     return golden.join(once, "question")
 
 
 def first_ranks(engine: Engine, asked: DataFrame, modes: Sequence[str], top_k: int = fusion.TOP_K) -> DataFrame:
     """(mode, set, query_id, type, strict_rank, related_rank) of the answerable questions under each mode."""
     own = asked.where(F.col("type").isin(*IN_CORPUS))
-    plain = own.withColumns({"rewrites": F.array().cast("array<string>"), "intent": F.lit(None).cast("string")})
-    ranks = []
-    for mode in modes:
-        found = engine.retrieve(own if mode.endswith("+rewrite") else plain, mode.split("+")[0], top_k, strict=True).select("query_id", "rank", "section_number")
-        one = evaluation.first_match(own.select("set", "query_id", "type", "expected_sections"), found, top_k)
-        ranks.append(one.select(F.lit(mode).alias("mode"), "set", "query_id", "type", "strict_rank", "related_rank"))
-    return reduce(DataFrame.unionByName, ranks)
+    plans = [fusion.Plan(mode, mode.split("+")[0], mode.endswith("+rewrite")) for mode in modes]
+    found = held(engine.retrieve_by(own, plans, top_k).select("plan", "query_id", "rank", "section_number"))  # one search of each arm for all modes
+    each = own.select("set", "query_id", "type", "expected_sections").join(F.broadcast(own.sparkSession.createDataFrame([(m,) for m in modes], "mode string")))  # a few modes
+    ranks = evaluation.first_match(each, found.withColumnRenamed("plan", "mode"), top_k)
+    return ranks.select("mode", "set", "query_id", "type", "strict_rank", "related_rank")
 
 
 def answers(engine: Engine, asked: DataFrame, types: Sequence[str], top_k: int = fusion.TOP_K) -> DataFrame:
@@ -55,8 +53,8 @@ def answers(engine: Engine, asked: DataFrame, types: Sequence[str], top_k: int =
     twice = own.groupBy("set", "question").count().where("count > 1").first()
     if twice:
         raise ValueError(f"a question is twice in set {twice['set']}: {twice['question']!r}")
-    found = engine.retrieve(own, "hybrid", top_k, strict=True).cache()
-    return own.select("set", "query_id", "type").join(engine.generate(own, found, ATTEMPTS, every=True), "query_id").cache()
+    found = held(engine.retrieve(own, "hybrid", top_k, strict=True))
+    return held(own.select("set", "query_id", "type").join(engine.generate(own, found, ATTEMPTS, every=True), "query_id"))
 
 
 def _size(c: str) -> F.Column:
@@ -69,7 +67,7 @@ def refusal_detail(drafts: DataFrame) -> DataFrame:
     return drafts.where(F.col("type").isin(*REFUSALS)).select("set", "query_id", "question", "error", caveat.alias("is_caveat"), "gate_outcome", _size("grounded").alias("n_grounded"), _size("citations").alias("n_citations"))
 
 
-def judged(drafts: DataFrame, judge: Callable[[dict[str, str]], str], sample: int | None = None, seed: int = 0) -> DataFrame:
+def judged(engine: Engine, drafts: DataFrame, judge: Callable[[dict[str, str]], str], sample: int | None = None, seed: int = 0) -> DataFrame:
     """(set, query_id, question, and the judge's record) of answered, not refused questions of the corpus, or of a seeded
     sample of each set's."""
     if sample is not None and sample < 0:
@@ -80,17 +78,9 @@ def judged(drafts: DataFrame, judge: Callable[[dict[str, str]], str], sample: in
         chosen = [(s, q) for s in sorted({r["set"] for r in rows}) for q in evaluation.seeded_sample(sorted((r["query_id"] for r in rows if r["set"] == s), key=lambda x: int(x.rsplit(":", 1)[1])), sample, seed)]
         own = own.join(own.sparkSession.createDataFrame(chosen, "set string, query_id string"), ["set", "query_id"], "left_semi")
 
-    def ask(question: pd.Series, answer: pd.Series, context: pd.Series) -> pd.Series:
-        def one(q: str, a: str, c: str) -> str | None:
-            try:
-                return judge({"question": q, "answer": a, "context": c})
-            except Exception:  # noqa: BLE001  a failed call is counted, not raised
-                return None
-
-        return pd.Series([one(*r) for r in zip(question, answer, context, strict=True)], dtype=object)
-
-    raw = F.pandas_udf(ask, "string")("question", "answer", "context")
-    return own.withColumn("raw_", raw).select("set", "query_id", "question", evaluation.judge_record(F.col("raw_")).alias("r")).select("set", "query_id", "question", "r.*").cache()
+    prompt = F.to_json(F.struct("question", "answer", "context"))
+    said = engine.table().ask(own.withColumn("prompt_", prompt).drop("error").withColumnRenamed("answer", "drafted"), "prompt_", lambda t: judge(json.loads(t)), "judge")
+    return held(said.select("set", "query_id", "question", evaluation.judge_record(F.col("answer")).alias("r")).select("set", "query_id", "question", "r.*"))
 
 
 def provenance(engine: Engine, exclude: Sequence[str] = (), generation_model: str = UNKNOWN) -> dict[str, Any]:
@@ -129,8 +119,8 @@ def run(
     if bad := [m for m in modes if m not in evaluation.MODES]:
         raise ValueError(f"unknown modes {bad}")
     fusion.check("hybrid", top_k)
-    asked = expanded(golden_sets(engine, sets), engine, enabled=refusals or completeness).cache()
-    ranks = first_ranks(engine, asked, modes, top_k).cache()
+    asked = held(expanded(golden_sets(engine, sets), engine, enabled=refusals or completeness))
+    ranks = held(first_ranks(engine, asked, modes, top_k))
     out: dict[str, Any] = {"sets": {}, "modes": list(modes), "top_k": top_k, "refusals": refusals, "completeness": completeness, "judge": judge is not None}
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]  # noqa: E731  a few rows a set
     out["retrieval"] = rows(evaluation.hit_metrics(ranks, ["set", "mode", "type"], top_k, also_total="type").orderBy("set", "mode", "type"))
@@ -154,7 +144,7 @@ def run(
             quality = drafts.where(F.col("type").isin(*IN_CORPUS)).withColumns({"n_citations": _size("citations"), "n_grounded": _size("grounded")})
             out["answer_quality"] = rows(evaluation.completeness(quality, ["set"]).orderBy("set"))
         if judge:
-            records = judged(drafts, judge, judge_sample)
+            records = judged(engine, drafts, judge, judge_sample)
             out["faithfulness"] = rows(evaluation.judge_summary(records, ["set"]).orderBy("set"))
             judge_ok = {label: {"attempted": 0, "errors": 0} for label, _ in sets}
             judge_ok |= {r["set"]: {"attempted": r["attempted"], "errors": r["errors"]} for r in rows(records.groupBy("set").agg(F.count("*").alias("attempted"), F.sum(F.when(F.col("ok"), 0).otherwise(1)).alias("errors")))}

@@ -115,22 +115,23 @@ lists AS (SELECT s.query_id, ord AS list_ord, weight, doc_id, rank FROM b JOIN s
 SELECT * FROM r"""
 
 
+WEIGHTS = (0.0, 0.25, 0.5)
+
+
 def weight_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intent weights 0, .25 and .5 on cached expansions, against the document that the whole question finds."""
     golden = known_items(spark, sf_dir)
     own = expanded(spark, sf_dir).withColumn("question", F.array_join(F.slice(tokens(F.col("question")), 9, 4), " "))
-    ranks = None
-    for w in (0.0, 0.25, 0.5):
-        found = fusion.retrieve(fusion.sub_queries(own, w), {"bm25": bm25_arm(spark, sf_dir)}).withColumn("section_number", F.col("doc_id").cast("string"))
-        one = evaluation.first_match(golden, found.select("query_id", "rank", "section_number"), 6).withColumn("weight", F.lit(w))
-        ranks = one if ranks is None else ranks.unionByName(one)
-    return evaluation.sweep(ranks)
+    lists = fusion.ranked_lists(fusion.sub_queries(own, fusion.MOST_INTENT), {"bm25": bm25_arm(spark, sf_dir)}, fusion.POOL)
+    found = fusion.fused(lists, [fusion.Plan(str(w), intent_weight=w) for w in WEIGHTS]).select(F.col("plan").cast("double").alias("weight"), "query_id", "rank", F.col("doc_id").cast("string").alias("section_number"))
+    each = golden.join(F.broadcast(spark.createDataFrame([(w,) for w in WEIGHTS], "weight double")))  # three weights
+    return evaluation.sweep(evaluation.first_match(each, found, fusion.TOP_K))
 
 
 def _sweep_sql() -> str:
     parts = [f"WITH {QUESTIONS}, {sql.corpus()}, {sql.bm25('g', 'q', 1)}"]
     hits = []
-    for k, w in enumerate(("0.0", "0.25", "0.5")):
+    for k, w in enumerate(WEIGHTS):
         parts.append(sub_query_sql(w, f"s{k}", short=True))
         parts.append(f"a{k} AS (SELECT query_id::VARCHAR || ':' || ord::VARCHAR AS sub_id, text AS question, query_id, ord, weight FROM s{k})")
         parts.append(sql.bm25(f"b{k}", f"a{k}", 12, key="sub_id"))
