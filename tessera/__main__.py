@@ -13,6 +13,8 @@ from tessera.operators import evaluation, fusion
 from tessera.plans import matrix
 from tessera.plans.engine import Engine
 
+#: The set that parameters were tuned on; another one under --golden is called so.
+GOLDEN = "eval/golden_set.jsonl"
 KINDS = ("handbook", "legislation", "case_law", "contracts")
 
 
@@ -34,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
     query.add_argument("--no-rewrite", action="store_true", help="search for the question as it stands")
     query.add_argument("--log", help="folder of the audit log; else AUDIT_LOG_PATH, or the default")
     ev = sub.add_parser("eval", help="evaluate question sets")
-    ev.add_argument("--golden", required=True, help="the set that parameters were tuned on")
+    ev.add_argument("--golden", default=GOLDEN, help="the set that parameters were tuned on, by default, or another")
     ev.add_argument("--heldout")
     ev.add_argument("--realistic")
     ev.add_argument("--mode", choices=(*evaluation.MODES, "all"), default="all")
@@ -74,7 +76,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, **giv
         return counts
     if args.command == "query":
         return show(engine, args)
-    sets = [(n, p) for n, p in (("tuning", args.golden), ("held-out", args.heldout), ("realistic", args.realistic)) if p]
+    sets = [(n, p) for n, p in (("tuning" if args.golden == GOLDEN else "golden", args.golden), ("held-out", args.heldout), ("realistic", args.realistic)) if p]
     modes = evaluation.MODES if args.mode == "all" else (args.mode,)
     out = matrix.run(engine, sets, modes, args.top_k, not args.skip_refusals, not args.skip_completeness, judge if args.judge else None, args.judge_sample, args.results, args.judge_dump if args.judge else None)
     print(matrix.report(out))

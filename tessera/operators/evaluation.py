@@ -6,7 +6,7 @@ import math
 import random
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.grounding import CITATION, PARTIAL, REFUSAL, UNVERIFIED, VERIFIED, is_caveat, sections_related
@@ -146,6 +146,15 @@ def seeded_sample(keys: Sequence, n: int, seed: int) -> list:
     return [k for i, k in enumerate(keys) if i in chosen]
 
 
+def seeded_rows(rows: DataFrame, keys: Sequence[str], n: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """n rows of each group (all, if it has no more), with their place in the draw: those of least hash of seed and keys; ties
+    go by the keys. Each task keeps the least n of its own rows, so that only these are shuffled; nothing comes to the driver."""
+    drawn = F.sha2(F.concat(F.lit(f"{seed}:"), F.concat_ws(":", *[F.col(k).cast("string") for k in keys])), 256)
+    group = list(by) or [F.lit(0)]
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("drawn_", *keys))
+    return rows.withColumn("drawn_", drawn).withColumn("place", place).where(F.col("place") <= n).drop("drawn_")
+
+
 def refusal_accuracy(answers: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Per group: refusal questions and how many were refused."""
     refused = F.sum(F.when(F.col("gate_outcome") == REFUSAL, 1).otherwise(0))

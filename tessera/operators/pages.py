@@ -143,19 +143,52 @@ def clean(pages: DataFrame) -> DataFrame:
     return own.select("source", "page_number", F.coalesce("read", inferred).cast("int").alias("printed_page"), text.alias("text"), "words").where(strip(F.col("text")) != "")
 
 
+#: Pages of a block, and characters of a stretch of positions, as bits: what one task has to order of a long source.
+BLOCK_BITS, STRETCH_BITS = 10, 20
+
+
 def page_map(cleaned: DataFrame) -> DataFrame:
     """(source, page_number, printed_page, text, char_start, char_end, separator): pages joined by a line end, or by
-    nothing where a word goes on over the seam; the text between start and end is the page's, exactly."""
-    order = Window.partitionBy("source").orderBy("page_number")
+    nothing where a word goes on over the seam; the text between start and end is the page's, exactly.
+
+    Pages are ordered within blocks of page numbers; of a block only its first letters and its size meet those of the
+    other blocks of its source, so a source of very many pages is many tasks.
+    """
+    blocks, within = Window.partitionBy("source").orderBy("block"), Window.partitionBy("source", "block").orderBy("page_number")
     own = cleaned if "words" in cleaned.columns else cleaned.withColumn("words", F.array().cast("array<string>"))
-    after = F.lead("text").over(order)
+    own = own.withColumn("block", F.shiftright(F.col("page_number").cast("long"), BLOCK_BITS)).withColumn("opening", F.regexp_extract("text", r"(?s)^(?:[a-z]+|.)", 0))
+    heads = own.groupBy("source", "block").agg(F.min_by("opening", "page_number").alias("first")).withColumn("next", F.lead("first").over(blocks))
+    own = own.join(heads.select("source", "block", "next"), ["source", "block"]).withColumn("after", F.coalesce(F.lead("opening").over(within), "next"))
     a, b = F.regexp_extract("text", r"([a-z]+)-$", 1), F.regexp_extract(F.col("after"), r"^([a-z]+)", 1)
-    own = own.withColumn("after", after)
     seam = F.coalesce((a != "") & F.col("after").rlike(r"^\p{Ll}"), F.lit(False))
     own = own.withColumns({"separator": F.when(F.col("after").isNull() | seam, "").otherwise("\n"), "text": F.when(seam & ~joined_word(a, b, F.col("words")), F.substring("text", F.lit(1), F.length("text") - 1)).otherwise(F.col("text"))})
-    size = F.length("text") + F.length("separator")
-    start = F.coalesce(F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    return own.withColumn("char_start", start).select("source", "page_number", "printed_page", "text", "char_start", (F.col("char_start") + F.length("text")).alias("char_end"), "separator")
+    own = own.withColumn("size", (F.length("text") + F.length("separator")).cast("long"))
+    before = (Window.unboundedPreceding, -1)
+    so_far = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(*before)), F.lit(0))
+    totals = own.groupBy("source", "block").agg(F.sum("size").alias("total")).withColumn("offset", so_far("total", blocks))
+    start = (F.col("offset") + so_far("size", within)).cast("int")
+    own = own.join(totals.select("source", "block", "offset"), ["source", "block"]).withColumn("char_start", start)
+    return own.select("source", "page_number", "printed_page", "text", "char_start", (F.col("char_start") + F.length("text")).alias("char_end"), "separator")
+
+
+def pages_at(mapped: DataFrame, positions: DataFrame, position: str, page: str) -> DataFrame:
+    """positions (source, position and others) with the printed page there: that of the last page that starts at or before
+    it, else of the source's first; null for a source without pages.
+
+    Positions and page starts are ordered together, by stretches of the text, and a stretch begins with the last page
+    that any before it had: n log n in both, and no task holds a long source. Null positions have the first page.
+    """
+    none = F.lit(None)
+    starts = mapped.select("source", F.col("char_start").cast("long").alias("at_"), F.struct("printed_page").alias("page_"), none.cast(positions.select(F.struct("*").alias("p")).schema["p"].dataType).alias("row_"))
+    asked = positions.select("source", F.coalesce(F.col(position).cast("long"), F.lit(-1)).alias("at_"), none.cast(starts.schema["page_"].dataType).alias("page_"), F.struct("*").alias("row_"))
+    both = starts.unionByName(asked).withColumn("stretch_", F.shiftright("at_", STRETCH_BITS))
+    until = Window.unboundedPreceding
+    stretches = both.groupBy("source", "stretch_").agg(F.max_by("page_", F.when(F.col("page_").isNotNull(), F.col("at_"))).alias("last_"))
+    came = F.last("last_", ignorenulls=True).over(Window.partitionBy("source").orderBy("stretch_").rowsBetween(until, -1))
+    first = starts.groupBy("source").agg(F.min_by("page_", "at_").alias("first_"))
+    here = F.last("page_", ignorenulls=True).over(Window.partitionBy("source", "stretch_").orderBy("at_", F.col("page_").isNull()).rowsBetween(until, Window.currentRow))
+    own = both.withColumn("here_", here).where("row_ is not null").join(stretches.withColumn("came_", came).select("source", "stretch_", "came_"), ["source", "stretch_"]).join(first, "source", "left")
+    return own.select("row_.*", F.coalesce("here_", "came_", "first_")["printed_page"].alias(page))
 
 
 def documents(mapped: DataFrame) -> DataFrame:

@@ -36,10 +36,12 @@ o AS (SELECT *, coalesce(sum(length(text) + length(separator)) OVER (PARTITION B
 
 def page_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page of the middle and of the end of each document."""
-    own = pages.documents(pages.page_map(raw_pages(spark, sf_dir).withColumn("printed_page", F.col("page_number"))))
-    n = F.length("clean_text")
-    first, last = pages.page_range(F.col("page_map"), F.floor(n / 2).cast("int"), n)
-    return own.select("source", n.cast("long").alias("n_chars"), first.cast("long").alias("page_middle"), last.cast("long").alias("page_end"))
+    mapped = pages.page_map(raw_pages(spark, sf_dir).withColumn("printed_page", F.col("page_number")))
+    sizes = mapped.groupBy("source").agg(F.max(F.col("char_end") + F.length("separator")).cast("long").alias("n_chars"))
+    middle = F.floor(F.col("n_chars") / 2)
+    asked = sizes.withColumns({"first": middle, "last": F.greatest(middle, F.col("n_chars") - 1)})
+    found = pages.pages_at(mapped, pages.pages_at(mapped, asked, "first", "page_middle"), "last", "page_end")
+    return found.select("source", "n_chars", F.col("page_middle").cast("long").alias("page_middle"), F.col("page_end").cast("long").alias("page_end"))
 
 
 def page_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +52,12 @@ def page_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.invariants(own.withColumn("char_start", start)).groupBy("problem").agg(F.count("*").alias("n"))
 
 
+def page_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five pages of each source, by a seed."""
+    own = read(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page_number"), "text")
+    return evaluation.seeded_rows(own, ["page_number"], 5, 7, by=["source"]).select("source", "page_number", F.col("place").cast("long").alias("place"))
+
+
 def line_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages, each under a numbered heading."""
     d = F.col("doc_id")
@@ -320,7 +328,7 @@ def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("source", long("page_number"), long("printed_page"), F.md5("text").alias("md5"))
 
 
-QUERIES = {f.__name__: f for f in (intent_extract, recursive_split, legislation_sections, handbook_chunk, refusal_accuracy, null_metadata, insert_new, chapter_census, page_numbers, page_map, page_asof, page_invariants, line_census, repeated_lines, char_census, page_coverage, header_census, hyphen_attest, extract_pages, html_text, sentence_split, citations_extract, sections_related, grounding_gate, completeness, rewrite_parse, judge_agg, audit_events, chunk_ids, dedup_first, sync_diff, legislation_split)}
+QUERIES = {f.__name__: f for f in (intent_extract, recursive_split, legislation_sections, handbook_chunk, refusal_accuracy, null_metadata, insert_new, chapter_census, page_numbers, page_map, page_asof, page_invariants, page_sample, line_census, repeated_lines, char_census, page_coverage, header_census, hyphen_attest, extract_pages, html_text, sentence_split, citations_extract, sections_related, grounding_gate, completeness, rewrite_parse, judge_agg, audit_events, chunk_ids, dedup_first, sync_diff, legislation_split)}
 _UNQUOTE = "CASE WHEN length(x) >= 2 AND " + " THEN x[2:-2] WHEN length(x) >= 2 AND ".join(f"x[1] = '{a}' AND x[-1] = '{b}'" for a, b in (('"', '"'), ("\'\'", "\'\'"), ("“", "”"), ("‘", "’"))) + " THEN x[2:-2] ELSE x END"
 _STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 _BODY = "chr(10) || 'body ' || repeat('x', 620 + (doc_id + {k}) % 90)"
@@ -406,6 +414,8 @@ SELECT lang, attempted, failure_rate, zero_claim, failure_rate > 0.2 AS suppress
     "audit_events": "SELECT event_id::VARCHAR AS event, sha256(props) AS query_sha256, length(props)::BIGINT AS query_chars, event_type AS action, length(event_type)::BIGINT AS answer_chars, user_id AS first_id, event_type AS locator FROM events",
     "chunk_ids": "SELECT doc_id, left(sha256(source || chr(0) || text), 16) AS chunk_id FROM documents",
     "dedup_first": "SELECT left(sha256(source || chr(0) || text), 16) AS chunk_id, min(doc_id) AS doc_id FROM documents GROUP BY 1",
+    "page_sample": """WITH h AS (SELECT source, doc_id, sha256('7:' || doc_id) AS h FROM documents)
+SELECT source, doc_id AS page_number, place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS place FROM h) WHERE place <= 5""",
     "sync_diff": """WITH f AS (SELECT source, left(sha256(source || chr(0) || text), 16) AS id, min(doc_id) AS d FROM documents GROUP BY ALL)
 SELECT source, sum((d % 7 = 3)::INT)::BIGINT AS added, sum((d % 7 = 2)::INT)::BIGINT AS updated, sum((d % 7 = 4)::INT)::BIGINT AS deleted FROM f GROUP BY source""",
 }

@@ -74,9 +74,7 @@ def judged(engine: Engine, drafts: DataFrame, judge: Callable[[dict[str, str]],
         raise ValueError("the sample must not be negative")
     own = drafts.where(F.col("type").isin(*IN_CORPUS) & F.col("error").isNull() & (F.col("gate_outcome") != REFUSAL))
     if sample is not None:
-        rows = own.select("set", "query_id").collect()  # the questions of golden sets, which people write
-        chosen = [(s, q) for s in sorted({r["set"] for r in rows}) for q in evaluation.seeded_sample(sorted((r["query_id"] for r in rows if r["set"] == s), key=lambda x: int(x.rsplit(":", 1)[1])), sample, seed)]
-        own = own.join(own.sparkSession.createDataFrame(chosen, "set string, query_id string"), ["set", "query_id"], "left_semi")
+        own = evaluation.seeded_rows(own, ["query_id"], sample, seed, by=["set"]).drop("place")
 
     prompt = F.to_json(F.struct("question", "answer", "context"))
     said = engine.table().ask(own.withColumn("prompt_", prompt).drop("error").withColumnRenamed("answer", "drafted"), "prompt_", lambda t: judge(json.loads(t)), "judge")

@@ -243,7 +243,7 @@ def test_command_line(spark, golden, tmp_path, capsys):
     said = capsys.readouterr().out
     assert "[shown]" in said and "[Handbook, para 3.1, p.11]" in said and " 1. " in said
     out = main(["--store", store, "eval", "--golden", f"{golden}/a.jsonl", "--mode", "bm25", "--skip-refusals", "--skip-completeness", "-o", f"{tmp_path}/r.md"], spark, **given)
-    assert out["retrieval"] and (tmp_path / "r.md").exists()
+    assert {r["set"] for r in out["retrieval"]} == {"golden"} and (tmp_path / "r.md").exists()
     with pytest.raises(SystemExit):
         main([], spark)
 
