@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from tessera.llm.jaccard import near_copies
 from tessera.llm.language import fit, identify
 from tessera.llm.packing import pack
-from tessera.llm.pii import redacted
+from tessera.llm.pii import fresh, redacted
 from tessera.sources.shared import shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language identifier, learned from their own labels, does not reject. Null and letterless texts are
     rejected; repeated rows stay or go together; no column of docs is changed or lost, whatever its name."""
-    own = "language_stage_"
+    (own,) = fresh(docs, "language", "stage_")
     return identify(docs, fit(docs), own).where(~F.col(own + "rejected")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -26,19 +26,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     has an id. Rows are told apart by id and text, so different texts of one id are different documents. Blank texts are
     near copies of nothing; of each, one stays for each id, and one without."""
     own = [F.col(f"`{c}`") for c in docs.columns]
+    text, key, rank, bare, least, cls, at = fresh(docs, "near", "text", "key", "rank", "bare", "least", "class", "id")
     digest = F.md5(F.coalesce("text", F.lit("")))
-    tagged = docs.withColumn("near_text_", digest).withColumn("near_key_", F.concat_ws(":", digest, F.col("doc_id").cast("string")))
+    tagged = docs.withColumn(text, digest).withColumn(key, F.concat_ws(":", digest, F.col("doc_id").cast("string")))
     full = F.coalesce("text", F.lit("")).rlike(r"[^\t-\r ]")
-    once = Window.partitionBy("near_key_").orderBy("text")
-    only = lambda df: df.withColumn("near_rank_", F.row_number().over(once)).where("near_rank_ = 1").select(own)
+    once = Window.partitionBy(key).orderBy("text")
+    only = lambda df: df.withColumn(rank, F.row_number().over(once)).where(F.col(rank) == 1).select(own)
     # Each id and text have an id of their own here (below those that near_copies gives to documents without); a text is
     # asked for by that of its least row, and one of its copies, not all, brings it to the comparisons.
     as_id = lambda key: F.shiftright(F.xxhash64(key), 1)
-    classes = near_copies(tagged.where(full).select(as_id("near_key_").alias("doc_id"), "text")).groupBy("doc_id").agg(F.min("class_id").alias("near_class_"))
-    texts = tagged.where(full).groupBy("near_text_").agg(F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "near_text_", "near_key_")).alias("least"))
-    texts = texts.join(classes.withColumnRenamed("doc_id", "near_id_"), as_id("least.near_key_") == F.col("near_id_"))
-    best = texts.groupBy("near_class_").agg(F.min("least").alias("best")).select(F.col("best.near_key_").alias("near_key_"))
-    return only(tagged.where(full).join(best, "near_key_", "left_semi")).unionByName(only(tagged.where(~full)))
+    classes = near_copies(tagged.where(full).select(as_id(key).alias("doc_id"), "text")).groupBy("doc_id").agg(F.min("class_id").alias(cls))
+    texts = tagged.where(full).groupBy(text).agg(F.min(F.struct(F.col("doc_id").isNull().alias(bare), "doc_id", text, key)).alias(least))
+    texts = texts.join(classes.withColumnRenamed("doc_id", at), as_id(f"{least}.{key}") == F.col(at))
+    best = texts.groupBy(cls).agg(F.min(least).alias(least)).select(F.col(f"{least}.{key}").alias(key))
+    return only(tagged.where(full).join(best, key, "left_semi")).unionByName(only(tagged.where(~full)))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ language of the centroid of largest cosine, and is rejected when that cosine is
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -22,8 +23,8 @@ from tessera.llm.common import slices
 BUCKETS, CENTROIDS, SAMPLE = 4096, 4, 300
 #: A text is rejected below this share of the cosine that 99 % of the sample reach, less for few letters.
 SLACK, FEW_LETTERS = 0.5, 60
-#: Most labels that a fit takes.
-LABELS = 5000
+#: Most labels that a fit takes, and rows of all of them.
+LABELS, ROWS = 2000, 20_000
 _MUL = np.array([2654435761, 2246822519, 3266489917, 668265263, 374761393, 2869860233], np.uint32)
 
 
@@ -102,16 +103,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
-    """Learn from text and lang of the rows that are not held out; at most about `sample` rows of each language, by a hash of
-    id and text, a repeated row once. Without labelled rows the model knows no language. More labels than LABELS are an error:
-    such a column does not hold languages."""
+    """Learn from text and lang of the rows that are not held out; at most about `sample` rows of each language, and ROWS of all,
+    by a hash of id and text, a repeated row once. Without labelled rows the model knows no language. Of more labels than LABELS,
+    which no column of languages has, those of most rows are learned."""
     own = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().limit(LABELS + 1).collect()}  # a row a language
-    if len(sizes) > LABELS:
-        raise ValueError(f"more than {LABELS} labels")
+    sizes = {r["lang"]: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()}
     if not sizes:
         return Model(np.ones(BUCKETS), np.zeros((0, BUCKETS), np.float32), [], 0.0)
-    rate = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample / n))])
+    sample = min(sample, max(1, ROWS // len(sizes)))
+    rate = F.from_json(F.lit(json.dumps({lang: min(1.0, sample / n) for lang, n in sizes.items()})), "map<string,double>")
     digest = F.xxhash64("doc_id", "text", F.lit("sample"))
     chosen = own.where(F.pmod(digest, F.lit(1_000_003)) < rate[F.col("lang")] * 1_000_003)
     chosen = chosen.groupBy("lang", digest.alias("digest")).agg(F.any_value("text").alias("text"))
@@ -123,7 +123,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
                 found, letters = counts(texts[x : x + 64])
                 yield pa.RecordBatch.from_pydict({"lang": pa.array(langs[x : x + 64], pa.string()), "n": pa.array(letters, pa.int64()), "v": pa.array([f.astype(np.uint16).tobytes() for f in np.minimum(found, 65535)], pa.binary())})
 
-    rows = sorted((r["lang"], r["n"], bytes(r["v"])) for r in chosen.mapInArrow(run, "lang string, n long, v binary").collect() if r["n"])
+    got = chosen.mapInArrow(run, "lang string, n long, v binary").where("n > 0").toArrow()
+    rows = sorted(zip(got["lang"].to_pylist(), got["n"].to_pylist(), got["v"].to_pylist(), strict=True))
     if not rows:
         return Model(np.ones(BUCKETS), np.zeros((0, BUCKETS), np.float32), [], 0.0)
     found = np.stack([np.frombuffer(v, np.uint16) for *_, v in rows]).astype(np.float32)

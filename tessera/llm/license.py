@@ -2,11 +2,12 @@
 
 The paragraphs are lines, and as notices wrap, windows of neighbouring lines up to a blank one, long enough for every
 template however it is wrapped. A logistic regression over their word n-grams (one and two words) names a licence family or
-the unknown class, which also takes what is less probable than a calibrated threshold. A prediction is confirmed when the
-paragraph holds enough n-grams of one of the family's templates, which are other texts than those the model is fitted to.
+the unknown class, which also takes what is less probable than a calibrated threshold. A prediction counts if it is more
+probable than a second, higher one, or if the paragraph holds half of the n-grams of one of the family's templates, which are
+other texts than those the model is fitted to.
 
-What is classified must hold a word of the gate. The gate is no list of cues but follows from the templates: without its words
-too little is left of any of them to confirm anything, so no confirmed notice is lost by it.
+What is classified must hold a word of the gate, which follows from the model: n-grams of everyday words alone have no
+weight, and without the gate's words all weights that are left cannot make any family probable enough.
 """
 
 from __future__ import annotations
@@ -68,16 +69,17 @@ NOTICES = {
 }
 #: Names of the families, and what they are put into beside NOTICES, in other words than the templates' (fixed values).
 NAMES = {
-    "agpl-3.0": ["the gnu affero general public license version 3", "agpl-3.0"], "apache-2.0": ["the apache license version 2.0", "apache-2.0"], "bsd": ["the bsd license", "the bsd 3-clause license", "bsd-2-clause"],
+    "agpl-3.0": ["the gnu affero general public license version 3", "agpl-3.0", "the gnu affero gpl version 3"], "apache-2.0": ["the apache license version 2.0", "apache-2.0"], "bsd": ["the bsd license", "the bsd 3-clause license", "bsd-2-clause", "a bsd-style license"],
     "bsl-1.0": ["the boost software license version 1.0", "bsl-1.0"], "cc-by": ["cc by 4.0", "creative commons attribution 4.0 international"], "cc-by-nc": ["cc by-nc 4.0", "cc by-nc-sa 4.0", "creative commons attribution-noncommercial 4.0 international"],
     "cc-by-sa": ["cc by-sa 4.0", "creative commons attribution-sharealike 4.0 international"], "cc0": ["cc0 1.0 universal", "cc0"], "cddl-1.0": ["the cddl", "cddl-1.0"], "epl-2.0": ["the eclipse public license version 2.0", "epl-2.0"],
-    "eupl-1.2": ["the european union public licence", "eupl-1.2", "the eupl"], "gpl-2.0": ["the gnu general public license version 2", "gpl-2.0-only", "the gpl v2"], "gpl-3.0": ["the gnu general public license version 3", "gpl-3.0-or-later", "the gpl v3"],
-    "isc": ["the isc license", "isc"], "lgpl": ["the gnu lesser general public license", "the lgpl", "lgpl-2.1-only"], "mit": ["the mit license", "mit license"], "mpl-2.0": ["the mozilla public license version 2.0", "mpl-2.0"],
+    "eupl-1.2": ["the european union public licence", "eupl-1.2", "the eupl"], "gpl-2.0": ["the gnu general public license version 2", "gpl-2.0-only", "the gpl v2", "the gplv2", "the gnu gpl version 2"], "gpl-3.0": ["the gnu general public license version 3", "gpl-3.0-or-later", "the gpl v3", "the gplv3", "the gnu gpl version 3"],
+    "isc": ["the isc license", "isc"], "lgpl": ["the gnu lesser general public license", "the lgpl", "lgpl-2.1-only", "lgpl-2.1", "lgpl-3.0"], "mit": ["the mit license", "mit license", "the mit licence"], "mpl-2.0": ["the mozilla public license version 2.0", "mpl-2.0"],
     "unlicense": ["the unlicense"], "wtfpl": ["the wtfpl"], "zlib": ["the zlib license", "zlib"],
 }
-FRAMES = ("available under {}", "distributed under the terms of {}", "this project uses {}", "all files are covered by {}", "use is governed by {}", "spdx {}", "you get it under {}")
+FRAMES = ("available under {}", "licensed {}", "{} licensed code", "the license is {}", "our code uses {}", "{}", "see {} for details", "terms of {}", "distributed under the terms of {}", "this project uses {}", "all files are covered by {}", "use is governed by {}", "spdx {}", "you get it under {}")
 #: Paragraphs that hold a cue and no licence.
 OTHERS = [
+    "the mit students won a prize", "a team of the mit lab", "the mit museum is near the river", "he came to the mit library", "she studied physics at mit", "mit professors met the press", "the lab is at mit in the city", "members of the european union met", "the european union is a union of states", "the public was told of the terms", "a common source of error in development", "the source code is shown in the appendix", "free copies of the software are sent to any person", "the general version of the form",
     "he lost his driving licence last year", "the licence fee was raised by the board", "copyright 2021 all rights reserved", "permission denied while opening the file",
     "researchers at mit released a paper", "the apache helicopter landed in the field", "a licensed plumber came to the house", "this page is under construction version 2.0",
     "the warranty does not cover the screen", "ask for permission to use the hall", "the public library is free", "mozilla announced a new browser version", "the software is released every month",
@@ -86,14 +88,14 @@ OTHERS = [
     "the mit campus is open to the public", "version 3 of the plan was released under pressure", "the contents of this file are secret", "he was released without any charge", "the authors will be held to their word", "distributed under the door of each house",
     "permission is granted by the parents", "the gnu lives in the south", "a fishing license is available at the office", "no rights are reserved for members", "the public domain of the king", "attribution of the painting to the master", "subject to the terms of the lease",
 ]
-#: Of these some are for fitting, the rest for calibration; words that prose holds often, which the gate avoids where it can.
-UNKNOWN, FITTED = "unknown", 28
-COMMON = "the of and a to in for under is are this any with or without from not use used be by it its may no all you will into do what want as at mit 1.0 2.0 4.0 1.2 3 2 v v3 made work code person available source name names terms subject held events provided public free general version file form forms international commons universal rights reserved union software later express purpose fee binary common development distribution published foundation either except domain copy permission permitted modification holder authors event european nor neither".split()
+#: Of these some are for fitting, the rest for calibration; everyday words, whose n-grams alone tell nothing (fixed values).
+UNKNOWN, FITTED = "unknown", 42
+EVERYDAY = frozenset("the of and a to in for under is are this any with or without from not use used uses be by it its may no all you your our we he she they will into do what want as at on if that which who was were has have had been more most other new only must can get see made make work page site data list name names file files time year people day way part place case following above below about after before between during out up down over again then there here when where how why each both few some such own same so than too very one two said says also".split())
 FILLED = r"[\p{L}\p{N}]"
 WORD = r"[^a-z0-9.+-]+"
-#: Precision that the least probability is calibrated to, on the templates; the least share of a template's n-grams that
-#: confirms; steps and decay of the fit; buckets that n-grams are looked up in.
-PRECISION, CONTAINED, ROUNDS, DECAY, BUCKETS = 0.98, 0.75, 800, 1e-4, 256
+#: Precision, on the templates, that the probabilities are calibrated to with a template and without; the least share of a
+#: template's n-grams that confirms; steps, decay and least weight of the fit; buckets that n-grams are looked up in.
+PRECISION, ALONE, CONTAINED, ROUNDS, DECAY, LEAST_WEIGHT, BUCKETS = 0.98, 0.995, 0.5, 160, 1e-4, 3e-5, 256
 
 
 def grams(text: str) -> list[str]:
@@ -108,34 +110,13 @@ def grams_of(text: Column) -> Column:
     return F.element_at(F.transform(F.array(words), lambda w: F.array_compact(F.array_distinct(F.concat(w, F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))))), 1)
 
 
-def gate() -> list[str]:
-    """Words of which every text that can be confirmed holds one: of each template so many words that without them less
-    than the least share of its n-grams is left, the commonest ones being spared first."""
-    out: set[str] = set()
-    for lines in TEMPLATES.values():
-        for t in lines:
-            own = grams(t)
-            words = list(dict.fromkeys(w for w in own if " " not in w))
-            enough = lambda gone, own=own: sum(not set(g.split(" ")) & gone for g in own) < CONTAINED * len(own)
-            chosen = set(words)
-            for w in sorted(words, key=lambda w: (w not in COMMON, w in out, COMMON.index(w) if w in COMMON else -len(w))):
-                if enough(chosen - {w}):
-                    chosen -= {w}
-            out |= chosen
-    return sorted(out)
-
-
-#: The gate as a pattern over lower-cased text: sound, as a word of it stands free of letters and digits wherever it is one.
-CUES = "(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in gate()) + ")(?![a-z0-9])"
-
-
 def _examples(notices: dict[str, list[str]], others: list[str], seed: int) -> tuple[list[str], list[str]]:
     """Paragraphs made from notices by a fixed seed: words put around, some dropped, and prose without licence."""
     rng = random.Random(seed)
     fill = "the of file and this code data page site see project work version our in for more details 2.0 3 4.0 1.0 software".split()
     texts, labels = [], []
     for label, lines in [*notices.items(), (UNKNOWN, others)]:
-        for k in range(12 * len(lines) if label != UNKNOWN else 1200):
+        for k in range(4 * len(lines) if label != UNKNOWN else 900):
             words = lines[k % len(lines)].split() if label != UNKNOWN or k % 4 else [rng.choice(fill) for _ in range(rng.randint(3, 25))]
             if rng.random() < 0.3 and len(words) > 6:
                 words.pop(rng.randrange(len(words)) if label == UNKNOWN else rng.choice([0, len(words) - 4]))
@@ -147,7 +128,7 @@ def _examples(notices: dict[str, list[str]], others: list[str], seed: int) -> tu
 
 class Model:
     """Classes, bias, weights of each n-gram and the least probability of a family. Fitted to NOTICES; the least
-    probability is calibrated on examples made from TEMPLATES and from other prose, which the fit never saw."""
+    probabilities are calibrated on examples made from TEMPLATES and from other prose, which the fit never saw."""
 
     def __init__(self) -> None:
         fitted = {f: own + [frame.format(name) for name in NAMES[f] for frame in FRAMES] for f, own in NOTICES.items()}
@@ -157,34 +138,73 @@ class Model:
         for t in texts:
             for g in grams(t):
                 seen[g] = seen.get(g, 0) + 1
-        place = {g: k for k, g in enumerate(sorted(g for g, n in seen.items() if n > 2))}
-
-        def matrix(texts: list[str]) -> np.ndarray:
-            x = np.zeros((len(texts), len(place)), np.float32)
-            for k, t in enumerate(texts):
-                x[k, [place[g] for g in grams(t) if g in place]] = 1
-            return x
-
-        x = matrix(texts)
-        w, b = np.zeros((len(place), len(self.classes)), np.float32), np.zeros(len(self.classes), np.float32)
+        place = {g: k for k, g in enumerate(sorted(g for g, n in seen.items() if n > 2 and not set(g.split(" ")) <= EVERYDAY))}
+
+        # Examples hold few of the n-grams: each is a run of places, and each place a run of examples.
+        runs = [[place[g] for g in grams(t) if g in place] or [len(place)] for t in texts]
+        at, of = np.concatenate(runs), np.repeat(np.arange(len(texts)), [len(r) for r in runs])
+        order = np.argsort(at, kind="stable")
+        held, first = np.unique(at[order], return_index=True)
+        begins = np.cumsum([0] + [len(r) for r in runs[:-1]])
+        w, b = np.zeros((len(place) + 1, len(self.classes)), np.float32), np.zeros(len(self.classes), np.float32)
+        dw, db = np.zeros_like(w), np.zeros_like(b)
         target = np.eye(len(self.classes), dtype=np.float32)[[self.classes.index(c) for c in labels]]
-        for _ in range(ROUNDS):
-            d = (self.soft(x @ w + b) - target) / len(x)
-            w -= 4 * (x.T @ d + DECAY * w)
-            b -= 4 * d.sum(0)
+        for _ in range(ROUNDS):  # accelerated, and small weights shrink to none
+            ahead, bias = w + 0.9 * dw, b + 0.9 * db
+            d = (self.soft(np.add.reduceat(ahead[at], begins) + bias) - target) / len(texts)
+            new = ahead * (1 - 2 * DECAY)
+            new[held] -= 2 * np.add.reduceat(d[of[order]], first)
+            new = np.sign(new) * np.maximum(np.abs(new) - 2 * LEAST_WEIGHT, 0)
+            new[-1] = 0
+            dw, w = new - w, new
+            db = bias - 2 * d.sum(0) - b
+            b = b + db
+        self.bias = [round(float(v), 4) for v in b]
+        self.weights = {g: [round(float(v), 3) for v in w[k]] for g, k in place.items() if np.abs(w[k]).max() > 0.05}
         texts, labels = _examples(TEMPLATES, OTHERS[FITTED:], 6)
         y = np.array([self.classes.index(c) for c in labels])
-        p = self.soft(matrix(texts) @ w + b)
+        p = self.soft(np.stack([self.score(t) for t in texts]))
         best, top = p.argmax(1), p.max(1)
         order = np.argsort(-top)
         order = order[best[order] != len(self.classes) - 1]
         right = np.cumsum(best[order] == y[order]) / np.arange(1, len(order) + 1)
-        good = np.flatnonzero(right >= PRECISION)
+
+        def calibrated(precision: float, floor: float) -> float:
+            good = np.flatnonzero(right >= precision)
+            return round(max(floor, float(top[order[good[-1]]])), 6) if len(good) else 1.0
+
+        #: Least probability of a family that a template confirms, and of one that counts alone.
+        self.least, self.alone = calibrated(PRECISION, 0.4), calibrated(ALONE, 0.6)
         #: Of the calibration examples of a family, the share that is named rightly at the least probability.
-        self.least = round(max(0.4, float(top[order[good[-1]]])), 6) if len(good) else 1.0
         self.recall = float(((best == y) & (top >= self.least))[y != len(self.classes) - 1].mean())
-        self.bias = [round(float(v), 4) for v in b]
-        self.weights = {g: [round(float(v), 3) for v in w[k]] for g, k in place.items() if np.abs(w[k]).max() > 0.05}
+        self.gate = self._gate()
+        #: The gate as a pattern over lower-cased text: sound, as a word of it stands free of letters and digits wherever it is one.
+        self.cues = "(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in self.gate) + ")(?![a-z0-9])"
+
+    def score(self, text: str) -> np.ndarray:
+        return np.array(self.bias) + sum((np.array(self.weights[g]) for g in grams(text) if g in self.weights), np.zeros(len(self.bias)))
+
+    def reach(self, gone: set[str]) -> np.ndarray:
+        """For each family, the most by which texts without some words can favour it over the unknown class."""
+        left = [np.array(w) for g, w in self.weights.items() if not set(g.split(" ")) & gone]
+        b = np.array(self.bias)
+        return (b - b[-1] + sum((np.maximum(0, w - w[-1]) for w in left), np.zeros(len(b))))[:-1]
+
+    def _gate(self) -> list[str]:
+        """Words without which no family can reach the least probability: those of most weight first, until that holds."""
+        enough = np.log(self.least / (1 - self.least)) - 0.01
+        words: dict[str, float] = {}
+        for g, w in self.weights.items():
+            for v in set(g.split(" ")) - EVERYDAY:
+                words[v] = max(words.get(v, 0.0), float(max(w[:-1]) - w[-1]))
+        out: set[str] = set()
+        for v in sorted(words, key=lambda v: (-words[v], v)):
+            over = self.reach(out) > enough
+            if not over.any():
+                break
+            if (self.reach(out | {v})[over] < self.reach(out)[over]).any():
+                out.add(v)
+        return sorted(out)
 
     @staticmethod
     def soft(z: np.ndarray) -> np.ndarray:
@@ -192,14 +212,13 @@ class Model:
         return e / e.sum(1, keepdims=True)
 
     def classify(self, text: str) -> tuple[str, float, bool]:
-        """The plain version: family or unknown, its probability, and whether a template confirms it."""
-        z = np.array(self.bias) + sum((np.array(self.weights[g]) for g in grams(text) if g in self.weights), np.zeros(len(self.bias)))
-        p = self.soft(z[None])[0]
+        """The plain version: family or unknown, its probability, and whether that or a template confirms it."""
+        p = self.soft(self.score(text)[None])[0]
         k = int(p.argmax())
         family = self.classes[k] if p[k] >= self.least else UNKNOWN
         own = set(grams(text))
         held = max((len(own & set(t["grams"])) / len(t["grams"]) for t in _forms() if t["family"] == family and (not t["own"] or own & set(t["own"]))), default=0.0)
-        return family, float(p[k]), held >= CONTAINED
+        return family, float(p[k]), family != UNKNOWN and (held >= CONTAINED or float(p[k]) >= self.alone)
 
 
 _MODELS: list[Model] = []
@@ -219,7 +238,7 @@ def _forms() -> list[dict]:
 
 def scan(docs: DataFrame, text: str = "text", column: str = "paragraphs") -> DataFrame:
     """docs with the array `column` of struct(line, family, probability, confirmed) for each line that holds a word of the
-    gate, and each confirmed notice that is wrapped over lines.
+    gate, and each confirmed notice that is wrapped over lines; confirmed: by the probability alone or by a template.
 
     line counts from 0, and is a wrapped notice's first. Null, empty and other texts without such words have an empty array;
     every line of a text is looked at, whatever its length; repeated lines and rows count each; an empty table gives no rows. Of confirmed lines and windows that overlap,
@@ -232,7 +251,7 @@ def scan(docs: DataFrame, text: str = "text", column: str = "paragraphs") -> Dat
     templates = F.from_json(F.lit(json.dumps(_forms())), "array<struct<family:string,grams:array<string>,own:array<string>>>")
     classes = F.array(*map(F.lit, m.classes))
     most = max(len(t.split()) for lines in TEMPLATES.values() for t in lines)
-    holds = lambda t: F.lower(t).rlike(CUES)
+    holds = lambda t: F.lower(t).rlike(m.cues)
     let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
 
     def judged(c: Column) -> Column:
@@ -274,7 +293,7 @@ def scan(docs: DataFrame, text: str = "text", column: str = "paragraphs") -> Dat
         return F.flatten(F.transform(lines, of))
 
     overlap = lambda a, b: (a["line"] <= b["last"]) & (b["line"] <= a["last"])
-    sure = lambda c: (c["family"] != UNKNOWN) & (c["held"] >= CONTAINED)
+    sure = lambda c: (c["family"] != UNKNOWN) & ((c["held"] >= CONTAINED) | (c["probability"] >= m.alone))
     told = lambda c, yes: F.struct(c["line"].alias("line"), c["family"].alias("family"), c["probability"].alias("probability"), yes.alias("confirmed"))
 
     def chosen(both: Column) -> Column:

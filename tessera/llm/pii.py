@@ -272,8 +272,6 @@ def _candidates(text: Column, number: int, kind: str) -> tuple[Column, Column]:
     may = F.contains(text, F.lit(need)) if len(need) == 1 else text.rlike(need)
     if kind in EITHER:
         may = reduce(lambda a, x: a | F.contains(text, F.lit(x)), EITHER[kind][1:], F.contains(text, F.lit(EITHER[kind][0]))) & may
-    if kind == "secret":  # a run without any digit is hardly a key
-        may = text.rlike("[0-9]") & may
     found = F.when(may, F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))).otherwise(F.array().cast("array<string>"))
     return found, F.lit(PATTERNS[kind])
 

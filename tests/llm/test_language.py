@@ -91,5 +91,15 @@ def test_one_id_for_all_rows(spark):
     model = lid.fit(same.unionByName(spark.range(2000).selectExpr("7L as doc_id", "concat('der hund ', id) as text", "'de' as lang")), sample=100)
     assert model.langs.count("en") == 1 or model.langs.count("en") == 0
     assert "de" in model.langs
-    with pytest.raises(ValueError, match="labels"):
-        lid.fit(spark.range(8001).selectExpr("id as doc_id", "'x' as text", "cast(id as string) as lang"))
+
+
+def test_more_labels_than_a_fit_takes(spark, monkeypatch):
+    """The labels of most rows are learned, and each label gets a share of the bounded sample."""
+    monkeypatch.setattr(lid, "LABELS", 3)
+    monkeypatch.setattr(lid, "ROWS", 30)
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('text of label ', id % 7, ' number ', id) as text", "concat('l', least(id % 7, 4)) as lang").where("lang <> 'l0' or doc_id % 2 = 0")
+    model = lid.fit(docs)
+    assert len(set(model.langs)) == 3 and "l4" in model.langs and "l0" not in model.langs
+    got = lid.identify(docs.limit(20), model).collect()
+    assert len(got) == 20 and {r["lang_pred"] for r in got} <= set(model.langs)
+    assert lid.fit(spark.range(8001).selectExpr("id as doc_id", "'x' as text", "cast(id as string) as lang")).langs

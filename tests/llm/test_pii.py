@@ -118,3 +118,11 @@ def test_redaction(spark):
     assert got[1].text == "é mail [EMAIL] or [PHONE], from [IP]!" and got[1].n_chars == len(got[1].text)
     assert got[2].text is None and got[3].text == "clean"
     assert pii.redacted(df.where(F.lit(False))).count() == 0
+
+
+def test_a_key_is_judged_by_itself(spark):
+    """What else stands in the text, such as a digit, decides nothing about a key."""
+    key = "ghp_" + "aBcDeFgHiJkLmNoPqRsTuVwXyZabcdefghij"
+    texts = [f'token = "{key}"', f'token = "{key}" see page 7']
+    got = pii.with_spans(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), "spans").orderBy("k").collect()
+    assert [[(s.kind, t[s.start : s.end]) for s in r.spans if s.kind == "secret"] for r, t in zip(got, texts, strict=True)] == [[("secret", key)]] * 2

@@ -58,3 +58,14 @@ def test_copies_that_all_lack_an_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = [(r.doc_id, r.text[:2]) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
     assert sorted(got, key=str) == [(4, "c0"), (None, "a0"), (None, "b0")]
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    names = ["near_text_", "near_key_", "near_text", "near_rank", "language_stage_lang_pred", "language_stage_", "class_id", "bare", "least", "best"]
+    rows = [(k, "en", f"the house of the cat and the dog, number {k} of them all in the garden " * 3 + str(k) * 9, *[f"{n}{k}" for n in names]) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, " + ", ".join(f"{n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "lang", "text", *names], name
+        assert all(r[n] == f"{n}{r.doc_id}" for r in docs.collect() for n in names), name
+    assert docs.count() > 0
