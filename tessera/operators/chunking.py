@@ -1,7 +1,7 @@
 """Chunking: legislation by parts and sections, handbooks by chapters, headings and appendices.
 
-A document is one row and its structure is sequential, so both chunkers run per document in Arrow batches: small
-state, no shuffle. What depends on columns only (prefixes, pages, labels) is expressed over columns.
+Acts are cut by expressions. A handbook is one row and its structure is sequential, so it is cut per document in Arrow
+batches: small state, no shuffle. What depends on columns only (prefixes, labels) is expressed over columns.
 """
 
 from __future__ import annotations
@@ -75,31 +75,46 @@ def split_column(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Colu
     return F.pandas_udf(run, "array<string>")(text)
 
 
-def legislation(text: str) -> list[tuple[str, str, str]]:
-    """(section_number, parent_section, content) of parts and their sections; the whole text if it has none."""
-    found = []
-    for part in re.split(PART_LINE, text, flags=re.I):
-        parent = re.match(PART_NAME, part, re.I)
-        for section in re.split(SECTION_LINE, part, flags=re.I):
-            if section.strip():
-                number = re.match(SECTION_NUMBER, section, re.I)
-                found.append(((number[1] or number[2]) if number else "", parent[1] if parent else "", section.strip()))
-    return found or [("", "", text.strip())]
+def bare(text: Column) -> Column:
+    """text without any white space around it, that of Unicode and the separators of ASCII too."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+def legislation(text: Column) -> Column:
+    """array<struct<section_number, parent_section, body>> of parts and their sections; the whole text if it has none."""
+    whole = bare(F.coalesce(text, F.lit("")))
+    head = r"(?iUs)\A"
+
+    def sections(part: Column) -> Column:
+        parent = F.regexp_extract(part, head + PART_NAME, 1)
+        filled = F.filter(F.split(part, "(?iU)" + SECTION_LINE, -1), lambda s: bare(s) != "")
+        number = lambda s: F.concat(F.regexp_extract(s, head + SECTION_NUMBER, 1), F.regexp_extract(s, head + SECTION_NUMBER, 2))
+        return F.transform(filled, lambda s: F.struct(number(s).alias("section_number"), parent.alias("parent_section"), bare(s).alias("body")))
+
+    found = F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), "(?iU)" + PART_LINE, -1), sections))
+    return F.when(whole != "", found).otherwise(F.array(F.struct(F.lit("").alias("section_number"), F.lit("").alias("parent_section"), whole.alias("body"))))
+
+
+def pieces_column(bodies: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """For each of an array of texts its pieces: itself, if it is no longer than size."""
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield pd.Series([[split_text(t, size, overlap) if len(t) > size else [t] for t in ts] for ts in s], dtype=object)
+
+    return F.pandas_udf(run, "array<array<string>>")(bodies)
 
 
 def chunk_legislation(documents: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """(source, title, document_type, section_number, parent_section, chunk_ord, text) of (source, title, document_type,
-    text): sections, cut to size, each with a prefix that names its origin. Blank documents give one chunk of their prefix."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                made = [(n, p, piece) for n, p, body in legislation(r.text or "") for piece in (split_text(body, size, overlap) if len(body) > size else [body])]
-                rows += [(r.source, r.title, r.document_type, n, p, k, piece) for k, (n, p, piece) in enumerate(made)]
-            yield pd.DataFrame(rows, columns=["source", "title", "document_type", "section_number", "parent_section", "chunk_ord", "text"])
+    text): sections, cut to size, each with a prefix that names its origin. Blank documents give one chunk of their prefix.
 
-    own = documents.select("source", "title", "document_type", "text").mapInPandas(run, "source string, title string, document_type string, section_number string, parent_section string, chunk_ord int, text string")
+    Parts and sections are found by expressions; only the cutting of what is too long runs in Python.
+    """
+    own = documents.select("source", "title", "document_type", legislation(F.col("text")).alias("s"))
+    own = own.withColumn("pieces", pieces_column(F.transform("s", lambda s: s["body"]), size, overlap))
+    each = F.flatten(F.zip_with("s", "pieces", lambda s, ps: F.transform(ps, lambda p: F.struct(s["section_number"].alias("section_number"), s["parent_section"].alias("parent_section"), p.alias("text")))))
+    own = own.select("source", "title", "document_type", F.posexplode(each).alias("chunk_ord", "c")).select("source", "title", "document_type", "c.section_number", "c.parent_section", "chunk_ord", "c.text")
     return own.withColumn("text", F.concat(legislation_prefix(F.col("title"), F.col("parent_section"), F.col("section_number")), "text"))
 
 

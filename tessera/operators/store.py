@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tessera.functions.text import chunk_id
+from tessera.operators.neighbours import VectorIndex
 from tessera.operators.segments import SegmentedIndex, merge_segments, write_segment
 from tessera.sources.shared import held
 
@@ -162,6 +163,16 @@ class Store:
             log.warning("the word index of %s cannot be read: %s", self._latest(), e)
             return None
 
+    def neighbours(self) -> VectorIndex | None:
+        """The vector index beside the latest version, made at the first call; None without a version."""
+        name = self._latest()
+        if name is None:
+            return None
+        try:
+            return VectorIndex(self.spark, f"{self.path}/lists/{name}")
+        except AnalysisException:
+            return VectorIndex.build(self.read(columns=["pos", "embedding"]), f"{self.path}/lists/{name}", "pos")
+
     def check_model(self, model: str) -> bool:
         """Whether the store was made with this embedding model; one that does not say passes, with a warning (False)."""
         made = self._latest("model")

@@ -38,35 +38,29 @@ def embed(chunks: DataFrame, text: str = "text", model: Callable[[], Callable[[l
     return chunks.withColumn("embedding", F.pandas_udf(run, "array<float>")(F.col(text)))
 
 
-def blocks(vectors: DataFrame, key: str, rows: int, name: str) -> DataFrame:
-    """Rows (n, width, <name>_ids binary, <name>_flat binary) of about `rows` vectors each, made where they lie; null embeddings are left out."""
+def packed(vectors: DataFrame, name: str, rows: int = VECTOR_BLOCK, by: str | None = None) -> DataFrame:
+    """Blocks (by, width, <name>_ids binary, <name>_flat binary) of up to `rows` vectors (id: long, e: array<double>) of one
+    length, and of one value of `by`, made where they lie."""
 
     def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            for x in range(0, b.num_rows, rows):
-                part = b.slice(x, rows)
-                width = pc.list_value_length(part["e"])
-                for n in pc.unique(width).to_pylist():
-                    own = part.filter(pc.equal(width, n))
-                    flat = own["e"].flatten().to_numpy(zero_copy_only=False).astype("<f8")
-                    yield pa.RecordBatch.from_pydict({"width": pa.array([n], pa.int32()), f"{name}_ids": pa.array([own["id"].to_numpy().astype("<i8").tobytes()], pa.binary()), f"{name}_flat": pa.array([flat.tobytes()], pa.binary())})
+            width = pc.list_value_length(b["e"])
+            group = b[by] if by else pa.array(np.zeros(b.num_rows, np.int32))
+            order = np.lexsort((width.to_numpy(), group.to_numpy()))
+            w, g = width.to_numpy()[order], group.to_numpy()[order]
+            cuts = np.flatnonzero(np.r_[True, (w[1:] != w[:-1]) | (g[1:] != g[:-1])]).tolist() if len(w) else []
+            for x, y in zip(cuts, [*cuts[1:], len(w)], strict=True):
+                for z in range(x, y, rows):
+                    at = pa.array(order[z : min(z + rows, y)])
+                    flat = b["e"].take(at).flatten().to_numpy(zero_copy_only=False).astype("<f8")
+                    row = {by: pa.array([g[x]], pa.int32())} if by else {}
+                    yield pa.RecordBatch.from_pydict(row | {"width": pa.array([w[x]], pa.int32()), f"{name}_ids": pa.array([b["id"].take(at).to_numpy().astype("<i8").tobytes()], pa.binary()), f"{name}_flat": pa.array([flat.tobytes()], pa.binary())})
 
-    own = vectors.where("embedding is not null").select(F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
-    return own.mapInArrow(pack, f"width int, {name}_ids binary, {name}_flat binary")
+    return vectors.mapInArrow(pack, (f"{by} int, " if by else "") + f"width int, {name}_ids binary, {name}_flat binary")
 
 
-def knn(vectors: DataFrame, questions: DataFrame, top_k: int, key: str = "vec_id", question_key: str = "query_id") -> DataFrame:
-    """(question_key, key, score, rank): the top_k inner products of each question's embedding; ties go by key.
-
-    Vectors are packed in blocks where they lie and never move: blocks of questions are broadcast to them, as many rounds of a
-    bounded number of bytes as the questions need, and each pair of blocks gives its own top_k. Null embeddings are left out;
-    those of several lengths are an error. With unit vectors the score is the cosine. Questions are counted when the plan is made.
-    """
-    asked = questions.where("embedding is not null")
-    m, width = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    rounds = max(1, -(-m * (width or 1) * 8 // ROUND_BYTES))
-    q = asked.withColumn("round_", F.pmod(F.xxhash64(question_key), F.lit(rounds)))
-    q = held(q) if rounds > 1 else q
+def best_pairs(pairs: DataFrame, top_k: int, key: str, question_key: str) -> DataFrame:
+    """(question_key, key, score): the top_k inner products of each question in each pair of a block of questions and one of vectors."""
 
     def best(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
@@ -87,8 +81,31 @@ def knn(vectors: DataFrame, questions: DataFrame, top_k: int, key: str = "vec_id
                         out[2].extend(s[r][own].tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=[question_key, key, "score"])
 
-    packed = blocks(vectors, key, VECTOR_BLOCK, "v")
-    pairs = [packed.crossJoin(F.broadcast(blocks(q.where(F.col("round_") == r), question_key, QUERY_BLOCK, "q").withColumnRenamed("width", "q_width"))) for r in range(rounds)]
-    found = reduce(DataFrame.unionByName, [p.mapInArrow(best, f"{question_key} long, {key} long, score double") for p in pairs])
+    return pairs.mapInArrow(best, f"{question_key} long, {key} long, score double")
+
+
+def ranked(found: DataFrame, top_k: int, key: str, question_key: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(question_key).orderBy(F.desc("score"), key))
     return found.withColumn("rank", rank).where(F.col("rank") <= top_k)
+
+
+def plain(vectors: DataFrame, key: str) -> DataFrame:
+    """(id, e) of vectors (key, embedding) that are there."""
+    return vectors.where("embedding is not null").select(F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
+
+
+def knn(vectors: DataFrame, questions: DataFrame, top_k: int, key: str = "vec_id", question_key: str = "query_id") -> DataFrame:
+    """(question_key, key, score, rank): the top_k inner products of each question's embedding; ties go by key.
+
+    Vectors are packed in blocks where they lie and never move: blocks of questions are broadcast to them, as many rounds of a
+    bounded number of bytes as the questions need, and each pair of blocks gives its own top_k. Null embeddings are left out;
+    those of several lengths are an error. With unit vectors the score is the cosine. Questions are counted when the plan is made.
+    """
+    q = plain(questions, question_key)
+    m, width = q.agg(F.count("*"), F.max(F.size("e"))).first()
+    rounds = max(1, -(-m * (width or 1) * 8 // ROUND_BYTES))
+    q = held(q) if rounds > 1 else q
+    blocks = packed(plain(vectors, key), "v")
+    parts = [packed(q.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r), "q", QUERY_BLOCK).withColumnRenamed("width", "q_width") for r in range(rounds)]
+    found = reduce(DataFrame.unionByName, [best_pairs(blocks.crossJoin(F.broadcast(p)), top_k, key, question_key) for p in parts])
+    return ranked(found, top_k, key, question_key)

@@ -52,6 +52,8 @@ class Engine:
     rewriter: Callable[[str], str] | None = None
     reader: files.Reader | None = None
     fetcher: Callable[[str], str] = files.get
+    #: Lists of the stored vector index that a question probes; None: all vectors are compared.
+    probes: int | None = None
     #: Where answers are kept from run to run; None: each run has a table of its own.
     answers: str | None = None
     opened: Context | None = field(default=None, repr=False)
@@ -142,7 +144,10 @@ class Engine:
 
         def by_vector(subs: DataFrame, depth: int) -> DataFrame:
             asked = held(vector.embed(subs.select("sub_id", "text"), model=self.embedder).select(F.xxhash64("sub_id").alias("query_id"), "sub_id", "embedding"))
-            found = vector.knn(pool.select("pos", "embedding"), asked.select("query_id", "embedding"), depth, key="pos")
+            if self.probes is not None and document_type is None:
+                found = self.store.neighbours().search(asked.select("query_id", "embedding"), depth, self.probes, "pos")
+            else:
+                found = vector.knn(pool.select("pos", "embedding"), asked.select("query_id", "embedding"), depth, key="pos")
             return found.join(asked.select("query_id", "sub_id"), "query_id")
 
         def by_words(subs: DataFrame, depth: int) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tessera.functions.text import tokens
-from tessera.operators import evaluation, fusion, lexical, vector
+from tessera.operators import evaluation, fusion, lexical, neighbours, vector
 from tessera.plans import sql
 from tessera.sources.shared import shared_dir
 
@@ -58,6 +58,13 @@ def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.knn(e, e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), fusion.POOL)
 
 
+def knn_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the stored index of lists: probing all of them, it is exact."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = neighbours.VectorIndex.build(e, f"{shared_dir(spark)}/lists-{spark.sql('select uuid() as u').first()['u']}")
+    return found.search(e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), fusion.POOL, probes=len(found.centres))
+
+
 def vector_arm(spark: SparkSession, sf_dir: str):  # noqa: ANN201
     """The vector arm of a batch: a question's embedding is that of its number, a document's that of its id."""
     e = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
@@ -225,13 +232,14 @@ KNN = """SELECT * FROM (SELECT a.vec_id AS query_id, e.vec_id, round(list_inner_
   row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(a.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) DESC, e.vec_id) AS rank
   FROM embeddings a, embeddings e WHERE a.vec_id % 20 = 0) WHERE rank <= 12"""
 
-QUERIES = {f.__name__: f for f in (tokenize_stats, term_idf, bm25_topk, bm25_filtered, knn_exact, rrf_fuse, sub_query_weights, rrf_weighted_rewrites, weight_sweep, first_match_rank, hit_at_k_mrr, by_type_rollup, wilson_ci, context_format)}
+QUERIES = {f.__name__: f for f in (tokenize_stats, term_idf, bm25_topk, bm25_filtered, knn_exact, knn_lists, rrf_fuse, sub_query_weights, rrf_weighted_rewrites, weight_sweep, first_match_rank, hit_at_k_mrr, by_type_rollup, wilson_ci, context_format)}
 ORACLE = {
     "tokenize_stats": f"SELECT doc_id, len({sql.tokens('text')})::BIGINT AS n_tokens, len(list_distinct({sql.tokens('text')}))::BIGINT AS n_terms FROM documents",
     "term_idf": f"WITH {sql.corpus()} SELECT term, df, round(idf, 6) AS idf FROM terms",
     "bm25_topk": f"WITH {QUESTIONS}, {sql.corpus()}, {sql.bm25('b', 'q', 6)} SELECT * FROM b",
     "bm25_filtered": f"WITH {QUESTIONS}, {sql.corpus()}, {sql.bm25('b', 'q', 6, where=EN)} SELECT * FROM b",
     "knn_exact": KNN,
+    "knn_lists": KNN,
     "rrf_fuse": FUSED,
     "sub_query_weights": f"WITH {QUESTIONS}, {sub_query_sql()} SELECT query_id, ord, CASE kind WHEN 0 THEN 'original' WHEN 1 THEN 'rewrite' ELSE 'intent' END AS kind, text, round(weight, 6) AS weight FROM sub",
     "rrf_weighted_rewrites": WEIGHTED,

@@ -128,7 +128,9 @@ def test_needed_words_are_enough(spark):
 
 
 def test_chunking(spark):
-    assert [x[:2] for x in chunking.legislation("intro\nPART I\nSection 1. A\nSection 2 B\npart II\n3.— C")] == [("", ""), ("", "PART I"), ("1", "PART I"), ("2", "PART I"), ("", "part II"), ("3", "part II")]
+    cut = lambda t: spark.range(1).select(chunking.legislation(F.lit(t)).alias("s")).first()["s"]
+    assert [(x.section_number, x.parent_section) for x in cut("intro\nPART I\nSection 1. A\nSection 2 B\npart II\n3.— C")] == [("", ""), ("", "PART I"), ("1", "PART I"), ("2", "PART I"), ("", "part II"), ("3", "part II")]
+    assert [tuple(x) for x in cut(" \u00a0\x1c\n") + cut(None) + cut("\u00a0x\x1c")] == [("", "", ""), ("", "", ""), ("", "", "x")]
     pieces = chunking.split_text("aaaa. bbbb. cccc. dddd", 12, 6)
     assert all(len(p) <= 12 for p in pieces) and pieces[0].startswith("aaaa")
     body = "x" * 700
