@@ -1,6 +1,6 @@
 """BM25 over a chunk table: a stored index in blocks of chunks, and scores of a batch of questions from it.
 
-A block is one row: its chunks' keys and lengths, and for each of its terms the chunks that hold it. A batch of questions
+A block is one row: its chunks' keys and lengths, and for each of its terms the chunks that hold it and a bound of what it adds. A batch of questions
 is dealt in blocks too; a task scores one pair of blocks as a product of two matrices and keeps that pair's best. So no
 posting travels, whatever the terms' frequencies: a stop word costs no more than its entries in the blocks.
 """
@@ -13,6 +13,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Accumulator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def term_stats(chunks: DataFrame, text: str = "text") -> DataFrame:
     return weighed(document_frequencies(chunks, text), corpus_stats(chunks, text))
 
 
-_BLOCK = "id long, n long, total long, dl binary, terms array<string>, df array<int>, chunks binary, tf binary"
+_BLOCK = "id long, n long, total long, dl binary, terms array<string>, df array<int>, chunks binary, tf binary, tf_most binary, dl_least binary"
 
 
 def _blocks(parts: Iterator[pa.RecordBatch], most: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -73,7 +74,10 @@ def _blocks(parts: Iterator[pa.RecordBatch], most: int, schema: pa.Schema) -> It
         row = {f.name: [t[f.name].to_pylist()] for f in schema if f.name.startswith("of_")}
         row |= {"id": [first + made], "n": [len(dl)], "total": [int(dl.sum())], "dl": pack(dl), "terms": [code.dictionary.take(order).to_pylist()]}
         row |= {"group": [t["group"][0].as_py()]} if "group" in t.column_names else {}
-        row |= {"df": [np.bincount(pairs // len(dl), minlength=len(order)).tolist()], "chunks": pack(pairs % len(dl)), "tf": pack(tf)}
+        df = np.bincount(pairs // len(dl), minlength=len(order))
+        row |= {"df": [df.tolist()], "chunks": pack(pairs % len(dl)), "tf": pack(tf)}
+        begins = np.cumsum(df) - df
+        row |= {"tf_most": pack(np.maximum.reduceat(tf, begins) if len(tf) else tf), "dl_least": pack(np.minimum.reduceat(dl[pairs % len(dl)], begins) if len(tf) else tf)}
         made += 1
         return pa.RecordBatch.from_arrays([pa.array(row[f.name], f.type) for f in schema], schema=schema)
 
@@ -103,44 +107,86 @@ class _Questions:
         np.add.at(self.weights, (q.indices.to_numpy(), t.indices.to_numpy()), weights)
 
 
-def _scores(block: dict, asked: _Questions, avgdl: float) -> np.ndarray:
-    """Scores of the chunks of a block (columns) for the questions of a block (rows), to six places."""
-    unpack = lambda c: np.frombuffer(block[c].as_py(), "<i4")
-    dl = unpack("dl")
-    at = pc.index_in(block["terms"].values, value_set=asked.terms)
-    hit = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
-    ends = np.cumsum(block["df"].values.to_numpy())
-    begin, n = ends[hit] - block["df"].values.to_numpy()[hit], block["df"].values.to_numpy()[hit]
-    row = np.repeat(np.arange(len(hit)), n)
-    entry = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
-    chunk, tf = unpack("chunks")[entry], unpack("tf")[entry]
-    part = np.zeros((len(hit), len(dl)))
-    part[row, chunk] = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[chunk] / (avgdl or 1.0)))
-    return np.round(asked.weights[:, at.take(pa.array(hit)).to_numpy(zero_copy_only=False).astype(int)] @ part, 6)
-
-
-def _best(parts: Iterator[pa.RecordBatch], avgdl: float, top_k: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """The top_k of each question in each block of chunks, of rows that pair blocks with blocks of questions."""
-    built: dict[int, _Questions] = {}
+def _part(tf: np.ndarray, dl: np.ndarray, avgdl: float) -> np.ndarray:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / (avgdl or 1.0)))
+
+
+def _unpack(block: dict, c: str) -> np.ndarray:
+    return np.frombuffer(block[c].as_py(), "<i4")
+
+
+class _Hits:
+    """The terms of a block of chunks that a block of questions asks for."""
+
+    def __init__(self, block: dict, asked: _Questions, avgdl: float) -> None:
+        at = pc.index_in(block["terms"].values, value_set=asked.terms)
+        self.block, self.avgdl = block, avgdl
+        self.hit = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+        self.weights = asked.weights[:, at.take(pa.array(self.hit)).to_numpy(zero_copy_only=False).astype(int)]
+
+    def most(self) -> np.ndarray:
+        """What no chunk of the block can exceed, for each question: each term counts as where it is most frequent, in the
+        shortest chunk that has it. Terms of negative weight count nothing."""
+        return np.maximum(self.weights, 0) @ _part(_unpack(self.block, "tf_most")[self.hit], _unpack(self.block, "dl_least")[self.hit], self.avgdl)
+
+    def scores(self, rows: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, scores of the chunks of the block to six places) of those of some questions (rows) that can reach what they
+        have to, with each term's largest part in the block."""
+        dl, df = _unpack(self.block, "dl"), self.block["df"].values.to_numpy()
+        begin, n = (np.cumsum(df) - df)[self.hit], df[self.hit]
+        row = np.repeat(np.arange(len(self.hit)), n)
+        entry = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+        chunk, tf = _unpack(self.block, "chunks")[entry], _unpack(self.block, "tf")[entry]
+        parts = _part(tf, dl[chunk], self.avgdl)
+        rows = rows[np.maximum(self.weights[rows], 0) @ np.maximum.reduceat(parts, np.cumsum(n) - n) >= least[rows] - 1e-6]
+        part = np.zeros((len(self.hit), len(dl)))
+        part[row, chunk] = parts
+        return rows, np.round(self.weights[rows] @ part, 6)
+
+
+def _best(parts: Iterator[pa.RecordBatch], avgdl: float, top_k: int, schema: pa.Schema, tally: tuple[Accumulator, Accumulator] | None = None) -> Iterator[pa.RecordBatch]:
+    """The top_k of each question in each block of chunks, of rows that pair blocks with blocks of questions.
+
+    A task keeps the top_k scores that each question has so far; a block that cannot reach the least of them is passed over
+    for that question, and for all is not scored. tally counts pairs of a block and a question, and those that were scored.
+    """
+    built: dict[int, tuple[_Questions, np.ndarray]] = {}
+
+    def questions(row: dict) -> tuple[_Questions, np.ndarray]:
+        qb = row["qb"].as_py()
+        if qb not in built:
+            if len(built) == HELD:
+                built.clear()
+            made = _Questions(row["of_query"].values, row["of_term"].values, row["weights"].values.to_numpy())
+            built[qb] = made, np.zeros((len(made.questions), top_k))
+        return built[qb]
+
     for b in parts:
-        for k in range(b.num_rows):
-            row = {c: b[c][k] for c in b.schema.names}
-            qb = row["qb"].as_py()
-            if qb not in built:
-                if len(built) == HELD:
-                    built.clear()
-                built[qb] = _Questions(row["of_query"].values, row["of_term"].values, row["weights"].values.to_numpy())
-            asked = built[qb]
-            s = _scores(row, asked, avgdl)
+        rows_of = [{c: b[c][k] for c in b.schema.names} for k in range(b.num_rows)]
+        bounds = [_Hits(row, questions(row)[0], avgdl).most() for row in rows_of]
+        # Of the blocks that came together, the most promising go first: they raise what the others have to reach.
+        for k in sorted(range(b.num_rows), key=lambda k: (rows_of[k]["qb"].as_py(), -bounds[k].sum())):
+            row = rows_of[k]
+            asked, tops = questions(row)
+            least = tops.min(axis=1)
+            rows = np.flatnonzero(bounds[k] >= np.maximum(least - 1e-6, 1e-9))  # scores are rounded, and equal ones go by key
+            rows, s = _Hits(row, asked, avgdl).scores(rows, least) if len(rows) else (rows, None)
+            if tally:
+                tally[0].add(len(least))
+                tally[1].add(len(rows))
+            if not len(rows):
+                continue
             if "allowed" in row:
                 s = np.where(row["allowed"].values.to_numpy(zero_copy_only=False).astype(bool), s, 0.0)
             keys = row["of_key"].values
-            least = np.partition(s, s.shape[1] - top_k, axis=1)[:, s.shape[1] - top_k] if s.shape[1] > top_k else np.zeros(len(s))
+            kept = np.partition(s, s.shape[1] - top_k, axis=1)[:, s.shape[1] - top_k :] if s.shape[1] > top_k else s
+            floor = kept.min(axis=1) if s.shape[1] > top_k else np.zeros(len(s))
+            tops[rows] = -np.partition(-np.concatenate([tops[rows], kept], axis=1), top_k - 1, axis=1)[:, :top_k]
             out: tuple[list, list, list] = ([], [], [])
             for q in np.flatnonzero((s > 0).any(axis=1)).tolist():
-                may = np.flatnonzero((s[q] > 0) & (s[q] >= least[q]))
+                may = np.flatnonzero((s[q] > 0) & (s[q] >= max(floor[q], least[rows[q]])))
                 for score, key in sorted(zip((-s[q][may]).tolist(), keys.take(pa.array(may)).to_pylist(), strict=True))[:top_k]:
-                    out[0].append(q)
+                    out[0].append(int(rows[q]))
                     out[1].append(key)
                     out[2].append(-score)
             yield pa.RecordBatch.from_arrays([asked.questions.take(pa.array(out[0], pa.int64())), pa.array(out[1], schema.field(1).type), pa.array(out[2], pa.float64())], schema=schema)
@@ -180,7 +226,7 @@ class LexicalIndex:
         """asked (term and other columns) with the idf of the terms that the index has; few: asked may be broadcast."""
         return self.terms.select("term", "idf").join(F.broadcast(asked) if few else asked, "term")
 
-    def search(self, questions: DataFrame, top_k: int, where: Callable[[Column], Column] | None = None, key: str = "doc_id", question_key: str = "query_id", question: str = "question") -> DataFrame:
+    def search(self, questions: DataFrame, top_k: int, where: Callable[[Column], Column] | None = None, key: str = "doc_id", question_key: str = "query_id", question: str = "question", tally: tuple[Accumulator, Accumulator] | None = None) -> DataFrame:
         """(question_key, key, score, rank) of the top_k positive scores of each question; ties go by key.
 
         `where` tells by a kept chunk's columns whether it is a candidate: statistics stay those of all chunks. A question's
@@ -197,7 +243,7 @@ class LexicalIndex:
         chosen = None if where is None else F.transform(F.arrays_zip(*[F.col(c).alias(c[3:]) for c in kept]), lambda c: F.coalesce(where(c), F.lit(False)))
         allowed = [c for c in (gone, chosen) if c is not None]
         allowed = [(F.zip_with(*allowed, lambda a, b: a & b) if len(allowed) > 1 else allowed[0]).alias("allowed")] if allowed else []
-        blocks = self.blocks.select("of_key", "dl", "terms", "df", "chunks", "tf", *allowed)
+        blocks = self.blocks.select("of_key", "dl", "terms", "df", "chunks", "tf", "tf_most", "dl_least", *allowed)
         kinds = (questions.schema[question_key].dataType, self.blocks.schema["of_key"].dataType.elementType)
         layout = f"{question_key} {kinds[0].simpleString()}, {key} {kinds[1].simpleString()}, score double"
         schema = self.spark.createDataFrame([], layout).toArrow().schema
@@ -206,7 +252,7 @@ class LexicalIndex:
         rounds = max(1, -(-size // SMALL))
         dealt = dealt if rounds == 1 else held(dealt)
         pairs = [blocks.crossJoin(F.broadcast(dealt if rounds == 1 else dealt.where(F.col("qb") % rounds == r))) for r in range(rounds)]
-        found = reduce(DataFrame.unionByName, [p.mapInArrow(lambda p: _best(p, avgdl, top_k, schema), layout) for p in pairs])
+        found = reduce(DataFrame.unionByName, [p.mapInArrow(lambda p: _best(p, avgdl, top_k, schema, tally), layout) for p in pairs])
         rank = F.row_number().over(Window.partitionBy(question_key).orderBy(F.desc("score"), key))
         return found.withColumn("rank", rank).where(F.col("rank") <= top_k)
 

@@ -48,6 +48,21 @@ def test_index_against_plain_scores(spark, tmp_path, monkeypatch, most, named):
     assert same(told(index.search(q, 4, where=lambda c: c["kind"] == 1, key="doc")), plain(docs, asked, 4, lambda d: kind[d] == 1))
 
 
+def test_blocks_that_cannot_reach_the_best_are_not_scored(spark, tmp_path):
+    """Results are those of a plain search; of the pairs of a block and a question fewer are scored."""
+    rng = random.Random(9)
+    words = [f"w{x}" for x in range(60)]
+    docs = [(k, " ".join(rng.choices(words, weights=[30 if x // 6 == k // 180 else 1 for x in range(60)], k=rng.randint(4, 40)))) for k in range(1800)]
+    asked = [(q, " ".join(rng.choices(words[q % 10 * 6 : q % 10 * 6 + 6], k=3))) for q in range(12)] + [(20, "w59 w58"), (21, "w58 w58 w40 w1"), (22, "w3 w4 w5")]
+    index = lexical.LexicalIndex.build(spark.createDataFrame(docs, "doc long, text string").coalesce(2), f"{tmp_path}/i", key="doc", most=64)
+    pairs, scored = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    got = index.search(spark.createDataFrame(asked, "query_id long, question string"), 5, key="doc", tally=(pairs, scored)).collect()
+    want = plain(docs, asked, 5)
+    mine = sorted((r.query_id, r.doc, r.score, r["rank"]) for r in got)
+    assert [(a[0], a[1], a[3]) for a in mine] == [(a[0], a[1], a[3]) for a in want]
+    assert pairs.value >= len(asked) * 28 and scored.value < 0.7 * pairs.value
+
+
 def test_unfinished_index(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     with pytest.raises(AnalysisException):
