@@ -292,6 +292,20 @@ def handbook_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("source", long("chunk_ord"), long("chapter_number"), "chapter_title", "section_number", "heading", long("page_start"), long("page_end"), F.md5("text").alias("md5"))
 
 
+def handbook_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chapter for each document with lines that look like headings and are none, a bare appendix line, an appendix stub, and a
+    section of numbered words that is too long for one chunk."""
+    d = F.col("doc_id")
+    body = lambda k: F.concat(F.repeat(F.lit("x"), F.lit(640) + (d + k) % 70), F.lit("\n"))
+    words = F.array_join(F.transform(F.sequence(F.lit(1), (F.lit(600) + d % 200).cast("int")), lambda k: F.lpad(k.cast("string"), 7, "0")), " ")
+    odd = "04.2 Zero Lead\n5.1 Other Chapter\n4.2 lower opener\n4.3 Contents line .... 12\n"
+    text = F.concat(F.lit("CHAPTER 4\nCASES OF IT\n4.1 First Head\n"), body(1), F.lit(odd + "4.4 eForms Are Fine\n"), body(2), F.lit("APPENDIX 4.1\n\nForm Of Notice\n"), body(3), F.lit("APPENDIX 4.2 Stub\nx\n4.5 Long Section\n"), words, F.lit("\nINDEX\nthings 4.1"))
+    span = F.struct(F.lit(1).alias("page_number"), F.lit(9).alias("printed_page"), F.lit(0).alias("char_start"), F.length(text).alias("char_end"))
+    docs = read(spark, sf_dir, "documents").select(d.cast("string").alias("source"), F.lit("my_book.pdf").alias("title"), F.lit("handbook").alias("document_type"), text.alias("clean_text"), F.array(span).alias("page_map"))
+    own = chunking.chunk_handbook(docs)
+    return own.select("source", F.col("chunk_ord").cast("long").alias("chunk_ord"), "section_number", "heading", F.col("page_end").cast("long").alias("page_end"), F.md5("text").alias("md5"))
+
+
 def refusal_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _gated(spark, sf_dir).join(_answers(spark, sf_dir).select("query_id", "lang"), "query_id")
     return evaluation.refusal_accuracy(own, ["lang"])
@@ -328,7 +342,7 @@ def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("source", long("page_number"), long("printed_page"), F.md5("text").alias("md5"))
 
 
-QUERIES = {f.__name__: f for f in (intent_extract, recursive_split, legislation_sections, handbook_chunk, refusal_accuracy, null_metadata, insert_new, chapter_census, page_numbers, page_map, page_asof, page_invariants, page_sample, line_census, repeated_lines, char_census, page_coverage, header_census, hyphen_attest, extract_pages, html_text, sentence_split, citations_extract, sections_related, grounding_gate, completeness, rewrite_parse, judge_agg, audit_events, chunk_ids, dedup_first, sync_diff, legislation_split)}
+QUERIES = {f.__name__: f for f in (intent_extract, recursive_split, legislation_sections, handbook_chunk, handbook_cases, refusal_accuracy, null_metadata, insert_new, chapter_census, page_numbers, page_map, page_asof, page_invariants, page_sample, line_census, repeated_lines, char_census, page_coverage, header_census, hyphen_attest, extract_pages, html_text, sentence_split, citations_extract, sections_related, grounding_gate, completeness, rewrite_parse, judge_agg, audit_events, chunk_ids, dedup_first, sync_diff, legislation_split)}
 _UNQUOTE = "CASE WHEN length(x) >= 2 AND " + " THEN x[2:-2] WHEN length(x) >= 2 AND ".join(f"x[1] = '{a}' AND x[-1] = '{b}'" for a, b in (('"', '"'), ("\'\'", "\'\'"), ("“", "”"), ("‘", "’"))) + " THEN x[2:-2] ELSE x END"
 _STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 _BODY = "chr(10) || 'body ' || repeat('x', 620 + (doc_id + {k}) % 90)"
@@ -345,6 +359,14 @@ SELECT doc_id, pos, length(piece)::BIGINT AS n_chars, md5(piece) AS md5 FROM t""
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE s.b WHEN 'PART I' THEN 2 WHEN 'PART II' THEN 5 ELSE CASE s.n WHEN '' THEN 1 WHEN '1' THEN 3 WHEN '2' THEN 4 WHEN '3' THEN 6 ELSE 7 END END) - 1 AS k FROM s WHERE s.n IS NOT NULL)
 SELECT doc_id::VARCHAR AS source, lang AS document_type, s.n AS section_number, s.p AS parent_section, k AS chunk_ord,
   '[From: Act ' || doc_id || CASE WHEN s.p <> '' THEN ', ' || s.p ELSE '' END || CASE WHEN s.n <> '' THEN ', Section ' || s.n ELSE '' END || '] ' || s.b AS text FROM f""",
+    "handbook_cases": f"""WITH d AS (SELECT doc_id, 600 + doc_id % 200 AS n, repeat('x', 640 + (doc_id + 1) % 70) AS a, repeat('x', 640 + (doc_id + 2) % 70) AS b, repeat('x', 640 + (doc_id + 3) % 70) AS c FROM documents),
+p AS (SELECT doc_id, n, unnest(range(1 + CAST(ceil((n - 300) / 240.0) AS BIGINT))) AS pos FROM d),
+r AS (SELECT doc_id, 0 AS k, '4.1' AS s, 'First Head' AS h, 'CHAPTER 4{chr(10)}CASES OF IT{chr(10)}4.1 First Head{chr(10)}' || a || '{chr(10)}04.2 Zero Lead{chr(10)}5.1 Other Chapter{chr(10)}4.2 lower opener{chr(10)}4.3 Contents line .... 12' AS t FROM d
+  UNION ALL SELECT doc_id, 1, '4.4', 'eForms Are Fine', '4.4 eForms Are Fine{chr(10)}' || b FROM d
+  UNION ALL SELECT doc_id, 2, 'APPENDIX 4.1', 'Form Of Notice', 'APPENDIX 4.1{chr(10)}{chr(10)}Form Of Notice{chr(10)}' || c || '{chr(10)}APPENDIX 4.2 Stub{chr(10)}x' FROM d
+  UNION ALL SELECT doc_id, 3, '4.5', 'Long Section', '4.5 Long Section' FROM d
+  UNION ALL SELECT doc_id, 4 + pos, '4.5', 'Long Section', array_to_string(list_transform(range(pos * 240 + 1, least(n, pos * 240 + 300) + 1), lambda x: lpad(x::VARCHAR, 7, '0')), ' ') FROM p)
+SELECT doc_id::VARCHAR AS source, k::BIGINT AS chunk_ord, s AS section_number, h AS heading, 9::BIGINT AS page_end, md5('[my book, Ch.4 Cases Of It, ' || CASE WHEN s LIKE 'APP%' THEN s ELSE 'para ' || s END || ', p.9] ' || t) AS md5 FROM r""",
     "handbook_chunk": f"""WITH d AS (SELECT doc_id, 1 + doc_id % 5 AS p, 2 + doc_id % 5 AS r, {_BODY.format(k=1)} AS a, {_BODY.format(k=2)} AS b, {_BODY.format(k=3)} AS c, {_BODY.format(k=4)} AS e, {_BODY.format(k=5)} AS f FROM documents),
 s AS (SELECT doc_id, unnest([
   {{'k': 0, 'c': 1, 't': 'On First Things', 's': '1.1', 'h': 'Head One', 'p': p, 'b': 'CHAPTER 1' || chr(10) || 'ON FIRST THINGS' || chr(10) || '1.1 Head One' || a}},
