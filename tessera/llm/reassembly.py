@@ -5,7 +5,7 @@ rollback undoes the changes since the latest savepoint that is open, found as th
 chunk leaves over for a source is a summary: the rollbacks that found no savepoint or change of theirs, the savepoints left open, the number of
 pending changes, and the first end of a transaction. Summaries are associative: a scan forward tells how deep each chunk
 begins, one backward which rollbacks and which end meet its pending changes. So no task holds more than a chunk or 64
-summaries, also where one source has most of the log; a summary keeps no more rollbacks than savepoints are open before it, and one.
+summaries, nothing is broadcast, also where one source has most of the log; a summary keeps no more rollbacks than savepoints are open before it, and one.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def _local(own: DataFrame, shifts: list[int], every: int) -> DataFrame:
     open: those at the end of that txn in the chunk; by: the rollback that undoes a change; end: how its txn ends here.
     """
     commits = offsets(own.groupBy(F.col("chunk").alias("node")).agg(F.count(F.when(F.col("op") == "commit", 1)).alias("s")), shifts)
-    rows = own.join(commits.select(F.col("node").alias("chunk"), F.col("state").alias("earlier")), "chunk")
+    rows = own.join(commits.select(F.col("node").alias("chunk"), F.col("state").alias("earlier")).hint("merge"), "chunk")
     by = lambda *cols: Window.partitionBy("chunk", *cols).orderBy("pos")
     before = (Window.unboundedPreceding, -1)
     number = F.col("earlier") + F.count(F.when(F.col("op") == "commit", 1)).over(by())
@@ -107,7 +107,7 @@ def _fates(summaries: DataFrame, shifts: list[int]) -> DataFrame:
     depth = _depths(summaries, shifts).withColumnRenamed("state", "d")
     needed = lambda u, d: F.slice(u, F.lit(1), d + 1)  # noqa: E731  no more can undo anything before
     s = lambda *head, u, end, d: F.struct(*head, needed(u, d).alias("u"), end.alias("end"), d.alias("d"))
-    leaves = summaries.join(depth, ["source", "node"]).select("source", F.col("node"), s(F.col("s.ended"), F.col("s.k"), F.col("s.j"), u=F.col("s.u"), end=F.col("s.end"), d=F.col("d")).alias("s"))
+    leaves = summaries.join(depth.hint("merge"), ["source", "node"]).select("source", F.col("node"), s(F.col("s.ended"), F.col("s.k"), F.col("s.j"), u=F.col("s.u"), end=F.col("s.end"), d=F.col("d")).alias("s"))
     met = lambda a, b: F.when(a["ended"], a["u"]).otherwise(F.concat(a["u"], F.slice(b["u"], a["j"] + 1, F.size(b["u"]))))
     ended = lambda a, b: F.when(a["ended"], a["end"]).otherwise(b["end"])
     back = lambda kids: F.reverse(kids)
@@ -134,10 +134,10 @@ def resolve(log: DataFrame, every: int = EVERY) -> tuple[DataFrame, DataFrame]:
     rows = _local(own, shifts, every)
     summaries = cut(_summaries(rows))
     fates = _fates(summaries, shifts)
-    waiting = summaries.where("s.pending > 0").select("source", "node").join(fates, ["source", "node"]).select("source", F.col("node").alias("chunk"), "state")
+    waiting = summaries.where("s.pending > 0").select("source", "node").join(fates.hint("merge"), ["source", "node"]).select("source", F.col("node").alias("chunk"), "state")
     changes = rows.where("op = 'change'")
     here = changes.where("by is not null or end is not null").withColumn("later", F.lit(None).cast(waiting.schema["state"].dataType))
-    rest = changes.where("by is null and end is null").join(waiting.withColumnRenamed("state", "later"), ["source", "chunk"])
+    rest = changes.where("by is null and end is null").join(waiting.withColumnRenamed("state", "later").hint("merge"), ["source", "chunk"])
     undone = F.coalesce("by", F.get(F.transform("later.u", lambda x: F.struct(x.alias("doc_id"))), F.col("open") - F.col("level")))
     both = here.unionByName(rest.select(*here.columns)).withColumn("undone", undone).withColumn("end", F.coalesce("end", "later.end"))
     outcome = F.when(F.col("undone").isNotNull(), "rollback").otherwise(F.coalesce("end.op", F.lit("abort")))
@@ -160,7 +160,7 @@ def states(changes: DataFrame, commits: DataFrame) -> DataFrame:
     none = F.from_json(F.lit("{}"), leaves.schema["s"].dataType.simpleString())
     came = scan(leaves, ["key"], shifts, lambda kids: F.element_at(kids, -1)["s"], running(lambda _, s: s), none).select("key", F.col("node").alias("block"), F.col("state.value").alias("came"))
     order = Window.partitionBy("key", "block").orderBy("epoch")
-    steps = own.join(came, ["key", "block"]).withColumn("was", F.when(F.row_number().over(order) == 1, F.col("came")).otherwise(F.lag("value").over(order)))
+    steps = own.join(came.hint("merge"), ["key", "block"]).withColumn("was", F.when(F.row_number().over(order) == 1, F.col("came")).otherwise(F.lag("value").over(order)))
     there = lambda c: F.col(c).isNotNull().cast("long")
     delta = steps.select("epoch", (there("value") - there("was")).alias("n"), (F.coalesce("value", F.lit(0)) - F.coalesce("was", F.lit(0))).alias("value"))
     zero = F.lit(0).cast("long")
@@ -170,7 +170,7 @@ def states(changes: DataFrame, commits: DataFrame) -> DataFrame:
     sums = each.groupBy(F.col("block").alias("node")).agg(F.struct(F.sum("n").alias("n"), F.sum("value").alias("value")).alias("s"))
     came = scan(sums, [], shifts, lambda kids: F.aggregate(kids, nothing, lambda a, k: added(a, k["s"])), running(added), nothing)
     so_far = Window.partitionBy("block").orderBy("epoch")
-    return each.join(came.select(F.col("node").alias("block"), "state"), "block").select("epoch", (F.col("state.n") + F.sum("n").over(so_far)).alias("n"), (F.col("state.value") + F.sum("value").over(so_far)).alias("value"))
+    return each.join(came.select(F.col("node").alias("block"), "state").hint("merge"), "block").select("epoch", (F.col("state.n") + F.sum("n").over(so_far)).alias("n"), (F.col("state.value") + F.sum("value").over(so_far)).alias("value"))
 
 
 def records(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -182,7 +182,7 @@ def records(documents: DataFrame, labels: DataFrame) -> DataFrame:
     op = F.when(kind <= 1, "commit").when(kind == 2, "abort").when(kind <= 4, "savepoint").when(kind <= 6, "rollback").otherwise("change")
     key = F.floor(F.col("h") / 100) % 300
     value = F.crc32(F.concat(key.cast("string"), F.lit(":"), "text").cast("binary"))
-    own = own.select("doc_id", "source", op.alias("op"), key.alias("key"), value.alias("value")).join(toxic, "doc_id", "left")
+    own = own.select("doc_id", "source", op.alias("op"), key.alias("key"), value.alias("value")).join(toxic.hint("merge"), "doc_id", "left")
     return own.withColumn("value", F.when(F.col("toxic").isNull(), F.col("value"))).drop("toxic")
 
 

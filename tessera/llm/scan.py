@@ -38,7 +38,7 @@ def scan(leaves: DataFrame, keys: Sequence[str], shifts: Sequence[int], up: Fold
         level = tiers[-1].select(*keys, "node", up(F.col("kids")).alias("s"))
     given = tiers[-1].withColumn("state", first)
     for above, tier in zip([None, *reversed(tiers)], reversed(tiers), strict=False):
-        given = given if above is None else tier.join(given, [*keys, "node"])
+        given = given if above is None else tier.join(given.hint("merge"), [*keys, "node"])  # neither side is broadcast, as both grow
         given = given.select(*keys, F.explode(down(F.col("kids"), F.col("state"))).alias("kid")).select(*keys, "kid.node", "kid.state")
     return given
 
