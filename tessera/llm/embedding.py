@@ -26,6 +26,8 @@ from tessera.llm.common import Forest, batches, components, cut
 #: Least cosine; rows the quantisers are fitted on for each list, and at least (about, by a hash of the id); most lists;
 #: subspaces and codes of each.
 NEAR, SAMPLE_OF_LIST, SAMPLE, LISTS, SUBSPACES, CODES = 0.93, 8, 8192, 8192, 16, 64
+#: Bytes of a sample at most, but for a row a list.
+SAMPLE_BYTES = 256 << 20
 #: Lists are probed whose boundary is within this share of the search radius, the proven bound. Vectors of a block of a
 #: list, and codes of a block of what probes it.
 PROBE, BLOCK, PROBING = 0.5, 1024, 16_384
@@ -59,7 +61,6 @@ class Index:
         own = _nearest(sample, self.coarse)
         rest = self.parts(sample - self.coarse[own])
         self.books = [_kmeans(np.ascontiguousarray(p), CODES) for p in rest]
-        self.gaps = np.sqrt(_square(self.coarse, self.coarse))
 
     def parts(self, v: np.ndarray) -> list[np.ndarray]:
         return np.array_split(v, min(SUBSPACES, v.shape[1]), axis=1)
@@ -74,7 +75,9 @@ class Index:
     def probes(self, v: np.ndarray, own: np.ndarray, radius: float) -> np.ndarray:
         """Which lists each vector probes (rows x lists): its own, and those with a boundary within the radius."""
         d = _square(v, self.coarse)
-        across = (d - d[np.arange(len(v)), own][:, None]) / np.maximum(2 * self.gaps[own], 1e-12)
+        cells, at = np.unique(own, return_inverse=True)
+        gaps = np.sqrt(_square(self.coarse[cells], self.coarse))  # of the lists at hand only
+        across = (d - d[np.arange(len(v)), own][:, None]) / np.maximum(2 * gaps[at], 1e-12)
         out = across <= radius
         out[np.arange(len(v)), own] = True
         return out
@@ -100,7 +103,7 @@ def _units(vectors: list) -> tuple[np.ndarray, list[int]]:
     """Unit vectors, and the rows they are of: without null, zero, odd-sized (see below) and non-finite ones."""
     good, at = [], []
     for k, v in enumerate(vectors):
-        if v is None or not v or None in v:
+        if v is None or not len(v) or isinstance(v, list) and None in v:
             continue
         x = np.asarray(v, np.float64)
         n = np.sqrt((x / (m := np.abs(x).max() or 1.0)) @ (x / m)) if np.isfinite(x).all() else 0.0
@@ -171,17 +174,18 @@ def _linked_in(parts: Iterator[pa.RecordBatch], index: Index, least: float) -> I
                 yield int(ids[k]), int(n[k]), None, None
 
 
-def _linked(usable: DataFrame, total: int, least: float, block: int, lists: int | None) -> tuple[DataFrame, DataFrame] | None:
+def _linked(usable: DataFrame, total: int, least: float, block: int, lists: int | None, width: int) -> tuple[DataFrame, DataFrame] | None:
     """The vectors that can link (id, copies) and links (id, links added) and forest links (u, v) among so many vectors (id,
     label, copies, embedding) of one length; None if the sample has no usable one."""
     n = int(usable.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lists = lists or int(min(LISTS, max(1, round(np.sqrt(total) / 4))))
-    size = max(SAMPLE, SAMPLE_OF_LIST * lists)
+    size = max(lists, min(max(SAMPLE, SAMPLE_OF_LIST * lists), SAMPLE_BYTES // (8 * width)))
     part = min(1.0, size / max(1, total))
     chosen = usable.where(F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1_000_003)) < part * 1_000_003)
-    rows = chosen.select("id", "embedding").collect() or usable.select("id", "embedding").limit(size).collect()  # bounded by the sample
-    rows.sort(key=lambda r: r["id"])
-    sample, _ = _units([r["embedding"] for r in rows])
+    rows = chosen.select("id", "embedding").toArrow()  # bounded by the sample
+    rows = rows if len(rows) else usable.select("id", "embedding").limit(size).toArrow()
+    rows = rows.sort_by("id")["embedding"].combine_chunks()
+    sample, _ = _units(rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), width)) if not rows.flatten().null_count else _units(rows.to_pylist())
     if not len(sample):
         return None
     index = Index(sample, lists)
@@ -243,7 +247,7 @@ def near_vectors(vectors: DataFrame, least: float = NEAR, block: int = BLOCK, li
     one = cut(one)
     width = F.size("embedding")
     totals = one.groupBy(width.alias("w")).count().orderBy("w").collect()
-    parts = [x for w, total in totals if (x := _linked(one.where(width == w), total, least, block, lists)) is not None]
+    parts = [x for w, total in totals if (x := _linked(one.where(width == w), total, least, block, lists, w)) is not None]
     none = F.lit(0).cast("long")
     if not parts:
         return base.select("vec_id", none.alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))

@@ -156,7 +156,8 @@ def pack(docs: DataFrame, cluster: Column | None = None, capacity: int = CAPACIT
     empty and no texts give one row with length 0 and null bin; repeated rows are packed each (as copies, apart); ties
     of size go by doc_id. Other columns play no part; an empty table gives no rows. Shards are dealt by a hash of the row and
     its place, so that they hold a bounded volume even of one row repeated (but for a longer text than a shard, which is as
-    one). Each is packed by itself: a bin is the tightest of its shard.
+    one). Each is packed by itself: a bin is the tightest of its shard. A row's place is that in its split of the input, so other
+    splits give other bins, of the same rules.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
