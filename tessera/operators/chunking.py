@@ -238,22 +238,29 @@ def display_title(name: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(F.regexp_replace(F.regexp_replace(name, r"\.[^.]*$", ""), "_", " ")), F.lit("")), F.lit("Document"))
 
 
+PIECES = "array<struct<chunk_ord:int,chapter_number:int,chapter_title:string,section_number:string,heading:string,body:string,char_start:int,char_end:int>>"
+
+
+def handbook_pieces(text: Column) -> Column:
+    """The chunks of a handbook's text, in order; a text without chapter lines is an error."""
+
+    def made(text: str) -> list[tuple]:
+        cut = ((s, *x) for s in reconciled(segments(text)) for x in located(text, s))
+        return [(k, s.chapter, s.title, s.number, s.heading, body, a, b) for k, (s, body, a, b) in enumerate(cut) if body]
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            yield pd.Series([made(t) for t in s], dtype=object)
+
+    return F.pandas_udf(run, PIECES)(text)
+
+
 def chunk_handbook(documents: DataFrame) -> DataFrame:
     """Chunks of (source, title, document_type, clean_text, page_map): section, chapter, heading, pages and prefixed text.
 
-    A document without chapter lines is an error.
+    A document's page map stays with it, so that several documents of one source do not mix. One without chapter lines is an error.
     """
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                made = [(s, *x) for s in reconciled(segments(r.clean_text)) for x in located(r.clean_text, s)]
-                rows += [(r.source, k, s.chapter, s.title, s.number, s.heading, body, a, b) for k, (s, body, a, b) in enumerate(made) if body]
-            yield pd.DataFrame(rows, columns=["source", "chunk_ord", "chapter_number", "chapter_title", "section_number", "heading", "body", "char_start", "char_end"])
-
-    cut = documents.select("source", "clean_text").mapInPandas(run, "source string, chunk_ord int, chapter_number int, chapter_title string, section_number string, heading string, body string, char_start int, char_end int")
-    own = cut.join(documents.select("source", "title", "document_type", "page_map"), "source")
+    own = documents.select("source", "title", "document_type", "page_map", F.explode(handbook_pieces(F.col("clean_text"))).alias("c")).select("source", "title", "document_type", "page_map", "c.*")
     first, last = page_range(F.col("page_map"), F.col("char_start"), F.col("char_end"))
     own = own.withColumns({"page_start": first, "page_end": last})
     return own.select("source", "title", "document_type", "chunk_ord", "chapter_number", "chapter_title", "section_number", "heading", "page_start", "page_end", F.concat(handbook_prefix(), "body").alias("text"))

@@ -159,6 +159,13 @@ def test_last_runts_join_what_is_before_them():
     assert "".join(text[s.start : s.end] for s in found) == text and text[found[-1].start : found[-1].end].endswith("shorter")
 
 
+def test_documents_of_one_source_do_not_mix(spark):
+    text = lambda n: f"CHAPTER {n}\nTITLE\n{n}.1 First\n" + "x" * 700
+    docs = [("s", "a.pdf", "handbook", text(n), [(1, 10 * n, 0, len(text(n)))]) for n in (1, 2)]
+    got = chunking.chunk_handbook(spark.createDataFrame(docs, "source string, title string, document_type string, clean_text string, page_map array<struct<page_number:int,printed_page:int,char_start:int,char_end:int>>")).collect()
+    assert sorted((r.section_number, r.page_start, r.chunk_ord) for r in got) == [("1.1", 10, 0), ("2.1", 20, 0)]
+
+
 def test_store(spark, tmp_path):
     s = store.Store(spark, f"{tmp_path}/st", "m")
     def rows(*r):
