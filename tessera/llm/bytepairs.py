@@ -26,7 +26,7 @@ from tessera.llm.pii import fresh
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space as Unicode has it; the engines' own \s differ.
-_SPACE = r"\t-\r \x85\xA0  -     　"
+_SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: No pair of that rank; bytes from which on a word is merged alone; bytes of words, about, that are handled at a time.
 NONE, LONG, SLICE = np.int32(2**31 - 1), 64, 8_000_000
 _MIX, _BITS = np.uint64(0x9E3779B97F4A7C15), 20
