@@ -64,7 +64,7 @@ class Engine:
         return Store(self.spark, self.path, self.model)
 
     def table(self) -> Answers:
-        """The answers of this run: each prompt is asked once in it."""
+        """The answers of this run (a call of answer, or an evaluation): each prompt is asked once in it."""
         if self.said is None:
             self.said = Answers(self.spark, self.answers)
         return self.said
@@ -180,6 +180,7 @@ class Engine:
         stands for it, as for a question without results, which is not generated for. A failing language model fails the batch.
         """
         fusion.check("hybrid", top_k)
+        self.said = None  # a run of its own: what failed before is asked again
         asked = held(expansion.expand(questions, self.rewriter, enabled=rewrite, answers=self.table()))
         found = held(self.retrieve(asked, top_k=top_k, document_type=document_type, intent_weight=intent_weight))
         drafts = self.generate(asked, found)

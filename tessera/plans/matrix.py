@@ -117,6 +117,7 @@ def run(
     if bad := [m for m in modes if m not in evaluation.MODES]:
         raise ValueError(f"unknown modes {bad}")
     fusion.check("hybrid", top_k)
+    engine.said = None  # answers of this run
     asked = held(expanded(golden_sets(engine, sets), engine, enabled=refusals or completeness))
     ranks = held(first_ranks(engine, asked, modes, top_k))
     out: dict[str, Any] = {"sets": {}, "modes": list(modes), "top_k": top_k, "refusals": refusals, "completeness": completeness, "judge": judge is not None}

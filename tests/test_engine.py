@@ -282,3 +282,20 @@ def test_audit_path(monkeypatch, spark, tmp_path):
     assert audit.path() == audit.DEFAULT_PATH
     (tmp_path / "file").write_text("x")
     assert not audit.append(spark.range(1), f"{tmp_path}/file/log")
+
+
+def test_a_failed_question_may_be_asked_again(spark, handbook, tmp_path):
+    seen = tmp_path / "seen"
+
+    def flaky(prompt):
+        with open(seen, "a") as f:
+            f.write("x")
+        if seen.read_text() == "x":
+            raise TimeoutError("slow")
+        return llm(prompt)
+
+    e = Engine(spark, handbook.path, bag, "bag", flaky, rewriter, answers=f"{tmp_path}/answers")
+    with pytest.raises(RuntimeError, match="slow"):
+        e.answer(ask(spark, "What of the storing of lamp oil?"))
+    assert [e.answer(ask(spark, "What of the storing of lamp oil?")).first().action for _ in range(2)] == ["shown"] * 2
+    assert seen.read_text() == "xx"  # the third time it is read from the table
