@@ -77,7 +77,7 @@ def resample(docs: DataFrame, target: DataFrame, longest: int = 1, buckets: int
     n_words = F.size("features") if longest == 1 else F.size(words(F.col("text")))
     own = docs.select("doc_id", "text", bucket_array(F.col("text"), longest, buckets).alias("features"))
     own = own.select("doc_id", F.size("features").cast("long").alias("n_features"), weight(F.col("features"), of).alias("weight"), (n_words >= least).alias("long"))
-    own = own.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
+    own = cut(own.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)))  # a range partition reads its rows twice
     # Ranks: rows are dealt by score, numbered within their part, and parts by a scan over their sizes.
     order = [F.desc("long"), F.desc("score"), F.asc_nulls_last("doc_id")]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
