@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.vector import QUERY_BLOCK, best_pairs, packed, ranked
+from tessera.operators.vector import QUERY_BLOCK, against_all, best_pairs, in_rounds, packed, plain, ranked
 from tessera.sources.shared import held
 
 #: Lists at most, sampled rows a list, bytes of a sample at most, rounds of the fit.
@@ -33,8 +33,8 @@ def centres(v: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
     v = unit(np.nan_to_num(v.astype(np.float32)))
     c = v[rng.choice(len(v), min(k, len(v)), replace=False)]
     for _ in range(ROUNDS):
-        s = np.concatenate([v[x : x + 4096] @ c.T for x in range(0, len(v), 4096)])
-        of, fit = s.argmax(1), s.max(1)
+        best = [(s.argmax(1), s.max(1)) for s in (v[x : x + 4096] @ c.T for x in range(0, len(v), 4096))]
+        of, fit = (np.concatenate(x) for x in zip(*best, strict=True))
         sums = np.zeros_like(c)
         np.add.at(sums, of, v)
         empty = np.flatnonzero(np.bincount(of, minlength=len(c)) == 0)
@@ -70,7 +70,7 @@ class VectorIndex:
             k = min(LISTS, lists or max(1, int(n**0.5)), n)
             rows = min(n, max(k, min(A_LIST * k, SAMPLE_BYTES // (8 * width))))
             sample = own.select("e", F.xxhash64("id").alias("h")).orderBy("h").limit(rows).select("e").toArrow()
-            found = centres(np.array(sample["e"].to_pylist()), k)
+            found = centres(sample["e"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width), k)
             near = lambda e: found @ np.nan_to_num(e).T
 
             def place(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,20 +110,20 @@ class VectorIndex:
         """(question_key, key, score, rank): of the vectors in the lists that a question probes, the top_k inner products;
         ties go by key. With as many probes as lists that is exact. gone (key) names vectors that are no candidates.
 
-        Which lists are probed at all is found when the plan is made, and only their folders are read.
+        Which lists are probed at all is found when the plan is made, and only their folders are read; questions of more than
+        one round are searched then.
         """
         if not len(self.centres):
             return questions.limit(0).select(F.col(question_key).cast("long").alias(question_key), F.lit(0).cast("long").alias(key), F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+        own = self.vectors if gone is None else self.vectors.join(gone.select(F.col(key).alias("id")), "id", "left_anti")
+        if probes >= len(self.centres):  # every block meets every question: these go out once, not once for each list
+            return against_all(packed(own, "v"), plain(questions, question_key), top_k, key, question_key)
         asked = held(self.probed(questions, question_key, probes))
         lists = [r["list"] for r in asked.select("list").distinct().collect()]  # LISTS at most
-        rows = asked.count()
-        rounds = max(1, -(-rows * self.centres.shape[1] * 8 // ROUND_BYTES))
-        own = self.vectors.where(F.col("list").isin(lists))
-        own = own if gone is None else own.join(gone.select(F.col(key).alias("id")), "id", "left_anti")
-        blocks = packed(own, "v", by="list")
-        found = None
-        for r in range(rounds):
-            part = packed(asked.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r).repartition("list"), "q", QUERY_BLOCK, by="list").withColumnRenamed("width", "q_width")
-            one = best_pairs(blocks.join(F.broadcast(part), "list"), top_k, key, question_key)
-            found = one if found is None else found.unionByName(one)
-        return ranked(found, top_k, key, question_key)
+        blocks = packed(own.where(F.col("list").isin(lists)), "v", by="list")
+
+        def search(part: DataFrame) -> DataFrame:
+            near = packed(part.repartition("list"), "q", QUERY_BLOCK, by="list").withColumnRenamed("width", "q_width")
+            return ranked(best_pairs(blocks.join(F.broadcast(near), "list"), top_k, key, question_key), top_k, key, question_key)
+
+        return in_rounds(asked, max(1, -(-asked.count() * self.centres.shape[1] * 8 // ROUND_BYTES)), search)

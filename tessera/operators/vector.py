@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import held
+from tessera.sources.shared import held, shared_dir
 
 #: Rows of a block of questions and of a block of vectors.
 QUERY_BLOCK, VECTOR_BLOCK, WIDTH = 1024, 8192, 384
@@ -94,18 +93,35 @@ def plain(vectors: DataFrame, key: str) -> DataFrame:
     return vectors.where("embedding is not null").select(F.col(key).cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
 
 
+def in_rounds(asked: DataFrame, rounds: int, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """search() over asked (id and others), which broadcasts what it is given. What needs more than one round is searched when the
+    plan is made, one round after the other, so that the driver holds one broadcast at a time; their results are written."""
+    if rounds == 1:
+        return search(asked)
+    spark, found = asked.sparkSession, f"{shared_dir(asked.sparkSession)}/rounds-{asked.sparkSession.sql('select uuid() as u').first()['u']}"
+    asked = held(asked)
+    for r in range(rounds):
+        search(asked.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r)).write.parquet(f"{found}/round={r}")
+    return spark.read.parquet(found).drop("round")
+
+
+def against_all(blocks: DataFrame, questions: DataFrame, top_k: int, key: str, question_key: str) -> DataFrame:
+    """The top_k of questions (id, e) among all packed blocks of vectors. Questions are counted when the plan is made."""
+    m, width = questions.agg(F.count("*"), F.max(F.size("e"))).first()
+
+    def search(part: DataFrame) -> DataFrame:
+        asked = packed(part, "q", QUERY_BLOCK).withColumnRenamed("width", "q_width")
+        return ranked(best_pairs(blocks.crossJoin(F.broadcast(asked)), top_k, key, question_key), top_k, key, question_key)
+
+    return in_rounds(questions, max(1, -(-m * (width or 1) * 8 // ROUND_BYTES)), search)
+
+
 def knn(vectors: DataFrame, questions: DataFrame, top_k: int, key: str = "vec_id", question_key: str = "query_id") -> DataFrame:
     """(question_key, key, score, rank): the top_k inner products of each question's embedding; ties go by key.
 
     Vectors are packed in blocks where they lie and never move: blocks of questions are broadcast to them, as many rounds of a
     bounded number of bytes as the questions need, and each pair of blocks gives its own top_k. Null embeddings are left out;
-    those of several lengths are an error. With unit vectors the score is the cosine. Questions are counted when the plan is made.
+    those of several lengths are an error. With unit vectors the score is the cosine. Questions are counted when the plan is made,
+    and those of more than one round are searched then.
     """
-    q = plain(questions, question_key)
-    m, width = q.agg(F.count("*"), F.max(F.size("e"))).first()
-    rounds = max(1, -(-m * (width or 1) * 8 // ROUND_BYTES))
-    q = held(q) if rounds > 1 else q
-    blocks = packed(plain(vectors, key), "v")
-    parts = [packed(q.where(F.pmod(F.xxhash64("id"), F.lit(rounds)) == r), "q", QUERY_BLOCK).withColumnRenamed("width", "q_width") for r in range(rounds)]
-    found = reduce(DataFrame.unionByName, [best_pairs(blocks.crossJoin(F.broadcast(p)), top_k, key, question_key) for p in parts])
-    return ranked(found, top_k, key, question_key)
+    return against_all(packed(plain(vectors, key), "v"), plain(questions, question_key), top_k, key, question_key)

@@ -67,3 +67,19 @@ def test_a_list_of_copies_is_many_files_of_bounded_blocks(spark, tmp_path, monke
     index = VectorIndex.build(table(spark, rows), f"{tmp_path}/i")
     asked = table(spark, [(k, [1.0, 0.1]) for k in range(9)], "query_id")
     assert {r["vec_id"] for r in index.search(asked, 4).collect()} == {0, 1, 2, 3}
+
+
+def test_questions_are_broadcast_once_a_round(spark, tmp_path, monkeypatch, clustered):
+    vectors = table(spark, list(enumerate(clustered)))
+    asked = vectors.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    index = VectorIndex.build(vectors, f"{tmp_path}/i")
+    monkeypatch.setattr(neighbours, "ROUND_BYTES", 8192)
+    monkeypatch.setattr(vector, "ROUND_BYTES", 8192)
+    for got, want in ((index.search(asked, 10, probes=len(index.centres)), None), (index.search(asked, 10, probes=6), 1), (vector.knn(vectors, asked, 10), None)):
+        assert "Broadcast" not in got._jdf.queryExecution().toString()  # no plan holds the broadcasts of all its rounds
+        if want is None:
+            s = np.round(clustered[::20].astype(np.float32).astype(float) @ clustered.astype(np.float32).astype(float).T, 6)
+            best = {(20 * q, int(k)) for q in range(len(s)) for k in np.lexsort((np.arange(len(clustered)), -s[q]))[:10]}
+            assert pairs(got) == best
+        else:
+            assert got.count() == 10 * asked.count()
