@@ -57,3 +57,10 @@ def test_load_titles_and_pages_without_text(spark):
     rows = [("u1", "<title>T</title><body>a</body>"), ("u2", "<title> </title><h1>H</h1>"), ("u3", "<h1></h1>b"), ("u4", "c"), ("u5", "<nav>n</nav>"), ("u6", None)]
     got = load(spark.createDataFrame(rows, "url string, html string"), "t").collect()
     assert [(r["source"], r["title"], r["text"]) for r in got] == [("u1", "T", "a"), ("u2", "H", "H"), ("u3", "", "b"), ("u4", "u4", "c")]
+
+
+def test_pages_go_to_python_as_rows_a_few_at_a_time(spark):
+    own = load(spark.createDataFrame([("u", "<p>t</p>")], "url string, html string"), "legislation")
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "Arrow" not in plan  # batches of Arrow grow to 64 MB of pages
+    assert [r["text"] for r in own.collect()] == ["t"]
