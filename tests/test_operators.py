@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +204,11 @@ def test_sources(spark, tmp_path):
         files.golden_set(spark, f"{tmp_path}/b.jsonl")
     with pytest.raises(ValueError):
         files.route("x.txt", "handbook")
+
+
+def test_splitting_takes_time_by_the_text_not_by_its_window():
+    text = " ".join("a" * 60_001)
+    began = time.process_time()
+    pieces = chunking.split_text(text, 80_000, 40_000)
+    assert time.process_time() - began < 5
+    assert [len(p) for p in pieces] == [79_999, 79_999, 40_001] and all(p in text for p in pieces)
