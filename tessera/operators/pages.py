@@ -6,10 +6,13 @@ window over the pages of one source.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import lines, strip
+from tessera.sources.shared import held
 
 #: Forms of running headers, chapter lines and bare numbers (fixed values); tolerance of a header's offset.
 TITLE = r"[A-Z][A-Z0-9&'(),.\- ]*[A-Z.)]"
@@ -20,9 +23,28 @@ TOLERANCE = 1
 REPEATED, SPARSE = 0.10, 100
 
 
+#: What has to be at an end of a line for white space there to be stripped; the last three may stand behind it.
+_BLANK = r"[\s\x85\u2028\u2029]"
+
+
+def ended(line: Column) -> Column:
+    """A line without white space at its end; only lines that have it are read through."""
+    return F.when(F.right(line, F.lit(1)).rlike(_BLANK), F.regexp_replace(line, r"\s+$", "")).otherwise(line)
+
+
+def bare(line: Column) -> Column:
+    """strip(line); only lines with white space at an end are read through. It names the line often: not for expressions."""
+    return F.when(F.left(line, F.lit(1)).rlike(_BLANK) | F.right(line, F.lit(1)).rlike(_BLANK), strip(line)).otherwise(line)
+
+
 def filled(text: Column) -> Column:
     """The stripped lines of a text that are not blank."""
-    return F.filter(F.transform(lines(text), strip), lambda x: x != "")
+    return F.filter(F.transform(lines(text), bare), lambda x: x != "")
+
+
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often use names it: a filter that is pushed down repeats columns."""
+    return F.transform(F.array(value), use)[0]
 
 
 def first_line(text: Column) -> Column:
@@ -41,8 +63,10 @@ def header_number(line: Column) -> Column:
 def calibration(pages: DataFrame) -> DataFrame:
     """(source, mode, lower, upper): the commonest offset of page to printed number (of equal ones that of the earliest
     page), and the window in which missing numbers are inferred. Sources without headers have no row."""
-    own = pages.select("source", "page_number", first_line(F.col("text")).alias("line"), F.exists(filled(F.col("text")), lambda x: x.rlike(CHAPTER)).alias("opens"))
-    own = own.withColumn("offset", F.col("page_number") - header_number(F.col("line")))
+    may = pages.where(F.col("text").rlike("[0-9]"))  # as any header and any chapter line has
+    own = may.select("source", "page_number", first_line(F.col("text")).alias("line"), F.when(F.col("text").contains("CHAPTER "), F.exists(filled(F.col("text")), lambda x: x.rlike(CHAPTER))).otherwise(F.lit(False)).alias("opens"))
+    own = own.withColumn("offset", F.col("page_number") - header_number(F.col("line"))).select("source", "page_number", "offset", "opens")
+    own = held(own.where("offset is not null or opens"))  # the others have no say
     votes = own.where("offset is not null").groupBy("source", "offset").agg(F.count("*").alias("n"), F.min("page_number").alias("at"))
     mode = votes.groupBy("source").agg(F.max_by("offset", F.struct("n", (-F.col("at")).alias("at"))).alias("mode"))
     ok = F.abs(F.col("offset") - F.col("mode")) <= TOLERANCE
@@ -52,8 +76,13 @@ def calibration(pages: DataFrame) -> DataFrame:
 
 def attested_words(pages: DataFrame) -> DataFrame:
     """(source, word): the lower-cased hyphenated words of each source."""
+    return hyphenated_words(pages).distinct()
+
+
+def hyphenated_words(pages: DataFrame) -> DataFrame:
+    """(source, word): those of each page, once a page."""
     found = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[a-z]+(?:-[a-z]+)+"), F.lit(0))
-    return pages.select("source", F.explode(F.array_distinct(found)).alias("word")).distinct()
+    return pages.where(F.col("text").contains("-")).select("source", F.explode(F.array_distinct(found)).alias("word"))
 
 
 def attested(pages: DataFrame) -> DataFrame:
@@ -86,15 +115,16 @@ def broken(text_lines: Column) -> Column:
 def needed_words(pages: DataFrame) -> DataFrame:
     """(source, words): of the attested words of a source those that a line or a page may be broken in. Any of the last two
     lines of a page may be its last once a foot is gone, any of the first two its first once a header is."""
-    ls = F.transform(lines(F.col("text")), lambda x: F.regexp_replace(x, r"\s+$", ""))
-    full = filled(F.col("text"))
-    heads = F.transform(F.slice(full, 1, 2), _start)
-    ends = F.filter(F.transform(F.slice(full, F.greatest(F.lit(1), F.size(full) - 1), F.lit(2)), _end), lambda x: x != "")
-    own = pages.select("source", "page_number", broken(ls).alias("b"), heads.alias("heads"), ends.alias("ends"))
+    ls, hyphen = F.transform(lines(F.col("text")), ended), F.col("text").contains("-")
+    heads = lambda full: F.transform(F.slice(full, 1, 2), _start)
+    ends = lambda full: F.filter(F.transform(F.slice(full, F.greatest(F.lit(1), F.size(full) - 1), F.lit(2)), _end), lambda x: x != "")
+    none = F.array().cast("array<string>")
+    own = pages.select("source", "page_number", named(filled(F.col("text")), lambda full: F.struct(heads(full).alias("heads"), F.when(hyphen, ends(full)).otherwise(none).alias("ends"))).alias("l"), F.when(hyphen, broken(ls)).alias("b"))
+    own = own.select("source", "page_number", F.struct(F.coalesce("b.words", none).alias("words"), F.coalesce("b.tails", none).alias("tails")).alias("b"), "l.heads", "l.ends")
     after = F.lead("heads").over(Window.partitionBy("source").orderBy("page_number"))
     seams = F.flatten(F.transform(F.concat("b.tails", "ends"), lambda t: F.transform(F.coalesce("after", F.array().cast("array<string>")), lambda h: F.concat(t, F.lit("-"), h))))
     may = own.withColumn("after", after).select("source", F.explode(F.array_distinct(F.concat("b.words", seams))).alias("word")).distinct()
-    return may.join(attested_words(pages), ["source", "word"], "left_semi").groupBy("source").agg(F.collect_list("word").alias("words"))
+    return may.join(hyphenated_words(pages), ["source", "word"], "left_semi").groupBy("source").agg(F.collect_list("word").alias("words"))
 
 
 def joined_word(a: Column, b: Column, words: Column) -> Column:
@@ -125,7 +155,7 @@ def clean(pages: DataFrame) -> DataFrame:
     """
     own = pages.join(calibration(pages), "source", "left").join(needed_words(pages), "source", "left")
     none = F.array().cast("array<string>")
-    own = own.withColumns({"words": F.coalesce("words", none), "ls": F.transform(lines(F.col("text")), lambda x: F.regexp_replace(x, r"\s+$", ""))})
+    own = own.withColumns({"words": F.coalesce("words", none), "ls": F.transform(lines(F.col("text")), ended)})
     own = own.withColumn("head", first_line(F.col("text")))
     own = own.withColumn("read", F.when(F.abs(F.col("page_number") - header_number(F.col("head")) - F.col("mode")) <= TOLERANCE, header_number(F.col("head"))))
     top = F.coalesce(F.col("read").isNotNull() | F.col("head").rlike(NUMBER), F.lit(False))
@@ -133,14 +163,20 @@ def clean(pages: DataFrame) -> DataFrame:
     def without(ls: Column, at: Column) -> Column:
         return F.filter(ls, lambda _, k: k != at)
 
-    place = lambda ls: F.filter(F.transform(ls, lambda x, k: F.when(strip(x) != "", k)), lambda k: k.isNotNull())
+    place = lambda ls: F.filter(F.transform(ls, lambda x, k: F.when(bare(x) != "", k)), lambda k: k.isNotNull())
+    def without_foot(ls: Column, foot: Column) -> Column:
+        return F.when(F.coalesce(strip(F.element_at(ls, foot + 1)).rlike(NUMBER), F.lit(False)), without(ls, foot)).otherwise(ls)
+
     own = own.withColumn("ls", F.when(top, without(F.col("ls"), F.try_element_at(place(F.col("ls")), F.lit(1)))).otherwise(F.col("ls")))
-    foot = F.try_element_at(place(F.col("ls")), F.lit(-1))
-    own = own.withColumn("ls", F.when(F.coalesce(strip(F.element_at("ls", foot + 1)).rlike(NUMBER), F.lit(False)), without(F.col("ls"), foot)).otherwise(F.col("ls")))
-    text = F.regexp_replace(F.regexp_replace(F.array_join(repair(F.col("ls"), F.col("words")), "\n"), r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
+    footed = named(F.col("ls"), lambda ls: named(F.try_element_at(place(ls), F.lit(-1)), lambda foot: without_foot(ls, foot)))
+    mended = named(footed, lambda ls: F.when(F.col("text").contains("-"), repair(ls, F.col("words"))).otherwise(ls))
+    closed = lambda t: F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\n+|\n+$", "")
+    text = named(F.array_join(mended, "\n"), lambda t: F.when(t.contains("\n"), closed(t)).otherwise(t))
     guess = F.col("page_number") - F.col("mode")
     inferred = F.when(F.col("page_number").between(F.col("lower"), F.col("upper")) & (guess >= 1), guess)
-    return own.select("source", "page_number", F.coalesce("read", inferred).cast("int").alias("printed_page"), text.alias("text"), "words").where(strip(F.col("text")) != "")
+    # Exploded, the text is made once; a filter would make it a second time, with all it is made of written out.
+    own = own.select("source", "page_number", F.coalesce("read", inferred).cast("int").alias("printed_page"), "words", F.explode(F.filter(F.array(text), lambda t: bare(t) != "")).alias("text"))
+    return own.select("source", "page_number", "printed_page", "text", F.when(F.col("text").contains("-") & F.col("text").rlike("[a-z]-$"), F.col("words")).otherwise(none).alias("words"))
 
 
 #: Pages of a block, and characters of a stretch of positions, as bits: what one task has to order of a long source.
@@ -151,24 +187,36 @@ def page_map(cleaned: DataFrame) -> DataFrame:
     """(source, page_number, printed_page, text, char_start, char_end, separator): pages joined by a line end, or by
     nothing where a word goes on over the seam; the text between start and end is the page's, exactly.
 
-    Pages are ordered within blocks of page numbers; of a block only its first letters and its size meet those of the
-    other blocks of its source, so a source of very many pages is many tasks.
+    Pages are ordered within blocks of page numbers; of a block only its first letters, its last page's end and its size meet
+    those of the other blocks of its source, so a source of very many pages is many tasks. Texts travel only if they are asked for.
     """
     blocks, within = Window.partitionBy("source").orderBy("block"), Window.partitionBy("source", "block").orderBy("page_number")
-    own = cleaned if "words" in cleaned.columns else cleaned.withColumn("words", F.array().cast("array<string>"))
-    own = own.withColumn("block", F.shiftright(F.col("page_number").cast("long"), BLOCK_BITS)).withColumn("opening", F.regexp_extract("text", r"(?s)^(?:[a-z]+|.)", 0))
-    heads = own.groupBy("source", "block").agg(F.min_by("opening", "page_number").alias("first")).withColumn("next", F.lead("first").over(blocks))
-    own = own.join(heads.select("source", "block", "next"), ["source", "block"]).withColumn("after", F.coalesce(F.lead("opening").over(within), "next"))
-    a, b = F.regexp_extract("text", r"([a-z]+)-$", 1), F.regexp_extract(F.col("after"), r"^([a-z]+)", 1)
-    seam = F.coalesce((a != "") & F.col("after").rlike(r"^\p{Ll}"), F.lit(False))
-    own = own.withColumns({"separator": F.when(F.col("after").isNull() | seam, "").otherwise("\n"), "text": F.when(seam & ~joined_word(a, b, F.col("words")), F.substring("text", F.lit(1), F.length("text") - 1)).otherwise(F.col("text"))})
-    own = own.withColumn("size", (F.length("text") + F.length("separator")).cast("long"))
     before = (Window.unboundedPreceding, -1)
     so_far = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(*before)), F.lit(0))
-    totals = own.groupBy("source", "block").agg(F.sum("size").alias("total")).withColumn("offset", so_far("total", blocks))
-    start = (F.col("offset") + so_far("size", within)).cast("int")
-    own = own.join(totals.select("source", "block", "offset"), ["source", "block"]).withColumn("char_start", start)
-    return own.select("source", "page_number", "printed_page", "text", "char_start", (F.col("char_start") + F.length("text")).alias("char_end"), "separator")
+    none = F.array().cast("array<string>")
+    words = F.coalesce("words", none) if "words" in cleaned.columns else none
+    tail = F.when(F.col("text").contains("-"), F.regexp_extract("text", r"([a-z]+)-$", 1)).otherwise("")
+    own = cleaned.withColumns({"block": F.shiftright(F.col("page_number").cast("long"), BLOCK_BITS), "opening": F.regexp_extract("text", r"(?s)^(?:[a-z]+|.)", 0), "tail": tail, "words": F.when(tail != "", words), "length": F.length("text").cast("long")})
+
+    def joint(after: Column) -> Column:
+        """struct(cut, separator) of a page before another that opens so, or before none: whether its last hyphen goes."""
+        seam = F.coalesce((F.col("tail") != "") & after.rlike(r"^\p{Ll}"), F.lit(False))
+        cut = seam & ~joined_word(F.col("tail"), F.regexp_extract(after, r"^([a-z]+)", 1), F.coalesce("words", none))
+        return F.struct(F.coalesce(cut, F.lit(False)).alias("cut"), F.when(after.isNull() | seam, "").otherwise("\n").alias("separator"))
+
+    size = lambda j: F.col("length") - j["cut"].cast("int") + F.length(j["separator"])
+    # Within a block all sizes are known but that of its last page, which asks for the block after it; none comes after that page.
+    own = own.withColumn("after", F.lead("opening").over(within)).withColumn("joint", joint(F.col("after"))).withColumn("size", size(F.col("joint")))
+    own = own.withColumn("before", so_far("size", within))
+    last = F.max_by(F.struct("tail", "words", "length", "before"), F.col("page_number"))
+    ends = own.groupBy("source", "block").agg(F.min_by("opening", "page_number").alias("first"), last.alias("last")).select("source", "block", "first", "last.*")
+    ends = ends.withColumn("next", F.lead("first").over(blocks)).withColumn("total", F.col("before") + size(joint(F.col("next"))))
+    ends = ends.withColumn("offset", so_far("total", blocks)).select("source", "block", "next", "offset")
+    own = own.join(ends, ["source", "block"]).withColumn("joint", F.when(F.col("after").isNull(), joint(F.col("next"))).otherwise(F.col("joint")))
+    text = F.when(F.col("joint.cut"), F.substring("text", F.lit(1), F.col("length").cast("int") - 1)).otherwise(F.col("text"))
+    own = own.withColumn("char_start", (F.col("offset") + F.col("before")).cast("int"))
+    end = (F.col("char_start") + F.col("length") - F.col("joint.cut").cast("int")).cast("int")
+    return own.select("source", "page_number", "printed_page", text.alias("text"), "char_start", end.alias("char_end"), F.col("joint.separator").alias("separator"))
 
 
 def pages_at(mapped: DataFrame, positions: DataFrame, position: str, page: str) -> DataFrame:
@@ -181,7 +229,7 @@ def pages_at(mapped: DataFrame, positions: DataFrame, position: str, page: str)
     none = F.lit(None)
     starts = mapped.select("source", F.col("char_start").cast("long").alias("at_"), F.struct("printed_page").alias("page_"), none.cast(positions.select(F.struct("*").alias("p")).schema["p"].dataType).alias("row_"))
     asked = positions.select("source", F.coalesce(F.col(position).cast("long"), F.lit(-1)).alias("at_"), none.cast(starts.schema["page_"].dataType).alias("page_"), F.struct("*").alias("row_"))
-    both = starts.unionByName(asked).withColumn("stretch_", F.shiftright("at_", STRETCH_BITS))
+    both = held(starts.unionByName(asked).withColumn("stretch_", F.shiftright("at_", STRETCH_BITS)))  # it is read twice
     until = Window.unboundedPreceding
     stretches = both.groupBy("source", "stretch_").agg(F.max_by("page_", F.when(F.col("page_").isNotNull(), F.col("at_"))).alias("last_"))
     came = F.last("last_", ignorenulls=True).over(Window.partitionBy("source").orderBy("stretch_").rowsBetween(until, -1))
@@ -200,7 +248,7 @@ def documents(mapped: DataFrame) -> DataFrame:
 
 def extract(pages: DataFrame) -> DataFrame:
     """Raw pages to documents: cleaning, joining and the page map."""
-    return documents(page_map(clean(pages.where(F.coalesce("text", F.lit("")) != ""))))
+    return documents(page_map(held(clean(pages.where(F.coalesce("text", F.lit("")) != "")))))  # it is read twice
 
 
 def page_at(spans: Column, position: Column) -> Column:

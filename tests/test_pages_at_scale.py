@@ -80,3 +80,14 @@ def test_seeded_rows(spark):
     assert one == draw(7, 6) and one != draw(8, 6) and len(one) == 11
     assert [p for s, _, p in one if s == "c"] == [1]
     assert evaluation.seeded_rows(df, ["k", "source"], 4, 1).count() == 4
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cleaning_makes_a_text_once(spark):
+    own = spark.createDataFrame([(1, k, f"{k} A TITLE\nwell-\nknown well-known\n{k}") for k in range(1, 4)], "source long, page_number int, text string")
+    assert not [x for x in plan_of(pages.clean(own)).split("\n") if "Filter" in x and "aggregate(" in x]
+    assert plan_of(pages.extract(own)).count("Exchange") < 12  # what is read twice is held
+    assert [r["clean_text"] for r in pages.extract(own).collect()] == ["well-known well-known\n" * 2 + "well-known well-known"]
