@@ -91,3 +91,9 @@ def test_cleaning_makes_a_text_once(spark):
     assert not [x for x in plan_of(pages.clean(own)).split("\n") if "Filter" in x and "aggregate(" in x]
     assert plan_of(pages.extract(own)).count("Exchange") < 12  # what is read twice is held
     assert [r["clean_text"] for r in pages.extract(own).collect()] == ["well-known well-known\n" * 2 + "well-known well-known"]
+
+
+def test_page_lookups_make_the_map_once(spark):
+    from tessera import catalog
+
+    assert plan_of(catalog.QUERIES["page_asof"](spark, "/root/testdata/sf0.001")).count("Exchange") < 12
