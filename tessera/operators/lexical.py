@@ -8,6 +8,7 @@ posting travels, whatever the terms' frequencies: a stop word costs no more than
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -26,6 +27,21 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 CHUNKS, TOKENS, TERMS = 2048, 1_000_000, 4096
 #: So many (question, term) rows, about, are broadcast at a time; blocks of questions a task keeps at hand.
 SMALL, HELD = 200_000, 8
+#: Bytes of rows that a task's Python takes at a time (and a row): two blocks, about. Spark's own limit lets a task hold four times as much.
+BATCH = 16 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile sends rows to Python in batches of BATCH bytes, however many a partition has. The setting counts when a plan runs,
+    not when it is made."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def corpus_stats(chunks: DataFrame, text: str = "text") -> DataFrame:
@@ -230,7 +246,7 @@ class LexicalIndex:
         """(question_key, key, score, rank) of the top_k positive scores of each question; ties go by key.
 
         `where` tells by a kept chunk's columns whether it is a candidate: statistics stay those of all chunks. A question's
-        repeated tokens count each. The questions' terms are counted when the plan is made, to deal them in blocks.
+        repeated tokens count each. The search runs when it is called, and what it found is held: a plan that reads it twice searches once.
         """
         asked = questions.select(question_key, F.explode(tokens(F.col(question))).alias("term")).groupBy(question_key, "term").agg(F.count("*").alias("qtf"))
         size = asked.count()
@@ -252,9 +268,10 @@ class LexicalIndex:
         rounds = max(1, -(-size // SMALL))
         dealt = dealt if rounds == 1 else held(dealt)
         pairs = [blocks.crossJoin(F.broadcast(dealt if rounds == 1 else dealt.where(F.col("qb") % rounds == r))) for r in range(rounds)]
-        found = reduce(DataFrame.unionByName, [p.mapInArrow(lambda p: _best(p, avgdl, top_k, schema, tally), layout) for p in pairs])
         rank = F.row_number().over(Window.partitionBy(question_key).orderBy(F.desc("score"), key))
-        return found.withColumn("rank", rank).where(F.col("rank") <= top_k)
+        found = [p.mapInArrow(lambda p: _best(p, avgdl, top_k, schema, tally), layout).withColumn("rank", rank).where(F.col("rank") <= top_k) for p in pairs]
+        with small_batches(self.spark):
+            return reduce(DataFrame.unionByName, [held(f) for f in found])
 
 
 def bm25(chunks: DataFrame, questions: DataFrame, top_k: int, where: Column | None = None, key: str = "doc_id", text: str = "text", question_key: str = "query_id", question: str = "question") -> DataFrame:

@@ -63,6 +63,38 @@ def test_blocks_that_cannot_reach_the_best_are_not_scored(spark, tmp_path):
     assert pairs.value >= len(asked) * 28 and scored.value < 0.7 * pairs.value
 
 
+def test_tasks_take_bounded_batches(spark, tmp_path, monkeypatch):
+    """However much one partition holds, Python gets a batch's bytes and a row at a time, when an index is searched; a search that a
+    plan reads twice runs once, and the session's setting is as before."""
+
+    def noted(run, name):
+        def own(parts, *rest):
+            def sizes():
+                for b in parts:
+                    with open(f"{tmp_path}/{name}", "a") as f:
+                        f.write(f"{b.nbytes}\n")
+                    yield b
+
+            yield from run(sizes(), *rest)
+
+        return own
+
+    monkeypatch.setattr(lexical, "_blocks", noted(lexical._blocks, "build"))
+    monkeypatch.setattr(lexical, "_best", noted(lexical._best, "search"))
+    words = "array_join(transform(sequence(0, 49999), x -> concat('w', x + id % 7)), ' ')"
+    docs = spark.range(0, 100, 1, 1).selectExpr("id as doc_id", f"{words} as text")
+    index = lexical.LexicalIndex.build(docs, f"{tmp_path}/i")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    found = index.search(spark.createDataFrame([(1, "w3 w50004"), (2, "unseen")], "query_id long, question string"), 5)
+    twice = sorted(map(tuple, found.unionAll(found).collect()))
+    assert len(twice) == 10 and twice[::2] == twice[1::2]
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    for name, row in (("search", 12 << 20),):
+        sizes = [int(x) for x in open(f"{tmp_path}/{name}")]
+        assert max(sizes) < (16 << 20) + row and sum(sizes) > (30 << 20), name
+    assert sum(sizes) < 1.5 * sum(r.nbytes for r in [spark.read.parquet(f"{tmp_path}/i/blocks").drop("id", "n", "total").toArrow()])
+
+
 def test_unfinished_index(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     with pytest.raises(AnalysisException):
