@@ -214,7 +214,8 @@ def write_blocks(chunks: DataFrame, path: str, key: str, text: str = "text", kee
     head = ", ".join(f"{f.name} array<{f.dataType.simpleString()}>" for f in own.schema if f.name.startswith("of_"))
     layout = f"{head}, {_BLOCK}" + ("" if group is None else ", group long")
     schema = chunks.sparkSession.createDataFrame([], layout).toArrow().schema
-    own.mapInArrow(lambda p: _blocks(p, most, schema), layout).write.mode("overwrite").parquet(path)
+    with small_batches(chunks.sparkSession):
+        own.mapInArrow(lambda p: _blocks(p, most, schema), layout).write.mode("overwrite").parquet(path)
 
 
 class LexicalIndex:

@@ -64,8 +64,8 @@ def test_blocks_that_cannot_reach_the_best_are_not_scored(spark, tmp_path):
 
 
 def test_tasks_take_bounded_batches(spark, tmp_path, monkeypatch):
-    """However much one partition holds, Python gets a batch's bytes and a row at a time, when an index is searched; a search that a
-    plan reads twice runs once, and the session's setting is as before."""
+    """However much one partition holds, Python gets a batch's bytes and a row at a time, when an index is built and when it is searched; a
+    search that a plan reads twice runs once, and the session's setting is as before."""
 
     def noted(run, name):
         def own(parts, *rest):
@@ -89,7 +89,7 @@ def test_tasks_take_bounded_batches(spark, tmp_path, monkeypatch):
     twice = sorted(map(tuple, found.unionAll(found).collect()))
     assert len(twice) == 10 and twice[::2] == twice[1::2]
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
-    for name, row in (("search", 12 << 20),):
+    for name, row in (("build", 1 << 20), ("search", 12 << 20)):
         sizes = [int(x) for x in open(f"{tmp_path}/{name}")]
         assert max(sizes) < (16 << 20) + row and sum(sizes) > (30 << 20), name
     assert sum(sizes) < 1.5 * sum(r.nbytes for r in [spark.read.parquet(f"{tmp_path}/i/blocks").drop("id", "n", "total").toArrow()])
