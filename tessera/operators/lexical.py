@@ -29,6 +29,10 @@ CHUNKS, TOKENS, TERMS = 2048, 1_000_000, 4096
 SMALL, HELD = 200_000, 8
 #: Bytes of rows that a task's Python takes at a time (and a row): two blocks, about. Spark's own limit lets a task hold four times as much.
 BATCH = 16 << 20
+#: How blocks are stored: a task reads all that shares a row group at once, so a full block (3 MB as compressed, 8 MB as read) is a group by itself,
+#: and small ones share one. Parquet would look at a group's size only after 100 rows, which are 800 MB of blocks; here it looks after each. Until a file
+#: ends, its writer holds the least and largest value of each column and group, which would be the blocks themselves: nothing reads these.
+GROUPS = {"parquet.block.size": 4 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.column.statistics.enabled": False}
 
 
 @contextmanager
@@ -215,7 +219,7 @@ def write_blocks(chunks: DataFrame, path: str, key: str, text: str = "text", kee
     layout = f"{head}, {_BLOCK}" + ("" if group is None else ", group long")
     schema = chunks.sparkSession.createDataFrame([], layout).toArrow().schema
     with small_batches(chunks.sparkSession):
-        own.mapInArrow(lambda p: _blocks(p, most, schema), layout).write.mode("overwrite").parquet(path)
+        own.mapInArrow(lambda p: _blocks(p, most, schema), layout).write.options(**GROUPS).mode("overwrite").parquet(path)
 
 
 class LexicalIndex:

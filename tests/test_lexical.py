@@ -95,6 +95,21 @@ def test_tasks_take_bounded_batches(spark, tmp_path, monkeypatch):
     assert sum(sizes) < 1.5 * sum(r.nbytes for r in [spark.read.parquet(f"{tmp_path}/i/blocks").drop("id", "n", "total").toArrow()])
 
 
+def test_a_stored_block_is_read_alone(spark, tmp_path):
+    """However many blocks a file holds, one of full size has a row group to itself and small ones share one; no values of columns are kept beside them."""
+    import pyarrow.parquet as pq
+
+    word = "sha2(concat(id, ':', x), 256)"
+    for name, rows, tokens in (("full", 6, 40_000), ("small", 120, 3)):
+        docs = spark.range(0, rows, 1, 1).selectExpr("id as doc_id", f"array_join(transform(sequence(1, {tokens}), x -> {word}), ' ') as text")
+        lexical.write_blocks(docs, f"{tmp_path}/{name}", "doc_id", most=1)
+        (file,) = (tmp_path / name).glob("*.parquet")
+        stored = pq.ParquetFile(file).metadata
+        groups = [stored.row_group(k) for k in range(stored.num_row_groups)]
+        assert stored.num_rows == rows and max(g.num_rows for g in groups) == {"full": 1, "small": 120}[name]
+        assert not any(g.column(k).is_stats_set for g in groups for k in range(stored.num_columns))
+
+
 def test_unfinished_index(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     with pytest.raises(AnalysisException):
